@@ -34,6 +34,11 @@ def raw_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """k1 and k2: 96 bits of hashes of id and text that name a row. They are never null, and only equal rows share them."""
+    return F.xxhash64(id_col, text_col).alias("k1"), F.hash(text_col, id_col).alias("k2")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is set (tests), one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -59,12 +64,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_sample(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """About ``most`` rows, chosen by a hash of their keys, never over twice as many.
+    """About ``most`` rows, chosen by a hash of their keys and place; all rows if there are no more.
 
-    A count and a filter, so no partition is gathered; all rows stay if there are no more than ``most``.
+    Every row is drawn on its own (repeated rows too), so the number stays within a few times its square root
+    of ``most``: twice as many never come. A count and a filter: no partition is gathered.
     """
     total = rows.count()
     if total <= most:
         return rows
     share = int(most / total * (1 << 32))
-    return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 32)) < share).limit(2 * most)
+    return rows.filter(F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(1 << 32)) < share)

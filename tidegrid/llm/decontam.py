@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidegrid.llm.common import staged
+from tidegrid.llm.common import row_keys, staged
 
 WINDOW = 10
 #: Rows up to which a table derived from the benchmark is broadcast; larger ones are joined by a shuffle.
@@ -53,7 +53,7 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     are null where there is none.
     """
     own = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k1"), F.hash(text_col, id_col).alias("k2"), words(F.col(text_col)).alias("w")
+        F.col(id_col).alias("id"), *row_keys(id_col, text_col), words(F.col(text_col)).alias("w")
     ).select("id", "k1", "k2", F.size("w").cast("long").alias("n_words"), F.posexplode_outer("w").alias("pos", "term"))
     found = own.join(small(terms), "term", "left").filter("tid is not null or pos = 0 or pos is null")
     return staged(
@@ -136,12 +136,11 @@ def proximity_matches(index: DataFrame, items: DataFrame, at: DataFrame, slop: i
     places = windows.select("ik", "start", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("ipos"))
     probe = places.join(at, ["ik", "ipos"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= terms)
     need = probe.groupBy("ik", "start").agg(F.count("*").alias("need"))
-    shifted = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
     found = (
         index.filter("tid is not null")
         .join(small(probe.select("tid", "ik", "start", "ipos")), "tid")
         .select(*KEY, "ik", "start", "ipos", (F.col("pos") - F.col("ipos")).alias("diag"))
-        .select(*KEY, "ik", "start", "ipos", (F.col("diag") + shifted).alias("diag"))
+        .select(*KEY, "ik", "start", "ipos", F.explode(F.sequence(F.col("diag") - slop, F.col("diag") + slop)).alias("diag"))
     )
     near = found.groupBy(*KEY, "ik", "start", "diag").agg(F.count_distinct("ipos").alias("n")).join(need, ["ik", "start"]).filter("n = need")
     return near.groupBy(*KEY, "ik", "start").agg(F.min("diag").alias("diag")).select(*KEY, "ik", (F.col("diag") + F.col("start")).alias("start"))
@@ -177,3 +176,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
             "items",
         )
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that no window of a benchmark item occurs in."""
+    items, at = item_terms(benchmark)
+    index = build_index(docs, at.select("term", "tid").distinct(), id_col, text_col)
+    hit = phrase_matches(index, items, at, window).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    k1, k2 = row_keys(id_col, text_col)
+    return docs.withColumns({"_k1": k1, "_k2": k2}).join(hit, ["_k1", "_k2"], "left_anti").select(*docs.columns)

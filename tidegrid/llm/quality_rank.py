@@ -128,9 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, fold: tup
     rows = (
         docs.select("doc_id", raw_text().alias("_raw"))
         .join(F.broadcast(known), "doc_id")  # bounded by 2 * most_rows ids
-        .limit(4 * most_rows)  # repeated ids only
         .select("_y", "_raw")
         .mapInPandas(extract, "_y int, x array<double>")
+        .limit(4 * most_rows)  # reached only if ids are repeated
         .toPandas()
     )
     x = np.array(rows["x"].tolist(), float).reshape(-1, N_FEATURES)

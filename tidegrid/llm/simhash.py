@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import raw_text, staged
+from tidegrid.llm.common import raw_text, row_keys, staged
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Buckets with more distinct fingerprints are split to blocks, of which every two meet in some task.
@@ -49,13 +49,13 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint as a signed long) of every row, whole texts, as a narrow map."""
+    """doc_id, ``fp`` (the fingerprint as a signed long) and the row's keys, of whole texts, as a narrow map."""
 
     @F.pandas_udf("long")
     def of(raw: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(r, shingle) for r in raw], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", of(raw_text(text)).alias("fp"))
+    return docs.select("doc_id", of(raw_text(text)).alias("fp"), *row_keys("doc_id", text))
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -214,7 +214,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """doc_id, ``fp`` and ``component_id`` (the smallest doc_id that links reach, its own included) of every row.
+    """doc_id, ``fp`` and ``component_id`` (the smallest doc_id that links reach, its own included) of every row,
+    with the row's keys k1 and k2 and ``root``, the smallest fingerprint of the component.
 
     Equal fingerprints are one node, so copies cost one row each and no pairs. Null and empty texts have
     fingerprint 0 and link like any other. Rows without doc_id count as members but name no component: if no
@@ -226,14 +227,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     roots = components(near_edges(classes.select("fp"), total, radius))
     joined = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(joined.join(least, "root").select("fp", "n", "component_id"), "named")
+    named = staged(joined.join(least, "root").select("fp", "n", F.struct("component_id", "root").alias("to")), "named")
     # Fewer than 1,000 classes can have over a thousandth of the rows: these are broadcast, and their members don't meet in the join.
-    hot = named.filter(F.col("n") > max(1, (rows or 0) // 1000)).select("fp", F.struct("component_id").alias("_hot"))
-    cold = named.select(F.col("fp").alias("_fp"), "component_id", F.lit(0).alias("_salt"))
+    hot = named.filter(F.col("n") > max(1, (rows or 0) // 1000)).select("fp", F.col("to").alias("_hot"))
+    cold = named.select(F.col("fp").alias("_fp"), "to", F.lit(0).alias("_salt"))
     is_hot = F.col("_hot").isNotNull()
     return (
         own.join(F.broadcast(hot), "fp", "left")
         .withColumns({"_key": F.when(~is_hot, F.col("fp")), "_to": F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(4096))).otherwise(0)})
         .join(cold, (F.col("_key") == F.col("_fp")) & (F.col("_to") == F.col("_salt")), "left")
-        .select("doc_id", "fp", F.when(is_hot, F.col("_hot.component_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .withColumn("to", F.coalesce("_hot", "to"))
+        .select("doc_id", "fp", "to.component_id", "k1", "k2", "to.root")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
+    """One row of docs for each component: that with the smallest doc_id (rows without one come last), and of
+    rows with one id that with the smallest hash of its text. Of equal rows one stays. All columns are kept.
+    """
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
+    found = near_duplicates(docs, radius, shingle, text).groupBy("root").agg(F.min(order).alias("of"))
+    keep = found.select(F.col("of.k1").alias("_k1"), F.col("of.k2").alias("_k2"))
+    k1, k2 = row_keys("doc_id", text)
+    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    return keyed.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)

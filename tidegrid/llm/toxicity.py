@@ -1,6 +1,6 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-A logistic regression on the distinct words of a text. In every labelled text that names a group of people
+A logistic regression on the distinct words of a text and their beginnings, which stand for stems. In every labelled text that names a group of people
 the identity terms are swapped for others of their kind; the loss holds the squared change of the score
 under that swap, so that the mention of a group alone moves no score.
 """
@@ -28,8 +28,17 @@ IDENTITY_TERMS = (
 SWAP = {a.encode(): kind[(i + 1) % len(kind)].encode() for kind in IDENTITY_TERMS for i, a in enumerate(kind)}
 
 
+#: Bytes of the beginnings of words; each length has a hash seed of its own, whole words have 0.
+STEMS = range(4, 9)
+
+
 def word_ids(words: set[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    """Hashes of the words and of their beginnings that are shorter than the word, each once."""
+    h = xxhash.xxh64_intdigest
+    ids = [h(w) for w in words]
+    for k in STEMS:
+        ids += [h(x, k) for x in {w[:k] for w in words if len(w) > k}]
+    return np.array(ids, np.uint64)
 
 
 @dataclass
@@ -38,14 +47,14 @@ class ToxicModel:
     bias: float = 0.0
 
     def score(self, raw: bytes) -> float:
-        get, h = self.weights.get, xxhash.xxh64_intdigest
-        z = self.bias + sum(get(h(w), 0.0) for w in set(plain_words(raw)))
+        get = self.weights.get
+        z = self.bias + sum(get(x, 0.0) for x in word_ids({*plain_words(raw)}).tolist())
         return float(1.0 / (1.0 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
 def fit(
     rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray,
-    least_docs: int = 5, least_z: float = 3.0, l2: float = 1e-4, swap_penalty: float = 1.0, rounds: int = 300,
+    least_docs: int = 5, least_z: float = 3.0, l2: float = 3e-4, swap_penalty: float = 1.0, rounds: int = 300,
 ) -> ToxicModel:
     """Fit on word ids by document. Words in under ``least_docs`` documents, or whose share among toxic ones
     is within ``least_z`` standard errors of that among the others, are left out; identity terms stay."""
@@ -112,9 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: tup
     rows = (
         docs.select("doc_id", raw_text().alias("_raw"))
         .join(F.broadcast(known), "doc_id")  # bounded by 2 * most_rows ids
-        .limit(4 * most_rows)  # repeated ids only
         .select("_y", "_raw")
         .mapInPandas(extract, "_y int, ids binary, swapped binary")
+        .limit(4 * most_rows)  # reached only if ids are repeated
         .toPandas()
     )
     of = lambda x: None if x is None else np.frombuffer(x, np.uint64)
