@@ -5,16 +5,15 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor k
 but the last keep the columns of ``documents``.
 
 Nulls, empty texts and repeated rows: the quality classifier scores a null or empty text as one without
-words; the quality rules drop it (under 50 words). Of rows of one near-duplicate group the one whose doc_id
-is the group's smallest stays, once; rows without doc_id stay only if no member of their group has an id, one of
-them. An empty table gives an empty result.
+words; the quality rules drop it (under 50 words). Of the rows of a near-duplicate group that with the smallest
+doc_id stays; rows without doc_id come last in their group. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import decontam, line_rules, packing, quality_rank, simhash
@@ -34,25 +33,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (op6's fingerprints and links).
-
-    Only the names of groups go through a shuffle beside the rows that stay: a group's row is the one whose
-    doc_id names it, so no group is gathered.
-    """
-    named = simhash.near_duplicates(docs).groupBy("component_id", "fp").agg(F.min("doc_id").alias("least"))
-    keep = named.filter(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("fp"))
-    # Rows of one id (a table may repeat them) are told apart by their text; the first of each stays.
-    first = Window.partitionBy("doc_id").orderBy("_fp", "_hash")
-    known = docs.join(keep.select(F.col("component_id").alias("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    ranked = known.withColumns({"_fp": F.length("text"), "_hash": F.xxhash64("text")}).withColumn("_row", F.row_number().over(first))
-    return ranked.filter("_row = 1").select(*docs.columns)
+    """One document of each group of near duplicates, that with the smallest doc_id (op6's fingerprints and links)."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item (op10)."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
