@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import bounded_sample, crc_fold, plain_words, raw_text
+from tidegrid.llm.common import bounded_sample, crc_fold, plain_words, raw_text, staged
 
 #: Terms that name a group, by kind; a swap takes the next one of the same kind.
 IDENTITY_TERMS = (
@@ -30,6 +30,8 @@ SWAP = {a.encode(): kind[(i + 1) % len(kind)].encode() for kind in IDENTITY_TERM
 
 #: Bytes of the beginnings of words; each length has a hash seed of its own, whole words have 0.
 STEMS = range(4, 9)
+#: Words in fewer documents, or with a share of toxic ones within so many standard errors of the mean, are left out.
+LEAST_DOCS, LEAST_Z = 5, 3.0
 
 
 def word_ids(words: set[bytes]) -> np.ndarray:
@@ -54,7 +56,7 @@ class ToxicModel:
 
 def fit(
     rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray,
-    least_docs: int = 5, least_z: float = 3.0, l2: float = 3e-4, swap_penalty: float = 1.0, rounds: int = 300,
+    least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z, l2: float = 3e-4, swap_penalty: float = 1.0, rounds: int = 300,
 ) -> ToxicModel:
     """Fit on word ids by document. Words in under ``least_docs`` documents, or whose share among toxic ones
     is within ``least_z`` standard errors of that among the others, are left out; identity terms stay."""
@@ -114,20 +116,34 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: tup
             for y, raw in zip(b["_y"], b["_raw"]):
                 words = set(plain_words(raw))
                 named = words & SWAP.keys()
-                other = word_ids((words - named) | {SWAP[w] for w in named}).tobytes() if named else None
-                out.append((y, word_ids(words).tobytes(), other))
+                other = word_ids((words - named) | {SWAP[w] for w in named}).view(np.int64) if named else None
+                out.append((y, word_ids(words).view(np.int64), other))
             yield pd.DataFrame(out, columns=["_y", "ids", "swapped"])
 
-    rows = (
+    rows = staged(
         docs.select("doc_id", raw_text().alias("_raw"))
         .join(F.broadcast(known), "doc_id")  # bounded by 2 * most_rows ids
         .select("_y", "_raw")
-        .mapInPandas(extract, "_y int, ids binary, swapped binary")
-        .limit(4 * most_rows)  # reached only if ids are repeated
-        .toPandas()
+        .mapInPandas(extract, "_y int, ids array<long>, swapped array<long>")
+        .limit(4 * most_rows),  # reached only if ids are repeated
+        "toxic-words",
     )
+    # Screened by Spark: what the driver gets are the words that tell something, and each text's share of them.
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
+    share = toxic / max(n, 1)
+    counts = rows.select("_y", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("df"), F.sum("_y").alias("pos"))
+    far = F.abs(F.col("pos") - F.col("df") * share) >= LEAST_Z * F.sqrt(F.col("df") * share * (1 - share))
+    kept = counts.filter((F.col("df") >= LEAST_DOCS) & far).select("id").toPandas()["id"].to_numpy(np.int64)
+    kept = np.unique(np.concatenate([kept, word_ids({*SWAP}).view(np.int64)]))
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = lambda ids: None if ids is None else np.intersect1d(ids, kept).tobytes()
+        for b in batches:
+            yield pd.DataFrame({"_y": b["_y"], "ids": b["ids"].map(own), "swapped": [own(x) for x in b["swapped"]]})
+
+    got = rows.mapInPandas(reduce, "_y int, ids binary, swapped binary").toPandas()
     of = lambda x: None if x is None else np.frombuffer(x, np.uint64)
-    return fit([of(x) for x in rows["ids"]], [of(x) for x in rows["swapped"]], rows["_y"].to_numpy(float))
+    return fit([of(x) for x in got["ids"]], [of(x) for x in got["swapped"]], got["_y"].to_numpy(float))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
