@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -172,10 +173,10 @@ def places_by_length(kinds: list[tuple[int, list[tuple[int, int]]]]) -> dict[int
 def ranked(pieces: DataFrame, rows: int) -> tuple[DataFrame, dict[int, int]]:
     """The pieces with ``_rank`` (from 0 within their length), and the counts by length.
 
-    A bucket of a length holds a bounded number of rows however many share the length; the first rank of each
-    bucket is a running sum over the counts by bucket.
+    There are as many buckets of a length as the root of the rows, so that neither the rows of a bucket nor the
+    running sum over a length's buckets, which gives each bucket's first rank, grows with the rows themselves.
     """
-    buckets = max(1, rows // 20_000)
+    buckets = max(1, math.isqrt(rows))
     bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
