@@ -30,27 +30,39 @@ def skill(counts: DataFrame, floor_one: bool = False) -> DataFrame:
     return own.withColumn("f1", f1)
 
 
-def _by_score(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counts for each distinct score: what the windows below run over."""
-    return scored.groupBy(*by, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n"))
+#: Parts of 0..1 that running sums over scores are dealt to.
+PARTS = 1024
+
+
+def _by_score(scored: DataFrame, by: Sequence[str], rising: bool) -> DataFrame:
+    """pos and n of each distinct score, with the counts up to it (``cum_pos``, ``cum_n``), in rising or falling order.
+
+    Scores are dealt to parts of their range; a running sum over the parts' totals, a small table, gives what lies
+    before each part, and a window within the part the rest, so that no task holds all scores.
+    """
+    part = F.least(F.greatest(F.floor(F.col("p") * PARTS), F.lit(0)), F.lit(PARTS)).cast("int")
+    own = scored.groupBy(*by, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("_part", part)
+    order = (lambda c: F.asc(c)) if rising else (lambda c: F.desc(c))
+    before = Window.partitionBy(*by).orderBy(order("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = own.groupBy(*by, "_part").agg(F.sum("pos").alias("_sp"), F.sum("n").alias("_sn"))
+    totals = totals.select(*by, "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in ("_sp", "_sn")])
+    within = Window.partitionBy(*by, "_part").orderBy(order("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = own.withColumns({"_wp": F.sum("pos").over(within), "_wn": F.sum("n").over(within)}).join(totals, [*by, "_part"])
+    return own.select(*by, "p", "pos", "n", (F.col("_wp") + F.col("_b_sp")).alias("cum_pos"), (F.col("_wn") + F.col("_b_sn")).alias("cum_n"))
 
 
 def auroc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by mid-ranks of the distinct scores; 0.5 if there is one class."""
-    own = _by_score(scored, by)
-    w = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rank = F.sum("n").over(w) - (F.col("n") - 1) / 2
-    sums = own.withColumn("_r", rank * F.col("pos")).groupBy(*by).agg(F.sum("_r").alias("_rs"), F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
+    rank = F.col("cum_n") - (F.col("n") - 1) / 2
+    sums = _by_score(scored, by, True).withColumn("_r", rank * F.col("pos")).groupBy(*by).agg(F.sum("_r").alias("_rs"), F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
     p, q = F.col("_p").cast("double"), (F.col("_n") - F.col("_p")).cast("double")
     return sums.select(*by, F.when((p > 0) & (q > 0), (F.col("_rs") - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0.0))).otherwise(0.5).alias("auroc"))
 
 
 def average_precision(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum of precision times the step in recall over the distinct scores; the mean label if there is one class."""
-    own = _by_score(scored, by)
-    w = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = own.withColumns({"_cp": F.sum("pos").over(w).cast("double"), "_cn": F.sum("n").over(w).cast("double")})
-    sums = own.groupBy(*by).agg(F.sum(F.col("pos").cast("double") * F.col("_cp") / F.col("_cn")).alias("_s"), F.sum("pos").cast("double").alias("_p"), F.sum("n").cast("double").alias("_n"))
+    term = F.col("pos").cast("double") * F.col("cum_pos").cast("double") / F.col("cum_n").cast("double")
+    sums = _by_score(scored, by, False).groupBy(*by).agg(F.sum(term).alias("_s"), F.sum("pos").cast("double").alias("_p"), F.sum("n").cast("double").alias("_n"))
     both = (F.col("_p") > 0) & (F.col("_p") < F.col("_n"))
     return sums.select(*by, F.when(both, F.col("_s") / F.nullif(F.col("_p"), F.lit(0.0))).otherwise(F.col("_p") / F.col("_n")).alias("ap"))
 

@@ -32,11 +32,15 @@ def k_nearest(points: DataFrame, others: DataFrame, k: int, size: float, skip_se
 
     A cell's side is doubled for the points whose k-th neighbour isn't proven yet: a neighbour nearer than the
     cell's side can't be outside the nine cells. Few rounds are needed if ``size`` is about the distance of the
-    k-th neighbour. Fewer than k others: all of them.
+    k-th neighbour. Fewer than k others: all of them. Of others at one and the same place only the k + 1 with the smallest
+    ids can be among the nearest, so a place that very many share makes no more pairs than that for each point.
     """
+    others = others.select("id", "x", "y")
     total = others.count()
     least = min(k, max(0, total - (1 if skip_self else 0)))
     order = Window.partitionBy("id").orderBy("dist", "other")
+    same = Window.partitionBy("x", "y").orderBy("id")
+    others = others.withColumn("_s", F.row_number().over(same)).filter(F.col("_s") <= k + 1).drop("_s")
     found, rest = None, points.select("id", "x", "y")
     span = others.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
     reach = points.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
