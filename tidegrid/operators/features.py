@@ -13,7 +13,7 @@ from tidegrid.operators.scale import min_max
 #: Area of a grid cell of about 150 m, in square kilometres.
 CELL_KM2 = 0.0225
 FEATURES = (
-    "elev", "slope", "twi", "log_flow", "log_catchment", "drain", "drain_dist", "coast_dist", "river", "ndvi", "ndwi", "ndbi", "impervious", "sar_vv", "lat01", "lon01",
+    "elev", "slope", "twi", "log_flow", "log_catchment", "ndvi", "ndwi", "ndbi", "impervious", "sar_vv", "drain", "drain_dist", "coast", "river", "lat_n", "lon_n",
 )
 
 
@@ -168,3 +168,36 @@ def scenario_rain(nodes: DataFrame, scenario: DataFrame, rain_norm: float) -> Da
         return F.array(*[clip(F.when(F.lit(h) <= F.col("duration"), wet).otherwise(before) / norm, 0.0, 2.0) for h in hours])
 
     return own.withColumns({"short": window(range(6, 0, -1), F.lit(0.0)), "long": window(range(24, 0, -2), F.col("antecedent") / 24 * F.col("weight"))})
+
+
+def assemble(nodes: DataFrame, edges: DataFrame, rivers: DataFrame, coast: tuple[float, float], cell: float) -> DataFrame:
+    """node_id and the 16 ``FEATURES`` of nodes (node_id, lat, lon, x, y, elev), all but the shares as z-scores.
+
+    ``cell`` is about the distance of the eighth neighbour in x and y. Null samples of a band become its median.
+    """
+    from tidegrid.functions import spectral
+    from tidegrid.operators import graph, spatial
+    from tidegrid.operators.scale import median_impute, z_score
+
+    own = min_max(nodes, ["x", "y", "elev"], "_01")
+    p = own.select(F.col("node_id").alias("id"), "x", "y", "elev")
+    ground = terrain(spatial.neighbour_slope(spatial.k_nearest(p, p, 8, cell), p).join(p.select("id", "elev"), "id")).withColumnRenamed("id", "node_id")
+    own = own.join(ground.select("node_id", "slope", "twi", "log_flow", "log_catchment"), "node_id")
+    own = own.withColumns(synthetic_bands(F.col("x_01"), F.col("y_01"), F.col("elev"), F.col("elev_01")))
+    green, red, nir, swir = (F.col(c) for c in ("green", "red", "nir", "swir"))
+    own = own.withColumns({"ndvi": spectral.ndvi(nir, red), "ndwi": spectral.ndwi(green, nir), "ndbi": spectral.ndbi(swir, nir)})
+    own = median_impute(own, ["ndvi", "ndwi", "ndbi"])
+    own = own.withColumns({"impervious": spectral.imperviousness(F.col("ndbi"), F.col("ndvi")), "sar_vv": synthetic_radar(F.col("ndwi"), F.col("elev_01"))})
+    own = graph.drain_capacity(own, edges)
+    drains = edges.filter("edge_type > 0.5").select(F.col("u").alias("node_id")).distinct()
+    at = lambda d: d.select(F.col("node_id").alias("id"), F.radians("lon").alias("x"), F.radians("lat").alias("y"))
+    near = spatial.k_nearest(at(own), at(own.join(drains, "node_id", "left_semi")), 1, 1e-4, skip_self=False)
+    dist = near.select(F.col("id").alias("node_id"), clip(F.col("dist") * 6_371_000.0 / 2000, 0.0, 1.0).alias("drain_dist"))
+    own = own.join(dist, "node_id", "left").withColumn("drain_dist", F.coalesce("drain_dist", F.lit(1.0)))
+    river = spatial.river_proximity(own.select("node_id", "lat", "lon"), rivers).select("node_id", "river")
+    own = own.join(river, "node_id").withColumn("coast", spatial.coast_distance(F.col("lat"), F.col("lon"), *coast))
+    shares = {"ndvi", "ndwi", "ndbi", "impervious", "drain", "drain_dist", "coast", "river"}
+    own = own.withColumns({"lat_n": F.col("lat"), "lon_n": F.col("lon")})
+    scaled = [c for c in FEATURES if c not in shares]
+    found = z_score(own, scaled, constant_to_zero=True)
+    return found.select("node_id", *[F.col(f"{c}_z").alias(c) if c in scaled else F.col(c) for c in FEATURES])

@@ -65,3 +65,23 @@ def display(nodes: DataFrame, p: str = "p_mean") -> DataFrame:
 def paired_change(scenario: DataFrame, history: DataFrame, p: str = "p") -> DataFrame:
     """Scenario less history, by node."""
     return scenario.select("node_id", F.col(p).alias("p_scenario")).join(history.select("node_id", F.col(p).alias("p_history")), "node_id").withColumn("change", F.col("p_scenario") - F.col("p_history"))
+
+
+def spread_over(steps: DataFrame, start: int, hours: int, spread: str = "std") -> DataFrame:
+    """One row: mean and maximum of the spread over a window of steps."""
+    return steps.filter(F.col("t").between(start, start + hours - 1)).agg(F.avg(spread).alias("mean_spread"), F.max(spread).alias("max_spread"))
+
+
+def flood_report(nodes: DataFrame, threshold: float = 0.5, p: str = "p_mean") -> DataFrame:
+    """One row: nodes, flooded or not, and by band of risk, with mean and maximum."""
+    c = F.col(p)
+    return nodes.agg(
+        F.count("*").alias("total"), F.count_if(c >= threshold).alias("flooded"), F.count_if(c < threshold).alias("not_flooded"), F.count_if(c >= 0.8).alias("high_risk"),
+        F.count_if((c >= 0.5) & (c < 0.8)).alias("medium_risk"), F.count_if((c >= 0.3) & (c < 0.5)).alias("low_risk"), F.count_if(c < 0.3).alias("no_risk"), F.avg(p).alias("mean"), F.max(p).alias("max"),
+    )
+
+
+def usable(history: DataFrame, least_f1: float = 0.05) -> bool:
+    """Whether a training's best F1 reaches the least that a checkpoint must have."""
+    best = history.agg(F.max("val_f1")).first()[0]
+    return best is not None and best >= least_f1

@@ -160,3 +160,17 @@ def neighbour_slope(pairs: DataFrame, elevation: DataFrame, none: float = 0.5) -
         F.degrees(F.atan(F.max(dz) / F.nullif(F.avg("dist"), F.lit(0.0)))).alias("slope_mean_dist"),
     )
     return elevation.select("id").join(found, "id", "left").withColumns({"slope": F.coalesce("slope", F.lit(none)), "uphill": F.coalesce("uphill", F.lit(0)), "slope_mean_dist": F.coalesce("slope_mean_dist", F.lit(none))})
+
+
+def idw_by_hour(points: DataFrame, stations: DataFrame, readings: DataFrame, power: float = 2.0, floor: float = 1e-10) -> DataFrame:
+    """id, t and the inverse-distance mean of each hour's readings (station, t, value) at each point.
+
+    Weights depend on point and station alone: they are made once, on a small table of stations (station, s_x, s_y),
+    and joined with the readings; no loop over hours. Hours without readings have no rows.
+    """
+    n = stations.count()
+    if n > BROADCAST_ROWS:
+        raise ValueError(f"{n} stations: use idw_nearest by hour")
+    d = F.greatest(F.sqrt(F.pow(F.col("x") - F.col("s_x"), 2) + F.pow(F.col("y") - F.col("s_y"), 2)), F.lit(floor))
+    weights = points.select("id", "x", "y").join(F.broadcast(stations)).select("id", "station", (F.lit(1.0) / F.pow(d, F.lit(power))).alias("_w"))
+    return weights.join(readings, "station").groupBy("id", "t").agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import maths, spectral
 from tidegrid.operators import features, scale, series, spatial
-from tidegrid.plans.common import GRID, grid_nodes, settled, table
+from tidegrid.plans.common import GRID, grid_edges, grid_nodes, settled, table
 from tidegrid.sources import tables
 
 
@@ -141,11 +141,37 @@ def window_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def static_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 16 features of the grid's nodes (no SQL: its parts have theirs)."""
+    nodes = grid_nodes(spark, sf_dir)
+    own = nodes.select("node_id", "lat", "lon", (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"), "elev")
+    rivers = spark.createDataFrame(tables.RIVERS, "r_lat double, r_lon double")
+    return features.assemble(own, grid_edges(spark, sf_dir, nodes), rivers, tables.COAST, 2.0)
+
+
+def idw_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly sums by event type as five gauges, at 20 points."""
+    own = table(spark, sf_dir, "events").select(F.hour("ts").alias("t"), (F.col("event_id") % 5).alias("station"), "value")
+    readings = own.groupBy("station", "t").agg(F.round(F.sum("value"), 4).alias("value"))
+    stations = spark.range(5).select(F.col("id").alias("station"), (F.col("id") * 2.0).alias("s_x"), (F.col("id") * F.col("id") % 5 * 1.0).alias("s_y"))
+    points = spark.range(20).select("id", (F.col("id") % 7 + 0.25).alias("x"), (F.col("id") % 3 + 0.5).alias("y"))
+    return spatial.idw_by_hour(points, stations, readings).select("id", "t", settled(F.col("value")).alias("value"))
+
+
+def tiles_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as overlapping tiles of a raster."""
+    own = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tile"), (F.col("l_partkey") % 50).cast("int").alias("row"), (F.col("l_suppkey") % 50).cast("int").alias("col"),
+        tables.valid_elevation(F.when(F.col("l_quantity") < 5, F.lit(-9999.0)).otherwise(F.col("l_quantity"))).alias("value"),
+    )
+    return tables.merge_tiles(own)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         minmax, zscore, scale_on_train, median_impute, static_defaults, elevation_fallback, synthetic_elevation, spectral_indices, safe_ratios, terrain, node_thresholds, haversine_pairs,
-        utm_coordinates, gauge_grid, scenario_rain, event_union, pivot_mean_reindex, window_between,
+        utm_coordinates, gauge_grid, static_features, idw_hourly, tiles_first_wins, scenario_rain, event_union, pivot_mean_reindex, window_between,
     )
 }
 
@@ -194,6 +220,12 @@ ORACLES = {
         w AS (SELECT node_id, sc.*, CASE p WHEN 'south_biased' THEN 1 + 0.35::DOUBLE * (1 - y) + 0.10::DOUBLE * (1 - x) WHEN 'north_biased' THEN 1 + 0.30::DOUBLE * y ELSE 1 END AS w FROM xy, sc)
         SELECT node_id, name, round(list_sum([CASE WHEN h <= d THEN least(i * w / 5, 2) ELSE 0 END FOR h IN range(1, 7)]) + 1e-9, 6) AS short,
             round(list_sum([least(CASE WHEN h <= d THEN i * w ELSE a / 24 * w END / 5, 2) FOR h IN range(2, 25, 2)]) + 1e-9, 6) AS long, round(w + 1e-9, 6) AS weight FROM w""",
+    "idw_hourly": """WITH rd AS (SELECT event_id % 5 AS station, CAST(hour(ts) AS INTEGER) AS t, round(sum(value), 4) AS value FROM events GROUP BY ALL),
+        st AS (SELECT i AS station, i * 2.0::DOUBLE AS s_x, i * i % 5 * 1.0::DOUBLE AS s_y FROM range(5) AS r(i)), p AS (SELECT i AS id, i % 7 + 0.25::DOUBLE AS x, i % 3 + 0.5::DOUBLE AS y FROM range(20) AS r(i)),
+        w AS (SELECT id, station, 1 / pow(greatest(sqrt(pow(x - s_x, 2) + pow(y - s_y, 2)), 1e-10), 2) AS w FROM p, st)
+        SELECT id, t, round(sum(w * value) / sum(w) + 1e-9, 6) AS value FROM w JOIN rd ON rd.station = w.station GROUP BY ALL""",
+    "tiles_first_wins": """WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS tile, CAST(l_partkey % 50 AS INTEGER) AS row, CAST(l_suppkey % 50 AS INTEGER) AS col, l_quantity AS value FROM lineitem WHERE l_quantity >= 5)
+        SELECT row, col, arg_min(value, tile) AS value FROM x GROUP BY ALL""",
     "event_union": f"""WITH a AS (SELECT c_custkey AS k, CASE WHEN k % 3 = 0 THEN 'INDIA' WHEN k % 3 = 1 THEN 'Sri Lanka, india' END AS country, CASE WHEN k % 5 = 0 THEN 'unknown' ELSE '20' || lpad(CAST(k % 20 AS VARCHAR), 2, '0') || '-07-01' END AS began,
             12.0::DOUBLE + k % 20 * 0.1::DOUBLE AS lat, 79.5::DOUBLE + k % 13 * 0.1::DOUBLE AS lon, CASE WHEN k % 4 <> 0 THEN 1 ELSE 1 END AS severity FROM customer)
         SELECT * FROM (VALUES {', '.join(f"('{n}', '{b}', '{e}', {s}, {la}::DOUBLE, {lo}::DOUBLE, {p}::DOUBLE)" for n, b, e, s, la, lo, p in tables.KNOWN_EVENTS)}) AS x(name, began, ended, severity, lat, lon, peak_mm_day)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.risk import risk_band, risk_level
-from tidegrid.operators import metrics, report
-from tidegrid.plans.common import GRID, SCORED, STATES, grid_nodes, risk, scored, settled, states
+from tidegrid.operators import gnn, metrics, report, series
+from tidegrid.plans.common import GRID, RAIN, SCORED, STATES, grid_nodes, rain, risk, scored, settled, states
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -145,11 +145,48 @@ def metric_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.skill(parts))
 
 
+def flood_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(report.flood_report(_rounded(risk(spark, sf_dir)), 0.1))
+
+
+def spread_peak_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviation over users of each hour's states, over twelve hours."""
+    steps = states(spark, sf_dir).groupBy("t").agg(F.round(F.stddev_samp("p"), 9).alias("std"))
+    return _rounded(report.spread_over(steps, 100, 12))
+
+
+def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, p, y: rain over 300 in the next hour, by the last hour's rain and by the mean of six and of 24 hours."""
+    own = series.leads(rain(spark, sf_dir).withColumn("y", (F.col("rain") > 300).cast("int")), "y", (1,))
+    own = series.valid_steps(series.trailing_mean(series.trailing_mean(own, 6, "m6"), 24, "m24"))
+    p = lambda c, top: F.round(F.least(F.col(c) / top, F.lit(1.0)), 6).alias("p")
+    kinds = (("persistence", p("rain", 500.0)), ("mean_6h", p("m6", 200.0)), ("mean_24h", p("m24", 100.0)))
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), c) for m, c in kinds])).alias("m")
+    return own.select(F.col("y_1").alias("y"), rows).select("m.model", "m.p", "y")
+
+
+def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of skill for each baseline."""
+    own = _baselines(spark, sf_dir)
+    return _rounded(metrics.skill(metrics.confusion(own, ["model"])).join(metrics.auroc(own, ["model"]), "model"))
+
+
+def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skill of a balanced random forest on window means (no SQL: the trees are MLlib's own)."""
+    own = series.leads(rain(spark, sf_dir).withColumn("y", (F.col("rain") > 300).cast("int")), "y", (1,))
+    own = series.valid_steps(series.trailing_mean(series.trailing_mean(own, 6, "m6"), 24, "m24"))
+    n = own.agg(F.max("t").alias("last")).first()["last"] or 0
+    cut = int(24 + (n - 24) * 0.85)
+    found = gnn.random_forest(own.filter(F.col("t") < cut), own.filter(F.col("t") >= cut), ["rain", "m6", "m24"], "y_1", trees=20, depth=6)
+    scores = found.select("p", F.col("y_1").alias("y"))
+    return metrics.skill(metrics.confusion(scores)).join(metrics.auroc(scores))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         confusion, confusion_floor_one, auroc, avg_precision, ece, reliability, histogram20, tversky, tversky_weighted, weighted_bce, focal, readiness, best_baseline, node_mean_max, peak_step,
-        merged_batches, risk_bands, risk_counts, category_counts, prediction_summary, top20_nodes, high_risk_top10, alert_kpi, display_table, scenario_change, rate_by_split, metric_state,
+        merged_batches, risk_bands, risk_counts, category_counts, prediction_summary, top20_nodes, high_risk_top10, alert_kpi, display_table, scenario_change, rate_by_split, metric_state, flood_report, spread_peak_window, baseline_table, forest_baseline,
     )
 }
 
@@ -204,4 +241,14 @@ ORACLES = {
     "rate_by_split": f"""WITH {SCORED}, s AS (SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS split, y FROM scored) SELECT split, round(avg(y) + 1e-9, 6) AS rate, count(*) AS n FROM s GROUP BY 1
         UNION ALL SELECT 'all', round(avg(y) + 1e-9, 6), count(*) FROM s""",
     "metric_state": f"WITH {SCORED}, {_CM_ALL}, {_SK} SELECT tp, fp, fn, tn, {_R('precision', 'recall', 'far', 'csi', 'f1')} FROM f",
+    "flood_report": f"""{_RISK} SELECT count(*) AS total, count(*) FILTER (WHERE p_mean >= 0.1) AS flooded, count(*) FILTER (WHERE p_mean < 0.1) AS not_flooded, count(*) FILTER (WHERE p_mean >= 0.8) AS high_risk,
+        count(*) FILTER (WHERE p_mean >= 0.5 AND p_mean < 0.8) AS medium_risk, count(*) FILTER (WHERE p_mean >= 0.3 AND p_mean < 0.5) AS low_risk, count(*) FILTER (WHERE p_mean < 0.3) AS no_risk,
+        round(avg(p_mean) + 1e-9, 6) AS mean, round(max(p_mean) + 1e-9, 6) AS max FROM k""",
+    "spread_peak_window": f"WITH {STATES}, sd AS (SELECT t, round(stddev_samp(p), 9) AS std FROM p GROUP BY t) SELECT round(avg(std) + 1e-9, 6) AS mean_spread, round(max(std) + 1e-9, 6) AS max_spread FROM sd WHERE t BETWEEN 100 AND 111",
+    "baseline_table": f"""WITH {RAIN}, w AS (SELECT node_id, t, rain, CASE WHEN lead(rain) OVER (PARTITION BY node_id ORDER BY t) > 300 THEN 1 ELSE 0 END AS y,
+            avg(rain) OVER (PARTITION BY node_id ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS m6, avg(rain) OVER (PARTITION BY node_id ORDER BY t ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS m24 FROM rain),
+        v AS (SELECT w.* FROM w, b WHERE t >= 24 AND t < last + 1 - 12),
+        scored AS (SELECT 'persistence' AS model, round(least(rain / 500, 1), 6) AS p, y FROM v UNION ALL SELECT 'mean_6h', round(least(m6 / 200, 1), 6), y FROM v UNION ALL SELECT 'mean_24h', round(least(m24 / 100, 1), 6), y FROM v),
+        {_CM.format(by="model,", group="GROUP BY model")}, {_SK}, a AS ({_AUC.format(by='model,', part='PARTITION BY model', part2='PARTITION BY model,').replace('GROUP BY ALL', 'GROUP BY model, np, n')})
+        SELECT f.model, tp, fp, fn, tn, {_R('brier', 'precision', 'recall', 'far', 'csi', 'f1', 'auroc')} FROM f JOIN a ON a.model = f.model""",
 }

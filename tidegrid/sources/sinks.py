@@ -20,6 +20,15 @@ def cached(spark: SparkSession, path: str, version: str, make: Callable[[], Data
         return spark.read.schema(df.schema).parquet(at)
 
 
+def purge(path: str) -> None:
+    """Delete a cache with all its versions; nothing happens if it isn't there."""
+    from pyarrow import fs
+
+    files, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    if files.get_file_info(at).type != fs.FileType.NotFound:
+        files.delete_dir(at)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
