@@ -34,6 +34,14 @@ def raw_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand texts to Python workers by so many rows at most: what a worker and its buffers hold is bounded by the rows, whose
+    texts may be long. A smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     """k1 and k2: 96 bits of hashes of id and text that name a row. They are never null, and only equal rows share them."""
     return F.xxhash64(id_col, text_col).alias("k1"), F.hash(text_col, id_col).alias("k2")

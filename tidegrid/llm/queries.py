@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import decontam, langid, licenses, line_rules, packing, quality_rank, simhash, suffix_lm, toxicity, warc
-from tidegrid.llm.common import crc_fold
+from tidegrid.llm.common import bound_batches, crc_fold
 from tidegrid.session import ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -14,6 +14,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
