@@ -170,10 +170,10 @@ def scenario_rain(nodes: DataFrame, scenario: DataFrame, rain_norm: float) -> Da
     return own.withColumns({"short": window(range(6, 0, -1), F.lit(0.0)), "long": window(range(24, 0, -2), F.col("antecedent") / 24 * F.col("weight"))})
 
 
-def assemble(nodes: DataFrame, edges: DataFrame, rivers: DataFrame, coast: tuple[float, float], cell: float) -> DataFrame:
+def assemble(nodes: DataFrame, edges: DataFrame, rivers: DataFrame, coast: tuple[float, float]) -> DataFrame:
     """node_id and the 16 ``FEATURES`` of nodes (node_id, lat, lon, x, y, elev), all but the shares as z-scores.
 
-    ``cell`` is about the distance of the eighth neighbour in x and y. Null samples of a band become its median.
+    Null samples of a band become its median.
     """
     from tidegrid.functions import spectral
     from tidegrid.operators import graph, spatial
@@ -181,7 +181,7 @@ def assemble(nodes: DataFrame, edges: DataFrame, rivers: DataFrame, coast: tuple
 
     own = min_max(nodes, ["x", "y", "elev"], "_01")
     p = own.select(F.col("node_id").alias("id"), "x", "y", "elev")
-    ground = terrain(spatial.neighbour_slope(spatial.k_nearest(p, p, 8, cell), p).join(p.select("id", "elev"), "id")).withColumnRenamed("id", "node_id")
+    ground = terrain(spatial.neighbour_slope(spatial.k_nearest(p, p, 8), p).join(p.select("id", "elev"), "id")).withColumnRenamed("id", "node_id")
     own = own.join(ground.select("node_id", "slope", "twi", "log_flow", "log_catchment"), "node_id")
     own = own.withColumns(synthetic_bands(F.col("x_01"), F.col("y_01"), F.col("elev"), F.col("elev_01")))
     green, red, nir, swir = (F.col(c) for c in ("green", "red", "nir", "swir"))
@@ -191,7 +191,7 @@ def assemble(nodes: DataFrame, edges: DataFrame, rivers: DataFrame, coast: tuple
     own = graph.drain_capacity(own, edges)
     drains = edges.filter("edge_type > 0.5").select(F.col("u").alias("node_id")).distinct()
     at = lambda d: d.select(F.col("node_id").alias("id"), F.radians("lon").alias("x"), F.radians("lat").alias("y"))
-    near = spatial.k_nearest(at(own), at(own.join(drains, "node_id", "left_semi")), 1, 1e-4, skip_self=False)
+    near = spatial.k_nearest(at(own), at(own.join(drains, "node_id", "left_semi")), 1, skip_self=False)
     dist = near.select(F.col("id").alias("node_id"), clip(F.col("dist") * 6_371_000.0 / 2000, 0.0, 1.0).alias("drain_dist"))
     own = own.join(dist, "node_id", "left").withColumn("drain_dist", F.coalesce("drain_dist", F.lit(1.0)))
     river = spatial.river_proximity(own.select("node_id", "lat", "lon"), rivers).select("node_id", "river")

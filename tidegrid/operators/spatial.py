@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.maths import clip, haversine
+from tidegrid.operators.graph import written
 
 #: Rows up to which a side (rivers, stations, drains of one map) is broadcast; more of them are found through cells.
 BROADCAST_ROWS = 10_000
@@ -27,42 +28,45 @@ def _ring(points: DataFrame, size: float) -> DataFrame:
     return own.withColumns({"_cx": cell(F.col("x"), size) + F.col("_dx"), "_cy": cell(F.col("y"), size) + F.col("_dy")}).drop("_dx", "_dy")
 
 
-def k_nearest(points: DataFrame, others: DataFrame, k: int, size: float, skip_self: bool = True, most_rounds: int = 40) -> DataFrame:
+def k_nearest(points: DataFrame, others: DataFrame, k: int, size: float | None = None, skip_self: bool = True, most_rounds: int = 60) -> DataFrame:
     """id, other, dist and rank of the k nearest ``others`` of each point; both have id, x and y.
 
-    A cell's side is doubled for the points whose k-th neighbour isn't proven yet: a neighbour nearer than the
-    cell's side can't be outside the nine cells. Few rounds are needed if ``size`` is about the distance of the
-    k-th neighbour. Fewer than k others: all of them. Of others at one and the same place only the k + 1 with the smallest
-    ids can be among the nearest, so a place that very many share makes no more pairs than that for each point.
+    A neighbour nearer than a cell's side can't be outside the nine cells around a point. Points whose k-th neighbour
+    isn't proven so go on with cells twice as wide; each round is written to the shared folder. ``size`` is the first
+    side, by default that of a cell with k + 1 others at even density. Fewer than k others: all of them. Of
+    others at one and the same place only the k + 1 with the smallest ids can be among the nearest, so a place that
+    very many share makes no more pairs than that for each point.
     """
     others = others.select("id", "x", "y")
-    total = others.count()
-    least = min(k, max(0, total - (1 if skip_self else 0)))
+    box = [f(F.col(c)) for c in ("x", "y") for f in (F.min, F.max)]
+    n, x0, x1, y0, y1 = others.agg(F.count(F.lit(1)), *box).first()
     order = Window.partitionBy("id").orderBy("dist", "other")
+    if not n:
+        return points.sparkSession.createDataFrame([], f"id {points.schema['id'].dataType.simpleString()}, other {others.schema['id'].dataType.simpleString()}, dist double, rank int")
+    least = min(k, n - (1 if skip_self else 0))
+    p0, p1, q0, q1 = (v if v is not None else 0.0 for v in points.agg(*box).first())
+    span = max(max(x1, p1) - min(x0, p0), max(y1, q1) - min(y0, q0), 1e-9)
+    if size is None:
+        size = max(((x1 - x0) * (y1 - y0) * (k + 1) / n) ** 0.5, span * 1e-6)
     same = Window.partitionBy("x", "y").orderBy("id")
     others = others.withColumn("_s", F.row_number().over(same)).filter(F.col("_s") <= k + 1).drop("_s")
-    found, rest = None, points.select("id", "x", "y")
-    span = others.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
-    reach = points.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
-    span = max(span, 1e-9) + sum(abs(v or 0.0) for v in reach)
+    found, rest, whole = None, points.select("id", "x", "y"), Window.partitionBy("id")
     for _ in range(most_rounds):
-        last = size > 2 * span
+        last = size > span
         near = others.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell(F.col("x"), size).alias("_cx"), cell(F.col("y"), size).alias("_cy"))
         pairs = _ring(rest, size).join(near, ["_cx", "_cy"])
         if skip_self:
             pairs = pairs.filter(F.col("id") != F.col("other"))
         dist = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
         ranked = pairs.select("id", "other", dist.alias("dist")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        proven = ranked.withColumns({"_n": F.count("*").over(Window.partitionBy("id")), "_far": F.max("dist").over(Window.partitionBy("id"))})
-        done = proven.filter((F.col("_n") >= least) & ((F.col("_far") < size) | F.lit(last))).select("id", "other", "dist", "rank")
+        proven = ranked.withColumns({"_n": F.count("*").over(whole), "_far": F.max("dist").over(whole)})
+        done = written(proven.filter((F.col("_n") >= least) & ((F.col("_far") < size) | F.lit(last))).select("id", "other", "dist", "rank"), "nearest")
         found = done if found is None else found.unionByName(done)
-        if last:
+        rest = written(rest.join(done.select("id").distinct(), "id", "left_anti"), "nearest-rest")
+        if last or rest.isEmpty():
             return found
-        rest = rest.join(done.select("id").distinct(), "id", "left_anti")
-        if rest.isEmpty():
-            return found
-        size *= 2 if total < 100_000 else 1.5
-    return found
+        size *= 2
+    raise RuntimeError(f"k_nearest: no end after {most_rounds} rounds")
 
 
 def nearest_in_table(points: DataFrame, targets: DataFrame, dist: Column, out: str = "dist") -> DataFrame:
@@ -103,7 +107,7 @@ def idw_all(points: DataFrame, stations: DataFrame, power: float = 2.0, floor: f
     return points.join(F.broadcast(stations)).groupBy(*points.columns).agg((F.sum(w * F.col("s_value")) / F.sum(w)).alias("value"))
 
 
-def idw_nearest(points: DataFrame, value: str, size: float, k: int = 5, floor: float = 1e-10) -> DataFrame:
+def idw_nearest(points: DataFrame, value: str, size: float | None = None, k: int = 5, floor: float = 1e-10) -> DataFrame:
     """Points (id, x, y, value): a null value becomes the inverse-distance mean of the k nearest that have one."""
     known = points.filter(F.col(value).isNotNull())
     near = k_nearest(points.filter(F.col(value).isNull()), known, k, size, skip_self=False)

@@ -79,7 +79,7 @@ def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope and uphill counts of the eight nearest vectors, then wetness and logs."""
     e = lambda k: F.get("embedding", F.lit(k)).cast("double")
     p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), e(0).alias("x"), e(1).alias("y"), (e(2) * 0.02).alias("elev"))
-    own = spatial.neighbour_slope(spatial.k_nearest(p, p, 8, 0.05), p).join(p, "id")
+    own = spatial.neighbour_slope(spatial.k_nearest(p, p, 8), p).join(p, "id")
     found = features.terrain(own)
     flat = spectral.topographic_wetness_flat(F.col("slope"))
     return found.select("id", *[settled(F.col(c)).alias(c) for c in ("slope", "twi", "log_flow", "log_catchment")], settled(flat).alias("twi_flat"))
@@ -146,7 +146,7 @@ def static_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = grid_nodes(spark, sf_dir)
     own = nodes.select("node_id", "lat", "lon", (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"), "elev")
     rivers = spark.createDataFrame(tables.RIVERS, "r_lat double, r_lon double")
-    return features.assemble(own, grid_edges(spark, sf_dir, nodes), rivers, tables.COAST, 2.0)
+    return features.assemble(own, grid_edges(spark, sf_dir, nodes), rivers, tables.COAST)
 
 
 def idw_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

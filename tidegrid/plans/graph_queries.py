@@ -168,12 +168,12 @@ _KNN = f"""{_POINTS},
 
 def knn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
-    return spatial.k_nearest(p, p, 8, 0.05).select("id", "other", settled(F.col("dist")).alias("dist"), "rank")
+    return spatial.k_nearest(p, p, 8).select("id", "other", settled(F.col("dist")).alias("dist"), "rank")
 
 
 def knn_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
-    own = spatial.neighbour_slope(spatial.k_nearest(p, p, 8, 0.05), p)
+    own = spatial.neighbour_slope(spatial.k_nearest(p, p, 8), p)
     return own.select("id", settled(F.col("slope")).alias("slope"), "uphill", settled(F.col("slope_mean_dist")).alias("slope_mean_dist"))
 
 
@@ -182,7 +182,7 @@ def nearest_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = grid_nodes(spark, sf_dir)
     drains = grid_edges(spark, sf_dir, nodes).filter("edge_type > 0.5").select(F.col("u").alias("node_id")).distinct().join(nodes, "node_id")
     p = lambda d: d.select(F.col("node_id").alias("id"), F.radians("lon").alias("x"), F.radians("lat").alias("y"))
-    near = spatial.k_nearest(p(nodes), p(drains), 1, 1e-4, skip_self=False)
+    near = spatial.k_nearest(p(nodes), p(drains), 1, skip_self=False)
     return near.select(F.col("id").alias("node_id"), settled(F.least(F.col("dist") * 6_371_000.0 / 2000, F.lit(1.0))).alias("drain_dist"))
 
 
@@ -209,7 +209,7 @@ def idw_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def idw_k5(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir).withColumn("value", F.when(F.col("id") % 4 != 0, F.col("elev")))
-    return spatial.idw_nearest(p, "value", 0.05).select("id", settled(F.col("value")).alias("value"))
+    return spatial.idw_nearest(p, "value").select("id", settled(F.col("value")).alias("value"))
 
 
 def station_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
