@@ -273,11 +273,17 @@ def test_line_rules_on_odd_rows(odd, odd_rows, empty):
 def test_boilerplate_lines_are_marked(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = line_rules.train(docs)
-    body = "\n".join(f"This is line {k} of a plain text that somebody wrote about the weather and the sea." for k in "abcdefgh")
+    body = """The harbour was quiet in the early morning, before the first boats came in.
+Two men carried baskets along the pier and spoke about the price of salt.
+Nobody had seen the old keeper since the storm broke his lamp last week.
+A dog slept under an upturned hull, and gulls quarrelled over some bread.
+Later that day children gathered near the well to hear how it had ended.
+Their teacher told them only half, since rain began and lessons called.
+By evening most windows glowed, while fog crept slowly over every roof."""
     menu = "\n".join("Home | About | Log in | Help | #tag | **" for _ in range(4))
     rows = {r.doc_id: r for r in line_rules.apply_rules(make(spark, [(1, body), (2, body + "\n" + menu), (3, menu * 3)]), model).collect()}
     assert set(rows[1].line_marks) == {"C"} and rows[1].kept
-    assert rows[2].line_marks.endswith("BBBB") and rows[2].line_marks.startswith("CCCCC") and rows[2].content_share < 1
+    assert rows[2].line_marks.endswith("BBBB") and rows[2].line_marks.startswith("CCCCCC") and rows[2].content_share < 1
     assert not rows[3].kept and rows[3].content_share < 0.5
 
 
