@@ -287,10 +287,10 @@ By evening most windows glowed, while fog crept slowly over every roof."""
     assert not rows[3].kept and rows[3].content_share < 0.5
 
 
-@pytest.mark.parametrize("most", [5, 10_000])
+@pytest.mark.parametrize("most", [400, 10_000])
 def test_bounded_sample(spark, most):
     from tidegrid.llm.common import bounded_sample
 
-    rows = spark.range(2_000).withColumnRenamed("id", "doc_id")
+    rows = spark.range(2_000).selectExpr("id div 1500 doc_id")  # most rows share an id
     got = bounded_sample(rows, ["doc_id"], most).count()
-    assert got == 2_000 if most > 2_000 else got <= 2 * most
+    assert (got == 2_000) if most > 2_000 else abs(got - most) < 5 * most**0.5

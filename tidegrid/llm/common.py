@@ -74,8 +74,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def bounded_sample(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """About ``most`` rows, chosen by a hash of their keys and place; all rows if there are no more.
 
-    Every row is drawn on its own (repeated rows too), so the number stays within a few times its square root
-    of ``most``: twice as many never come. A count and a filter: no partition is gathered.
+    Every row is drawn on its own (repeated rows too), so the number differs from ``most`` by a few times its square
+    root at most. A count and a filter: no partition is gathered.
     """
     total = rows.count()
     if total <= most:

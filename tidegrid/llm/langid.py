@@ -49,7 +49,7 @@ class LangModel:
 
 
 def train(docs: DataFrame, most_rows: int = 40_000, fold: tuple[int, int] | None = None, buckets: int = BUCKETS, smooth: float = 0.1) -> LangModel:
-    """Learn from text and lang of about ``most_rows`` documents (a documented bound, never over twice that)."""
+    """Learn from text and lang of about ``most_rows`` documents (a documented bound; the number differs by a few times its square root)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     if fold:
         known = known.filter(F.coalesce(crc_fold(F.col("doc_id"), fold[0]) != fold[1], F.lit(False)))

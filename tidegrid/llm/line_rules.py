@@ -171,7 +171,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, l2: float =
 
 
 def train(docs: DataFrame, most_rows: int = 1_000) -> LineModel:
-    """Learn from the lines of about ``most_rows`` documents (a documented bound, never over twice that)."""
+    """Learn from the lines of about ``most_rows`` documents (a documented bound; the number differs by a few times its square root)."""
     rows = bounded_sample(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), ["doc_id"], most_rows)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -112,7 +112,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, most_pairs: int = 200_000, l2: float
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, fold: tuple[int, int] | None = None) -> RankModel:
-    """Learn from at most about ``most_rows`` labelled documents (a documented bound, never over twice that).
+    """Learn from about ``most_rows`` labelled documents (a documented bound; the number differs by a few times its square root).
 
     ``fold`` = (folds, held out): rows whose crc32(doc_id) modulo folds is the second are not learned from.
     """
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, fold: tup
 
     rows = (
         docs.select("doc_id", raw_text().alias("_raw"))
-        .join(F.broadcast(known), "doc_id")  # bounded by 2 * most_rows ids
+        .join(F.broadcast(known), "doc_id")  # about most_rows ids
         .select("_y", "_raw")
         .mapInPandas(extract, "_y int, x array<double>")
         .limit(4 * most_rows)  # reached only if ids are repeated

@@ -104,7 +104,7 @@ def fit(
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: tuple[int, int] | None = None) -> ToxicModel:
-    """Learn from at most about ``most_rows`` labelled documents (a documented bound, never over twice that)."""
+    """Learn from about ``most_rows`` labelled documents (a documented bound; the number differs by a few times its square root)."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if fold:
         known = known.filter(crc_fold(F.col("doc_id"), fold[0]) != fold[1])
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: tup
 
     rows = staged(
         docs.select("doc_id", raw_text().alias("_raw"))
-        .join(F.broadcast(known), "doc_id")  # bounded by 2 * most_rows ids
+        .join(F.broadcast(known), "doc_id")  # about most_rows ids
         .select("_y", "_raw")
         .mapInPandas(extract, "_y int, ids array<long>, swapped array<long>")
         .limit(4 * most_rows),  # reached only if ids are repeated
