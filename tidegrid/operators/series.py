@@ -52,14 +52,25 @@ def reindex(rows: DataFrame, spine: DataFrame, on: Sequence[str], values: Sequen
 
 def trailing_sum(series: DataFrame, hours: int = 6, out: str = "cum") -> DataFrame:
     """Sum over [t - hours, t), null before the first full window."""
-    w = by_node().rowsBetween(-hours, -1)
-    return series.withColumn(out, F.when(F.col("t") >= hours, F.sum("rain").over(w)))
+    return _sum_before(series, hours, out).withColumn(out, F.when(F.col("t") >= hours, F.col(out)))
+
+
+def _sum_before(series: DataFrame, hours: int, out: str) -> DataFrame:
+    """Sum over [t - hours, t) from the first full window on.
+
+    A short frame is summed for each row; a long one is the difference of two running sums, which costs the same for
+    any length.
+    """
+    w = by_node()
+    if hours <= 12:
+        return series.withColumn(out, F.sum("rain").over(w.rowsBetween(-hours, -1)))
+    run = series.withColumn("_run", F.coalesce(F.sum("rain").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return run.withColumn(out, F.col("_run") - F.lag("_run", hours).over(w)).drop("_run")
 
 
 def trailing_mean(series: DataFrame, hours: int = 120, out: str = "ant") -> DataFrame:
     """Mean over [t - hours, t), 0 before the first full window."""
-    w = by_node().rowsBetween(-hours, -1)
-    return series.withColumn(out, F.when(F.col("t") >= hours, F.avg("rain").over(w)).otherwise(0.0))
+    return _sum_before(series, hours, out).withColumn(out, F.when(F.col("t") >= hours, F.col(out) / hours).otherwise(0.0))
 
 
 def antecedent(series: DataFrame, hours: int = 120) -> DataFrame:
