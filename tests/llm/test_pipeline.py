@@ -84,3 +84,12 @@ def test_repeated_and_nameless_rows(spark, sf):
     root = components_brute([fingerprint_brute(t) for _, t in rows])
     assert len(kept) == len(set(root))
     assert sorted((r.doc_id for r in kept), key=lambda i: (i is None, i)) == [1, None]
+
+
+def test_extra_columns_pass_through(spark, sf):
+    """Columns named like a stage's own ones keep their values."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "'a' quality_score", "'b' kept", "'c' n_words", "'d' k1", "'e' fp", "'f' component_id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+    rows = docs.distinct().collect()
+    assert rows and {(r.quality_score, r.kept, r.n_words, r.k1, r.fp, r.component_id) for r in rows} == {("a", "b", "c", "d", "e", "f")}

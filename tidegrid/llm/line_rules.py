@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import bounded_sample, raw_text
@@ -189,26 +189,31 @@ SCHEMA = (
 )
 
 
-def apply_rules(docs: DataFrame, model: LineModel, least_content: float = LEAST_CONTENT) -> DataFrame:
-    """All columns of docs and those of ``SCHEMA``; ``line_marks`` has C or B for every line with a word.
-
-    Null and empty texts have no words, so they fail the base rules. Repeated rows get equal results. Columns
-    of docs that are called like those of the result are replaced. A narrow map of whole texts.
-    """
+def verdict(model: LineModel, least_content: float = LEAST_CONTENT, text: str = "text") -> Column:
+    """A struct of ``SCHEMA`` for each whole text."""
 
     @F.pandas_udf(f"struct<{SCHEMA.replace(' ', ': ').replace(',: ', ', ')}>")
     def judge(raw: pd.Series) -> pd.DataFrame:
         out = []
-        for text in raw:
-            n, *counts, repeats = base_counts(text)
-            xs, sizes, _ = line_features(text)
+        for own in raw:
+            n, *counts, repeats = base_counts(own)
+            xs, sizes, _ = line_features(own)
             marks = model.decode(np.array(xs).reshape(-1, N_FEATURES) @ model.weights)
             share = float(np.array(sizes)[marks == CONTENT].sum() / n) if n else 0.0
             failed = n < 50 or 100 * repeats > 50 * n
             out.append((n, *counts, repeats, failed, not failed and share >= least_content, share, marks.tobytes().translate(_LETTERS).decode()))
         return pd.DataFrame(out, columns=NAMES)
 
-    found = docs.withColumn("_found", judge(raw_text()))
+    return judge(raw_text(text))
+
+
+def apply_rules(docs: DataFrame, model: LineModel, least_content: float = LEAST_CONTENT) -> DataFrame:
+    """All columns of docs and those of ``SCHEMA``; ``line_marks`` has C or B for every line with a word.
+
+    Null and empty texts have no words, so they fail the base rules. Repeated rows get equal results. Columns
+    of docs that are called like those of the result are replaced. A narrow map of whole texts.
+    """
+    found = docs.withColumn("_found", verdict(model, least_content))
     return found.withColumns({c: F.col(f"_found.{c}") for c in NAMES}).drop("_found")
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import bounded_sample, crc_fold, raw_text
@@ -137,15 +137,20 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, fold: tup
     return fit_pairs(x, rows["_y"].to_numpy())
 
 
-def score_quality(docs: DataFrame, model: RankModel) -> DataFrame:
-    """All columns of docs and ``quality_score`` (0 to 1; CUT or more: keep). A narrow map of whole texts.
-
-    Null and empty texts get the score of a text without words; repeated rows get equal scores; a column
-    that is already called quality_score is replaced.
-    """
+def quality(model: RankModel, text: str = "text") -> Column:
+    """The score of whole texts as a column (0 to 1; CUT or more: keep); nulls score like texts without words."""
 
     @F.pandas_udf("double")
     def score(raw: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([features(r) for r in raw], float).reshape(-1, N_FEATURES)))
 
-    return docs.withColumn("quality_score", score(raw_text()))
+    return score(raw_text(text))
+
+
+def score_quality(docs: DataFrame, model: RankModel) -> DataFrame:
+    """All columns of docs and ``quality_score``. A narrow map of whole texts.
+
+    Null and empty texts get the score of a text without words; repeated rows get equal scores; a column
+    that is already called quality_score is replaced.
+    """
+    return docs.withColumn("quality_score", quality(model))
