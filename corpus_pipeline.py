@@ -6,7 +6,8 @@ but the last keep the columns of ``documents``.
 
 Nulls, empty texts and repeated rows: the quality classifier scores a null or empty text as one without
 words; the quality rules drop it (under 50 words). Of the rows of a near-duplicate group that with the smallest
-doc_id stays; rows without doc_id come last in their group. An empty table gives an empty result.
+doc_id stays; rows without doc_id come last in their group. An empty table gives an empty result. Extra columns pass
+through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidegrid.llm import decontam, line_rules, packing, quality_rank, simhash
 from tidegrid.llm.common import staged
@@ -24,12 +24,12 @@ from tidegrid.llm.queries import table, tokenizer_path
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose pairwise-ranking score is at or over the cut (op3's model, all labels but its held-out fold)."""
     model = quality_rank.train(docs, table(spark, sf_dir, "labels"), fold=(4, 2))
-    return quality_rank.score_quality(docs, model).filter(F.col("quality_score") >= quality_rank.CUT).select(*docs.columns)
+    return docs.filter(quality_rank.quality(model) >= quality_rank.CUT)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose words are mostly in content lines (op9)."""
-    return line_rules.apply_rules(docs, line_rules.train(docs)).filter("kept").select(*docs.columns)
+    return docs.filter(line_rules.verdict(line_rules.train(docs))["kept"])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
