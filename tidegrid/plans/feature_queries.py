@@ -225,7 +225,7 @@ ORACLES = {
         w AS (SELECT id, station, 1 / pow(greatest(sqrt(pow(x - s_x, 2) + pow(y - s_y, 2)), 1e-10), 2) AS w FROM p, st)
         SELECT id, t, round(sum(w * value) / sum(w) + 1e-9, 6) AS value FROM w JOIN rd ON rd.station = w.station GROUP BY ALL""",
     "tiles_first_wins": """WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS tile, CAST(l_partkey % 50 AS INTEGER) AS row, CAST(l_suppkey % 50 AS INTEGER) AS col, l_quantity AS value FROM lineitem WHERE l_quantity >= 5)
-        SELECT row, col, arg_min(value, tile) AS value FROM x GROUP BY ALL""",
+        SELECT row, col, value FROM x QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY tile, value) = 1""",
     "event_union": f"""WITH a AS (SELECT c_custkey AS k, CASE WHEN k % 3 = 0 THEN 'INDIA' WHEN k % 3 = 1 THEN 'Sri Lanka, india' END AS country, CASE WHEN k % 5 = 0 THEN 'unknown' ELSE '20' || lpad(CAST(k % 20 AS VARCHAR), 2, '0') || '-07-01' END AS began,
             12.0::DOUBLE + k % 20 * 0.1::DOUBLE AS lat, 79.5::DOUBLE + k % 13 * 0.1::DOUBLE AS lon, CASE WHEN k % 4 <> 0 THEN 1 ELSE 1 END AS severity FROM customer)
         SELECT * FROM (VALUES {', '.join(f"('{n}', '{b}', '{e}', {s}, {la}::DOUBLE, {lo}::DOUBLE, {p}::DOUBLE)" for n, b, e, s, la, lo, p in tables.KNOWN_EVENTS)}) AS x(name, began, ended, severity, lat, lon, peak_mm_day)
