@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import decontam, line_rules, packing, quality_rank, simhash
+from tidegrid.llm import decontam, line_rules, near_sets, packing, quality_rank
 from tidegrid.llm.common import staged
 from tidegrid.llm.queries import table, tokenizer_path
 
@@ -33,8 +33,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id (op6's fingerprints and links)."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near duplicates, that with the smallest doc_id (five-word shingles, Jaccard 0.8 or more)."""
+    return near_sets.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
