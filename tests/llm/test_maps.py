@@ -174,6 +174,15 @@ def test_language_held_out(spark, sf):
 # --- toxicity -----------------------------------------------------------------------------------------------
 
 
+
+def test_rare_languages_are_learned(spark):
+    """Over 40,000 rows of one language don't crowd out one with two rows."""
+    many = spark.range(60_000).selectExpr("id doc_id", "'the cat and the dog' text", "'en' lang")
+    few = spark.range(60_000, 60_002).selectExpr("id doc_id", "'жук и кот' text", "'ru' lang")
+    model = langid.train(many.unionByName(few))
+    assert model.langs == ["en", "ru"]
+    assert np.allclose(np.exp(model.prior), [60_000 / 60_002, 2 / 60_002])
+
 def test_identity_swaps_move_no_score():
     """A group that is named mostly in toxic texts gets no weight of its own when its swap is penalised."""
     rows, swapped, y = [], [], []

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import bounded_sample, crc_fold
+from tidegrid.llm.common import crc_fold
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -48,12 +48,11 @@ class LangModel:
     prior: np.ndarray
 
 
-def train(docs: DataFrame, most_rows: int = 40_000, fold: tuple[int, int] | None = None, buckets: int = BUCKETS, smooth: float = 0.1) -> LangModel:
-    """Learn from text and lang of about ``most_rows`` documents (a documented bound; the number differs by a few times its square root)."""
+def train(docs: DataFrame, fold: tuple[int, int] | None = None, buckets: int = BUCKETS, smooth: float = 0.1) -> LangModel:
+    """Learn from text and lang of all documents: only counts, languages x buckets of them, come to the driver."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     if fold:
         known = known.filter(F.coalesce(crc_fold(F.col("doc_id"), fold[0]) != fold[1], F.lit(False)))
-    known = bounded_sample(known, ["doc_id", "lang"], most_rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
