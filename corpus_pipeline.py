@@ -22,8 +22,8 @@ from tidegrid.llm.queries import table, tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose pairwise-ranking score is at or over the cut (op3's model, all labels but its held-out fold)."""
-    model = quality_rank.train(docs, table(spark, sf_dir, "labels"), fold=(4, 2))
+    """Documents whose pairwise-ranking score is at or over the cut (op3's model, from all labels)."""
+    model = quality_rank.train(docs, table(spark, sf_dir, "labels"))
     return docs.filter(quality_rank.quality(model) >= quality_rank.CUT)
 
 

@@ -1,6 +1,8 @@
 """The operators that judge each text by itself: licenses, quality, languages, toxicity, line rules."""
 
 import re
+import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -9,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidegrid.llm import langid, licenses, line_rules, quality_rank, toxicity
+from tidegrid.llm import langid, licenses, line_rules, quality_rank, queries, toxicity
 from tidegrid.llm.common import blank_words, plain_words
 
 from .conftest import make
@@ -95,6 +97,35 @@ def test_license_spans(spark):
     assert any(s.start == 1 and s.edits > 0 for s in one.spans)
 
 
+def test_notices_that_follow_each_other():
+    """A match with edits that stands before a better one is found too."""
+    found = licenses.scan_text(b"general public licence general public license, generel public license", (licenses.Notice("gpl", "general public license", 2),))[2]
+    assert [(a, b, e) for _, a, b, e, _ in found] == [(0, 3, 1), (3, 6, 0), (6, 9, 1)]
+
+
+def test_long_texts_full_of_notices_take_linear_time():
+    took = []
+    for n in (20_000, 160_000):
+        began = time.perf_counter()
+        _, exact, fuzzy, score = licenses.scan_text(b"CC-BY. all rights resirved " * n, licenses.BASE_NOTICES + licenses.FUZZY_NOTICES)
+        took.append(time.perf_counter() - began)
+        assert (len(exact), exact[-1], score) == (n, ("cc-by", 5 * (n - 1)), 1.0) and len(fuzzy) >= n
+    assert took[1] < 24 * took[0]
+
+
+@pytest.mark.parametrize("query", ["op1_license_scan"])
+def test_license_query(spark, sf, query):
+    """All base columns of the query by brute force; labels hold the base ones, and those of every fuzzy notice's span."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.QUERIES[query](spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_brute(docs[r.doc_id])
+        own = {x for x in r.labels.split(",") if x}
+        assert {x for x in r.base_labels.split(",") if x} <= own and ",".join(sorted(own)) == r.labels
+        assert (len(r.spans) + r.n_base > 0) == bool(own) and 0 <= r.score <= 1 and (r.score == 1) >= (r.n_base > 0)
+
+
 # --- quality ranking ----------------------------------------------------------------------------------------
 
 
@@ -157,11 +188,12 @@ def test_language_on_odd_rows(spark, odd, odd_rows, empty):
     model = langid.train(odd)
     found = langid.identify(odd.withColumnRenamed("source", "lang_pred"), model).collect()
     assert len(found) == len(odd_rows)
-    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) for r in found)
+    assert all((r.lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r.text or "")) for r in found)
     assert langid.identify(empty, model).count() == 0
     none = langid.identify(odd, langid.train(empty)).collect()
     assert {r.lang_pred for r in none} == {"und"}
-    assert langid.identify(make(spark, [(1, "12 34 __"), (2, "5")]), model).filter("lang_pred <> 'und'").count() == 0
+    assert langid.identify(make(spark, [(1, "12 34 __"), (2, "5"), (3, "\u00b2 \u00bd \u2167")]), model).filter("lang_pred <> 'und'").count() == 0
+    assert langid.identify(make(spark, [(1, "\u02b0"), (2, "\u65e5")]), model).filter("lang_pred = 'und'").count() == 0
 
 
 def test_language_held_out(spark, sf):
@@ -298,8 +330,30 @@ By evening most windows glowed, while fog crept slowly over every roof."""
 
 @pytest.mark.parametrize("most", [400, 10_000])
 def test_bounded_sample(spark, most):
+    """Chosen by the keys alone: any layout gives the same rows."""
     from tidegrid.llm.common import bounded_sample
 
-    rows = spark.range(2_000).selectExpr("id div 1500 doc_id")  # most rows share an id
-    got = bounded_sample(rows, ["doc_id"], most).count()
-    assert (got == 2_000) if most > 2_000 else abs(got - most) < 5 * most**0.5
+    rows = spark.range(2_000).selectExpr("id doc_id", "id % 7 x")
+    got = [sorted(tuple(r) for r in bounded_sample(rows.repartition(n).orderBy(o), ["doc_id"], most).collect()) for n, o in ((3, "x"), (7, "doc_id"), (1, "x"))]
+    assert got[0] == got[1] == got[2]
+    assert (len(got[0]) == 2_000) if most > 2_000 else abs(len(got[0]) - most) < 5 * most**0.5
+
+
+@pytest.fixture(scope="module")
+def layouts(spark, sf):
+    """The same documents and labels, some ids repeated with other texts, in three layouts."""
+    at = sf.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    docs = docs.unionByName(docs.filter("doc_id < 40").withColumn("text", docs.text.substr(1, 50))).unionByName(docs.filter("doc_id < 300"))
+    return [(docs.repartition(n, c), labels.repartition(m)) for n, c, m in ((3, "text", 7), (7, "lang", 2), (1, "doc_id", 1))]
+
+
+def test_models_do_not_hang_on_the_layout(layouts):
+    ranks = [quality_rank.train(d, m, most_rows=300, fold=(4, 2)) for d, m in layouts]
+    assert all((r.weights == ranks[0].weights).all() and r.cut == ranks[0].cut for r in ranks) and ranks[0].weights.any()
+    toxic = [toxicity.train(d, m, most_rows=300) for d, m in layouts]
+    assert all(m.weights == toxic[0].weights and m.bias == toxic[0].bias for m in toxic) and toxic[0].weights
+    lines = [line_rules.train(d, most_rows=200) for d, _ in layouts]
+    assert all((m.weights == lines[0].weights).all() and (m.moves == lines[0].moves).all() for m in lines)
+    langs = [langid.train(d) for d, _ in layouts]
+    assert all(m.langs == langs[0].langs and (m.log_prob == langs[0].log_prob).all() for m in langs)

@@ -28,7 +28,7 @@ def test_stages_are_these():
 
 def test_quality_stage(spark, sf, steps):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    model = quality_rank.train(docs, labels, fold=(4, 2))
+    model = quality_rank.train(docs, labels)
     score = lambda t: model.score(np.array([quality_rank.features((t or "").encode())]))[0]
     assert {r.doc_id for r in steps[1]} == {r.doc_id for r in steps[0] if score(r.text) >= quality_rank.CUT}
     bad = {r.doc_id for r in labels.collect() if r.quality == 0}
@@ -60,9 +60,7 @@ def test_decontamination_stage(spark, sf, steps):
 def test_packing_stage(steps):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    check_packing(steps[5], [(r.doc_id, r.text) for r in steps[4]], t, 2048)
+    check_packing(steps[5], [(r.doc_id, r.text) for r in steps[4]], Tokenizer.from_file(TOKENIZER), 2048)
 
 
 def test_odd_tables(spark, tmp_path, odd, empty, labels):

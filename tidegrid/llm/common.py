@@ -13,6 +13,12 @@ WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
+#: The most frequent function words of the languages of the corpus.
+FUNCTION_WORDS = frozenset(
+    b"the of and to in a is that it for on was be with as by this are at from de la le les des et un une en que qui est pour "
+    b"der die das und den von zu mit sich ein eine nicht ist el los las y por con una para al".split()
+)
+
 
 def plain_words(raw: bytes | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of UTF-8 bytes after lower-casing A-Z."""
@@ -48,9 +54,11 @@ def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), one of our own."""
+    """The cluster's shared folder; where none is set (tests, all in one process), one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_tidegrid_dir", None) or tempfile.mkdtemp(prefix="tidegrid-")
         spark.sparkContext._tidegrid_dir = found
     return found.rstrip("/")
@@ -72,13 +80,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_sample(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """About ``most`` rows, chosen by a hash of their keys and place; all rows if there are no more.
+    """The rows whose keys' hash is under a bound: about ``most`` of them if every key has one row; all if there are no more.
 
-    Every row is drawn on its own (repeated rows too), so the number differs from ``most`` by a few times its square
-    root at most. A count and a filter: no partition is gathered.
+    The keys' values alone decide, so any layout, order or second try of a task chooses the same rows. Rows with equal keys are
+    chosen or left out together: callers keep one row of each key, which bounds what they gather.
     """
     total = rows.count()
     if total <= most:
         return rows
     share = int(most / total * (1 << 32))
-    return rows.filter(F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(1 << 32)) < share)
+    return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 32)) < share)
+
+
+def labelled(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, _y and _raw of the rows of docs that ``known`` (doc_id, _y; a bounded number) labels, repeated ids too."""
+    return docs.select("doc_id", raw_text(text).alias("_raw")).join(F.broadcast(known), "doc_id").select("doc_id", "_y", "_raw")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import crc_fold
+from tidegrid.llm.common import crc_fold, free_name
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _GAP = re.compile(r"[\W\d_]+")
 #: Characters whose n-grams are hashed at a time; longer texts go on in the next step, none is cut.
 STEP = 2_000_000
@@ -115,7 +116,7 @@ def log_likelihood(texts: list[str], model: LangModel) -> np.ndarray:
 def identify(docs: DataFrame, model: LangModel, spark: SparkSession | None = None) -> DataFrame:
     """All columns of docs, ``lang_pred`` and ``lang_score`` (the posterior of that language, 0 to 1).
 
-    ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Ties go to the first
+    ``und`` with score 0 if the text is null or has no letter (Unicode categories L*), or nothing was learned. Ties go to the first
     language by name. Existing columns of these names are replaced. A narrow map; only the matrix, of
     buckets x languages, is broadcast.
     """
@@ -133,5 +134,6 @@ def identify(docs: DataFrame, model: LangModel, spark: SparkSession | None = Non
             score[at] = 1.0 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
         return pd.DataFrame({"lang_pred": lang, "lang_score": score})
 
-    found = docs.withColumn("_found", predict(F.col("text")))
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "lang_score": F.col("_found.lang_score")}).drop("_found")
+    own = free_name(docs, "_found")
+    found = docs.withColumn(own, predict(F.col("text")))
+    return found.withColumns({"lang_pred": F.col(f"{own}.lang_pred"), "lang_score": F.col(f"{own}.lang_score")}).drop(own)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import bounded_sample, raw_text
+from tidegrid.llm.common import FUNCTION_WORDS, bounded_sample, free_name, raw_text, row_keys
 
 CONTENT, BOILERPLATE, UNKNOWN = 0, 1, -1
 SYMBOLS = b"#*$%&|<>"
@@ -26,7 +26,7 @@ _NOT_WORD_CHARS = bytes([32, *range(9, 14), *range(0x80, 0xC0)])
 _NOT_LETTERS = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122)) + bytes(range(0x80, 0xC0))
 _NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 _NOT_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
-N_FEATURES = 10
+N_FEATURES = 14
 #: A document stays if at least this share of its words is in content lines.
 LEAST_CONTENT = 0.5
 STEP = 64
@@ -71,9 +71,13 @@ def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:
     )
 
 
-def line_features(raw: bytes) -> tuple[list[list[float]], list[int], list[int]]:
-    """Features, word counts and rule labels (CONTENT, BOILERPLATE or UNKNOWN) of the lines with a word."""
-    xs, sizes, marks = [], [], []
+def line_features(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, word counts and rule marks (CONTENT, BOILERPLATE or UNKNOWN) of the lines with a word.
+
+    The marks' own tests (repeated, mostly capitals, many symbols) are no features: the field learns what such lines
+    look like from their make-up and from the lines beside them.
+    """
+    xs, marks = [], []
     seen: set[bytes] = set()
     for line in raw.split(b"\n"):
         words = line.split()
@@ -85,19 +89,32 @@ def line_features(raw: bytes) -> tuple[list[list[float]], list[int], list[int]]:
         symbols = len(line.translate(None, _NOT_SYMBOLS))
         digits = len(line.translate(None, _NOT_DIGITS))
         pipes = line.count(b"|")
-        again = float(line in seen)
+        xs.append((n, size, letters, upper, symbols, digits, pipes, line.count(b","), sum(map(FUNCTION_WORDS.__contains__, words)), words[-1][-1:] in b".!?"))
+        again = line in seen
         seen.add(line)
-        ends = float(words[-1][-1:] in b".!?")
-        caps, noisy = float(upper > 0.5 * max(letters, 1) and letters > 3), float(symbols > 0.2 * n)
-        xs.append([1.0, min(np.log1p(n) / 4, 2.0), letters / size, caps, min(symbols / n, 2.0), noisy, min(pipes / n, 1.0), digits / size, again, ends])
-        sizes.append(n)
-        if again or caps or noisy or pipes > 0.2 * n or letters < 0.3 * size:
+        if again or (upper > 0.5 * max(letters, 1) and letters > 3) or symbols > 0.2 * n or pipes > 0.2 * n or letters < 0.3 * size:
             marks.append(BOILERPLATE)
         elif n >= 5 and letters >= 0.6 * size:
             marks.append(CONTENT)
         else:
             marks.append(UNKNOWN)
-    return xs, sizes, marks
+    if not xs:
+        return np.zeros((0, N_FEATURES)), np.zeros(0, np.int64), np.zeros(0, np.int8)
+    n, size, letters, upper, symbols, digits, pipes, commas, plain, ends = np.array(xs, np.float64).T
+    x = np.zeros((len(xs), N_FEATURES))
+    x[:, 0] = 1.0
+    x[:, 1] = np.minimum(np.log1p(n) / 4, 2.0)
+    x[:, 2] = letters / size
+    x[:, 3] = upper / np.maximum(letters, 1)
+    x[:, 4] = np.minimum(symbols / n, 2.0)
+    x[:, 5] = np.minimum(pipes / n, 1.0)
+    x[:, 6] = digits / size
+    x[:, 7] = np.minimum(commas / n, 1.0)
+    x[:, 8] = plain / n
+    x[:, 9] = ends
+    x[1:, 10:12] = x[:-1, 1:3]  # the line before, zero at the edge
+    x[:-1, 12:14] = x[1:, 1:3]  # the line after
+    return x, n.astype(np.int64), np.array(marks, np.int8)
 
 
 @dataclass
@@ -171,15 +188,17 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, l2: float =
 
 
 def train(docs: DataFrame, most_rows: int = 1_000) -> LineModel:
-    """Learn from the lines of about ``most_rows`` documents (a documented bound; the number differs by a few times its square root)."""
-    rows = bounded_sample(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), ["doc_id"], most_rows)
+    """Learn from the lines of about ``most_rows`` documents (a documented bound; the number differs by a few times its square
+    root), chosen by a hash of doc_id and text, so that any layout gives the same model; of equal rows one is learned from."""
+    rows = bounded_sample(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), ["doc_id", "text"], most_rows)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [line_features(r) for r in b["_raw"]]
-            yield pd.DataFrame({"x": [np.array(x, np.float64).tobytes() for x, _, _ in found], "m": [np.array(m, np.int8).tobytes() for _, _, m in found]})
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "x": [x.tobytes() for x, _, _ in found], "m": [m.tobytes() for _, _, m in found]})
 
-    got = rows.select(raw_text().alias("_raw")).mapInPandas(extract, "x binary, m binary").toPandas()
+    lines = rows.select(*row_keys("doc_id", "text"), raw_text().alias("_raw")).mapInPandas(extract, "k1 long, k2 int, x binary, m binary")
+    got = lines.dropDuplicates(["k1", "k2"]).toPandas().sort_values(["k1", "k2"])
     return fit([(np.frombuffer(x).reshape(-1, N_FEATURES), np.frombuffer(m, np.int8)) for x, m in zip(got["x"], got["m"])])
 
 
@@ -198,8 +217,8 @@ def verdict(model: LineModel, least_content: float = LEAST_CONTENT, text: str =
         for own in raw:
             n, *counts, repeats = base_counts(own)
             xs, sizes, _ = line_features(own)
-            marks = model.decode(np.array(xs).reshape(-1, N_FEATURES) @ model.weights)
-            share = float(np.array(sizes)[marks == CONTENT].sum() / n) if n else 0.0
+            marks = model.decode(xs @ model.weights)
+            share = float(sizes[marks == CONTENT].sum() / n) if n else 0.0
             failed = n < 50 or 100 * repeats > 50 * n
             out.append((n, *counts, repeats, failed, not failed and share >= least_content, share, marks.tobytes().translate(_LETTERS).decode()))
         return pd.DataFrame(out, columns=NAMES)
@@ -213,8 +232,9 @@ def apply_rules(docs: DataFrame, model: LineModel, least_content: float = LEAST_
     Null and empty texts have no words, so they fail the base rules. Repeated rows get equal results. Columns
     of docs that are called like those of the result are replaced. A narrow map of whole texts.
     """
-    found = docs.withColumn("_found", verdict(model, least_content))
-    return found.withColumns({c: F.col(f"_found.{c}") for c in NAMES}).drop("_found")
+    at = free_name(docs, "_found")
+    found = docs.withColumn(at, verdict(model, least_content))
+    return found.withColumns({c: F.col(f"{at}.{c}") for c in NAMES}).drop(at)
 
 
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -15,13 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import bounded_sample, crc_fold, raw_text
+from tidegrid.llm.common import FUNCTION_WORDS, bounded_sample, crc_fold, labelled, raw_text
 
-#: The most frequent function words of the languages of the corpus.
-FUNCTION_WORDS = frozenset(
-    b"the of and to in a is that it for on was be with as by this are at from de la le les des et un une en que qui est pour "
-    b"der die das und den von zu mit sich ein eine nicht ist el los las y por con una para al".split()
-)
 #: score at the cut; a document at or over it is predicted good.
 CUT = 0.7
 N_FEATURES = 20
@@ -79,12 +74,31 @@ class RankModel:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, most_pairs: int = 200_000, l2: float = 1e-3, rounds: int = 25) -> RankModel:
-    """Newton steps on the pairwise logistic loss; without both labels all weights are zero.
+def pair_sums(z: np.ndarray, w: np.ndarray, good: np.ndarray, bad: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the mean loss over all pairs, good ones in blocks.
 
-    Every good document meets ``most_pairs / goods`` bad ones in turn (each at least once), so that the
-    pairs are spread evenly and don't depend on chance.
+    sigmoid(a - b) is e^a / (e^a + e^b): a pair costs one division, and features meet its row and column sums alone.
     """
+    s = np.clip(z @ w, -300, 300)
+    a, b, x, y = np.exp(s[good]), np.exp(s[bad]), z[good], z[bad]
+    grad, hess, col, col2 = np.zeros(len(w)), np.zeros((len(w), len(w))), np.zeros(len(bad)), np.zeros(len(bad))
+    for k in range(0, len(good), block):
+        p = a[k : k + block, None] / (a[k : k + block, None] + b)
+        lost = 1 - p
+        own, row = x[k : k + block], lost.sum(1)
+        grad -= own.T @ row
+        col += lost.sum(0)
+        p *= lost
+        col2 += p.sum(0)
+        cross = own.T @ (p @ y)
+        hess += (own * p.sum(1)[:, None]).T @ own - cross - cross.T
+    n = len(good) * len(bad)
+    return (grad + y.T @ col) / n, (hess + (y * col2[:, None]).T @ y) / n
+
+
+def fit_pairs(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 25) -> RankModel:
+    """Newton steps on the pairwise logistic loss over every good document with every bad one; without both labels all
+    weights are zero."""
     mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
     scale = np.where(scale < 1e-6, 1.0, scale)
     w = np.zeros(N_FEATURES)
@@ -92,15 +106,9 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, most_pairs: int = 200_000, l2: float
     if not len(good) or not len(bad):
         return RankModel(mean, scale, w, -1.0 if len(good) or not len(bad) else 1.0, 1.0)
     z = (x - mean) / scale
-    each = max(1, min(len(bad), most_pairs // len(good)))
-    i = np.repeat(good, each)
-    j = bad[(np.arange(len(good))[:, None] * 7919 + np.arange(each)[None, :] * max(1, len(bad) // each)).ravel() % len(bad)]
-    d = z[i] - z[j]
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(d @ w, -30, 30)))
-        grad = d.T @ (p - 1) / len(d) + l2 * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + l2 * np.eye(N_FEATURES)
-        step = np.linalg.solve(hess, grad)
+        grad, hess = pair_sums(z, w, good, bad)
+        step = np.linalg.solve(hess + l2 * np.eye(N_FEATURES), grad + l2 * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -112,8 +120,10 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, most_pairs: int = 200_000, l2: float
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, fold: tuple[int, int] | None = None) -> RankModel:
-    """Learn from about ``most_rows`` labelled documents (a documented bound; the number differs by a few times its square root).
+    """Learn from about ``most_rows`` labelled documents (a documented bound; the number differs by a few times its square
+    root), chosen by a hash of doc_id, so that any layout of the tables gives the same model.
 
+    An id with both labels counts once with each; of several texts with one id that with the least features is taken.
     ``fold`` = (folds, held out): rows whose crc32(doc_id) modulo folds is the second are not learned from.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -123,15 +133,16 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, fold: tup
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_y": b["_y"], "x": [features(r) for r in b["_raw"]]})
+            yield pd.DataFrame({"_k": b["_k"], "_y": b["_y"], "x": [features(r) for r in b["_raw"]]})
 
     rows = (
-        docs.select("doc_id", raw_text().alias("_raw"))
-        .join(F.broadcast(known), "doc_id")  # about most_rows ids
-        .select("_y", "_raw")
-        .mapInPandas(extract, "_y int, x array<double>")
-        .limit(4 * most_rows)  # reached only if ids are repeated
+        labelled(docs, known)
+        .select(F.xxhash64("doc_id").alias("_k"), "_y", "_raw")
+        .mapInPandas(extract, "_k long, _y int, x array<double>")
+        .groupBy("_k", "_y")
+        .agg(F.min("x").alias("x"))
         .toPandas()
+        .sort_values(["_k", "_y"])
     )
     x = np.array(rows["x"].tolist(), float).reshape(-1, N_FEATURES)
     return fit_pairs(x, rows["_y"].to_numpy())

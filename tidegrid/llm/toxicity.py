@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import bounded_sample, crc_fold, plain_words, raw_text, staged
+from tidegrid.llm.common import bounded_sample, crc_fold, labelled, plain_words, raw_text, staged
 
 #: Terms that name a group, by kind; a swap takes the next one of the same kind.
 IDENTITY_TERMS = (
@@ -32,6 +32,8 @@ SWAP = {a.encode(): kind[(i + 1) % len(kind)].encode() for kind in IDENTITY_TERM
 STEMS = range(4, 9)
 #: Words in fewer documents, or with a share of toxic ones within so many standard errors of the mean, are left out.
 LEAST_DOCS, LEAST_Z = 5, 3.0
+#: Words that a task remembers; any number gives the same scores.
+MOST_WORDS = 500_000
 
 
 def word_ids(words: set[bytes]) -> np.ndarray:
@@ -48,10 +50,42 @@ class ToxicModel:
     weights: dict[int, float] = field(default_factory=dict)
     bias: float = 0.0
 
+    def __post_init__(self) -> None:
+        order = sorted(self.weights)
+        self.ids = np.array(order, np.uint64)
+        self.values = np.array([self.weights[k] for k in order])
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def learn_words(self, words: set[bytes]) -> None:
+        """Look up which weights (places in ``values``) these words have; most have none."""
+        if len(self.known) > MOST_WORDS:
+            self.known.clear()
+        ids = [(w, word_ids({w})) for w in words]
+        flat = np.concatenate([x for _, x in ids])
+        place = np.searchsorted(self.ids, flat)
+        place = np.minimum(place, max(0, len(self.ids) - 1))
+        hit = self.ids[place] == flat if len(self.ids) else np.zeros(len(flat), bool)
+        at = 0
+        for w, x in ids:
+            self.known[w] = tuple(place[at : at + len(x)][hit[at : at + len(x)]].tolist())
+            at += len(x)
+
     def score(self, raw: bytes) -> float:
-        get = self.weights.get
-        z = self.bias + sum(get(x, 0.0) for x in word_ids({*plain_words(raw)}).tolist())
-        return float(1.0 / (1.0 + np.exp(-min(max(z, -30.0), 30.0))))
+        return float(self.score_all([raw])[0])
+
+    def score_all(self, texts: list[bytes]) -> np.ndarray:
+        """Of each text; what a word adds is looked up once and remembered."""
+        z = np.full(len(texts), self.bias)
+        for k, raw in enumerate(texts):
+            words = {*plain_words(raw)}
+            if new := words - self.known.keys():
+                self.learn_words(new)
+                if not words <= self.known.keys():  # the table was emptied
+                    self.learn_words(words - self.known.keys())
+            own = {p for w in words for p in self.known[w]}
+            if own:
+                z[k] += self.values[sorted(own)].sum()
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
 def fit(
@@ -104,7 +138,11 @@ def fit(
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: tuple[int, int] | None = None) -> ToxicModel:
-    """Learn from about ``most_rows`` labelled documents (a documented bound; the number differs by a few times its square root)."""
+    """Learn from about ``most_rows`` labelled documents (a documented bound; the number differs by a few times its square
+    root), chosen by a hash of doc_id, so that any layout of the tables gives the same model.
+
+    An id with both labels counts once with each; of several texts with one id that with the least word hashes is taken.
+    """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if fold:
         known = known.filter(crc_fold(F.col("doc_id"), fold[0]) != fold[1])
@@ -113,21 +151,21 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: tup
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for y, raw in zip(b["_y"], b["_raw"]):
+            for k, y, raw in zip(b["_k"], b["_y"], b["_raw"]):
                 words = set(plain_words(raw))
                 named = words & SWAP.keys()
-                other = word_ids((words - named) | {SWAP[w] for w in named}).view(np.int64) if named else None
-                out.append((y, word_ids(words).view(np.int64), other))
-            yield pd.DataFrame(out, columns=["_y", "ids", "swapped"])
-
-    rows = staged(
-        docs.select("doc_id", raw_text().alias("_raw"))
-        .join(F.broadcast(known), "doc_id")  # about most_rows ids
-        .select("_y", "_raw")
-        .mapInPandas(extract, "_y int, ids array<long>, swapped array<long>")
-        .limit(4 * most_rows),  # reached only if ids are repeated
-        "toxic-words",
+                other = np.sort(word_ids((words - named) | {SWAP[w] for w in named}).view(np.int64)) if named else None
+                out.append((k, y, np.sort(word_ids(words).view(np.int64)), other))
+            yield pd.DataFrame(out, columns=["_k", "_y", "ids", "swapped"])
+
+    rows = (
+        labelled(docs, known)
+        .select(F.xxhash64("doc_id").alias("_k"), "_y", "_raw")
+        .mapInPandas(extract, "_k long, _y int, ids array<long>, swapped array<long>")
+        .groupBy("_k", "_y")
+        .agg(F.min(F.struct("ids", "swapped")).alias("of"))
     )
+    rows = staged(rows.select("_k", "_y", "of.ids", "of.swapped"), "toxic-words")
     # Screened by Spark: what the driver gets are the words that tell something, and each text's share of them.
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     share = toxic / max(n, 1)
@@ -139,9 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: tup
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = lambda ids: None if ids is None else np.intersect1d(ids, kept).tobytes()
         for b in batches:
-            yield pd.DataFrame({"_y": b["_y"], "ids": b["ids"].map(own), "swapped": [own(x) for x in b["swapped"]]})
+            yield pd.DataFrame({"_k": b["_k"], "_y": b["_y"], "ids": b["ids"].map(own), "swapped": [own(x) for x in b["swapped"]]})
 
-    got = rows.mapInPandas(reduce, "_y int, ids binary, swapped binary").toPandas()
+    got = rows.mapInPandas(reduce, "_k long, _y int, ids binary, swapped binary").toPandas().sort_values(["_k", "_y"])
     of = lambda x: None if x is None else np.frombuffer(x, np.uint64)
     return fit([of(x) for x in got["ids"]], [of(x) for x in got["swapped"]], got["_y"].to_numpy(float))
 
@@ -156,6 +194,6 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(raw: pd.Series) -> pd.Series:
-        return raw.map(shared.value.score).astype("float64")
+        return pd.Series(shared.value.score_all(list(raw)))
 
     return docs.withColumn("toxic_score", score(raw_text()))
