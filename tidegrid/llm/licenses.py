@@ -12,6 +12,7 @@ import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def _search(notices: tuple[Notice, ...]):
         phrase = f" {notice.phrase} " if notice.edits == 0 else notice.phrase
         for offset, piece in pieces(phrase, notice.edits):
             seeds.setdefault(piece, []).append((n, offset))
-        patterns.append(regex.compile(f"(?b)(?:{regex.escape(phrase)}){{e<={notice.edits}}}"))
+        patterns.append(regex.compile(f"(?e)(?:{regex.escape(phrase)}){{e<={notice.edits}}}"))
     automaton = ahocorasick.Automaton()
     for piece, places in seeds.items():
         automaton.add_word(piece, (len(piece), places))
@@ -87,16 +88,22 @@ def scan_text(raw: bytes, notices: tuple[Notice, ...]) -> tuple[int, list, list,
     words = raw.translate(WORD_TABLE).split()
     text = f" {b' '.join(words).decode()} "
     automaton, patterns = _search(notices)
-    exact, windows = [], {}
+    hits, windows = [], {}
     for end, (length, places) in automaton.iter(text):
         for n, offset in places:
             notice, start = notices[n], end + 1 - length - offset
             if notice.edits == 0:
-                exact.append((notice.label, text.count(" ", 0, start + 1) - 1))
+                hits.append((notice.label, start))
             else:
                 windows.setdefault(n, []).append(
                     (max(0, start - notice.edits), start + len(notice.phrase) + notice.edits)
                 )
+    if not hits and not windows:
+        return len(words), [], [], 0.0
+    # Blanks stand before each word: a place's word is found by bisection, whatever the text's length.
+    blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+    before = lambda places: np.searchsorted(blanks, places).tolist()
+    exact = [(label, at) for (label, _), at in zip(hits, before([start for _, start in hits]))]
     fuzzy, score = [], 1.0 if exact else 0.0
     for n, spans in windows.items():
         notice, joined = notices[n], []
@@ -105,13 +112,14 @@ def scan_text(raw: bytes, notices: tuple[Notice, ...]) -> tuple[int, list, list,
                 joined[-1][1] = max(hi, joined[-1][1])
             else:
                 joined.append([lo, hi])
-        for lo, hi in joined:
-            for m in patterns[n].finditer(text, lo, min(hi, len(text))):
-                edits = sum(m.fuzzy_counts)
-                first = text.count(" ", 0, m.start() + 1) - 1
-                last = text.count(" ", 0, m.end()) - 1
-                fuzzy.append((notice.label, max(first, 0), last + 1, edits, m.group()))
-                score = max(score, 1.0 - edits / len(notice.phrase))
+        # From the left, each match with its edits made as few as they get: none stands before a better one unseen.
+        found = [m for lo, hi in joined for m in patterns[n].finditer(text, lo, min(hi, len(text)))]
+        first = before([m.start() + 1 for m in found])
+        last = before([m.end() for m in found])
+        for m, a, b in zip(found, first, last):
+            edits = sum(m.fuzzy_counts)
+            fuzzy.append((notice.label, max(a - 1, 0), b, edits, m.group()))
+            score = max(score, 1.0 - edits / len(notice.phrase))
     return len(words), exact, sorted(fuzzy, key=lambda x: (x[1], x[0], x[2])), score
 
 
