@@ -29,20 +29,18 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def reference_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(TOKENIZER)
 
 
 @settings(max_examples=300, deadline=None)
 @given(text=st.text(st.characters(exclude_categories=["Cs"]), max_size=60) | st.lists(st.sampled_from(["it's", "<|endoftext|>", "  \n ", "日本", "12", "é", "\x00", "🙂", "don't"])).map("".join))
 def test_ids_are_the_tokenizers(reference_tokenizer, text):
-    assert packing.encoder(TOKENIZER).encode_ordinary(text) == reference_tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(TOKENIZER).encode(text, allowed_special="all") == reference_tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_of_documents_are_the_tokenizers(spark, reference_tokenizer, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert [packing.encoder(TOKENIZER).encode_ordinary(t) for t in texts] == [x.ids for x in reference_tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [packing.encoder(TOKENIZER).encode(t, allowed_special="all") for t in texts] == [x.ids for x in reference_tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=200, deadline=None)
@@ -143,6 +141,29 @@ def test_archives_on_odd_rows(spark):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == want
     assert warc.archive_pages(spark, pages(spark, [])).count() == 0
     assert {r.target_uri for r in found if r.page_id == 5} == {"http://a/%20b"}
+    by_id = {r.record_id: r for r in found}
+    for r in found:
+        assert (r.refers_to is None) == (r.refers_to_id is None)
+        if r.refers_to is not None:  # the record that is named is there, and a response
+            assert (by_id[r.refers_to_id].page_id, by_id[r.refers_to_id].record_type) == (r.refers_to, "response")
+
+
+def test_page_ids_keep_their_type(spark):
+    rows = [("b 2", "u", "x" * 100), ("a\r\n1", "v", "x" * 100), ("", "w", "y"), (None, "n", "z")]
+    found = warc.archive_pages(spark, spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in found) == Counter(
+        [("b 2", "revisit", "a\r\n1"), ("a\r\n1", "response", None), ("", "response", None), (None, "response", None)]
+    )
+
+
+def test_each_archive_is_a_task(spark, tmp_path):
+    data = [(k, f"http://x/{k}", f"{k} " * 200, "c", "d") for k in range(60)]
+    index = warc.write_arc(pages(spark, data).repartition(12), f"{tmp_path}/arc")
+    n = index.select("archive").distinct().count()
+    records = warc.read_arc(index, f"{tmp_path}/arc")
+    assert n > 8 and len(records.inputFiles()) == n
+    files = warc.convert(warc.with_revisits(records), f"{tmp_path}/arc", f"{tmp_path}/warc")
+    assert files.count() == n and warc.read_warc(files, f"{tmp_path}/warc").count() == 60
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -150,7 +171,7 @@ def test_arc_headers_of_each_version(version):
     payload = b"<html>\n\nhi\n"
     raw = warc.arc_record(version, "f.arc.gz", 7, "http://x/a b\n", payload, "19970301123456")
     got = warc.parse_arc(raw, version)
-    assert (got.url, got.ip, got.date, got.mime, got.page_id, got.payload) == ("http://x/a%20b%0A", "0.0.0.0", "19970301123456", "text/html", 7, payload)
+    assert (got.url, got.ip, got.date, got.mime, got.page_id, got.payload) == ("http://x/a%20b%0A", "0.0.0.0", "19970301123456", "text/html", "7", payload)
     assert len(raw.split(b"\n", 1)[0].split(b" ")) == (5 if version == 1 else 10)
     assert warc.arc_version(warc.arc_opening(version, "f", "1997")) == version
     with pytest.raises(ValueError, match="declared"):
@@ -167,9 +188,12 @@ def test_converted_records():
     head, block = warc.parse_warc(warc.convert_record(arc, None, digest))
     assert head["WARC-Type"] == "response" and block == arc.block and head["WARC-Date"] == "1997-03-01T00:00:00Z"
     assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", head["WARC-Record-ID"]) and head["WARC-Payload-Digest"] == f"sha256:{digest}"
-    again, rest = warc.parse_warc(warc.convert_record(arc, 3, digest))
-    assert again["WARC-Type"] == "revisit" and rest.endswith(b"\r\n\r\n") and again["WARC-Refers-To-Target-URI"] == "urn:page:3"
-    assert again["WARC-Record-ID"] == head["WARC-Record-ID"]
+    first = warc.parse_arc(warc.arc_record(1, "f", 3, "http://first", b"body", "1996"), 1)
+    response, _ = warc.parse_warc(warc.convert_record(first, None, digest))
+    again, rest = warc.parse_warc(warc.convert_record(arc, warc.Response("3", "http://first", "1996"), digest))
+    assert again["WARC-Type"] == "revisit" and rest.endswith(b"\r\n\r\n") and again["WARC-Record-ID"] == head["WARC-Record-ID"]
+    assert again["WARC-Refers-To"] == response["WARC-Record-ID"] and again["WARC-Refers-To-Date"] == response["WARC-Date"] == "1996-01-01T00:00:00Z"
+    assert again["WARC-Refers-To-Target-URI"] == response["WARC-Target-URI"] == "http://first" and again["X-Refers-To-Page"] == "3"
 
 
 def test_members_are_streamed(tmp_path):

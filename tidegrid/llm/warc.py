@@ -11,6 +11,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,13 +34,19 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tidegrid:warc")
-_ID = re.compile(rb"\r\nX-Page-Id: (-?\d+)\r\n")
+_ID = re.compile(rb"\r\nX-Page-Id: (\S*)\r\n")
 
 
 def uri(path: str) -> str:
     return path if "://" in path else f"file://{path}" if path.startswith("/") else re.sub("^file:/+", "file:///", path)
 
 
+def page_of(block: bytes) -> str | None:
+    """The page id in a block's HTTP headers, if there is one."""
+    found = _ID.search(block, 0, block.find(b"\r\n\r\n") + 4)
+    return urllib.parse.unquote(found[1].decode()) if found else None
+
+
 def create_folder(path: str) -> None:
     files, at = fs.FileSystem.from_uri(uri(path))
     files.create_dir(at, recursive=True)
@@ -98,9 +105,9 @@ def arc_opening(version: int, name: str, date: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} text/plain {extra}{len(block)}\n".encode() + block
 
 
-def arc_record(version: int, name: str, page_id: int | None, url: str | None, payload: bytes, date: str) -> bytes:
+def arc_record(version: int, name: str, page_id: int | str | None, url: str | None, payload: bytes, date: str) -> bytes:
     """One ARC record: header line, HTTP response, newline. White space in a URL is escaped, a null one named by a dash."""
-    own = f"X-Page-Id: {page_id}\r\n" if page_id is not None else ""
+    own = f"X-Page-Id: {urllib.parse.quote(str(page_id), safe='')}\r\n" if page_id is not None else ""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
     place = re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", url or "") or "-"
     extra = f"200 {hashlib.md5(payload).hexdigest()} - 0 {name} " if version == 2 else ""
@@ -116,9 +123,8 @@ class ArcRecord:
     block: bytes
 
     @property
-    def page_id(self) -> int | None:
-        found = _ID.search(self.block, 0, self.block.find(b"\r\n\r\n") + 4)
-        return int(found[1]) if found else None
+    def page_id(self) -> str | None:
+        return page_of(self.block)
 
     @property
     def payload(self) -> bytes:
@@ -163,7 +169,7 @@ def warc_date(date: str) -> str:
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
 
-def record_id(url: str, date: str, digest: str, page_id: int | None) -> str:
+def record_id(url: str, date: str, digest: str, page_id: str | None) -> str:
     """A name-based UUID: the same record gets the same identifier in every run."""
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{url} {date} {digest} {page_id}')}>"
 
@@ -173,8 +179,18 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
     return f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def convert_record(arc: ArcRecord, refers_to: int | None, digest: str) -> bytes:
-    """The equivalent WARC record; a revisit keeps the HTTP headers and names the response it stands for."""
+@dataclass
+class Response:
+    """The response that a revisit stands for."""
+
+    page_id: str
+    url: str
+    date: str
+
+
+def convert_record(arc: ArcRecord, refers_to: Response | None, digest: str) -> bytes:
+    """The equivalent WARC record; a revisit keeps the HTTP headers and names the response it stands for by its record's id,
+    URI and date, and by its page in a header of its own."""
     payload = arc.payload
     date = warc_date(arc.date)
     headers = [
@@ -189,7 +205,10 @@ def convert_record(arc: ArcRecord, refers_to: int | None, digest: str) -> bytes:
         return warc_record("response", [*headers, ("Content-Type", "application/http; msgtype=response")], arc.block)
     headers += [
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-        ("WARC-Refers-To-Target-URI", f"urn:page:{refers_to}"),
+        ("WARC-Refers-To", record_id(refers_to.url, warc_date(refers_to.date), digest, refers_to.page_id)),
+        ("WARC-Refers-To-Target-URI", refers_to.url),
+        ("WARC-Refers-To-Date", warc_date(refers_to.date)),
+        ("X-Refers-To-Page", urllib.parse.quote(refers_to.page_id, safe="")),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     return warc_record("revisit", headers, arc.block[: len(arc.block) - len(payload)])
@@ -220,19 +239,19 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000") -> Da
         for b in batches:
             rows = []
             for page, url, payload in zip(b["page_id"], b["url"], b["_raw"]):
-                page = None if pd.isna(page) else int(page)
                 name, place = out.add(arc_record(version, out.name or "-", page, url, payload, date))
                 rows.append((name, place))
             yield pd.DataFrame(rows, columns=["archive", "place"])
         out.close()
 
     create_folder(folder)
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("_raw"))
+    rows = pages.select(F.col("page_id").cast("string"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("_raw"))
     return staged(rows.mapInPandas(write, "archive string, place long"), "arc-index")
 
 
-def read_arc(index: DataFrame, folder: str) -> DataFrame:
-    """archive, place, page_id, payload_bytes and digest of every record in the archives that index names."""
+def read_arc(index: DataFrame, folder: str, kind: str = "bigint") -> DataFrame:
+    """archive, place, page_id (of type ``kind``), url, date, payload_bytes and digest of every record in the archives that
+    index names, staged. Each archive is a task's work of its own."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -240,15 +259,19 @@ def read_arc(index: DataFrame, folder: str) -> DataFrame:
                 rows = []
                 for place, arc in arc_records(folder, name):
                     payload = arc.payload
-                    rows.append((name, place, arc.page_id, len(payload), hashlib.sha256(payload).hexdigest()))
-                yield pd.DataFrame(rows, columns=["archive", "place", "page_id", "payload_bytes", "digest"]).astype({"page_id": "Int64"})
+                    rows.append((name, place, arc.page_id, arc.url, arc.date, len(payload), hashlib.sha256(payload).hexdigest()))
+                yield pd.DataFrame(rows, columns=["archive", "place", "page_id", "url", "date", "payload_bytes", "digest"])
 
     names = index.select("archive").distinct()
-    return names.mapInPandas(read, "archive string, place long, page_id long, payload_bytes long, digest string")
+    found = names.repartition(max(1, names.count())).mapInPandas(
+        read, "archive string, place long, page_id string, url string, date string, payload_bytes long, digest string"
+    )
+    return staged(found.withColumn("page_id", F.col("page_id").cast(kind)), "arc-records")
 
 
 def with_revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """Records with ``refers_to``: the smallest page_id of those with an equal payload of at least ``least`` bytes.
+    """Records with ``first``: page_id, url and date of the record with the smallest page_id of those with an equal payload of
+    at least ``least`` bytes.
 
     Null for that one itself (and for all that share its page_id), for small payloads, and where no page_id is
     known. Only digests that occur twice or more are looked up; of a digest that very many records share, the
@@ -258,23 +281,26 @@ def with_revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     same = (
         records.filter(F.col("payload_bytes") >= least)
         .groupBy("digest", "payload_bytes")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))).alias("first"), F.count("*").alias("n"))
         .filter("n > 1 and first is not null")
         .select("digest", "payload_bytes", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     )
     salted = records.withColumn("_salt", F.pmod(F.xxhash64("archive", "place"), F.lit(salts)).cast("int"))
     found = salted.join(same, ["digest", "payload_bytes", "_salt"], "left").drop("_salt")
-    return found.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
+    return found.withColumn("first", F.when(~F.col("first.page_id").eqNullSafe(F.col("page_id")), F.col("first")))
 
 
 def convert(records: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
-    """Convert the archives of records (archive, place, digest, refers_to); return, staged, the WARC files written.
+    """Convert the archives of records (archive, place, digest, first); return, staged, the WARC files written.
 
-    All records of one archive, whose size is bounded, are one group.
+    All records of one archive, whose size is bounded, are one group; there are as many tasks as archives.
     """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        by_place = dict(zip(df["place"], zip(df["digest"], df["refers_to"])))
+        by_place = {
+            place: (digest, None if pd.isna(page) else Response(page, url, date))
+            for place, digest, page, url, date in zip(df["place"], df["digest"], df["first_page"], df["first_url"], df["first_date"])
+        }
         source = df["archive"].iloc[0]
         opening = lambda name: warc_record(
             "warcinfo", [("WARC-Record-ID", record_id(source, name, "", None)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], f"source: {source}\r\n".encode()
@@ -282,20 +308,24 @@ def convert(records: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
         out, names = Archive(warc_folder, "warc", opening), set()
         for place, arc in arc_records(arc_folder, source):
             digest, refers = by_place[place]
-            names.add(out.add(convert_record(arc, None if pd.isna(refers) else int(refers), digest))[0])
+            names.add(out.add(convert_record(arc, refers, digest))[0])
         out.close()
         return pd.DataFrame({"archive": sorted(names)})
 
     create_folder(warc_folder)
-    rows = records.select("archive", "place", "digest", "refers_to")
-    return staged(rows.groupBy("archive").applyInPandas(run, "archive string"), "warc-index")
+    rows = records.select(
+        "archive", "place", "digest", F.col("first.page_id").cast("string").alias("first_page"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date")
+    )
+    archives = max(1, records.select("archive").distinct().count())
+    return staged(rows.repartition(archives, "archive").groupBy("archive").applyInPandas(run, "archive string"), "warc-index")
 
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string"
+RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, warc_date string, target_uri string, refers_to_id string"
 
 
-def read_warc(files: DataFrame, folder: str) -> DataFrame:
-    """``RECORD`` of every response and revisit in the WARC files; a response's digest is checked against its payload."""
+def read_warc(files: DataFrame, folder: str, kind: str = "bigint") -> DataFrame:
+    """``RECORD`` (pages of type ``kind``) of every response and revisit in the WARC files; a response's digest is checked
+    against its payload. There are as many tasks as files."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -305,27 +335,32 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
                     head, block = parse_warc(raw)
                     if head["WARC-Type"] == "warcinfo":
                         continue
-                    page = _ID.search(block, 0, block.find(b"\r\n\r\n") + 4)
                     digest, size = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["X-Payload-Length"])
                     if head["WARC-Type"] == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
                         if hashlib.sha256(payload).hexdigest() != digest or len(payload) != size:
                             raise ValueError(f"{name}: a payload is not what its digest says")
-                    refers = head.get("WARC-Refers-To-Target-URI", "").removeprefix("urn:page:")
-                    rows.append((int(page[1]) if page else None, size, digest, head["WARC-Type"], int(refers) if refers else None, head["WARC-Record-ID"], head["WARC-Date"], head["WARC-Target-URI"]))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    refers = head.get("X-Refers-To-Page")
+                    rows.append(
+                        (
+                            page_of(block), size, digest, head["WARC-Type"], None if refers is None else urllib.parse.unquote(refers),
+                            head["WARC-Record-ID"], head["WARC-Date"], head["WARC-Target-URI"], head.get("WARC-Refers-To"),
+                        )
+                    )
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
 
-    return files.repartition(max(1, min(2000, files.count()))).mapInPandas(read, RECORD)
+    found = files.repartition(max(1, files.count())).mapInPandas(read, RECORD)
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Pages to ARC archives, these to WARC archives, read back: one row of ``RECORD`` per page row.
 
     Empty tables give empty results; extra columns are not read. Files stay in ``folder``, by default a new one
-    in the cluster's shared folder.
+    in the cluster's shared folder. Page ids keep their type.
     """
     folder = folder or shared_path(spark, "archives")
+    kind = pages.schema["page_id"].dataType.simpleString()
     index = write_arc(pages, f"{folder}/arc")
-    records = with_revisits(read_arc(index, f"{folder}/arc"))
-    return read_warc(convert(records, f"{folder}/arc", f"{folder}/warc"), f"{folder}/warc")
+    records = with_revisits(read_arc(index, f"{folder}/arc", kind))
+    return read_warc(convert(records, f"{folder}/arc", f"{folder}/warc"), f"{folder}/warc", kind)
