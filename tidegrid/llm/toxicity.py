@@ -32,8 +32,8 @@ SWAP = {a.encode(): kind[(i + 1) % len(kind)].encode() for kind in IDENTITY_TERM
 STEMS = range(4, 9)
 #: Words in fewer documents, or with a share of toxic ones within so many standard errors of the mean, are left out.
 LEAST_DOCS, LEAST_Z = 5, 3.0
-#: Words that a task remembers; any number gives the same scores.
-MOST_WORDS = 500_000
+#: Bytes of text whose words are looked up together.
+STEP = 4_000_000
 
 
 def word_ids(words: set[bytes]) -> np.ndarray:
@@ -54,37 +54,25 @@ class ToxicModel:
         order = sorted(self.weights)
         self.ids = np.array(order, np.uint64)
         self.values = np.array([self.weights[k] for k in order])
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def learn_words(self, words: set[bytes]) -> None:
-        """Look up which weights (places in ``values``) these words have; most have none."""
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        ids = [(w, word_ids({w})) for w in words]
-        flat = np.concatenate([x for _, x in ids])
-        place = np.searchsorted(self.ids, flat)
-        place = np.minimum(place, max(0, len(self.ids) - 1))
-        hit = self.ids[place] == flat if len(self.ids) else np.zeros(len(flat), bool)
-        at = 0
-        for w, x in ids:
-            self.known[w] = tuple(place[at : at + len(x)][hit[at : at + len(x)]].tolist())
-            at += len(x)
 
     def score(self, raw: bytes) -> float:
         return float(self.score_all([raw])[0])
 
     def score_all(self, texts: list[bytes]) -> np.ndarray:
-        """Of each text; what a word adds is looked up once and remembered."""
+        """Of texts, in steps of about STEP bytes: the weights of all their words are looked up together and summed by text."""
         z = np.full(len(texts), self.bias)
+        at, step, held = [], [], 0
         for k, raw in enumerate(texts):
-            words = {*plain_words(raw)}
-            if new := words - self.known.keys():
-                self.learn_words(new)
-                if not words <= self.known.keys():  # the table was emptied
-                    self.learn_words(words - self.known.keys())
-            own = {p for w in words for p in self.known[w]}
-            if own:
-                z[k] += self.values[sorted(own)].sum()
+            at.append(k)
+            step.append(word_ids({*plain_words(raw)}))
+            held += len(raw)
+            if len(self.ids) and (held >= STEP or k == len(texts) - 1):
+                ids = np.concatenate(step)
+                place = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+                known = np.flatnonzero(self.ids[place] == ids)
+                owner = np.repeat(np.arange(len(at)), [len(x) for x in step])[known]
+                z[at] += np.bincount(owner, weights=self.values[place[known]], minlength=len(at))
+                at, step, held = [], [], 0
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
