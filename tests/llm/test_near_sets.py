@@ -6,6 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from tidegrid.llm import near_sets
 
 from .conftest import make
 
@@ -60,3 +61,24 @@ def test_near_duplicates_of_odd_rows(spark, sf, odd, odd_rows, empty):
     found = corpus_pipeline.near_dedup(spark, odd, sf).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == kept_brute(odd_rows)
     assert corpus_pipeline.near_dedup(spark, empty, sf).count() == 0
+
+
+def test_buckets_of_several_clusters(spark):
+    """Rows of one bucket in blocks: every pair within the radius, of other roots and of sizes that allow it, is found once."""
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    rows = []
+    for k in range(240):
+        fp = base[k % 4]
+        for _ in range(rng.randrange(14)):
+            fp ^= 1 << rng.randrange(64)
+        rows.append((k % 3, k * 7919 % 1009, rng.choice([40, 45, 60]), k % 9, fp - (1 << 64) if fp >> 63 else fp))
+    frame = spark.createDataFrame(rows, "key long, node long, n int, root long, fp long")
+    want = {
+        (min(a[1], b[1]), max(a[1], b[1]))
+        for a, b in itertools.combinations(rows, 2)
+        if a[0] == b[0] and a[3] != b[3] and 5 * min(a[2], b[2]) >= 4 * max(a[2], b[2]) and bin((a[4] ^ b[4]) & (1 << 64) - 1).count("1") <= near_sets.RADIUS
+    }
+    for block in (4096, 16):
+        found = [tuple(r) for r in near_sets._bit_pairs(frame, block=block).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 100

@@ -8,6 +8,7 @@ from tidegrid.llm import line_rules, quality_rank
 
 from .conftest import make
 from .test_joins import TOKENIZER, check_packing, components_brute, contaminated_brute, fingerprint_brute
+from .test_near_sets import kept_brute
 
 
 @pytest.fixture(scope="module")
@@ -45,10 +46,8 @@ def test_rules_stage(steps):
 
 
 def test_near_duplicate_stage(steps):
-    docs = [(r.doc_id, r.text) for r in steps[2]]
-    root = components_brute([fingerprint_brute(t) for _, t in docs])
-    want = sorted(min(i for (i, _), q in zip(docs, root) if q == r) for r in set(root))
-    assert sorted(r.doc_id for r in steps[3]) == want
+    want = kept_brute([(r.doc_id, r.text) for r in steps[2]])
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in steps[3]) == want
 
 
 def test_decontamination_stage(spark, sf, steps):
@@ -86,8 +85,8 @@ def test_repeated_and_nameless_rows(spark, sf):
 
 def test_extra_columns_pass_through(spark, sf):
     """Columns named like a stage's own ones keep their values."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "'a' quality_score", "'b' kept", "'c' n_words", "'d' k1", "'e' fp", "'f' component_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "'a' quality_score", "'b' kept", "'c' n_words", "'d' k1", "'e' fp", "'f' component_id", "'g' _k1", "'h' _k2", "'i' _found")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
     rows = docs.distinct().collect()
-    assert rows and {(r.quality_score, r.kept, r.n_words, r.k1, r.fp, r.component_id) for r in rows} == {("a", "b", "c", "d", "e", "f")}
+    assert rows and {(r.quality_score, r.kept, r.n_words, r.k1, r.fp, r.component_id, r["_k1"], r["_k2"], r["_found"]) for r in rows} == {tuple("abcdefghi")}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidegrid.llm.common import row_keys, staged
+from tidegrid.llm.common import free_name, row_keys, staged
 
 WINDOW = 10
 #: Rows up to which a table derived from the benchmark is broadcast; larger ones are joined by a shuffle.
@@ -182,6 +182,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """The rows of docs, with all their columns, that no window of a benchmark item occurs in."""
     items, at = item_terms(benchmark)
     index = build_index(docs, at.select("term", "tid").distinct(), id_col, text_col)
-    hit = phrase_matches(index, items, at, window).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    a, b = free_name(docs, "_k1"), free_name(docs, "_k2")
+    hit = phrase_matches(index, items, at, window).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
     k1, k2 = row_keys(id_col, text_col)
-    return docs.withColumns({"_k1": k1, "_k2": k2}).join(hit, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    return docs.withColumns({a: k1, b: k2}).join(hit, [a, b], "left_anti").select(*docs.columns)

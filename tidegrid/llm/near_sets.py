@@ -1,28 +1,35 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets: candidates by MinHash bands, each confirmed exactly.
-
-A text's set are the hashes of its five-word shingles. Of BANDS x ROWS minima under different hashes, ROWS together make a
-band's key; two sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, which is 0.999995 at 0.8 and
-more above it. Equal sets are one node. In each bucket all members are held against the smallest one first; what
-isn't in one component then is compared pair by pair. Only pairs whose sets have a similarity of 0.8 or more link.
+"""Near-duplicates by the Jaccard similarity of shingle sets, with SimHash fingerprints compared in bit slices.
+
+A text's set are the hashes of its five-word shingles, its fingerprint the bits that over half of them have. Sets of
+a similarity of 0.8 differ in about 10 of 64 bits, too many for buckets of agreeing bit blocks; buckets are dealt by
+minima of the sets instead: of BANDS x ROWS minima under different hashes, ROWS together are a bucket's key, and two sets of
+similarity s share one with probability 1 - (1 - s^ROWS)^BANDS, 0.999995 at 0.8 and more above it. Within the buckets
+fingerprints are compared in bit slices, and pairs within RADIUS bits are confirmed by the exact similarity: only sets of 0.8
+or more link. Equal sets are one node. To spare pairs, each set is held against the smallest one that it meets, then
+against the smallest of each bucket, and only what isn't in one component by then is compared with all others.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tidegrid.llm.common import raw_text, row_keys, staged
+from tidegrid.llm.common import free_name, raw_text, row_keys, staged
 from tidegrid.llm.decontam import small
-from tidegrid.llm.simhash import components
+from tidegrid.llm.simhash import BLOCK, by_size, components, in_blocks, majority, near_pairs
 
 SHINGLE, SEED = 5, 42
 BANDS, ROWS = 40, 6
+#: Bits in which fingerprints of candidates may differ: at a similarity of 0.8 about 10 do, with a standard deviation of 3.
+RADIUS = 24
+#: Pairs that a task hands on at a time.
+PAIRS = 100_000
 #: Shingles that are hashed together: bounds a worker's memory for texts of any length.
 STEP = 512
 _RNG = np.random.default_rng(SEED)
@@ -54,15 +61,17 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, the row's keys, ``node`` (the hash of the text's set), ``n`` (its size) and ``bands``. A narrow map of whole texts."""
+    """doc_id, the row's keys, ``node`` (the hash of the text's set), ``n`` (its size), ``fp`` and ``bands``. A narrow map of
+    whole texts."""
 
-    @F.pandas_udf("struct<node: long, n: int, bands: array<long>>")
+    @F.pandas_udf("struct<node: long, n: int, fp: long, bands: array<long>>")
     def of(raw: pd.Series) -> pd.DataFrame:
         own = [shingles(r) for r in raw]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in own], np.uint64).view(np.int64)
-        return pd.DataFrame({"node": node, "n": [len(s) for s in own], "bands": [bands(s) for s in own]})
+        fp = np.array([majority(s) if len(s) else 0 for s in own], np.uint64).view(np.int64)
+        return pd.DataFrame({"node": node, "n": [len(s) for s in own], "fp": fp, "bands": [bands(s) for s in own]})
 
-    return docs.select("doc_id", *row_keys("doc_id", text), of(raw_text(text)).alias("s")).select("doc_id", "k1", "k2", "s.node", "s.n", "s.bands")
+    return docs.select("doc_id", *row_keys("doc_id", text), of(raw_text(text)).alias("s")).select("doc_id", "k1", "k2", "s.node", "s.n", "s.fp", "s.bands")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
@@ -88,25 +97,67 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").filter(9 * both >= 4 * (F.size("_u") + F.size("_v"))).select("u", "v")
 
 
-def near_edges(docs: DataFrame, classes: DataFrame, text: str = "text") -> DataFrame:
-    """Edges (u, v) whose components are those of the sets that bands and similarity link; ``classes``: node, n, bands, of."""
-    own = Window.partitionBy("key")
-    dealt = classes.select("node", "n", F.explode("bands").alias("key"))
-    dealt = dealt.withColumns({"least": F.min(F.struct("node", "n")).over(own), "_c": F.count("*").over(own)}).filter("_c > 1")
-    met = staged(dealt.select("key", "node", "n", F.col("least.node").alias("least"), F.col("least.n").alias("least_n")), "buckets")
+def _with(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
+    """rows joined with what is known of their ``key`` (one row each, with its number of rows ``_c``). Fewer than 1,000 keys have
+    over a thousandth of the rows: their facts are broadcast, and their rows don't meet in the join."""
+    hot = facts.filter(F.col("_c") > max(BLOCK, total // 1000))
+    cold = facts.filter(F.col("_c") <= max(BLOCK, total // 1000))
+    return rows.join(F.broadcast(hot), "key").unionByName(rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key"))
+
+
+def _bit_pairs(rest: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Pairs (u, v) of nodes of one bucket (key, node, n, root, fp) with different roots whose fingerprints are within the radius
+    and whose sizes allow a similarity of 0.8, by bit slices."""
+
+    def work(df: pd.DataFrame, start: np.ndarray) -> Iterator[pd.DataFrame]:
+        order, size = by_size(np.cumsum(start))
+        group, n, root, node = (x[order] for x in (np.cumsum(start), *(df[c].to_numpy(np.int64) for c in ("n", "root", "node"))))
+        fp = df["fp"].to_numpy(np.int64).view(np.uint64)[order]
+
+        def open_at(s: int, m: int) -> np.ndarray:
+            a, b = n[:m], n[s : s + m]
+            return (group[:m] == group[s : s + m]) & (root[:m] != root[s : s + m]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
+
+        us, vs, held = [], [], 0
+        for i, j in near_pairs(fp, size, open_at, radius):
+            us.append(node[i])
+            vs.append(node[j])
+            held += len(i)
+            if held >= PAIRS:
+                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+                us, vs, held = [], [], 0
+        if us:
+            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    found = in_blocks(rest, ["key"], "node", block, work)
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def near_edges(docs: DataFrame, classes: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) whose components are those of the sets that bands and similarity link; ``classes``: node, n, fp, bands, of."""
+    dealt = classes.select("node", "n", "fp", F.explode("bands").alias("key"))
+    least = dealt.groupBy("key").agg(F.min(F.struct("node", "n", "fp")).alias("least"), F.count("*").alias("_c")).filter("_c > 1")
+    least = staged(least, "bucket-least")
+    total = least.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    met = staged(_with(dealt, least, total).drop("_c"), "buckets")
     nodes = met.select("node").distinct().join(classes.select("node", "of.k1", "of.k2"), "node")
     sets = staged(_sets(docs, staged(nodes, "members"), text), "sets")
-    first = met.filter((F.col("node") != F.col("least")) & _close("n", "least_n")).select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    first = staged(_confirmed(first, sets), "first-edges")
-    roots = components(first)
-    # The smallest of each bucket has been compared with all others.
-    rest = met.filter("node <> least").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    rest = rest.withColumns({"_a": F.min("root").over(own), "_b": F.max("root").over(own)}).filter("_a <> _b").drop("_a", "_b")
-    rest = staged(rest, "rest")
-    a, b = (rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root")]) for x in "ab")
-    pairs = a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _close("n_a", "n_b"))
-    pairs = pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
-    return first.unionByName(_confirmed(pairs, sets))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= RADIUS
+    pairs = met.filter((F.col("node") != F.col("least.node")) & _close("n", "least.n") & apart)
+    pairs = staged(pairs.select(F.col("least.node").alias("u"), F.col("node").alias("v")).distinct(), "least-pairs")
+    # Each with the smallest that it meets.
+    edges = staged(_confirmed(pairs.groupBy("v").agg(F.min("u").alias("u")), sets), "first-edges")
+    roots = components(edges)
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"_r{x}"))
+    # With the smallest of each bucket.
+    more = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left").filter(F.coalesce("_ru", "u") != F.coalesce("_rv", "v")).select("u", "v")
+    edges = staged(edges.unionByName(_confirmed(more, sets)), "more-edges")
+    roots = components(edges)
+    # With all others that are in another component.
+    rest = met.filter(F.col("node") != F.col("least.node")).select("key", "node", "n", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rest.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_c")).filter("_a <> _b").select("key", "_c")
+    rest = staged(_with(rest, staged(mixed, "mixed"), total).drop("_c"), "rest")
+    return edges.unionByName(_confirmed(staged(_bit_pairs(rest, block=block), "bit-pairs"), sets))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -117,11 +168,12 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
     own = sketches(docs, text).withColumn("of", order)
-    classes = own.groupBy("node").agg(F.min("of").alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = own.groupBy("node").agg(F.min("of").alias("of"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
     roots = components(near_edges(docs, classes, text)).withColumnRenamed("node", "_node")
     found = classes.join(roots, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("of").alias("of"))
-    keep = found.select(F.col("of.k1").alias("_k1"), F.col("of.k2").alias("_k2"))
+    a, b = free_name(docs, "_k1"), free_name(docs, "_k2")
+    keep = found.select(F.col("of.k1").alias(a), F.col("of.k2").alias(b))
     k1, k2 = row_keys("doc_id", text)
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    return keyed.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    keyed = docs.withColumns({a: k1, b: k2})
+    return keyed.join(keep, [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns)

@@ -12,7 +12,7 @@ leaves it is one edge from each member to its root, never all pairs.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import raw_text, row_keys, staged
+from tidegrid.llm.common import free_name, raw_text, row_keys, staged
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Buckets with more distinct fingerprints are split to blocks, of which every two meet in some task.
@@ -42,7 +42,12 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     else:
         starts = list(itertools.accumulate(map(len, words), lambda a, n: a + n + 1, initial=0))
         hashes = [h(joined[a : b - 1], SEED) for a, b in zip(starts, starts[shingle:])]
-    own = _SPREAD[np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some hashes have."""
+    own = _SPREAD[hashes.view(np.uint8).reshape(-1, 8)]
     sums = np.add.reduceat(own, np.arange(0, len(own), 255), axis=0)  # a byte holds up to 255
     counts = sums.view(np.uint8).reshape(len(sums), 64).sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(own), bitorder="little").view(np.uint64)[0])
@@ -77,19 +82,21 @@ def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = up
 
 
-def link(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """The root (smallest place) of each fingerprint's component; only equal groups, which lie together, link."""
+def near_pairs(fp: np.ndarray, size: np.ndarray, open_at: Callable[[int, int], np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, i + s), shift by shift, of fingerprints that differ in at most ``radius`` bits.
+
+    ``size`` is each row's number of rows in its group, falling, so that the rows whose group is longer than the shift come
+    first; ``open_at(s, m)`` says which pairs of the first m rows and those s later are compared.
+    """
     n = len(fp)
-    root = np.arange(n)
-    if n < 2:
-        return root
-    size = np.bincount(group - group[0]) if group[-1] - group[0] < 4 * n + 64 else np.unique(group, return_counts=True)[1]
     planes = _pack(np.unpackbits(fp.astype(np.uint64).view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T)
     planes = np.concatenate([planes, np.zeros((64, 1), np.uint64)], axis=1)
     depth = (radius + 1).bit_length() if radius & (radius + 1) else radius.bit_length()
     ahead = (1 << depth) - 1 - radius  # counters start here, so that they overflow just beyond the radius
-    for s in range(1, int(size.max())):
-        open_ = (group[: n - s] == group[s:]) & (root[: n - s] != root[s:])
+    rising = size[::-1]
+    for s in range(1, int(size[0])):
+        m = n - int(np.searchsorted(rising, s, side="right"))  # rows of groups with more than s rows
+        open_ = open_at(s, m - s)
         if not open_.any():
             continue
         mask = _pack(open_)
@@ -118,8 +125,31 @@ def link(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.ndarray:
             near = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             row, col = np.nonzero(near)
             i = at[row] * 64 + col
-            _merge(root, i, i + s)
-    return root
+            yield i, i + s
+
+
+def by_size(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which longer groups come first and each lies together, and the rows' group sizes in that order."""
+    _, index, count = np.unique(group, return_inverse=True, return_counts=True)
+    order = np.lexsort((index, -count[index]))
+    return order, count[index[order]]
+
+
+def link(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """The root (smallest place) of each fingerprint's component; only equal groups, which lie together, link."""
+    n = len(fp)
+    root = np.arange(n)
+    if n < 2:
+        return root
+    order, size = by_size(group)
+    own = group[order]
+    for i, j in near_pairs(fp[order], size, lambda s, m: (own[:m] == own[s : s + m]) & (root[:m] != root[s : s + m]), radius):
+        _merge(root, i, j)
+    least = np.full(n, n)
+    np.minimum.at(least, root, order)
+    out = np.empty(n, np.int64)
+    out[order] = least[root]
+    return out
 
 
 def masks(blocks: int, radius: int = RADIUS) -> list[int]:
@@ -144,29 +174,42 @@ def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS, block: int = B
         F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for k, m in enumerate(masks(blocks, radius))
     ]
     dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("_b")).select("fp", "_b.t", "_b.key")
-    large = dealt.groupBy("t", "key").count().filter(F.col("count") > block)
-    large = large.select("t", "key", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    place = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
-    dealt = (
-        dealt.join(large, ["t", "key"], "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("own", place)
-        .withColumn("pair", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(other, lambda x: x != F.col("own")))))
-        .select("t", "key", F.least("own", "pair").alias("a"), F.greatest("own", "pair").alias("b"), "fp")
+    def work(df: pd.DataFrame, start: np.ndarray) -> Iterator[pd.DataFrame]:
+        fp = df["fp"].to_numpy(np.int64)
+        root = link(fp.view(np.uint64), np.cumsum(start), radius)
+        moved = np.flatnonzero(root != np.arange(len(fp)))
+        yield pd.DataFrame({"u": fp[moved], "v": fp[root[moved]]})
+
+    return in_blocks(dealt, ["t", "key"], "fp", block, work)
+
+
+def in_blocks(dealt: DataFrame, key: list[str], by: str, block: int, work: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]]) -> DataFrame:
+    """``work``'s pairs (u, v) over the buckets (rows with equal ``key``) of dealt, about HELD rows of whole buckets at a time.
+
+    Buckets of over ``block`` rows are split by a hash of ``by`` to blocks, of which every two meet in some task. work gets the
+    rows and where a bucket starts.
+    """
+    large = dealt.groupBy(*key).count().filter(F.col("count") > block)
+    large = large.select(*key, F.ceil(F.col("count") / block).cast("int").alias("_parts"))
+    other = F.sequence(F.lit(0), F.col("_parts") - 1)
+    place = F.pmod(F.xxhash64(by, F.lit(7)), F.col("_parts")).cast("int")
+    met = (
+        dealt.join(large, key, "left")
+        .withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        .withColumn("_own", place)
+        .withColumn("_pair", F.explode(F.when(F.col("_parts") == 1, F.array(F.lit(0))).otherwise(F.filter(other, lambda x: x != F.col("_own")))))
+        .select(*dealt.columns, F.least("_own", "_pair").alias("_a"), F.greatest("_own", "_pair").alias("_b"))
     )
+    whole = [*key, "_a", "_b"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         rows = 0
 
-        def work(df: pd.DataFrame) -> pd.DataFrame:
+        def done(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
             start = np.ones(len(df), bool)
-            start[1:] = (df[["t", "key", "a", "b"]].to_numpy()[1:] != df[["t", "key", "a", "b"]].to_numpy()[:-1]).any(1)
-            fp = df["fp"].to_numpy(np.int64)
-            root = link(fp.view(np.uint64), np.cumsum(start), radius)
-            moved = np.flatnonzero(root != np.arange(len(fp)))
-            return pd.DataFrame({"u": fp[moved], "v": fp[root[moved]]})
+            start[1:] = (df[whole].to_numpy()[1:] != df[whole].to_numpy()[:-1]).any(1)
+            yield from work(df, start)
 
         for b in batches:
             if not len(b):
@@ -175,19 +218,14 @@ def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS, block: int = B
             rows += len(b)
             if rows >= HELD:
                 df = pd.concat(held, ignore_index=True)
-                end = df.iloc[-1]
-                rest = (df["t"] == end["t"]) & (df["key"] == end["key"]) & (df["a"] == end["a"]) & (df["b"] == end["b"])
+                rest = (df[whole] == df[whole].iloc[-1]).all(axis=1)
                 held, rows = [df[rest]], int(rest.sum())
                 if rows < len(df):
-                    yield work(df[~rest].reset_index(drop=True))
+                    yield from done(df[~rest].reset_index(drop=True))
         if held:
-            yield work(pd.concat(held, ignore_index=True))
+            yield from done(pd.concat(held, ignore_index=True))
 
-    return (
-        dealt.repartition("t", "key", "a", "b")
-        .sortWithinPartitions("t", "key", "a", "b", "fp")
-        .mapInPandas(run, "u long, v long")
-    )
+    return met.repartition(*whole).sortWithinPartitions(*whole, by).mapInPandas(run, "u long, v long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -247,7 +285,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = S
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
     found = near_duplicates(docs, radius, shingle, text).groupBy("root").agg(F.min(order).alias("of"))
-    keep = found.select(F.col("of.k1").alias("_k1"), F.col("of.k2").alias("_k2"))
+    a, b = free_name(docs, "_k1"), free_name(docs, "_k2")
+    keep = found.select(F.col("of.k1").alias(a), F.col("of.k2").alias(b))
     k1, k2 = row_keys("doc_id", text)
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    return keyed.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    keyed = docs.withColumns({a: k1, b: k2})
+    return keyed.join(keep, [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns)
