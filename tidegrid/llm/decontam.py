@@ -3,7 +3,8 @@
 The index holds a posting (term, document, position) for every word of the documents that any benchmark item
 has, sorted by term within each part. Of each window of item words the two rarest terms, by their postings,
 are intersected first: postings are moved to the place where the item would begin (position less offset), and
-only starts that both lists have go on. What is left is held against the postings of all the other terms.
+only starts that both lists have go on. What is left is held against the postings of all the other terms. Proximity
+matches let words stand some places off, and one word of a whole window be another.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ WINDOW = 10
 #: Rows up to which a table derived from the benchmark is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 KEY = ["k1", "k2"]
+#: Proximity: words by which a term may be off its place, and terms of a whole window that may be missing.
+SLOP, MISS = 3, 1
 
 
 def words(text: Column) -> Column:
@@ -67,20 +70,30 @@ def documents_of(index: DataFrame) -> DataFrame:
     return index.filter("doc is not null").select("doc.id", "k1", "k2", "doc.n_words")
 
 
-def _ranked(items: DataFrame, at: DataFrame, index: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Windows (ik, start, len, and of its two rarest terms p1, t1, p2, t2) whose terms all have postings; frequencies."""
+def frequencies(index: DataFrame, at: DataFrame) -> DataFrame:
+    """The items' words (ik, ipos, tid) with ``f``, the number of postings of each; staged."""
+    if "f" in at.columns:
+        return at
     freq = index.filter("tid is not null").groupBy("tid").agg(F.count("*").alias("f"))
-    at = staged(at.join(freq, "tid", "left").select("ik", "ipos", "tid", F.coalesce("f", F.lit(0)).alias("f")), "frequencies")
+    return staged(at.join(freq, "tid", "left").select("ik", "ipos", "tid", F.coalesce("f", F.lit(0)).alias("f")), "frequencies")
+
+
+def _ranks(items: DataFrame, at: DataFrame, window: int) -> DataFrame:
+    """Windows (ik, start, len), a row for each of their words: ipos, tid, f and ``r``, 1 for the rarest."""
     last = F.greatest(F.col("n") - window, F.lit(0))
     starts = items.select("ik", F.least(F.col("n"), F.lit(window)).alias("len"), F.explode(F.sequence(F.lit(0), last)).alias("start"))
     places = starts.select("ik", "start", "len", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("ipos"))
     order = Window.partitionBy("ik", "start").orderBy("f", "ipos")
-    ranked = places.join(at, ["ik", "ipos"]).withColumn("r", F.row_number().over(order))
+    return places.join(at, ["ik", "ipos"]).withColumn("r", F.row_number().over(order))
+
+
+def _ranked(items: DataFrame, at: DataFrame, window: int) -> DataFrame:
+    """Windows (ik, start, len, and of its two rarest terms p1, t1, p2, t2) whose terms all have postings."""
     pick = lambda c, r: F.max(F.when(F.col("r") == r, F.col(c)))
-    windows = ranked.groupBy("ik", "start", "len").agg(
+    windows = _ranks(items, at, window).groupBy("ik", "start", "len").agg(
         F.min("f").alias("f"), pick("ipos", 1).alias("p1"), pick("tid", 1).alias("t1"), pick("ipos", 2).alias("p2"), pick("tid", 2).alias("t2")
     )
-    return staged(windows.filter("f > 0").drop("f"), "windows"), at
+    return staged(windows.filter("f > 0").drop("f"), "windows")
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, at: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -88,7 +101,8 @@ def phrase_matches(index: DataFrame, items: DataFrame, at: DataFrame, window: in
 
     A window is ``window`` words in a row; an item of fewer is one window.
     """
-    windows, at = _ranked(items, at, index, window)
+    at = frequencies(index, at)
+    windows = _ranked(items, at, window)
     postings = index.filter("tid is not null").select("tid", "k1", "k2", "pos")
     first = windows.select(F.col("t1").alias("tid"), "ik", "p1").distinct()
     found = postings.join(small(first), "tid").select("k1", "k2", "ik", "p1", (F.col("pos") - F.col("p1")).alias("diag"))
@@ -128,44 +142,74 @@ def phrase_matches(index: DataFrame, items: DataFrame, at: DataFrame, window: in
     )
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, at: DataFrame, slop: int = 3, terms: int = 3, window: int = WINDOW) -> DataFrame:
-    """k1, k2, ik and ``start``: places where the ``terms`` rarest terms of an item's window stand within slop words
-    of where an exact occurrence would have them; exact ones are among them. Items of fewer terms need them all."""
-    windows, at = _ranked(items, at, index, window)
-    order = Window.partitionBy("ik", "start").orderBy("f", "ipos")
-    places = windows.select("ik", "start", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("ipos"))
-    probe = places.join(at, ["ik", "ipos"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= terms)
-    need = probe.groupBy("ik", "start").agg(F.count("*").alias("need"))
-    found = (
-        index.filter("tid is not null")
-        .join(small(probe.select("tid", "ik", "start", "ipos")), "tid")
-        .select(*KEY, "ik", "start", "ipos", (F.col("pos") - F.col("ipos")).alias("diag"))
-        .select(*KEY, "ik", "start", "ipos", F.explode(F.sequence(F.col("diag") - slop, F.col("diag") + slop)).alias("diag"))
+def proximity_matches(index: DataFrame, items: DataFrame, at: DataFrame, slop: int = SLOP, miss: int = MISS, window: int = WINDOW) -> DataFrame:
+    """k1, k2, ik, start, len, spread and ``n_found``: every place of a document where an item's window nearly stands.
+
+    The place is named by a posting of one of the window's ``miss`` + 1 rarest terms (ties: the earlier one) and begins where
+    that term says (start, below 0 if the document begins within the window). There all words of the window, or all but ``miss``
+    if it is a whole one, stand at most ``slop`` words from where they would in an exact occurrence; spread is the largest such
+    distance. Exact occurrences are among them, with spread 0 and len words found. Items of fewer than ``window`` words are one
+    window. Of the miss + 2 rarest terms two must be there, so only places where two rare terms agree are looked at.
+    """
+    at = frequencies(index, at)
+    postings = index.filter("tid is not null").select("tid", "k1", "k2", "pos")
+    spare = F.when(F.col("len") == window, miss).otherwise(0)
+    rare = _ranks(items, at, window).filter(F.col("r") <= spare + 2)
+    anchors = staged(rare.filter(F.col("r") <= spare + 1).select("ik", "ipos", "start", "len"), "anchors")
+    lists = postings.join(small(rare.select("tid", "ik", "ipos", (F.col("len") == 1).alias("alone")).distinct()), "tid")
+    beside = Window.partitionBy(*KEY, "ik").orderBy("diag").rangeBetween(-slop, slop)
+    agreed = (
+        lists.select(*KEY, "ik", "ipos", "alone", (F.col("pos") - F.col("ipos")).alias("diag"))
+        .withColumns({"_lo": F.min("ipos").over(beside), "_hi": F.max("ipos").over(beside)})
+        .filter("_lo < _hi or alone")
     )
-    near = found.groupBy(*KEY, "ik", "start", "diag").agg(F.count_distinct("ipos").alias("n")).join(need, ["ik", "start"]).filter("n = need")
-    return near.groupBy(*KEY, "ik", "start").agg(F.min("diag").alias("diag")).select(*KEY, "ik", (F.col("diag") + F.col("start")).alias("start"))
+    agreed = staged(agreed.select(*KEY, "ik", "ipos", "diag"), "agreed")
+    cand = staged(agreed.join(small(anchors), ["ik", "ipos"]).select(*KEY, "ik", "diag", "start", "len").distinct(), "near-candidates")
+    # All words of these items in these documents, as far as they stand near a candidate's diagonal.
+    wanted = cand.select(*KEY, "ik").distinct().join(small(at.select("ik", "ipos", "tid")), "ik")
+    near = postings.join(small(cand.select(*KEY).distinct()), KEY, "left_semi")
+    words_of = wanted.join(near, [*KEY, "tid"]).select(*KEY, "ik", "ipos", (F.col("pos") - F.col("ipos")).alias("at"))
+    reach = cand.select(*KEY, "ik", "diag").distinct().withColumn("at", F.explode(F.sequence(F.col("diag") - slop, F.col("diag") + slop)))
+    off = reach.join(words_of, [*KEY, "ik", "at"]).groupBy(*KEY, "ik", "diag", "ipos").agg(F.min(F.abs(F.col("at") - F.col("diag"))).alias("off"))
+    there = off.groupBy(*KEY, "ik", "diag").agg(F.collect_list(F.struct("ipos", "off")).alias("there"))  # an item's words at most
+    inside = F.filter("there", lambda x: (x["ipos"] >= F.col("start")) & (x["ipos"] < F.col("start") + F.col("len")))
+    return (
+        cand.join(there, [*KEY, "ik", "diag"])
+        .withColumn("inside", inside)
+        .filter(F.size("inside") >= F.col("len") - spare)
+        .select(
+            *KEY, "ik", (F.col("diag") + F.col("start")).alias("start"), "len",
+            F.array_max(F.transform("inside", lambda x: x["off"])).alias("spread"), F.size("inside").alias("n_found"),
+        )
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, n_hit, n_items, items_sha256, contaminated and ``items`` (their ids) of every row.
+    """id_col, n_words, n_hit, n_items, items_sha256, contaminated, n_near, near_items and ``items`` (their ids) of every row.
 
-    Null and empty texts have no words and are clean; an empty benchmark leaves all clean. Repeated rows get
-    equal results each; repeated items count once. Items with the same id and other texts are one item. Extra
-    columns are not read.
+    The first ones are of exact phrases; near_items are the sorted, comma-joined ids of the items with a proximity match,
+    exact ones among them, and n_near is their number. Null and empty texts have no words and are clean; an empty benchmark
+    leaves all clean. Repeated rows get equal results each; repeated items count once. Items with the same id and other texts
+    are one item. Extra columns are not read.
     """
     items, at = item_terms(benchmark)
     index = build_index(docs, at.select("term", "tid").distinct(), id_col, text_col)
+    at = frequencies(index, at)
+    ids = small(items.select("ik", F.col("item_id").cast("string").alias("item")))
+    named = lambda c: F.sort_array(F.collect_set(c))
     found = (
         phrase_matches(index, items, at, window)
-        .join(small(items.select("ik", "item_id")), "ik")
+        .join(ids, "ik")
         .groupBy(*KEY)
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), named("item").alias("items"))
     )
+    near = proximity_matches(index, items, at, window=window).select(*KEY, "ik").distinct().join(ids, "ik").groupBy(*KEY).agg(named("item").alias("near"))
     none = F.array().cast("array<string>")
     return (
         documents_of(index)
         .join(found, KEY, "left")
-        .select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+        .join(near, KEY, "left")
+        .select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), *(F.coalesce(c, none).alias(c) for c in ("items", "near")))
         .select(
             id_col,
             "n_words",
@@ -173,6 +217,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
             F.size("items").cast("long").alias("n_items"),
             F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
             (F.col("n_hit") > 0).alias("contaminated"),
+            F.size("near").cast("long").alias("n_near"),
+            F.array_join("near", ",").alias("near_items"),
             "items",
         )
     )

@@ -132,10 +132,35 @@ ORACLES = {
         ), it AS (
             SELECT doc_id, text, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
             FROM (SELECT DISTINCT doc_id, text, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id, text
+        ), dd AS (
+            SELECT doc_id, text, w, count(*) AS copies, row_number() OVER () AS k FROM d GROUP BY doc_id, text, w
+        ), dp AS (
+            SELECT k, copies, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM dd
+        ), fr AS (
+            SELECT term, sum(copies) AS f FROM dp GROUP BY term
+        ), bi AS (
+            SELECT item_id, w, row_number() OVER () AS ik FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)
+        ), bp AS (
+            SELECT ik, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS ipos FROM bi
+        ), win AS (
+            SELECT ik, least(len(w), 10) AS n, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM bi
+        ), rk AS (
+            SELECT win.ik, s, n, ipos, bp.term, row_number() OVER (PARTITION BY win.ik, s ORDER BY coalesce(f, 0), ipos) AS r
+            FROM win JOIN bp ON bp.ik = win.ik AND ipos BETWEEN s AND s + n - 1 LEFT JOIN fr ON fr.term = bp.term
+        ), cand AS (
+            SELECT DISTINCT k, ik, s, n, pos - ipos AS dg FROM rk JOIN dp ON dp.term = rk.term WHERE r <= CASE WHEN n = 10 THEN 2 ELSE 1 END
+        ), nr AS (
+            SELECT cand.k, cand.ik FROM cand JOIN bp ON bp.ik = cand.ik AND ipos BETWEEN s AND s + n - 1
+                JOIN dp ON dp.k = cand.k AND dp.term = bp.term AND abs(dp.pos - ipos - dg) <= 3
+            GROUP BY cand.k, cand.ik, s, n, dg HAVING count(DISTINCT ipos) >= n - CASE WHEN n = 10 THEN 1 ELSE 0 END
+        ), ni AS (
+            SELECT doc_id, text, count(*) AS n_near, string_agg(i, ',' ORDER BY i) AS near_items
+            FROM (SELECT DISTINCT doc_id, text, CAST(item_id AS VARCHAR) AS i FROM nr JOIN bi ON bi.ik = nr.ik JOIN dd ON dd.k = nr.k) GROUP BY doc_id, text
         )
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
             CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-            coalesce(n_hit, 0) > 0 AS contaminated
+            coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(near_items, '') AS near_items
         FROM d LEFT JOIN hit ON hit.doc_id IS NOT DISTINCT FROM d.doc_id AND hit.text IS NOT DISTINCT FROM d.text
-            LEFT JOIN it ON it.doc_id IS NOT DISTINCT FROM d.doc_id AND it.text IS NOT DISTINCT FROM d.text""",
+            LEFT JOIN it ON it.doc_id IS NOT DISTINCT FROM d.doc_id AND it.text IS NOT DISTINCT FROM d.text
+            LEFT JOIN ni ON ni.doc_id IS NOT DISTINCT FROM d.doc_id AND ni.text IS NOT DISTINCT FROM d.text""",
 }
