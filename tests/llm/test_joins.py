@@ -444,7 +444,7 @@ def tree_brute(texts):
             total += 1
             for d in range(depth + 1):
                 counts.setdefault((pad + s)[k + depth - d : k + depth], Counter())[s[k]] += 1
-    least = max(suffix_lm.LEAST_COUNT, suffix_lm.LEAST_SHARE * total)
+    least = suffix_lm.LEAST_COUNT
     kept = {b""}
     for c, n in counts.items():
         size = sum(n.values())
@@ -501,20 +501,48 @@ def test_suffix_tree_states(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").limit(25).collect()
     texts = [suffix_lm.stream(r.text.encode()) for r in rows]
     raw = spark.createDataFrame([(bytearray(r.text.encode()),) for r in rows], "_raw binary")
-    tree = suffix_lm.grow(suffix_lm.count_grams(raw))
+    table = suffix_lm.grow(suffix_lm.count_grams(raw))
+    tree = suffix_lm.fetch(table)
     kept, score = tree_brute(texts)
     got = {b""} | {int(c).to_bytes(d, "big")[::-1] for d in range(1, suffix_lm.DEPTH + 1) for c in tree.contexts[d]}
     assert got == kept and len(kept) > 50
     probe = texts[:5] + [b"entirely new words 123\n", b"\n"]
+    key = np.unique(suffix_lm.grams(probe)[0])
+    joined = suffix_lm.gram_scores(spark.createDataFrame([(int(k),) for k in key], "gram long"), table).toPandas().sort_values("gram")["x"]
+    assert np.allclose(joined, tree.score_grams(key))
     assert np.allclose(tree.score(probe), [score(s) for s in probe])
 
 
-def test_blocks_do_not_change_scores(spark, odd, monkeypatch):
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)
-    whole = sorted(suffix_lm.score_documents(odd).collect(), key=key)
-    docs = odd.coalesce(1)
-    tree_docs = sorted(suffix_lm.score_documents(docs).collect(), key=key)
-    assert [(r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in whole] == [(r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in tree_docs]
+def test_blocks_and_joins_do_not_change_scores(spark, sf, odd):
+    """Many small blocks and steps, and a tree that is joined, not sent."""
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    some = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for docs in (odd, some.unionByName(odd.select(some.columns))):
+        got = [
+            [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in sorted(found.collect(), key=key)]
+            for found in (
+                suffix_lm.score_documents(docs),
+                suffix_lm.score_documents(docs.coalesce(1), block_bytes=20_000, step=7_000, count_step=9_000),
+                suffix_lm.score_documents(docs, most_edges=0),
+                suffix_lm.score_documents(docs.coalesce(1), most_edges=0, block_bytes=20_000),
+            )
+        ]
+        assert got[0] == got[1] == got[2] == got[3]
+
+
+def test_ids_may_be_text(spark):
+    docs = spark.createDataFrame([("a", "one two"), (None, "three"), ("b", None)], "doc_id string, text string")
+    assert {r.doc_id for r in suffix_lm.score_documents(docs).collect()} == {"a", None, "b"}
+
+
+def test_language_model_query(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    found = queries.op7_suffix_tree_lm(spark, sf).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in found) == lm_brute(docs)
+    train = [suffix_lm.stream(t.encode()) for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1]
+    _, score = tree_brute(train)
+    by = {r.doc_id: r.score for r in found}
+    assert all(np.isclose(by[i], score(suffix_lm.stream(t.encode()))) for i, t in docs[:20])
 
 
 @pytest.mark.parametrize("query", sorted(queries.ORACLES))
