@@ -143,6 +143,71 @@ def test_ranking_orders_pairs():
     assert ((0 <= s) & (s <= 1)).all()
 
 
+def features_brute(text):
+    """The features in plain Python, over a list of characters."""
+    raw = (text or "").encode()
+    words = BLANK.findall(text or "")
+    n = len(words)
+    if not n:
+        return [0.0] * (quality_rank.N_FEATURES - 1) + [1.0]
+    has = lambda chars: sum(c in chars for c in raw)
+    upper, lower, high = has(range(65, 91)), has(range(97, 123)), has(range(128, 256))
+    letters = max(1, upper + lower + high // 2)
+    lines = [x for x in (text or "").split("\n") if BLANK.search(x)]
+    pairs, symbols = len({*zip(words, words[1:])}), has(b"#*$%&|<>")
+    return [
+        np.log1p(n) / 5, min(n, 20) / 20, upper / letters, float(upper > letters / 2), min(symbols / n, 2.0), float(symbols > 0.1 * n), min(has(b"!") / n, 2.0), min(has(b"|") / n, 1.0),
+        has(range(48, 58)) / len(raw), min(has(b",.") / n, 1.0), min(len(raw) / n, 30.0) / 10, len({*words}) / n, 1 - pairs / max(1, n - 1), float(pairs < 0.7 * (n - 1)),
+        1 - len({*lines}) / len(lines), len(lines) / n, sum(w.encode() in quality_rank.FUNCTION_WORDS for w in words) / n, letters / len(raw), min((has(b"@") + (text or "").count("://")) / n, 1.0), 0.0,
+    ]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["The", "of", "ABC", "é", "12", "a@b", "http://x", "|", "#", "!", "\n", "same line\n", ",", "."]), max_size=60))
+def test_features_by_plain_python(parts):
+    text = " ".join(parts)
+    assert np.allclose(quality_rank.features(text.encode()), features_brute(text))
+
+
+def test_pair_sums_by_brute_force():
+    """Gradient and Hessian over every pair, one by one; the fitted weights are where the gradient with its penalty is zero."""
+    rng = np.random.default_rng(7)
+    z, y = rng.normal(size=(40, 4)), (rng.random(40) < 0.6).astype(int)
+    w = rng.normal(size=4)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    grad, hess = np.zeros(4), np.zeros((4, 4))
+    for i in good:
+        for j in bad:
+            d = z[i] - z[j]
+            p = 1 / (1 + np.exp(-d @ w))
+            grad += (p - 1) * d
+            hess += p * (1 - p) * np.outer(d, d)
+    n = len(good) * len(bad)
+    for block in (512, 3):
+        got = quality_rank.pair_sums(z, w, good, bad, block)
+        assert np.allclose(got[0], grad / n) and np.allclose(got[1], hess / n)
+    x = np.zeros((40, quality_rank.N_FEATURES))
+    x[:, :4] = z
+    m = quality_rank.fit_pairs(x, y)
+    own = quality_rank.pair_sums((x - m.mean) / m.scale, m.weights, good, bad)[0] + 1e-3 * m.weights
+    assert np.abs(own).max() < 1e-6
+
+
+def test_quality_query(spark, sf):
+    """The query's rows by plain Python from a model fitted on plain features."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    marks = {(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality in (0, 1)}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    known = sorted((i, y) for i, y in marks if i in docs and fold(i) != 2)
+    model = quality_rank.fit_pairs(np.array([features_brute(docs[i]) for i, _ in known]), np.array([y for _, y in known]))
+    rows = queries.op3_quality_ranking(spark, sf).collect()
+    assert {r.doc_id for r in rows} == docs.keys() and len(rows) == len(docs)
+    for r in rows:
+        z = sum((a - b) / c * w for a, b, c, w in zip(features_brute(docs[r.doc_id]), model.mean, model.scale, model.weights))
+        want = 1 / (1 + np.exp(-min(max((z - model.cut) / model.width + np.log(0.7 / 0.3), -30), 30)))
+        assert r.held_out == (fold(r.doc_id) == 2) and np.isclose(r.score, want, atol=1e-6) and r.predicted == (r.score >= 0.7)
+
+
 def test_quality_on_odd_rows(odd, odd_rows, empty, labels):
     model = quality_rank.train(odd, labels)
     found = quality_rank.score_quality(odd.withColumnRenamed("source", "quality_score"), model).collect()
@@ -196,6 +261,28 @@ def test_language_on_odd_rows(spark, odd, odd_rows, empty):
     assert langid.identify(make(spark, [(1, "\u02b0"), (2, "\u65e5")]), model).filter("lang_pred = 'und'").count() == 0
 
 
+def test_language_query(spark, sf):
+    """Prediction, score and fold by plain counts of hashed n-grams."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    own = lambda t: [(h) for n in langid.ORDERS for h in langid.hashed(langid.codes(t), n).tolist()]
+    known = [(t, x) for i, t, x in docs if t is not None and x is not None and fold(i) != 0]
+    langs = sorted({x for _, x in known})
+    counts = {x: Counter(h for t, y in known if y == x for h in own(t)) for x in langs}
+    sizes, seen = {x: sum(c.values()) for x, c in counts.items()}, Counter(x for _, x in known)
+    rows = {r.doc_id: r for r in queries.op4_language_id(spark, sf).collect()}
+    assert rows.keys() == {i for i, _, _ in docs}
+    for i, t, _ in docs:
+        r = rows[i]
+        assert r.held_out == (fold(i) == 0)
+        if not any(unicodedata.category(c)[0] == "L" for c in t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        grams = own(t)
+        z = [np.log(seen[x] / len(known)) + sum(np.log((counts[x][h] + 0.1) / (sizes[x] + 0.1 * langid.BUCKETS)) for h in grams) for x in langs]
+        assert r.lang_pred == langs[int(np.argmax(z))] and np.isclose(r.score, 1 / np.exp(np.array(z) - max(z)).sum(), atol=1e-3)
+
+
 def test_language_held_out(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     found = langid.identify(docs, langid.train(docs, fold=(5, 0))).toPandas()
@@ -234,6 +321,55 @@ def test_identity_swaps_move_no_score():
     assert fair.score(b"insult") > 0.5 > fair.score(b"muslims live here")
 
 
+def ids_brute(text):
+    """A text's words and their beginnings of 4 to 8 bytes, as (length or 0, bytes)."""
+    words = {w.encode() for w in WORD.findall(low(text or ""))}
+    return {(0, w) for w in words} | {(k, w[:k]) for w in words for k in range(4, 9) if len(w) > k}
+
+
+def swap_brute(text):
+    named = {w for w in WORD.findall(low(text or "")) if w.encode() in toxicity.SWAP}
+    return " ".join(toxicity.SWAP[w.encode()].decode() if w in named else w for w in WORD.findall(low(text or ""))) if named else None
+
+
+def fit_brute(rows, swapped, y, l2=3e-4, swap_penalty=1.0, rounds=300):
+    """The same loss over dense tables: a row for each text, a column for each kept word; one row more for each swap."""
+    share = y.mean()
+    df, pos = Counter(x for r in rows for x in r), Counter(x for r, t in zip(rows, y) for x in r if t)
+    identity = {x for w in toxicity.SWAP for x in ids_brute(w.decode())}
+    far = lambda x: df[x] >= 5 and abs(pos[x] - df[x] * share) >= 3 * np.sqrt(df[x] * share * (1 - share) + 1e-9)
+    kept = sorted(x for x in df if x in identity or far(x))
+    table = np.array([[1.0, *(float(x in r) for x in kept)] for r in rows])
+    moved = np.array([[0.0, *(float(x in r) - float(x in s) for x in kept)] for r, s in zip(rows, swapped) if s is not None]).reshape(-1, len(kept) + 1)
+    w, m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    w[0] = np.log(share / (1 - share))
+    for t in range(1, rounds + 1):
+        g = table.T @ (1 / (1 + np.exp(-table @ w)) - y) / len(y)
+        g[1:] += l2 * w[1:]
+        if len(moved):
+            g += 2 * swap_penalty / len(moved) * moved.T @ (moved @ w)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return dict(zip(kept, w[1:])), w[0]
+
+
+def test_toxicity_by_brute_force(spark, sf):
+    """The query's rows from labelled texts by plain sets and dense tables: words, screen, swaps, penalty, score."""
+    at = sf.replace("0.001", "0.01")
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    marks = {(r.doc_id, r.toxic) for r in spark.read.parquet(f"{at}/labels.parquet").collect() if r.toxic in (0, 1)}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    known = [(i, y) for i, y in sorted(marks) if i in docs and fold(i) != 0]
+    swaps = [swap_brute(docs[i]) for i, _ in known]
+    weights, bias = fit_brute([ids_brute(docs[i]) for i, _ in known], [None if s is None else ids_brute(s) for s in swaps], np.array([float(y) for _, y in known]))
+    rows = queries.op8_toxicity(spark, at).collect()
+    assert len(rows) == len(docs) == len({r.doc_id for r in rows}) and len(weights) > 5
+    for r in rows:
+        z = bias + sum(weights.get(x, 0.0) for x in ids_brute(docs[r.doc_id]))
+        assert np.isclose(r.score, 1 / (1 + np.exp(-min(max(z, -30), 30))), atol=1e-4), r.doc_id
+        assert r.held_out == (fold(r.doc_id) == 0) and r.predicted == (r.score >= 0.5)
+
+
 def test_toxicity_on_odd_rows(odd, odd_rows, empty, labels):
     model = toxicity.train(odd, labels)
     found = toxicity.score_toxicity(odd, model).collect()
@@ -311,6 +447,26 @@ def test_line_rules_on_odd_rows(odd, odd_rows, empty):
     assert line_rules.apply_rules(empty, line_rules.train(empty)).count() == 0
 
 
+def test_line_rules_query(spark, sf):
+    """Base columns by brute force, verdicts from the marks that Viterbi's best path gives."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    model = line_rules.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows = queries.op9_line_rules(spark, sf).collect()
+    assert {r.doc_id for r in rows} == docs.keys()
+    for r in rows:
+        text = docs[r.doc_id] or ""
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_lines(text)
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        x, sizes, _ = line_rules.line_features(text.encode())
+        paths = [((), 0.0)]
+        for row in x @ model.weights:
+            paths = [max((((*p, b), v + row[b] + (model.moves[p[-1], b] if p else 0.0)) for p, v in paths), key=lambda c: c[1]) for b in (0, 1)]
+        marks = max(paths, key=lambda c: c[1])[0]
+        content = sum(n for n, m in zip(sizes, marks) if m == line_rules.CONTENT)
+        assert r.kept == (not failed and content >= 0.5 * r.n_words)
+        assert r.base_failed == failed and not (failed and r.kept)
+
+
 def test_boilerplate_lines_are_marked(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = line_rules.train(docs)
