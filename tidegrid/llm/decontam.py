@@ -154,8 +154,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, at: DataFrame, slop: i
     at = frequencies(index, at)
     postings = index.filter("tid is not null").select("tid", "k1", "k2", "pos")
     spare = F.when(F.col("len") == window, miss).otherwise(0)
-    rare = _ranks(items, at, window).filter(F.col("r") <= spare + 2)
-    anchors = staged(rare.filter(F.col("r") <= spare + 1).select("ik", "ipos", "start", "len"), "anchors")
+    rare = staged(_ranks(items, at, window).filter(F.col("r") <= spare + 2).select("ik", "start", "len", "ipos", "tid", (F.col("r") <= spare + 1).alias("anchor")), "rare")
     lists = postings.join(small(rare.select("tid", "ik", "ipos", (F.col("len") == 1).alias("alone")).distinct()), "tid")
     beside = Window.partitionBy(*KEY, "ik").orderBy("diag").rangeBetween(-slop, slop)
     agreed = (
@@ -164,7 +163,15 @@ def proximity_matches(index: DataFrame, items: DataFrame, at: DataFrame, slop: i
         .filter("_lo < _hi or alone")
     )
     agreed = staged(agreed.select(*KEY, "ik", "ipos", "diag"), "agreed")
-    cand = staged(agreed.join(small(anchors), ["ik", "ipos"]).select(*KEY, "ik", "diag", "start", "len").distinct(), "near-candidates")
+    # Those of one window: an anchor with another of its rarest terms.
+    every = rare.groupBy("ik", "start").agg(F.collect_list("ipos").alias("every"))
+    anchors = rare.filter("anchor").join(every, ["ik", "start"]).select("ik", "ipos", "start", "len", F.array_remove("every", F.col("ipos")).alias("others"))
+    cand = (
+        agreed.withColumn("_by", F.collect_set("ipos").over(beside))
+        .join(small(staged(anchors, "anchors")), ["ik", "ipos"])
+        .filter((F.size("others") == 0) | F.arrays_overlap("_by", "others"))
+    )
+    cand = staged(cand.select(*KEY, "ik", "diag", "start", "len").distinct(), "near-candidates")
     # All words of these items in these documents, as far as they stand near a candidate's diagonal.
     wanted = cand.select(*KEY, "ik").distinct().join(small(at.select("ik", "ipos", "tid")), "ik")
     near = postings.join(small(cand.select(*KEY).distinct()), KEY, "left_semi")
