@@ -1,6 +1,5 @@
 """Graphs, neighbours, interpolation and message passing."""
 
-import itertools
 import math
 
 import numpy as np
@@ -158,7 +157,48 @@ def test_random_forest(spark):
     assert got.filter((F.col("p") >= 0.5).cast("int") != F.col("y")).count() == 0
 
 
-def test_all_walks_of_a_path(spark):
-    got = {(r.src, r.dst, r.k) for r in graph.walks(edges_of(spark, [(0, 1), (1, 2)]), 2).collect()}
-    assert got == {(k, k, 0) for k in range(3)} | {(0, 1, 1), (1, 2, 1), (0, 2, 2)}
-    assert len(list(itertools.chain(got))) == 6
+def test_hubs_and_triggers(spark):
+    """A hub with many neighbours: states go from the triggers alone, hop by hop."""
+    df = spark.createDataFrame([(v, t, 1.0 if (v, t) == (3, 0) else 0.0) for v in range(500) for t in range(4)], "node_id long, t int, rain double")
+    edges = edges_of(spark, [(v, 0) for v in range(1, 500)] + [(0, v) for v in range(1, 500)])
+    got = {(r.node_id, r.t): r.p for r in graph.propagate(df, edges, "rain").collect()}
+    assert len(got) == 2000 and np.isclose(got[0, 1], 0.9) and np.isclose(got[7, 2], 0.81) and got[7, 1] is None and np.isclose(got[0, 3], max(0.9**3, 0.9 * 0.5**0.5))
+
+
+def test_attributes_of_parallel_edges_are_laid_over(spark):
+    rows = [(0, 1, 9.0, 0, "a", "x"), (0, 1, 5.0, 1, None, "y"), (0, 1, 7.0, 2, "c", "z"), (0, 1, 5.0, 3, "d", "w"), (0, 1, 2.0, 4, None, None)]
+    df = spark.createDataFrame(rows, "u long, v long, length double, key int, name string, kind string").repartition(3)
+    assert [tuple(r) for r in graph.shortest_parallel(df).collect()] == [(0, 1, 2.0, 4, "a", "y")]
+
+
+def test_repeated_points_and_empty_sides(spark):
+    p = spark.createDataFrame([(0.0, 0.0, 13.0, 80.25)] * 3 + [(1.0, 2.0, 13.1, 80.3)], "x double, y double, lat double, lon double")
+    st = spark.createDataFrame([(1.0, 0.0, 4.0), (0.0, 2.0, 8.0)], "s_x double, s_y double, s_value double")
+    rivers = spark.createDataFrame([(13.0, 80.25)], "r_lat double, r_lon double")
+    assert sorted(r["value"] for r in spatial.idw_all(p, st).collect())[:3] == [(4 + 8 / 4) / (1 + 1 / 4)] * 3
+    assert sorted(r.river for r in spatial.river_proximity(p, rivers).collect())[1:] == [1.0] * 3
+    for found, c, want in ((spatial.idw_all(p, st.limit(0)), "value", None), (spatial.river_proximity(p, rivers.limit(0)), "river", 0.0)):
+        assert [r[c] for r in found.collect()] == [want] * 4
+    near = lambda t: spatial.nearest_in_table(p, t, lambda s: F.abs(F.col("x") - s["s_x"]))
+    assert sorted(r.dist for r in near(st).collect()) == [0.0] * 4 and [r.dist for r in near(st.limit(0)).collect()] == [None] * 4
+    with pytest.raises(ValueError, match="too many"):
+        spatial.beside(p, spark.range(10), "_x", most=9)
+
+
+@pytest.mark.parametrize("n", [1, 3, 12_000])
+def test_interpolation_over_many_stations(spark, n):
+    rng = np.random.default_rng(n)
+    x, v = np.sort(rng.random(n)) * 100, rng.random(n)
+    q = np.concatenate([rng.random(400) * 120 - 10, x[:5], x[:5]])
+    st = spark.createDataFrame(list(zip(x.tolist(), v.tolist())), "lat double, rain double")
+    p = spark.createDataFrame([(k, float(a)) for k, a in enumerate(q)], "id long, lat double").repartition(5)
+    found = spatial.interpolate_by(p, st)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.rain for r in found.collect()}
+    assert len(got) == len(q) and np.allclose([got[k] for k in range(len(q))], np.interp(q, x, v))
+    assert {r.rain for r in spatial.interpolate_by(p, st.limit(0)).collect()} == {None}
+
+
+def test_capacity_of_any_case(spark):
+    df = spark.createDataFrame([("River",), ("CANAL",)], "k string").select(graph.waterway_capacity(F.col("k")).alias("c"))
+    assert [r.c for r in df.collect()] == [1.0, 0.8]

@@ -130,3 +130,14 @@ def test_early_stopping(spark):
     got = series.early_stopping(df, "score", 3).orderBy("epoch").collect()
     assert [r.since for r in got] == [0, 0, 1, 2, 3, 0, 1, 2, 3]
     assert [r.stopped for r in got] == [False] * 4 + [True] * 5
+
+
+@pytest.mark.parametrize("hours", [6, 12, 24, 50, 120])
+def test_long_windows_forget(spark, hours):
+    """Large values and NaN go with their hour: no later window holds a trace of them."""
+    v = np.full(300, 0.1)
+    v[3], v[20], v[40] = 1e16, np.nan, 1e16
+    got = {r.t: r.ant for r in series.trailing_mean(make(spark, v), hours).collect()}
+    for t in range(300):
+        want = v[t - hours : t].mean() if t >= hours else 0.0
+        assert np.isclose(got[t], want, equal_nan=True), t

@@ -23,6 +23,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = getattr(spark.sparkContext, "_tidegrid_dir", None) or tempfile.mkdtemp(prefix="tidegrid-")
         spark.sparkContext._tidegrid_dir = top
     path = f"{top.rstrip('/')}/tidegrid-{name}-{uuid.uuid4().hex}"
@@ -31,8 +33,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def waterway_capacity(kind: Column) -> Column:
+    """The capacity of a kind of waterway, in any case; the default for others and null."""
     table = F.create_map(*[F.lit(x) for kv in WATERWAY_CAPACITY.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, kind), F.lit(DEFAULT_CAPACITY))
+    return F.coalesce(F.try_element_at(table, F.lower(kind)), F.lit(DEFAULT_CAPACITY))
 
 
 def grid(spark: SparkSession, n: int, side: int, steps: Sequence[tuple[int, int]] = GRID_STEPS) -> tuple[DataFrame, DataFrame]:
@@ -59,11 +62,18 @@ def without_loops(edges: DataFrame) -> DataFrame:
 
 
 def shortest_parallel(edges: DataFrame, order: str = "key") -> DataFrame:
-    """One edge for each (u, v): the shortest after the floor, the first of equals. Loops go."""
+    """One edge for each (u, v), of the least length after the floor. Loops go.
+
+    Edges are taken in their order: each that is shorter than all before it lays its attributes over those of the ones before,
+    so that an attribute which it lacks keeps its value. Of equally short ones the first counts.
+    """
     own = without_loops(edges).withColumn("length", floored_length(F.col("length")))
-    rest = [c for c in own.columns if c not in ("u", "v")]
-    best = F.min_by(F.struct(*rest), F.struct("length", order)).alias("e")
-    return own.groupBy("u", "v").agg(best).select("u", "v", *[F.col(f"e.{c}").alias(c) for c in rest])
+    before = Window.partitionBy("u", "v").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_shorter", F.col("length") < F.coalesce(F.min("length").over(before), F.lit(float("inf"))))
+    rest = [c for c in edges.columns if c not in ("u", "v", "length")]
+    last = lambda c: F.max_by(c, F.when(F.col("_shorter") & F.col(c).isNotNull(), F.col(order))).alias(c)
+    found = own.groupBy("u", "v").agg(F.min("length").alias("length"), *[last(c) for c in rest])
+    return found.select("u", "v", *[c for c in edges.columns if c not in ("u", "v")])
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -207,36 +217,27 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> bool:
     return n <= 1 or reachable(edges, start).count() == n and reachable(back, start).count() == n
 
 
-def walks(edges: DataFrame, hops: int) -> DataFrame:
-    """src, dst and k of all pairs that a walk of k edges joins, k from 0 to ``hops``; each pair once for a k."""
-    own = edges.select("u", "v").distinct()
-    nodes = own.select(F.explode(F.array("u", "v")).alias("src")).distinct()
-    out = step = nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("k"))
-    for k in range(1, hops + 1):
-        step = step.join(own, F.col("dst") == F.col("u")).select("src", F.col("v").alias("dst"), F.lit(k).alias("k")).distinct()
-        out = out.unionByName(step)
-    return out
-
-
 def propagate(series: DataFrame, edges: DataFrame, trigger: str, half_life: float = 4.0, strength: float = 0.9, least: float = 0.5, out: str = "p") -> DataFrame:
     """p[t, v] = max(d p[t-1, v], trigger[t, v], strength max over u -> v of p[t-1, u]), where it reaches ``least``.
 
-    In closed form p is the largest trigger[s, u] strength^k d^(t - s - k) over walks of k edges from u to v and
-    k <= t - s. Since each hour costs a factor of at least max(strength, d), only few hours back can matter:
-    one join on walks and hours, whatever the length of the series. Values under ``least`` are null.
+    Starts from the triggers of at least ``least`` and goes on an hour a round, to the node itself (a factor of d) and along its
+    edges (a factor of ``strength``); of all that reaches a node in an hour the largest goes on. An hour costs a factor of at most
+    max(strength, d), so few rounds matter, whatever the length of the series; a hub costs its edges, not pairs of its
+    neighbours. Values under ``least`` are null.
     """
     from math import floor, log
 
     from tidegrid.operators.series import decay_rate
 
     d = decay_rate(half_life)
-    rate = max(strength, d)
-    back = floor(log(least) / log(rate) + 1e-9)
-    sources = series.filter(F.col(trigger) >= least).select(F.col("node_id").alias("src"), F.col("t").alias("_s"), F.col(trigger).alias("_trig"))
-    steps = walks(edges, back).filter(F.col("k") <= back)
-    alone = series.select(F.col("node_id").alias("src")).distinct().withColumns({"dst": F.col("src"), "k": F.lit(0)})
-    steps = steps.unionByName(alone).distinct()
-    reach = sources.join(steps, "src").withColumn("_lag", F.explode(F.sequence("k", F.lit(back))))
-    value = F.col("_trig") * F.pow(F.lit(strength), F.col("k")) * F.pow(F.lit(d), F.col("_lag") - F.col("k"))
-    best = reach.select(F.col("dst").alias("node_id"), (F.col("_s") + F.col("_lag")).cast("int").alias("t"), value.alias(out)).filter(F.round(out, 6) >= least)
-    return series.join(best.groupBy("node_id", "t").agg(F.max(out).alias(out)), ["node_id", "t"], "left")
+    own = edges.select(F.col("u").alias("node_id"), F.col("v").alias("_to")).distinct()
+    front = series.filter(F.col(trigger) >= least).select("node_id", "t", F.col(trigger).alias(out))
+    reached = front
+    for _ in range(floor(log(least) / log(max(strength, d)) + 1e-9)):
+        along = front.join(own, "node_id").select(F.col("_to").alias("node_id"), (F.col("t") + 1).alias("t"), (F.col(out) * F.lit(strength)).alias(out))
+        stays = front.select("node_id", (F.col("t") + 1).alias("t"), (F.col(out) * F.lit(d)).alias(out))
+        front = along.unionByName(stays).filter(F.round(out, 6) >= least).groupBy("node_id", "t").agg(F.max(out).alias(out))
+        front = written(front, "front")
+        reached = reached.unionByName(front)
+    best = reached.groupBy("node_id", "t").agg(F.max(out).alias(out))
+    return series.join(best.withColumn("t", F.col("t").cast(series.schema["t"].dataType)), ["node_id", "t"], "left")

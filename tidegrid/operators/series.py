@@ -18,6 +18,8 @@ SHORT_LAGS = tuple(range(6, 0, -1))
 LONG_LAGS = (24, 22, 20, 18, 16, 14, 12, 10, 8, 6, 4, 1)
 STRIDED_LAGS = tuple(range(24, 0, -2))
 LEADS = (1, 3, 6, 12)
+#: Hours of the sums that longer trailing windows are made of.
+BLOCK = 12
 
 
 def by_node() -> WindowSpec:
@@ -56,16 +58,21 @@ def trailing_sum(series: DataFrame, hours: int = 6, out: str = "cum") -> DataFra
 
 
 def _sum_before(series: DataFrame, hours: int, out: str) -> DataFrame:
-    """Sum over [t - hours, t) from the first full window on.
+    """Sum over [t - hours, t) from the first full window on; only the values of the window go into it.
 
-    A short frame is summed for each row; a long one is the difference of two running sums, which costs the same for
-    any length.
+    A short frame is summed for each row; a long one is made of sums of BLOCK hours at lags of as many and of a rest.
     """
     w = by_node()
-    if hours <= 12:
-        return series.withColumn(out, F.sum("rain").over(w.rowsBetween(-hours, -1)))
-    run = series.withColumn("_run", F.coalesce(F.sum("rain").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    return run.withColumn(out, F.col("_run") - F.lag("_run", hours).over(w)).drop("_run")
+    frame = lambda n: F.sum("rain").over(w.rowsBetween(-n, -1))
+    whole, rest = divmod(hours, BLOCK)
+    if hours <= BLOCK:
+        return series.withColumn(out, frame(hours))
+    own = series.withColumn("_block", frame(BLOCK))
+    parts = [F.col("_block"), *[F.lag("_block", BLOCK * k).over(w) for k in range(1, whole)]]
+    if rest:
+        own = own.withColumn("_rest", frame(rest))
+        parts.append(F.lag("_rest", BLOCK * whole).over(w))
+    return own.withColumn(out, sum(parts[1:], parts[0])).drop("_block", "_rest")
 
 
 def trailing_mean(series: DataFrame, hours: int = 120, out: str = "ant") -> DataFrame:
@@ -136,22 +143,23 @@ def smooth_kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]
 
 
 def gaussian_smooth(series: DataFrame, sigma: float, value: str = "rain", out: str = "smooth") -> DataFrame:
-    """Convolution along time with reflected ends (d c b a | a b c d | d c b a); needs more hours than the radius.
+    """Convolution along time with reflected ends (d c b a | a b c d | d c b a); needs as many hours as the radius.
 
-    A weighted sum of lags and leads; past an end the lag's index is reflected: position -j is row j - 1.
+    A weighted sum of lags and leads. The rows that a reflection shows are added beyond both ends first (position -j is row
+    j - 1), so that every row has its whole neighbourhood; a node's length is one aggregate.
     """
-    w = by_node()
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kernel = smooth_kernel(sigma)
     r = max(k for k, _ in kernel)
-    n = F.max("t").over(whole) + 1
-    own = series.withColumns({"_n": n, "_near": F.collect_list(value).over(w.rowsBetween(-2 * r, 2 * r)), "_at": F.least(F.col("t"), F.lit(2 * r))})
-    total = F.lit(0.0)
-    for k, weight in kernel:
-        at = F.col("t") + k
-        mirrored = F.when(at < 0, -at - 1).when(at >= F.col("_n"), 2 * F.col("_n") - 1 - at).otherwise(at)
-        total = total + F.lit(weight) * F.get("_near", (mirrored - F.col("t") + F.col("_at")).cast("int"))
-    return own.withColumn(out, total).drop("_n", "_near", "_at")
+    last = series.groupBy("node_id").agg(F.max("t").alias("_last"))
+    own = series.join(last, "node_id")
+    at = F.array_compact(
+        F.array(F.col("t"), F.when(F.col("t") < r, -1 - F.col("t")), F.when(F.col("t") > F.col("_last") - r, 2 * F.col("_last") + 1 - F.col("t")))
+    )
+    wide = own.withColumn("_at", F.explode(at))
+    w = Window.partitionBy("node_id").orderBy("_at")
+    near = lambda k: F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w) if k else F.col(value)
+    total = sum((F.lit(weight) * near(k) for k, weight in kernel[1:]), F.lit(kernel[0][1]) * near(kernel[0][0]))
+    return wide.withColumn(out, total).filter("_at = t").drop("_at", "_last")
 
 
 def shift_by_node(series: DataFrame, shift: Column, background: float = 0.0, out: str = "shifted") -> DataFrame:

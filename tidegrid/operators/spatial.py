@@ -7,6 +7,8 @@ exact. Ties are broken by id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,22 +71,25 @@ def k_nearest(points: DataFrame, others: DataFrame, k: int, size: float | None =
     raise RuntimeError(f"k_nearest: no end after {most_rounds} rounds")
 
 
-def nearest_in_table(points: DataFrame, targets: DataFrame, dist: Column, out: str = "dist") -> DataFrame:
-    """Every point with the smallest ``dist`` (of columns of both) to a small table of targets, which is broadcast.
+def beside(points: DataFrame, small: DataFrame, out: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Points, each with the rows of a small table as an array of structs (``out``, sorted): one row is broadcast, points
+    aren't moved, and neither repeated points nor an empty table lose any. The size is checked."""
+    n = small.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many to stand beside every point: use k_nearest or idw_nearest")
+    return points.join(F.broadcast(small.agg(F.array_sort(F.collect_list(F.struct(*small.columns))).alias(out))))
 
-    The size is checked; larger tables are what ``k_nearest`` is for.
-    """
-    n = targets.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"{n} targets: use k_nearest with k = 1")
-    keys = points.columns
-    return points.join(F.broadcast(targets)).groupBy(*keys).agg(F.min(dist).alias(out))
+
+def nearest_in_table(points: DataFrame, targets: DataFrame, dist: Callable[[Column], Column], out: str = "dist") -> DataFrame:
+    """Every point with the smallest distance to a small table of targets (null if it is empty); ``dist`` makes it of a
+    target's struct and the point's columns. Larger tables are what ``k_nearest`` is for."""
+    return beside(points, targets, "_targets").withColumn(out, F.array_min(F.transform("_targets", dist))).drop("_targets")
 
 
 def river_proximity(points: DataFrame, rivers: DataFrame, scale_m: float = 500.0) -> DataFrame:
-    """The largest Gaussian weight of the distance to the points of ``rivers`` (r_lat, r_lon)."""
-    d = haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
-    return points.join(F.broadcast(rivers)).groupBy(*points.columns).agg(F.max(F.exp(-F.pow(d / scale_m, 2))).alias("river"))
+    """The largest Gaussian weight of the distance to the points of ``rivers`` (r_lat, r_lon), 0 without any."""
+    near = nearest_in_table(points, rivers.select("r_lat", "r_lon"), lambda r: haversine(F.col("lat"), F.col("lon"), r["r_lat"], r["r_lon"]), "_near")
+    return near.withColumn("river", F.coalesce(F.exp(-F.pow(F.col("_near") / scale_m, 2)), F.lit(0.0))).drop("_near")
 
 
 def coast_distance(lat: Column, lon: Column, coast_lat: float, coast_lon: float, most_m: float = 30_000.0) -> Column:
@@ -98,13 +103,16 @@ def drain_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radiu
 
 
 def idw_all(points: DataFrame, stations: DataFrame, power: float = 2.0, floor: float = 1e-10) -> DataFrame:
-    """Inverse-distance weights over all stations (s_x, s_y, s_value), a small table that is broadcast."""
-    n = stations.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"{n} stations: use idw_nearest")
-    d = F.greatest(F.sqrt(F.pow(F.col("x") - F.col("s_x"), 2) + F.pow(F.col("y") - F.col("s_y"), 2)), F.lit(floor))
-    w = F.lit(1.0) / F.pow(d, F.lit(power))
-    return points.join(F.broadcast(stations)).groupBy(*points.columns).agg((F.sum(w * F.col("s_value")) / F.sum(w)).alias("value"))
+    """Inverse-distance weights over all stations (s_x, s_y, s_value), a small table; null without one."""
+
+    def add(sums: Column, s: Column) -> Column:
+        d = F.greatest(F.sqrt(F.pow(F.col("x") - s["s_x"], 2) + F.pow(F.col("y") - s["s_y"], 2)), F.lit(floor))
+        w = F.lit(1.0) / F.pow(d, F.lit(power))
+        return F.struct((sums["a"] + w * s["s_value"]).alias("a"), (sums["b"] + w).alias("b"))
+
+    none = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    own = beside(points, stations.select("s_x", "s_y", "s_value").filter("s_value is not null"), "_stations")
+    return own.withColumn("value", F.aggregate("_stations", none, add, lambda z: F.try_divide(z["a"], z["b"]))).drop("_stations")
 
 
 def idw_nearest(points: DataFrame, value: str, size: float | None = None, k: int = 5, floor: float = 1e-10) -> DataFrame:
@@ -116,25 +124,31 @@ def idw_nearest(points: DataFrame, value: str, size: float | None = None, k: int
     return points.join(filled, "id", "left").withColumn(value, F.coalesce(value, "_filled")).drop("_filled")
 
 
-def interpolate_by(points: DataFrame, stations: DataFrame, at: str = "lat", value: str = "rain") -> DataFrame:
-    """Linear interpolation along one coordinate, flat beyond the ends: both sides of an as-of join.
+def interpolate_by(points: DataFrame, stations: DataFrame, at: str = "lat", value: str = "rain", parts: int = 200) -> DataFrame:
+    """Linear interpolation along one coordinate, flat beyond the ends: both sides of an as-of join. Null without stations.
 
-    Stations are one row a position; each becomes the interval up to the next one, and the first and the last
-    reach to infinity. The intervals are a small table; the size is checked before it is broadcast.
+    Stations are one row a position. Points and stations are dealt to parts of the coordinate, at quantiles of the stations',
+    and sorted together within each: the last station at or before a point and the first one after it are window
+    functions. What lies beyond a part's ends comes from a table of the parts' first and last stations.
     """
-    n = stations.count()
-    order = Window.orderBy(at)
-    s = stations.select(
-        F.col(at).alias("_a"), F.col(value).alias("_v"), F.lead(at).over(order).alias("_b"), F.lead(value).over(order).alias("_w"), F.lag(at).over(order).isNull().alias("_first")
-    )
-    inf = float("inf")
-    s = s.select(
-        F.when(F.col("_first"), F.lit(-inf)).otherwise(F.col("_a")).alias("_lo"), F.coalesce("_b", F.lit(inf)).alias("_hi"), "_a", "_v", "_b", "_w"
-    )
-    side = F.broadcast(s) if n <= BROADCAST_ROWS else s
-    p = F.col(at)
-    line = F.col("_v") + (F.col("_w") - F.col("_v")) * (F.greatest(p, F.col("_a")) - F.col("_a")) / (F.col("_b") - F.col("_a"))
-    return points.join(side, (p >= F.col("_lo")) & (p < F.col("_hi")), "left").withColumn(value, F.coalesce(line, F.col("_v"))).drop("_lo", "_hi", "_a", "_v", "_b", "_w")
+    stations = stations.select(F.col(at).cast("double").alias("_at"), F.struct(F.col(at).cast("double").alias("x"), F.col(value).cast("double").alias("v")).alias("_s")).filter("_at is not null")
+    cuts = sorted(set(stations.approxQuantile("_at", [k / parts for k in range(1, parts)], 0.001)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("_at"))) if cuts else F.lit(0)
+    own = points.withColumns({"_at": F.col(at).cast("double"), "_s": F.lit(None).cast("struct<x: double, v: double>"), "_point": F.lit(1)})
+    both = own.unionByName(stations.withColumn("_point", F.lit(0)), allowMissingColumns=True).withColumn("_part", part)
+    ends = stations.withColumn("_part", part).groupBy("_part").agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"))
+    spine = points.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_part")).join(ends, "_part", "left")
+    down, up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    spine = spine.select("_part", F.last("_last", True).over(down).alias("_below"), F.last("_first", True).over(up).alias("_above"))  # a row for each part
+    order = Window.partitionBy("_part").orderBy("_at", "_point")
+    low = F.last("_s", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    high = F.last("_s", True).over(Window.partitionBy("_part").orderBy(F.desc("_at"), F.desc("_point")).rowsBetween(Window.unboundedPreceding, -1))
+    found = both.withColumns({"_lo": low, "_hi": high}).filter("_point = 1").join(F.broadcast(spine), "_part")
+    found = found.withColumns({"_lo": F.coalesce("_lo", "_below"), "_hi": F.coalesce("_hi", "_above")})
+    x0, v0, x1, v1 = F.col("_lo.x"), F.col("_lo.v"), F.col("_hi.x"), F.col("_hi.v")
+    line = v0 + (v1 - v0) * (F.col("_at") - x0) / (x1 - x0)
+    kept = [c for c in points.columns if c != value]
+    return found.select(*kept, F.when(F.col("_lo").isNull(), v1).when(F.col("_hi").isNull(), v0).otherwise(line).alias(value))
 
 
 def sample_raster(points: DataFrame, raster: DataFrame, x0: float, y0: float, res: float, nodata: float | None = None) -> DataFrame:

@@ -26,10 +26,10 @@ def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scale_on_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores by mean and deviation of two thirds of the rows."""
-    own = _accounts(spark, sf_dir)
-    found = scale.z_score(own, ["b"], fit=own.filter("c_custkey % 3 <> 0"))
-    return found.filter("c_custkey % 3 = 0").select("c_custkey", settled(F.col("b_z")).alias("b_z"))
+    """All rows' scores by mean and deviation of the training part (two thirds), with their part."""
+    own = _accounts(spark, sf_dir).withColumn("part", F.when(F.col("c_custkey") % 3 != 0, "train").otherwise("test"))
+    found = scale.z_score(own, ["b"], fit=own.filter("part = 'train'"))
+    return found.select("c_custkey", "part", settled(F.col("b_z")).alias("b_z"))
 
 
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ _TERRAIN = """pts AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[
 ORACLES = {
     "minmax": f"WITH {_ACC} SELECT c_custkey, round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) + 1e-9, 6) AS b_mm, 0.0::DOUBLE AS flat_mm FROM acc",
     "zscore": f"WITH {_ACC} SELECT c_custkey, round((b - avg(b) OVER ()) / stddev_pop(b) OVER () + 1e-9, 6) AS b_z, 0.0::DOUBLE AS flat_z FROM acc",
-    "scale_on_train": f"WITH {_ACC}, s AS (SELECT avg(b) AS m, stddev_pop(b) AS s FROM acc WHERE c_custkey % 3 <> 0) SELECT c_custkey, round((b - m) / s + 1e-9, 6) AS b_z FROM acc, s WHERE c_custkey % 3 = 0",
+    "scale_on_train": f"WITH {_ACC}, s AS (SELECT avg(b) AS m, stddev_pop(b) AS s FROM acc WHERE c_custkey % 3 <> 0) SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'train' ELSE 'test' END AS part, round((b - m) / s + 1e-9, 6) AS b_z FROM acc, s",
     "median_impute": f"WITH {_ACC} SELECT c_custkey, round(coalesce(gap, (SELECT median(gap) FROM acc)), 6) AS gap FROM acc",
     "static_defaults": f"WITH {_ACC} SELECT c_custkey AS node_id, coalesce(gap, 0) AS gap, 0.0::DOUBLE AS nowhere FROM acc",
     "elevation_fallback": f"WITH {GRID} SELECT node_id, round(least(greatest(CASE WHEN node_id % 9 <> 0 THEN elev * 10 ELSE 7.0::DOUBLE END, 0), 200), 6) AS elev FROM nodes",

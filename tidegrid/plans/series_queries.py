@@ -109,11 +109,12 @@ def flood_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flood_labels_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, with the states of neighbours on a grid over the users (drainage edges alone)."""
+    """As above, with the states of neighbours on a grid over the users (drainage edges alone): all hours. States under 0.5,
+    which no label depends on, are given as 0."""
     own = _triggers(spark, sf_dir)
     edges = grid_edges(spark, sf_dir).filter("edge_type > 0.5").select("u", "v")
-    found = graph.propagate(own, edges, "trig").filter("p is not null")
-    return found.select("node_id", "t", F.round("p", 6).alias("p"))
+    found = graph.propagate(own, edges, "trig").withColumn("p", F.coalesce(F.round("p", 6), F.lit(0.0)))
+    return series.coherent(found.withColumn("wet", (F.col("p") >= 0.5).cast("int")), "wet").select("node_id", "t", "p", "wet", "label")
 
 
 def chrono_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,8 +232,10 @@ ORACLES = {
         walk(src, dst, k) AS (SELECT DISTINCT node_id, node_id, 0 FROM rain UNION SELECT DISTINCT u, u, 0 FROM edges UNION SELECT DISTINCT v, v, 0 FROM edges
             UNION SELECT walk.src, edges.v, walk.k + 1 FROM walk JOIN edges ON edges.u = walk.dst AND edges.edge_type > 0.5 WHERE walk.k < 6),
         f AS (SELECT dst AS node_id, trig.t + d AS t, max(trig * pow(0.9::DOUBLE, k) * pow(0.5::DOUBLE, (d - k) / 4.0::DOUBLE)) AS p
-              FROM trig JOIN walk ON walk.src = trig.node_id, range(0, 7) AS x(d) WHERE d >= k AND trig >= 0.5 GROUP BY 1, 2)
-        SELECT f.node_id, rain.t, round(p, 6) AS p FROM f JOIN rain ON rain.node_id = f.node_id AND rain.t = f.t WHERE round(p, 6) >= 0.5""",
+              FROM trig JOIN walk ON walk.src = trig.node_id, range(0, 7) AS x(d) WHERE d >= k AND trig >= 0.5 GROUP BY 1, 2),
+        y AS (SELECT rain.node_id, rain.t, CASE WHEN round(p, 6) >= 0.5 THEN round(p, 6) ELSE 0.0::DOUBLE END AS p FROM rain LEFT JOIN f ON rain.node_id = f.node_id AND rain.t = f.t),
+        z AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS wet FROM y)
+        SELECT node_id, t, p, wet, CASE WHEN t >= 2 THEN wet * lag(wet) {L} ELSE 0 END AS label FROM z""",
     "chrono_split": f"""WITH {RAIN}, v AS (SELECT t - 24 AS step, CASE WHEN rain > 300 THEN 1 ELSE 0 END AS y, last + 1 - 36 AS n FROM rain, b WHERE t >= 24 AND t < last + 1 - 12)
         SELECT CASE WHEN step < floor(n * 0.85::DOUBLE) THEN 'train' WHEN step < floor(n * (0.85::DOUBLE + 0.075::DOUBLE)) THEN 'val' ELSE 'test' END AS split, count(DISTINCT step) AS steps, round(avg(y), 6) AS rate FROM v GROUP BY 1""",
     "chrono_split_added": f"""WITH {RAIN}, v AS (SELECT DISTINCT t, last + 1 AS n FROM rain, b)
