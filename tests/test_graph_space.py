@@ -139,15 +139,123 @@ def test_gelu_and_gru():
     assert np.allclose(gnn.gru(seq, w, u, b)[0], h)
 
 
-def test_forward_is_the_same_in_batches(spark):
+def network_brute(static, short, long, edges, w, mixing=False):
+    """The network for one snapshot, node by node and edge by edge, in plain loops."""
+    erf = np.vectorize(math.erf)
+    act = lambda x: 0.5 * x * (1 + erf(x / math.sqrt(2)))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    norm = lambda x, n: (x - x.mean()) / np.sqrt(((x - x.mean()) ** 2).mean() + 1e-5) * w[f"{n}.g"] + w[f"{n}.c"]
+    lin = lambda x, n: x @ w[f"{n}.w"] + w[f"{n}.b"]
+
+    def recur(seq, n):
+        h, out = np.zeros(w[f"{n}.u"].shape[0]), []
+        for x in seq:
+            a, c = np.split(x @ w[f"{n}.w"] + w[f"{n}.b"], 3), np.split(h @ w[f"{n}.u"] + w[f"{n}.d"], 3)
+            r, z = sig(a[0] + c[0]), sig(a[1] + c[1])
+            h = (1 - z) * np.tanh(a[2] + r * c[2]) + z * h
+            out.append(h)
+        return out
+
+    h, edges = [], [x for x in edges if max(x[:2]) < len(static)]
+    for k in range(len(static)):
+        s = act(norm(lin(act(norm(lin(static[k], "static1"), "static1")), "static2"), "static2")) + static[k] @ w["skip.w"]
+        a, b = recur(recur(short[k][:, None], "short0"), "short1")[-1], recur(long[k][:, None], "long0")[-1]
+        both = np.concatenate([a, b])
+        z = np.exp(lin(act(lin(both, "gate1")), "gate2"))
+        z /= z.sum()
+        g = act(norm(lin(z[0] * a + z[1] * np.concatenate([b, np.zeros(32)]), "mix"), "mix")) if mixing else act(norm(lin(both, "gate"), "gate"))
+        h.append(act(norm(lin(np.concatenate([s, g]), "fuse"), "fuse")))
+    for n in ("gat1", "gat2"):
+        heads, m = w[f"{n}.a"].shape
+        new = []
+        for v in range(len(h)):
+            own = [(u, e) for u, x, e in edges if x == v and u != v]
+            own.append((v, np.mean([e for _, e in own], axis=0) if own else np.zeros(4)))
+            left = [(h[u] @ w[f"{n}.l"] + w[f"{n}.lb"]).reshape(heads, m) for u, _ in own]
+            right = (h[v] @ w[f"{n}.r"] + w[f"{n}.rb"]).reshape(heads, m)
+            out = np.zeros(m)
+            for q in range(heads):
+                score = []
+                for (_, e), x in zip(own, left):
+                    y = x[q] + right[q] + (e @ w[f"{n}.e"]).reshape(heads, m)[q]
+                    score.append(w[f"{n}.a"][q] @ np.where(y >= 0, y, 0.2 * y))
+                p = np.exp(np.array(score) - max(score))
+                out += sum(c * x[q] for c, x in zip(p / p.sum(), left)) / heads
+            new.append(act(norm(out + w[f"{n}.b"] + h[v] @ w[f"{n}.res"], n)))
+        h = new
+    new = []
+    for v in range(len(h)):
+        own = [h[u] for u, x, _ in edges if x == v and u != v]
+        top = np.max(own, axis=0) if own else np.zeros(64)
+        new.append(act(norm(top @ w["sage.l"] + w["sage.b"] + h[v] @ w["sage.r"] + h[v], "sage")))
+    return np.array([sig(lin(act(lin(x, "head1")), "head2")) for x in new])
+
+
+def network_inputs(spark, n=14, hours=2):
     rng = np.random.default_rng(5)
-    w = gnn.weights(gnn.SHAPES)
-    static, short, long = rng.normal(size=(30, 16)), rng.random((30, 6)), rng.random((30, 12))
-    want = gnn.forward(static, short, long, w)
-    rows = [(k, 0, static[k].tolist(), short[k].tolist(), long[k].tolist()) for k in range(30)]
-    df = spark.createDataFrame(rows, "node_id long, t int, static array<double>, short array<double>, long array<double>").repartition(3)
-    for r in gnn.predict(df, w).collect():
-        assert np.allclose([r.p_1, r.p_3, r.p_6, r.p_12], want[r.node_id])
+    static, short, long = rng.normal(size=(hours, n, 16)), rng.random((hours, n, 6)), rng.random((hours, n, 12))
+    edges = [(u, 0, rng.random(4)) for u in range(1, n)] + [(int(u), int(v), rng.random(4)) for u, v in rng.integers(0, n - 1, (20, 2))] + [(99, 3, rng.random(4)), (3, 99, rng.random(4))]
+    rows = [(k, t, static[t, k].tolist(), short[t, k].tolist(), long[t, k].tolist()) for t in range(hours) for k in range(n)]
+    snap = spark.createDataFrame(rows, "node_id long, t int, static array<double>, short array<double>, long array<double>").repartition(3)
+    table = spark.createDataFrame([(u, v, e.tolist()) for u, v, e in edges], "u long, v long, e array<double>")
+    return snap, table, (static, short, long, edges)
+
+
+@pytest.mark.parametrize("mixing", [False, True])
+def test_forward_equals_plain_loops(spark, mixing):
+    """Loops, a hub, a node without sources, edges to and from unknown nodes."""
+    w = gnn.weights(gnn.SHAPES, 3)
+    w |= {k: np.random.default_rng(len(k)).random(x.shape) + 0.5 for k, x in w.items() if k.endswith(".g")}
+    snap, edges, (static, short, long, rows) = network_inputs(spark)
+    got = {(r.node_id, r.t): [r.p_1, r.p_3, r.p_6, r.p_12] for r in gnn.forward(snap, edges, w, mixing=mixing).collect()}
+    assert len(got) == 28
+    for t in range(2):
+        want = network_brute(static[t], short[t], long[t], rows, w, mixing)
+        assert np.allclose([got[k, t] for k in range(14)], want, atol=1e-5)
+
+
+def test_hubs_are_folded_in_parts():
+    """The rows of one target in many parts, merged, give what they give together."""
+    rng = np.random.default_rng(2)
+    w = gnn.weights(gnn.SHAPES, 1)
+    h, e, own = rng.normal(size=(90, 128)), rng.random((90, 4)), np.arange(90) == 0
+    for fold, x in ((gnn.Attend(w, "gat1", 4), h), (gnn.Largest(w, "sage", 6), h[:, :64])):
+        whole = fold.reduce(x, e, own, x[:1], np.array([0]))
+        parts = [fold.reduce(x[a : a + 7], e[a : a + 7], own[a : a + 7], x[:1], np.array([0])) for a in range(0, 90, 7)]
+        merged = parts[0]
+        for p in parts[1:]:
+            merged = fold.merge(merged, p)
+        assert np.allclose(fold.finish(whole, x[:1], np.zeros(1)), fold.finish(merged, x[:1], np.zeros(1)))
+
+
+def test_dropped_units(spark):
+    x = np.ones((400, 128))
+    got = gnn.dropped(x, np.arange(400), 1, 0.25)
+    assert abs((got == 0).mean() - 0.25) < 0.01 and np.allclose(got[got > 0], 4 / 3) and (gnn.dropped(x, np.arange(400), 1, 0.0) == x).all()
+    snap, edges, _ = network_inputs(spark, hours=1)
+    w = gnn.weights(gnn.SHAPES, 3)
+    a, b = (sorted(tuple(r) for r in gnn.forward_with_spread(d, edges, w, samples=4).collect()) for d in (snap, snap.repartition(1)))
+    assert len(a) == 14 and np.allclose(a, b) and all(0 < r[6] < 0.5 for r in a)
+
+
+def test_recurrent_baseline(spark):
+    snap, _, (static, short, _, _) = network_inputs(spark, hours=1)
+    w = gnn.weights(gnn.GRU_SHAPES, 4)
+    erf = np.vectorize(math.erf)
+    act, sig = (lambda x: 0.5 * x * (1 + erf(x / math.sqrt(2)))), (lambda x: 1 / (1 + np.exp(-x)))
+    for r in gnn.gru_baseline(snap, w).collect():
+        seq = [x[None] for x in short[0, r.node_id]]
+        for n in ("gru0", "gru1"):
+            h, out = np.zeros(128), []
+            for x in seq:
+                a, c = np.split(x @ w[f"{n}.w"] + w[f"{n}.b"], 3), np.split(h @ w[f"{n}.u"] + w[f"{n}.d"], 3)
+                z = sig(a[1] + c[1])
+                h = (1 - z) * np.tanh(a[2] + sig(a[0] + c[0]) * c[2]) + z * h
+                out.append(h)
+            seq = out
+        s = act(static[0, r.node_id] @ w["enc1.w"] + w["enc1.b"]) @ w["enc2.w"] + w["enc2.b"]
+        want = sig(act(np.concatenate([seq[-1], s]) @ w["out1.w"] + w["out1.b"]) @ w["out2.w"] + w["out2.b"])[0]
+        assert np.isclose(r.p, want, atol=1e-5)
 
 
 def test_random_forest(spark):

@@ -143,15 +143,33 @@ def mc_dropout_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.mean_and_spread(samples, ["node_id"]))
 
 
-def dense_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole network with fixed weights on the users' snapshots (no SQL: see the tests)."""
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The users' snapshots with sixteen static features, and the edges of a grid with their four features."""
     from tidegrid.operators import series
     from tidegrid.plans.common import rain
 
     own = rain(spark, sf_dir)
     snap = series.valid_steps(series.snapshot(own, series.positive_percentile(own)))
     static = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.sin(F.col("node_id") * k * 0.1))
-    return gnn.predict(snap.withColumn("static", static), gnn.weights(gnn.SHAPES))
+    features = _edge_features(spark, sf_dir, value="elev", gain=50.0, steep=0.01, least_range=1.0)
+    return snap.withColumn("static", static), features.select("u", "v", F.array("elev_diff_norm", "length_norm", "edge_type", "flow_weight").alias("e"))
+
+
+def dense_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole network with fixed weights on every snapshot: encoders, attention and maximum layers, head (no SQL: see the tests)."""
+    snap, edges = _snapshots(spark, sf_dir)
+    return gnn.forward(snap, edges, gnn.weights(gnn.SHAPES))
+
+
+def forward_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of five forwards with units dropped, on the first day's snapshots."""
+    snap, edges = _snapshots(spark, sf_dir)
+    return gnn.forward_with_spread(snap.filter("t < 48"), edges, gnn.weights(gnn.SHAPES), samples=5)
+
+
+def gru_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recurrent baseline with fixed weights on every snapshot."""
+    return gnn.gru_baseline(_snapshots(spark, sf_dir)[0], gnn.weights(gnn.GRU_SHAPES))
 
 
 # --- space --------------------------------------------------------------------------------------------------
@@ -233,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         grid_graph, node_records, drainage_edges, both_directions, edge_dedupe_min, wcc_largest, drain_capacity_max, waterway_nodes, edge_features, edge_features_refined, khop_3, khop_sampled,
-        graph_stats, graph_compose, relabelled, sage_max, sage_mean, gcn_norm, gat_softmax, mc_dropout_stats, dense_forward, knn_pairs, knn_slope, nearest_drain, river_proximity, coast_distance,
+        graph_stats, graph_compose, relabelled, sage_max, sage_mean, gcn_norm, gat_softmax, mc_dropout_stats, dense_forward, forward_spread, gru_baseline, knn_pairs, knn_slope, nearest_drain, river_proximity, coast_distance,
         idw_all, idw_k5, station_interp, raster_sample,
     )
 }
