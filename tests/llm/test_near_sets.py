@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -63,22 +64,51 @@ def test_near_duplicates_of_odd_rows(spark, sf, odd, odd_rows, empty):
     assert corpus_pipeline.near_dedup(spark, empty, sf).count() == 0
 
 
+@pytest.mark.parametrize("words", [near_sets.MAP_WORDS, 0])
+def test_common_members(monkeypatch, words):
+    monkeypatch.setattr(near_sets, "MAP_WORDS", words)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(30)]
+    i, j = np.triu_indices(30, 1)
+    assert near_sets._common(sets)(i, j).tolist() == [len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in zip(i, j)]
+
+
 def test_buckets_of_several_clusters(spark):
-    """Rows of one bucket in blocks: every pair within the radius, of other roots and of sizes that allow it, is found once."""
+    """Buckets in blocks of any size: the edges join just what links; no more of them than rows."""
     rng = random.Random(3)
-    base = [rng.getrandbits(64) for _ in range(4)]
-    rows = []
-    for k in range(240):
-        fp = base[k % 4]
-        for _ in range(rng.randrange(14)):
-            fp ^= 1 << rng.randrange(64)
-        rows.append((k % 3, k * 7919 % 1009, rng.choice([40, 45, 60]), k % 9, fp - (1 << 64) if fp >> 63 else fp))
-    frame = spark.createDataFrame(rows, "key long, node long, n int, root long, fp long")
-    want = {
-        (min(a[1], b[1]), max(a[1], b[1]))
-        for a, b in itertools.combinations(rows, 2)
-        if a[0] == b[0] and a[3] != b[3] and 5 * min(a[2], b[2]) >= 4 * max(a[2], b[2]) and bin((a[4] ^ b[4]) & (1 << 64) - 1).count("1") <= near_sets.RADIUS
-    }
+    rows, k = [], 0
+    for base in range(6):
+        own = rng.sample(range(10**6), 60)
+        for _ in range(50):
+            other = list(own)
+            for _ in range(rng.randrange(9)):
+                other[rng.randrange(60)] = rng.randrange(10**6, 10**9)
+            own = other if rng.random() < 0.3 else own
+            hashes = np.array(sorted({x * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for x in other}), np.uint64)
+            fp = near_sets.majority(hashes)
+            rows.append((base % 2, k, len(hashes), k if k % 7 else -base - 1, fp - (1 << 64) if fp >> 63 else fp, hashes.view(np.int64).tolist()))
+            k += 1
+    frame = spark.createDataFrame(rows, "key long, node long, n int, root long, fp long, own array<long>")
+
+    def joined(edges):
+        root = {r[1]: r[1] for r in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        known = {}
+        for r in rows:
+            known.setdefault(r[3], r[1])
+        for u, v in [*edges, *((r[1], known[r[3]]) for r in rows)]:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+        return {x: find(x) for x in root}
+
+    sets = {r[1]: set(r[5]) for r in rows}
+    want = joined((a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and 5 * len(sets[a[1]] & sets[b[1]]) >= 4 * len(sets[a[1]] | sets[b[1]]))
+    assert 10 < len(set(want.values())) < 200
     for block in (4096, 16):
-        found = [tuple(r) for r in near_sets._bit_pairs(frame, block=block).collect()]
-        assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+        found = [tuple(r) for r in near_sets._linked(frame, block=block).collect()]
+        assert joined(found) == want and (block < 100 or len(found) < len(rows))

@@ -5,14 +5,14 @@ a similarity of 0.8 differ in about 10 of 64 bits, too many for buckets of agree
 minima of the sets instead: of BANDS x ROWS minima under different hashes, ROWS together are a bucket's key, and two sets of
 similarity s share one with probability 1 - (1 - s^ROWS)^BANDS, 0.999995 at 0.8 and more above it. Within the buckets
 fingerprints are compared in bit slices, and pairs within RADIUS bits are confirmed by the exact similarity: only sets of 0.8
-or more link. Equal sets are one node. To spare pairs, each set is held against the smallest one that it meets, then
+or more link, and a task hands on what joins their components, not the pairs. Equal sets are one node. To spare pairs, each set is held against the smallest one that it meets, then
 against the smallest of each bucket, and only what isn't in one component by then is compared with all others.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import free_name, raw_text, row_keys, staged
 from tidegrid.llm.decontam import small
-from tidegrid.llm.simhash import BLOCK, by_size, components, in_blocks, majority, near_pairs
+from tidegrid.llm.simhash import BLOCK, components, in_blocks, majority, merge, near_pairs
 
 SHINGLE, SEED = 5, 42
 BANDS, ROWS = 40, 6
 #: Bits in which fingerprints of candidates may differ: at a similarity of 0.8 about 10 do, with a standard deviation of 3.
 RADIUS = 24
-#: Pairs that a task hands on at a time.
-PAIRS = 100_000
+#: Rows of a bucket, and hashes of their sets, over which it is split; 64-bit words of bit maps at a time.
+PART, MOST_HASHES, MAP_WORDS = 1_024, 2_000_000, 4_000_000
 #: Shingles that are hashed together: bounds a worker's memory for texts of any length.
 STEP = 512
 _RNG = np.random.default_rng(SEED)
@@ -105,35 +105,61 @@ def _with(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
     return rows.join(F.broadcast(hot), "key").unionByName(rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key"))
 
 
-def _bit_pairs(rest: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) of nodes of one bucket (key, node, n, root, fp) with different roots whose fingerprints are within the radius
-    and whose sizes allow a similarity of 0.8, by bit slices."""
+def _common(sets: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """How many members the sets i and j of a bucket have in common, for arrays of places: by bit maps over the members that
+    more than one set has, or set by set where the maps would be large."""
+    size = np.array([len(x) for x in sets])
+    kinds, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    words = int((count > 1).sum() + 63) // 64
+    if len(sets) * words > MAP_WORDS:
+        return lambda i, j: np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
+    shared = np.flatnonzero((count > 1)[index])
+    row, at = np.repeat(np.arange(len(sets)), size)[shared], place[index[shared]]
+    maps = np.zeros((len(sets), max(1, words)), np.uint64)
+    np.bitwise_or.at(maps, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    step = max(1, MAP_WORDS // max(1, words))
+
+    def count_of(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bitwise_count(maps[i[a : a + step]] & maps[j[a : a + step]]).sum(1, dtype=np.int64) for a in range(0, len(i), step)])
+
+    return count_of
+
+
+def _linked(rest: DataFrame, radius: int = RADIUS, block: int = PART) -> DataFrame:
+    """Edges (u, v) that join what links within the buckets of rest (key, node, n, root, fp, own: the set's hashes), beside equal
+    roots: pairs within the radius by bit slices, of sizes that allow a similarity of 0.8, that have it. At most one edge for
+    each row leaves a task, never the pairs of a bucket."""
 
     def work(df: pd.DataFrame, start: np.ndarray) -> Iterator[pd.DataFrame]:
-        order, size = by_size(np.cumsum(start))
-        group, n, root, node = (x[order] for x in (np.cumsum(start), *(df[c].to_numpy(np.int64) for c in ("n", "root", "node"))))
-        fp = df["fp"].to_numpy(np.int64).view(np.uint64)[order]
-
-        def open_at(s: int, m: int) -> np.ndarray:
-            a, b = n[:m], n[s : s + m]
-            return (group[:m] == group[s : s + m]) & (root[:m] != root[s : s + m]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
-
-        us, vs, held = [], [], 0
-        for i, j in near_pairs(fp, size, open_at, radius):
-            us.append(node[i])
-            vs.append(node[j])
-            held += len(i)
-            if held >= PAIRS:
-                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-                us, vs, held = [], [], 0
+        us, vs = [], []
+        first = np.flatnonzero(start)
+        for a, b in zip(first, [*first[1:], len(df)]):
+            if b - a < 2:
+                continue
+            n, node, root = (df[c].to_numpy(np.int64)[a:b] for c in ("n", "node", "root"))
+            before = np.unique(root, return_index=True)[1][np.unique(root, return_inverse=True)[1]]
+            local, sets = before.copy(), [np.asarray(x).view(np.uint64) for x in df["own"].iloc[a:b]]
+            if (local == local[0]).all():
+                continue
+            common = _common(sets)
+
+            def open_at(s: int, m: int, n=n, local=local) -> np.ndarray:
+                return (local[:m] != local[s : s + m]) & (5 * np.minimum(n[:m], n[s : s + m]) >= 4 * np.maximum(n[:m], n[s : s + m]))
+
+            for i, j in near_pairs(df["fp"].to_numpy(np.int64)[a:b].view(np.uint64), np.full(b - a, b - a), open_at, radius):
+                like = 9 * common(i, j) >= 4 * (n[i] + n[j])
+                merge(local, i[like], j[like])
+            moved = np.flatnonzero(local != before)
+            us.append(node[moved])
+            vs.append(node[local[moved]])
         if us:
             yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
-    found = in_blocks(rest, ["key"], "node", block, work)
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return in_blocks(rest, ["key"], "node", block, work, held_rows=20_000, weight="n", most_weight=MOST_HASHES)
 
 
-def near_edges(docs: DataFrame, classes: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+def near_edges(docs: DataFrame, classes: DataFrame, text: str = "text", block: int = PART) -> DataFrame:
     """Edges (u, v) whose components are those of the sets that bands and similarity link; ``classes``: node, n, fp, bands, of."""
     dealt = classes.select("node", "n", "fp", F.explode("bands").alias("key"))
     least = dealt.groupBy("key").agg(F.min(F.struct("node", "n", "fp")).alias("least"), F.count("*").alias("_c")).filter("_c > 1")
@@ -156,8 +182,8 @@ def near_edges(docs: DataFrame, classes: DataFrame, text: str = "text", block: i
     # With all others that are in another component.
     rest = met.filter(F.col("node") != F.col("least.node")).select("key", "node", "n", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rest.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_c")).filter("_a <> _b").select("key", "_c")
-    rest = staged(_with(rest, staged(mixed, "mixed"), total).drop("_c"), "rest")
-    return edges.unionByName(_confirmed(staged(_bit_pairs(rest, block=block), "bit-pairs"), sets))
+    rest = _with(rest, staged(mixed, "mixed"), total).drop("_c").join(sets, "node")
+    return edges.unionByName(staged(_linked(rest, block=block), "last-edges"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:

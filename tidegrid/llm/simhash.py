@@ -71,7 +71,7 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(wide, axis=-1, bitorder="little").view(np.uint64)
 
 
-def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+def merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join the components of i and j; roots are the smallest places."""
     while len(i):
         a, b = root[i], root[j]
@@ -144,7 +144,7 @@ def link(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     order, size = by_size(group)
     own = group[order]
     for i, j in near_pairs(fp[order], size, lambda s, m: (own[:m] == own[s : s + m]) & (root[:m] != root[s : s + m]), radius):
-        _merge(root, i, j)
+        merge(root, i, j)
     least = np.full(n, n)
     np.minimum.at(least, root, order)
     out = np.empty(n, np.int64)
@@ -183,14 +183,20 @@ def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS, block: int = B
     return in_blocks(dealt, ["t", "key"], "fp", block, work)
 
 
-def in_blocks(dealt: DataFrame, key: list[str], by: str, block: int, work: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]]) -> DataFrame:
-    """``work``'s pairs (u, v) over the buckets (rows with equal ``key``) of dealt, about HELD rows of whole buckets at a time.
+def in_blocks(
+    dealt: DataFrame, key: list[str], by: str, block: int, work: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]],
+    held_rows: int = HELD, weight: str | None = None, most_weight: int = 0,
+) -> DataFrame:
+    """``work``'s pairs (u, v) over the buckets (rows with equal ``key``) of dealt, whole buckets together up to about ``held_rows``
+    rows, or ``most_weight`` by the sum of ``weight``.
 
-    Buckets of over ``block`` rows are split by a hash of ``by`` to blocks, of which every two meet in some task. work gets the
-    rows and where a bucket starts.
+    Buckets of over ``block`` rows, or more weight, are split by a hash of ``by`` to blocks, of which every two meet in some
+    task. work gets the rows and where a bucket starts.
     """
-    large = dealt.groupBy(*key).count().filter(F.col("count") > block)
-    large = large.select(*key, F.ceil(F.col("count") / block).cast("int").alias("_parts"))
+    parts = F.ceil(F.count("*") / block)
+    if weight:
+        parts = F.greatest(parts, F.ceil(F.sum(weight) / most_weight))
+    large = dealt.groupBy(*key).agg(parts.cast("int").alias("_parts")).filter("_parts > 1")
     other = F.sequence(F.lit(0), F.col("_parts") - 1)
     place = F.pmod(F.xxhash64(by, F.lit(7)), F.col("_parts")).cast("int")
     met = (
@@ -204,7 +210,10 @@ def in_blocks(dealt: DataFrame, key: list[str], by: str, block: int, work: Calla
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        rows = 0
+        load = 0.0
+
+        def of(df: pd.DataFrame) -> float:
+            return max(len(df) / held_rows, df[weight].sum() / most_weight if weight else 0)
 
         def done(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
             start = np.ones(len(df), bool)
@@ -215,12 +224,12 @@ def in_blocks(dealt: DataFrame, key: list[str], by: str, block: int, work: Calla
             if not len(b):
                 continue
             held.append(b)
-            rows += len(b)
-            if rows >= HELD:
+            load += of(b)
+            if load >= 1:
                 df = pd.concat(held, ignore_index=True)
                 rest = (df[whole] == df[whole].iloc[-1]).all(axis=1)
-                held, rows = [df[rest]], int(rest.sum())
-                if rows < len(df):
+                held, load = [df[rest]], of(df[rest])
+                if not rest.all():
                     yield from done(df[~rest].reset_index(drop=True))
         if held:
             yield from done(pd.concat(held, ignore_index=True))
