@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.functions import risk, spectral
+from tidegrid.functions import maths, risk, spectral
 from tidegrid.operators import features, metrics, report, scale
 from tidegrid.sources import sinks, tables
 from tidegrid.sources.config import RunConfig
@@ -107,7 +107,12 @@ def test_archive_csv(spark, tmp_path):
     kept = tables.since(tables.of_country(df, "India"), 2000)
     assert {(r.ID, r.MainCause, r.Area) for r in kept.collect()} == {("7", "Pluie é", 1.5), ("9", "Rain", None)}
     merged = tables.merge_events(tables.known_events(spark), kept).collect()
-    assert len(merged) == 6 and {r.name for r in merged[4:]} == {"DFO-7", "DFO-9"} and merged[-1].peak_mm_day is None
+    own = len(tables.KNOWN_EVENTS)
+    assert len(merged) == own + 2 and {r.name for r in merged[own:]} == {"DFO-7", "DFO-9"} and merged[-1].peak_mm_day is None
+    (tmp_path / "k.csv").write_text("name,began,ended,severity,lat,lon,peak_mm_day\nmine,2020-01-01,2020-01-02,1,13.0,80.2,9.5\n")
+    assert [(r.name, r.peak_mm_day) for r in tables.known_events(spark, str(tmp_path / "k.csv")).collect()] == [("mine", 9.5)]
+    (tmp_path / "s.csv").write_text("name,intensity,duration,antecedent,pattern\nmine,4,5,6,uniform\n")
+    assert [tuple(r) for r in tables.scenarios(spark, str(tmp_path / "s.csv")).collect()] == [("mine", 4.0, 5.0, 6.0, "uniform")]
     assert tables.of_country(spark.range(3), "x").count() == 3
 
 
@@ -174,6 +179,65 @@ def test_splits_share_nothing(spark):
     assert df.filter("s = 'train'").select("id").intersect(df.filter("s = 'test'").select("id")).isEmpty()
 
 
+def test_config_files(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert RunConfig.load() == RunConfig() == RunConfig.load("nowhere.yaml")
+    (tmp_path / "config.json").write_text('{"half_life": 3.0, "leads": [1, 2]}')
+    assert RunConfig.load() == RunConfig(half_life=3.0, leads=(1, 2))
+    (tmp_path / "config").mkdir()
+    (tmp_path / "config" / "config.yaml").write_text("half_life: 2.0\nbox: [1.0, 2.0, 3.0, 4.0]\n")
+    pytest.importorskip("yaml")
+    assert RunConfig.load() == RunConfig(half_life=2.0, box=(1.0, 2.0, 3.0, 4.0))
+    (tmp_path / "bad.yaml").write_text("no_such: 1\n")
+    with pytest.raises(TypeError):
+        RunConfig.load("bad.yaml")
+
+
+def test_graph_is_read_with_its_features(spark, tmp_path):
+    spark.createDataFrame([(0, 0, 80.2, 13.0, 0.0, 0.0), (1, 1, 80.2, 13.1, 0.0, 0.0)], tables.NODES).write.parquet(f"{tmp_path}/g/nodes")
+    spark.createDataFrame([(0, 1, 0, 10.0, 1.0, 0.4), (1, 0, 0, 20.0, 0.0, 0.0)], tables.EDGES).write.parquet(f"{tmp_path}/g/edges")
+    for _ in range(2):  # made, then read
+        nodes, edges, found = tables.read_graph(spark, f"{tmp_path}/g")
+        assert (nodes.count(), edges.count()) == (2, 2)
+        assert {(r.u, r.v, r.elev_diff_norm, r.length_norm) for r in found.collect()} == {(0, 1, -1.0, 0.5), (1, 0, 1.0, 1.0)}
+
+
+def test_small_helpers(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0, -3.0), (2, 5.0, 0.5)], "node_id long, a double, b double")
+    assert {tuple(r) for r in tables.long_features(df, ["node_id"], ["a", "b"]).collect()} == {(1, "a", 2.0), (1, "b", -3.0), (2, "a", 5.0), (2, "b", 0.5)}
+    assert [r.x for r in df.select(maths.relu(F.col("b")).alias("x")).collect()] == [0.0, 0.5]
+    assert spark.range(1).select(tables.parse_box(F.lit("1, 2.5,3,4")).alias("x")).first().x == [1.0, 2.5, 3.0, 4.0]
+    assert tables.problems(df, {"node_id": "bigint", "a": "string", "z": "int"}, ["node_id"]) == ["z: missing", "a: double, not string"]
+    assert tables.problems(df.limit(0), {"a": "double"}) == ["no rows"]
+    assert tables.problems(df.selectExpr("nullif(node_id, 1) k"), {}, ["k"]) == ["k: 1 nulls"]
+    (tmp_path / "h.csv").write_text("epoch,train_loss,val_loss,val_f1\n1,0.5,0.6,0.04\n2,0.4,0.5,0.3\n")
+    told = tables.history(spark, str(tmp_path / "h.csv"))
+    assert report.usable(told) and not report.usable(told.filter("epoch = 1")) and not report.usable(told.limit(0))
+    (tmp_path / "p.csv").write_text("lead_hours,prob,label\n3,0.25,1\n")
+    assert [tuple(r) for r in tables.scored_pairs(spark, str(tmp_path / "p.csv")).collect()] == [(3, 0.25, 1)]
+    df.write.parquet(str(tmp_path / "c" / "version=1"))
+    sinks.purge(str(tmp_path / "c"))
+    sinks.purge(str(tmp_path / "c"))
+    assert not (tmp_path / "c").exists()
+    assert isinstance(spark.range(1).select(risk.as_uncertainty(F.lit(0.123456)).alias("x")).first().x, str)
+
+
+def test_no_positives_gives_zeros(spark):
+    rows = spark.createDataFrame([(0.9, 0), (0.2, 0)], "p double, y int")
+    r = metrics.skill(metrics.confusion(rows), floor_one=True).first()
+    assert (r.precision, r.recall, r.csi, r.f1, r.far) == (0.0, 0.0, 0.0, 0.0, 1.0)
+
+
+def test_readiness_gates(spark):
+    row = lambda f1, csi=0.6: spark.createDataFrame([(f1, 0.9, csi, 0.7, 0.5, 0.15)], "f1 double, auroc double, csi double, pod double, far double, ece double")
+    got = lambda *x: {r.metric: r.status for r in metrics.readiness(*x).collect()}
+    want = {"f1": "PASS", "auroc": "PASS", "csi": "PASS", "pod": "PASS", "far": "WARN", "ece": "WARN"}
+    assert got(row(0.8), row(0.55), row(0.79), row(0.6)) == want | {"f1_drop": "WARN", "over_baselines": "PASS", "event_drop": "WARN"}
+    assert got(row(0.8), row(0.79), row(0.81, 0.5), row(0.7)) == want | {"f1_drop": "PASS", "over_baselines": "PASS", "event_drop": "PASS"}
+    assert got(row(0.8), row(0.2), row(0.81, 0.7), row(0.2)) == want | {"f1_drop": "FAIL", "over_baselines": "FAIL", "event_drop": "FAIL"}
+    assert got(row(0.8), row(0.79), row(0.1).limit(0), row(0.1).limit(0)) == want | {"f1_drop": "PASS"}
+
+
 # --- streams ------------------------------------------------------------------------------------------------
 
 

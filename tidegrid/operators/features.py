@@ -170,6 +170,38 @@ def scenario_rain(nodes: DataFrame, scenario: DataFrame, rain_norm: float) -> Da
     return own.withColumns({"short": window(range(6, 0, -1), F.lit(0.0)), "long": window(range(24, 0, -2), F.col("antecedent") / 24 * F.col("weight"))})
 
 
+def lowest(nodes: DataFrame, share: float = 0.1, by: str = "lat") -> DataFrame:
+    """The int(n share) nodes that are lowest by a column, ties by node: an ordered take."""
+    return nodes.orderBy(by, "node_id").limit(int(nodes.count() * share))
+
+
+def drain_distance(nodes: DataFrame, edges: DataFrame, most_m: float = 2000.0) -> DataFrame:
+    """node_id and ``drain_dist``, the distance to the nearest node (lat, lon) where a drain starts, as a share of 2 km and 1 at most.
+
+    Without drains the lowest tenth of the nodes by latitude stands for them; without these every node is 500 m from one.
+    """
+    from tidegrid.operators import spatial
+
+    drains = nodes.join(edges.filter("edge_type > 0.5").select(F.col("u").alias("node_id")).distinct(), "node_id", "left_semi")
+    if drains.isEmpty():
+        drains = lowest(nodes)
+    at = lambda d: d.select(F.col("node_id").alias("id"), F.radians("lon").alias("x"), F.radians("lat").alias("y"))
+    near = spatial.k_nearest(at(nodes), at(drains), 1, skip_self=False).select(F.col("id").alias("node_id"), (F.col("dist") * 6_371_000.0).alias("_m"))
+    return nodes.select("node_id").join(near, "node_id", "left").select("node_id", clip(F.coalesce("_m", F.lit(500.0)) / most_m, 0.0, 1.0).alias("drain_dist"))
+
+
+def drain_distance_by_max(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id and ``drain_dist``: the plane distance in degrees to the nearest drain's start, as a share of the largest; 1 without drains."""
+    from tidegrid.operators import spatial
+
+    at = lambda d: d.select(F.col("node_id").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    drains = nodes.join(edges.filter("edge_type > 0.5").select(F.col("u").alias("node_id")).distinct(), "node_id", "left_semi")
+    near = spatial.k_nearest(at(nodes), at(drains), 1, skip_self=False).select(F.col("id").alias("node_id"), "dist")
+    top = near.agg(F.max("dist").alias("_top"))
+    found = nodes.select("node_id").join(near, "node_id", "left").join(F.broadcast(top))
+    return found.select("node_id", F.when(F.col("dist").isNull(), 1.0).otherwise(F.coalesce(F.try_divide("dist", "_top"), F.lit(0.0))).alias("drain_dist"))
+
+
 def assemble(nodes: DataFrame, edges: DataFrame, rivers: DataFrame, coast: tuple[float, float]) -> DataFrame:
     """node_id and the 16 ``FEATURES`` of nodes (node_id, lat, lon, x, y, elev), all but the shares as z-scores.
 
@@ -189,11 +221,7 @@ def assemble(nodes: DataFrame, edges: DataFrame, rivers: DataFrame, coast: tuple
     own = median_impute(own, ["ndvi", "ndwi", "ndbi"])
     own = own.withColumns({"impervious": spectral.imperviousness(F.col("ndbi"), F.col("ndvi")), "sar_vv": synthetic_radar(F.col("ndwi"), F.col("elev_01"))})
     own = graph.drain_capacity(own, edges)
-    drains = edges.filter("edge_type > 0.5").select(F.col("u").alias("node_id")).distinct()
-    at = lambda d: d.select(F.col("node_id").alias("id"), F.radians("lon").alias("x"), F.radians("lat").alias("y"))
-    near = spatial.k_nearest(at(own), at(own.join(drains, "node_id", "left_semi")), 1, skip_self=False)
-    dist = near.select(F.col("id").alias("node_id"), clip(F.col("dist") * 6_371_000.0 / 2000, 0.0, 1.0).alias("drain_dist"))
-    own = own.join(dist, "node_id", "left").withColumn("drain_dist", F.coalesce("drain_dist", F.lit(1.0)))
+    own = own.join(drain_distance(own.select("node_id", "lat", "lon"), edges), "node_id")
     river = spatial.river_proximity(own.select("node_id", "lat", "lon"), rivers).select("node_id", "river")
     own = own.join(river, "node_id").withColumn("coast", spatial.coast_distance(F.col("lat"), F.col("lon"), *coast))
     shares = {"ndvi", "ndwi", "ndbi", "impervious", "drain", "drain_dist", "coast", "river"}

@@ -158,6 +158,17 @@ def edge_features(edges: DataFrame, nodes: DataFrame, value: str, gain: float =
     )
 
 
+def benchmark_edge_features(edges: DataFrame, nodes: DataFrame, value: str = "elev") -> DataFrame:
+    """elev_diff_norm, length_norm, edge_type and flow_weight of each edge: falls as shares of the range of heights (1 at least),
+    lengths of the longest (1 at least); the flow is a drain's fall, 0 uphill, and 0.1 elsewhere."""
+    stats = nodes.agg(F.greatest(F.max(value) - F.min(value), F.lit(1.0)).alias("_span"))
+    longest = edges.agg(F.greatest(F.max("length"), F.lit(1.0)).alias("_longest"))
+    own = with_ends(edges, nodes, value).join(F.broadcast(stats)).join(F.broadcast(longest))
+    fall = (F.col("from_value") - F.col("to_value")) / F.col("_span")
+    flow = F.when(F.col("edge_type") == 1, F.greatest(fall, F.lit(0.0))).otherwise(0.1)
+    return own.select("u", "v", clip(fall, -1.0, 1.0).alias("elev_diff_norm"), (F.col("length") / F.col("_longest")).alias("length_norm"), F.col("edge_type").cast("double").alias("edge_type"), flow.alias("flow_weight"))
+
+
 def k_hop(seeds: DataFrame, edges: DataFrame, k: int = 3, fanout: Sequence[int] | None = None, seed: int = 0) -> DataFrame:
     """node and hop of all nodes within k steps against the edges' direction (v's sources); the smallest hop of each.
 

@@ -130,3 +130,29 @@ def gates(metrics: DataFrame, limits: dict[str, tuple[float, float, bool]]) -> D
     own = metrics.select(F.explode(rows).alias("g")).select("g.*")
     reached = lambda c: F.when(F.col("_up"), F.col("value") >= F.col(c)).otherwise(F.col("value") <= F.col(c))
     return own.select("metric", "value", F.when(reached("_ok"), "PASS").when(reached("_warn"), "WARN").otherwise("FAIL").alias("status"))
+
+
+#: Of each metric of the first lead what passes, what warns, and whether more is better.
+LIMITS = {"f1": (0.75, 0.75, True), "auroc": (0.85, 0.80, True), "csi": (0.55, 0.55, True), "pod": (0.60, 0.60, True), "far": (0.40, 1.0, False), "ece": (0.10, 0.20, False)}
+
+
+def readiness(first: DataFrame, last: DataFrame, baselines: DataFrame, other: DataFrame) -> DataFrame:
+    """metric, value, status: the first lead's limits, and three comparisons. All but ``baselines`` are one row.
+
+    f1_drop to the last lead: under 0.20 passes, under 0.30 warns. over_baselines: a better F1 than every baseline's
+    passes, else a better CSI does; the value is the margin in F1. event_drop to another event's F1: up to 0.15 passes, up to 0.25
+    warns. Without baselines or another event their rows are not there.
+    """
+    top = baselines.agg(F.max("f1").alias("_f1"), F.max("csi").alias("_csi"))
+    own = first.select("f1", "csi").join(F.broadcast(last.select(F.col("f1").alias("_last")))).join(F.broadcast(top)).join(F.broadcast(other.select(F.col("f1").alias("_other"))), how="left")
+    c = F.col
+    drop, event = c("f1") - c("_last"), c("f1") - c("_other")
+    grade = lambda ok, warn: F.when(ok, "PASS").when(warn, "WARN").otherwise("FAIL")
+    better = (c("f1") > c("_f1")) | (c("csi") > c("_csi"))
+    rows = F.array(
+        F.struct(F.lit("f1_drop").alias("metric"), drop.alias("value"), grade(drop < 0.20, drop < 0.30).alias("status")),
+        F.struct(F.lit("over_baselines").alias("metric"), (c("f1") - c("_f1")).alias("value"), grade(better, F.lit(False)).alias("status")),
+        F.struct(F.lit("event_drop").alias("metric"), event.alias("value"), grade(event <= 0.15, event <= 0.25).alias("status")),
+    )
+    more = own.select(F.explode(rows).alias("g")).select("g.*").filter("value is not null")
+    return gates(first, LIMITS).unionByName(more)

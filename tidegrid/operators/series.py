@@ -200,3 +200,44 @@ def snapshot(series: DataFrame, norm: DataFrame) -> DataFrame:
     own = lags(lags(series, SHORT_LAGS, "short"), LONG_LAGS, "long").join(F.broadcast(norm))
     share = lambda c: F.transform(c, lambda x: x / F.col("rain_norm"))
     return own.withColumns({"short": share("short"), "long": share("long")}).drop("rain_norm")
+
+
+def shuffle_key(seed: int, *cols: str) -> Column:
+    """A key to order rows by as by chance: MD5 of the seed and the row's values, the same on every engine."""
+    return F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]).cast("binary"))
+
+
+def permuted(rows: DataFrame, cols: Sequence[str], seed: int = 0) -> DataFrame:
+    """rows with ``place``, from 0, in an order of chance that the seed fixes; equal values of ``cols`` tie."""
+    from tidegrid.operators.graph import relabel
+
+    return relabel(rows.withColumn("_by", shuffle_key(seed, *cols)), ["_by", *cols]).drop("_by").withColumnRenamed("new_id", "place")
+
+
+def sampled(rows: DataFrame, cols: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """n rows without replacement (all if there are fewer): the first of the order that ``permuted`` gives, by an ordered take."""
+    return rows.withColumn("_by", shuffle_key(seed, *cols)).orderBy("_by", *cols).limit(n).drop("_by")
+
+
+def sequences(series: DataFrame, label: str, window: int = 6, horizon: int = 3) -> DataFrame:
+    """node_id, t, ``x`` (the rain of [t - window, t), oldest first) and ``y``, the label at t + horizon - 1, for every t that has both."""
+    own = lags(series, range(window, 0, -1), "x").withColumn("y", F.lead(label, horizon - 1).over(by_node()) if horizon > 1 else F.col(label))
+    return valid_steps(own, window, horizon).select("node_id", "t", "x", "y")
+
+
+def encode_event(
+    rain: DataFrame, thresholds: DataFrame, edges: DataFrame | None = None, half_life: float = 4.0, hours: int = 6, scale: float = 5.0
+) -> DataFrame:
+    """An event's series (node_id, t, rain) with ``cum``, ``ant``, ``p`` and ``label``: trailing sums, wetness, triggers against each
+    node's threshold (node_id, threshold), states that decay (along ``edges`` too, if given: then those under 0.5 are 0), labels."""
+    own = antecedent(trailing_sum(rain, hours)).join(thresholds.select("node_id", "threshold"), "node_id")
+    trigger = F.when(F.col("cum").isNotNull(), F.round(trigger_probability(F.col("cum"), F.col("threshold"), F.col("ant"), scale), 9)).otherwise(0.0)
+    own = own.withColumn("trig", trigger)
+    if edges is None:
+        own = decaying_max(own, "trig", half_life, "p")
+    else:
+        from tidegrid.operators.graph import propagate
+
+        own = propagate(own, edges, "trig", half_life).withColumn("p", F.coalesce("p", F.lit(0.0)))
+    own = own.withColumn("p", F.round("p", 6))
+    return coherent(own.withColumn("wet", (F.col("p") >= 0.5).cast("int")), "wet").drop("trig", "wet", "threshold")

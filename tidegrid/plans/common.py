@@ -111,9 +111,9 @@ def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.node_summary(states(spark, sf_dir))
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node_id, t, p: six-hour rain over a threshold of 400, logistic, decaying."""
-    own = series.trailing_sum(rain(spark, sf_dir), 6, "cum")
+def states(spark: SparkSession, sf_dir: str, factor: float = 1.0) -> DataFrame:
+    """node_id, t, p: six-hour rain (times a factor) over a threshold of 400, logistic, decaying."""
+    own = series.trailing_sum(rain(spark, sf_dir), 6, "cum").withColumn("cum", F.col("cum") * F.lit(factor))
     trig = F.when(F.col("cum").isNotNull(), series.trigger_probability(F.col("cum"), F.lit(400.0), F.lit(0.0), 100.0)).otherwise(0.0)
     return series.decaying_max(own.withColumn("trig", F.round(trig, 9)), "trig", 4.0, "p").select("node_id", "t", F.round("p", 6).alias("p"))
 

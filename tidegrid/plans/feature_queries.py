@@ -142,11 +142,12 @@ def window_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def static_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 16 features of the grid's nodes (no SQL: its parts have theirs)."""
+    """All 16 features of the grid's nodes."""
     nodes = grid_nodes(spark, sf_dir)
     own = nodes.select("node_id", "lat", "lon", (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"), "elev")
     rivers = spark.createDataFrame(tables.RIVERS, "r_lat double, r_lon double")
-    return features.assemble(own, grid_edges(spark, sf_dir, nodes), rivers, tables.COAST)
+    found = features.assemble(own, grid_edges(spark, sf_dir, nodes), rivers, tables.COAST)
+    return found.select("node_id", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in features.FEATURES])
 
 
 def idw_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,13 +192,30 @@ _BANDS = f"""{_XY}, {_ELEV}, er AS (SELECT min(elev) AS e0, max(elev) AS e9 FROM
     bd AS (SELECT node_id, en, 0.08::DOUBLE + 0.18::DOUBLE * wat + 0.04::DOUBLE * veg AS green, 0.06::DOUBLE + 0.10::DOUBLE * urb + 0.02::DOUBLE * veg AS red,
         0.18::DOUBLE + 0.40::DOUBLE * veg - 0.12::DOUBLE * wat AS nir, 0.12::DOUBLE + 0.30::DOUBLE * urb - 0.06::DOUBLE * veg AS swir FROM f3)"""
 _ACC = "acc AS (SELECT c_custkey, c_acctbal AS b, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS gap FROM customer)"
+_HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(least(greatest(pow(sin(radians({a} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({a})) * pow(sin(radians({b} - lon) / 2), 2), 0), 1)))"
 _TERRAIN = """pts AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE * 0.02::DOUBLE AS elev FROM embeddings),
     d AS (SELECT a.id, a.elev AS e, b.elev AS oe, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist, b.id AS other FROM pts a JOIN pts b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY dist, other) <= 8),
     s AS (SELECT id, coalesce(max(CASE WHEN dist > 0 THEN degrees(atan(abs(oe - e) / dist)) END), 0.5) AS slope, count(*) FILTER (WHERE oe > e) AS up FROM d GROUP BY id),
     r AS (SELECT min(elev) AS lo, max(elev) AS hi FROM pts),
     t AS (SELECT s.id, least(greatest(slope, 0), 45) AS slope, greatest(up, 1) * (1 + 3 * (1 - (elev - lo) / (hi - lo))) AS flow FROM s JOIN pts ON pts.id = s.id, r)"""
 
+_STATIC = f"""{_BANDS.replace(_ELEV, "el AS (SELECT xy.node_id, x, y, elev FROM xy JOIN nodes ON nodes.node_id = xy.node_id)")},
+    {_TERRAIN.replace("SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE * 0.02::DOUBLE AS elev FROM embeddings", "SELECT node_id AS id, lon * 1000 AS x, lat * 1000 AS y, elev FROM nodes")},
+    ix AS (SELECT node_id, en, (nir - red) / (nir + red) AS ndvi, (green - nir) / (green + nir) AS ndwi, (swir - nir) / (swir + nir) AS ndbi FROM bd),
+    ds AS (SELECT DISTINCT u FROM edges WHERE edge_type > 0.5), dp AS (SELECT radians(lat) AS la, radians(lon) AS lo FROM nodes JOIN ds ON u = node_id),
+    dd AS (SELECT node_id, least(min(sqrt(pow(radians(lon) - lo, 2) + pow(radians(lat) - la, 2))) * 6371000.0::DOUBLE / 2000, 1) AS drain_dist FROM nodes, dp GROUP BY 1),
+    cap AS (SELECT node_id, max(capacity) AS drain FROM (SELECT u AS node_id, capacity FROM edges UNION ALL SELECT v, capacity FROM edges) GROUP BY 1),
+    raw AS (SELECT n.node_id, elev, t.slope, least(greatest(ln(flow / tan(radians(least(greatest(t.slope, 0.1), 89.9)))), 0), 25) AS twi, log10(flow) AS log_flow, log10(greatest(flow * 0.0225::DOUBLE, 0.01)) AS log_catchment, ndvi, ndwi, ndbi,
+        least(greatest(0.5::DOUBLE * (1 + ndbi) - 0.3::DOUBLE * greatest(ndvi, 0), 0), 1) AS impervious, least(greatest(CASE WHEN ndwi > 0.1 THEN -22 ELSE -18 + 12 * en END, -35), 5) AS sar_vv,
+        coalesce(drain, 0) AS drain, drain_dist, least({_HAV.format(a=tables.COAST[0], b=tables.COAST[1])} / 30000, 1) AS coast,
+        greatest({', '.join(f"exp(-pow({_HAV.format(a=a, b=b)} / 500, 2))" for a, b in tables.RIVERS)}) AS river, lat AS lat_n, lon AS lon_n
+        FROM nodes n JOIN t ON t.id = n.node_id JOIN ix ON ix.node_id = n.node_id JOIN dd ON dd.node_id = n.node_id LEFT JOIN cap ON cap.node_id = n.node_id)"""
+_SHARES = {"ndvi", "ndwi", "ndbi", "impervious", "drain", "drain_dist", "coast", "river"}
+
 ORACLES = {
+    "static_features": f"WITH {_STATIC} SELECT node_id, "
+    + ", ".join(f"round({c} + 1e-9, 5) AS {c}" if c in _SHARES else f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) + 1e-9, 5) AS {c}" for c in features.FEATURES)
+    + " FROM raw",
     "minmax": f"WITH {_ACC} SELECT c_custkey, round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) + 1e-9, 6) AS b_mm, 0.0::DOUBLE AS flat_mm FROM acc",
     "zscore": f"WITH {_ACC} SELECT c_custkey, round((b - avg(b) OVER ()) / stddev_pop(b) OVER () + 1e-9, 6) AS b_z, 0.0::DOUBLE AS flat_z FROM acc",
     "scale_on_train": f"WITH {_ACC}, s AS (SELECT avg(b) AS m, stddev_pop(b) AS s FROM acc WHERE c_custkey % 3 <> 0) SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'train' ELSE 'test' END AS part, round((b - m) / s + 1e-9, 6) AS b_z FROM acc, s",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators import gnn, graph, metrics, spatial
+from tidegrid.operators import features, gnn, graph, metrics, spatial
 from tidegrid.plans.common import GRID, grid_edges, grid_nodes, settled, table
 from tidegrid.sources import tables
 
@@ -78,6 +78,12 @@ def edge_features_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edge_features(spark, sf_dir, value="elev", gain=50.0, steep=0.01, least_range=1.0)
 
 
+def benchmark_edge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = grid_nodes(spark, sf_dir)
+    own = graph.benchmark_edge_features(grid_edges(spark, sf_dir, nodes), nodes)
+    return own.select("u", "v", *[settled(F.col(c)).alias(c) for c in ("elev_diff_norm", "length_norm", "edge_type", "flow_weight")])
+
+
 def khop_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.both_directions(_pairs(spark, sf_dir))
     return graph.k_hop(_seeds(spark, sf_dir), edges, 3)
@@ -207,6 +213,23 @@ def nearest_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("node_id"), settled(F.least(F.col("dist") * 6_371_000.0 / 2000, F.lit(1.0))).alias("drain_dist"))
 
 
+def drain_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without drains: the lowest tenth of the nodes by latitude stands for them."""
+    nodes = grid_nodes(spark, sf_dir)
+    found = features.drain_distance(nodes, grid_edges(spark, sf_dir, nodes).filter("edge_type < 0.5"))
+    return found.select("node_id", settled(F.col("drain_dist")).alias("drain_dist"))
+
+
+def drain_distance_by_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = grid_nodes(spark, sf_dir)
+    found = features.drain_distance_by_max(nodes, grid_edges(spark, sf_dir, nodes))
+    return found.select("node_id", settled(F.col("drain_dist")).alias("drain_dist"))
+
+
+def lowest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.lowest(grid_nodes(spark, sf_dir)).select("node_id", "lat")
+
+
 def river_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rivers = spark.createDataFrame(tables.RIVERS, "r_lat double, r_lon double")
     return spatial.river_proximity(grid_nodes(spark, sf_dir).select("node_id", "lat", "lon"), rivers).select("node_id", settled(F.col("river")).alias("river"))
@@ -251,7 +274,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         grid_graph, node_records, drainage_edges, both_directions, edge_dedupe_min, wcc_largest, drain_capacity_max, waterway_nodes, edge_features, edge_features_refined, khop_3, khop_sampled,
-        graph_stats, graph_compose, relabelled, sage_max, sage_mean, gcn_norm, gat_softmax, mc_dropout_stats, dense_forward, forward_spread, gru_baseline, knn_pairs, knn_slope, nearest_drain, river_proximity, coast_distance,
+        graph_stats, graph_compose, relabelled, sage_max, sage_mean, gcn_norm, gat_softmax, mc_dropout_stats, dense_forward, forward_spread, gru_baseline, benchmark_edge_features, drain_fallback, drain_distance_by_max, lowest_nodes, knn_pairs, knn_slope, nearest_drain, river_proximity, coast_distance,
         idw_all, idw_k5, station_interp, raster_sample,
     )
 }
@@ -277,6 +300,14 @@ ORACLES = {
         SELECT node, l12.l AS component FROM l12 JOIN t ON t.l = l12.l""",
     "drain_capacity_max": f"""WITH {GRID} SELECT node_id, coalesce((SELECT max(capacity) FROM edges WHERE u = node_id OR v = node_id), 0) AS drain,
         coalesce((SELECT max(capacity) FROM edges WHERE u = node_id), 0) AS drain_from FROM nodes""",
+    "benchmark_edge_features": f"""WITH {GRID}, s AS (SELECT greatest(max(elev) - min(elev), 1) AS span FROM nodes), m AS (SELECT greatest(max(length), 1) AS longest FROM edges),
+        f AS (SELECT u, v, (a.elev - b.elev) / span AS fall, length / longest AS l, edge_type FROM edges JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v, s, m)
+        SELECT u, v, round(least(greatest(fall, -1), 1) + 1e-9, 6) AS elev_diff_norm, round(l + 1e-9, 6) AS length_norm, round(edge_type + 1e-9, 6) AS edge_type, round(CASE WHEN edge_type = 1 THEN greatest(fall, 0) ELSE 0.1::DOUBLE END + 1e-9, 6) AS flow_weight FROM f""",
+    "drain_fallback": f"""WITH {GRID}, low AS (SELECT * FROM nodes ORDER BY lat, node_id LIMIT (SELECT n // 10 FROM g))
+        SELECT a.node_id, round(least(min(6371000.0::DOUBLE * sqrt(pow(radians(a.lon) - radians(b.lon), 2) + pow(radians(a.lat) - radians(b.lat), 2))) / 2000, 1) + 1e-9, 6) AS drain_dist FROM nodes a, low b GROUP BY 1""",
+    "drain_distance_by_max": f"""WITH {GRID}, s AS (SELECT DISTINCT u FROM edges WHERE edge_type > 0.5), dr AS (SELECT lat, lon FROM nodes JOIN s ON u = node_id),
+        d AS (SELECT node_id, min(sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2))) AS d FROM nodes a, dr b GROUP BY 1) SELECT node_id, round(d / max(d) OVER () + 1e-9, 6) AS drain_dist FROM d""",
+    "lowest_nodes": f"WITH {GRID} SELECT node_id, lat FROM nodes ORDER BY lat, node_id LIMIT (SELECT n // 10 FROM g)",
     "waterway_nodes": f"WITH {GRID} SELECT u AS node_id FROM edges WHERE edge_type > 0.5 UNION SELECT v FROM edges WHERE edge_type > 0.5",
     "edge_features": f"""WITH {GRID}, s AS (SELECT greatest(max(lat) - min(lat), 1e-6) AS span FROM nodes), l AS (SELECT max(greatest(length, 1)) AS longest FROM edges),
         f AS (SELECT u, v, (a.lat - b.lat) / span AS fall, length, edge_type, capacity, longest FROM edges JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v, s, l)

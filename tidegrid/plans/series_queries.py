@@ -117,6 +117,28 @@ def flood_labels_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.coherent(found.withColumn("wet", (F.col("p") >= 0.5).cast("int")), "wet").select("node_id", "t", "p", "wet", "label")
 
 
+def encoded_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' series as one event: sums, wetness, states and labels by one function, thresholds by node."""
+    own = rain(spark, sf_dir)
+    thresholds = own.select("node_id").distinct().withColumn("threshold", 300.0 + F.col("node_id") % 5 * 50)
+    found = series.encode_event(own, thresholds, scale=50.0)
+    return found.select("node_id", "t", F.round("cum", 4).alias("cum"), F.round("ant", 6).alias("ant"), "p", "label")
+
+
+def lagged_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of six hours with the label three hours on."""
+    own = series.sequences(rain(spark, sf_dir).withColumn("y", (F.col("rain") > 300).cast("int")), "y")
+    return own.select("node_id", "t", *[F.get("x", F.lit(k)).alias(f"x{k}") for k in range(6)], "y")
+
+
+def permuted_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All users in an order of chance, and whether each is among a sample of ten."""
+    users = rain(spark, sf_dir).select("node_id").distinct()
+    picked = series.sampled(users, ["node_id"], 10, 7).withColumn("picked", F.lit(1))
+    found = series.permuted(users, ["node_id"], 7).join(picked, "node_id", "left")
+    return found.select("node_id", F.col("place").cast("long").alias("place"), F.coalesce("picked", F.lit(0)).alias("picked"))
+
+
 def chrono_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = series.valid_steps(_labelled(spark, sf_dir)).withColumn("step", F.col("t") - 24)
     n = own.agg((F.max("step") + 1).alias("n"))
@@ -200,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         spine_fill, cum_rain_6h, rolling_label, antecedent_120h, rain_norm_p95, short_lags, long_lags, strided_lags, window_means, lead_targets, decay_running_max,
-        flood_labels, flood_labels_propagated, chrono_split, chrono_split_added, gauss_smooth, gauss_smooth_wide, time_shift, diurnal_cycle, early_stop, snapshot_windows, storm_rain,
+        flood_labels, flood_labels_propagated, encoded_event, lagged_sequences, permuted_steps, chrono_split, chrono_split_added, gauss_smooth, gauss_smooth_wide, time_shift, diurnal_cycle, early_stop, snapshot_windows, storm_rain,
     )
 }
 
@@ -236,6 +258,16 @@ ORACLES = {
         y AS (SELECT rain.node_id, rain.t, CASE WHEN round(p, 6) >= 0.5 THEN round(p, 6) ELSE 0.0::DOUBLE END AS p FROM rain LEFT JOIN f ON rain.node_id = f.node_id AND rain.t = f.t),
         z AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS wet FROM y)
         SELECT node_id, t, p, wet, CASE WHEN t >= 2 THEN wet * lag(wet) {L} ELSE 0 END AS label FROM z""",
+    "encoded_event": f"""WITH {RAIN}, w AS (SELECT node_id, t, CASE WHEN t >= 6 THEN sum(rain) {W.format(6)} END AS cum, CASE WHEN t >= 120 THEN avg(rain) {W.format(120)} ELSE 0 END AS a FROM rain),
+        top AS (SELECT greatest(max(a), 1.0::DOUBLE) AS top FROM w), x AS (SELECT node_id, t, cum, a / top AS ant FROM w, top),
+        trig AS (SELECT *, CASE WHEN cum IS NULL THEN 0.0::DOUBLE ELSE round(1 / (1 + exp(-(cum - (300.0::DOUBLE + node_id % 5 * 50) * (1 - 0.30::DOUBLE * ant)) / 50.0::DOUBLE)), 9) END AS trig FROM x),
+        st AS (SELECT *, max(CASE WHEN trig > 0 THEN log2(trig) + t / 4.0::DOUBLE END) OVER (PARTITION BY node_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS l FROM trig),
+        p AS (SELECT node_id, t, cum, ant, round(CASE WHEN l IS NULL THEN 0 ELSE pow(2.0::DOUBLE, l - t / 4.0::DOUBLE) END, 6) AS p FROM st), y AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS wet FROM p)
+        SELECT node_id, t, round(cum, 4) AS cum, round(ant, 6) AS ant, p, CASE WHEN t >= 2 THEN wet * lag(wet) {L} ELSE 0 END AS label FROM y""",
+    "lagged_sequences": f"""WITH {RAIN}, x AS (SELECT node_id, t, {', '.join(f"lag(rain, {6 - k}) {L} AS x{k}" for k in range(6))}, CASE WHEN lead(rain, 2) {L} > 300 THEN 1 ELSE 0 END AS y FROM rain)
+        SELECT x.* FROM x, b WHERE t >= 6 AND t < last + 1 - 3""",
+    "permuted_steps": """WITH u AS (SELECT DISTINCT user_id AS node_id, md5('7-' || user_id) AS k FROM events), o AS (SELECT node_id, row_number() OVER (ORDER BY k, node_id) - 1 AS place FROM u)
+        SELECT node_id, place, CASE WHEN place < 10 THEN 1 ELSE 0 END AS picked FROM o""",
     "chrono_split": f"""WITH {RAIN}, v AS (SELECT t - 24 AS step, CASE WHEN rain > 300 THEN 1 ELSE 0 END AS y, last + 1 - 36 AS n FROM rain, b WHERE t >= 24 AND t < last + 1 - 12)
         SELECT CASE WHEN step < floor(n * 0.85::DOUBLE) THEN 'train' WHEN step < floor(n * (0.85::DOUBLE + 0.075::DOUBLE)) THEN 'val' ELSE 'test' END AS split, count(DISTINCT step) AS steps, round(avg(y), 6) AS rate FROM v GROUP BY 1""",
     "chrono_split_added": f"""WITH {RAIN}, v AS (SELECT DISTINCT t, last + 1 AS n FROM rain, b)

@@ -70,6 +70,17 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.gates(m, limits))
 
 
+def readiness_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gates: the first lead, the drop to the last one, baselines (other scores of the same labels), another event (the third lead)."""
+    own = scored(spark, sf_dir)
+    at = lambda lead: own.filter(F.col("lead") == lead)
+    first = at(1)
+    row = metrics.skill(metrics.confusion(first)).join(metrics.auroc(first)).join(metrics.expected_calibration_error(first)).withColumn("pod", F.col("recall"))
+    kinds = F.explode(F.array(F.struct(F.lit("reverse").alias("model"), (1 - F.col("p")).alias("q")), F.struct(F.lit("flat").alias("model"), F.lit(0.5).alias("q")))).alias("m")
+    rivals = first.select("y", kinds).select("m.model", F.round("m.q", 6).alias("p"), "y")
+    return _rounded(metrics.readiness(row, metrics.skill(metrics.confusion(at(12))), metrics.skill(metrics.confusion(rivals, ["model"])), metrics.skill(metrics.confusion(at(6)))))
+
+
 def best_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each lead as a model: the best F1 and CSI."""
     own = metrics.skill(metrics.confusion(scored(spark, sf_dir), ["lead"]))
@@ -114,7 +125,8 @@ def top20_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def high_risk_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.high_risk(_rounded(risk(spark, sf_dir)), 0.3, 10)
+    """By the highest state of each node."""
+    return report.high_risk(_rounded(risk(spark, sf_dir)), 0.7, 10, "p_max")
 
 
 def alert_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +139,9 @@ def display_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenario_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _rounded(risk(spark, sf_dir))
-    return _rounded(report.paired_change(own.select("node_id", F.col("p_max").alias("p")), own.select("node_id", F.col("p_mean").alias("p"))))
+    """Mean states with half as much rain again, against those of the rain as it was."""
+    mean = lambda factor: _rounded(report.node_summary(states(spark, sf_dir, factor))).select("node_id", F.col("p_mean").alias("p"))
+    return _rounded(report.paired_change(mean(1.5), mean(1.0)))
 
 
 def rate_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +198,7 @@ def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        confusion, confusion_floor_one, auroc, avg_precision, ece, reliability, histogram20, tversky, tversky_weighted, weighted_bce, focal, readiness, best_baseline, node_mean_max, peak_step,
+        confusion, confusion_floor_one, auroc, avg_precision, ece, reliability, histogram20, tversky, tversky_weighted, weighted_bce, focal, readiness, readiness_full, best_baseline, node_mean_max, peak_step,
         merged_batches, risk_bands, risk_counts, category_counts, prediction_summary, top20_nodes, high_risk_top10, alert_kpi, display_table, scenario_change, rate_by_split, metric_state, flood_report, spread_peak_window, baseline_table, forest_baseline,
     )
 }
@@ -205,6 +218,10 @@ _BAND = "CASE WHEN p_mean < 0.3 THEN {0} WHEN p_mean < 0.5 THEN {1} WHEN p_mean
 _LABEL = _BAND.format("'Low Risk'", "'Moderate Risk'", "'High Risk'", "'Very High Risk'")
 _LEVEL = "CASE WHEN p_mean < 0.3 THEN 0 WHEN p_mean < 0.6 THEN 1 WHEN p_mean < 0.8 THEN 2 WHEN p_mean < 0.9 THEN 3 ELSE 4 END"
 
+_MEAN = "WITH {states} SELECT node_id, round(p_mean + 1e-9, 6) AS p_mean FROM risk"
+_COUNTS = "SELECT count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.5 AND y <> 1) AS fp, count(*) FILTER (WHERE p < 0.5 AND y = 1) AS fn FROM {src}"
+_SKILL = "SELECT *, 2 * precision * recall / (precision + recall + 1e-8) AS f1 FROM (SELECT tp / (tp + fp + 1e-8) AS precision, tp / (tp + fn + 1e-8) AS recall, fp / (tp + fp + 1e-8) AS far, tp / (tp + fp + fn + 1e-8) AS csi FROM {c})"
+
 ORACLES = {
     "confusion": f"WITH {SCORED}, {_CM_LEAD}, {_SK} SELECT lead, tp, fp, fn, tn, {_R('brier', 'precision', 'recall', 'far', 'csi', 'f1')} FROM f",
     "confusion_floor_one": f"""WITH {SCORED}, {_CM_ALL}, sk AS (SELECT *, tp / greatest(tp + fp, 1)::DOUBLE AS precision, tp / greatest(tp + fn, 1)::DOUBLE AS recall, fp / greatest(tp + fp, 1)::DOUBLE AS far, tp / greatest(tp + fp + fn, 1)::DOUBLE AS csi FROM c),
@@ -233,11 +250,22 @@ ORACLES = {
     "category_counts": f"{_RISK}, c AS (SELECT {_LEVEL} AS level, count(*) AS n FROM k GROUP BY 1) SELECT CAST(r.l AS INTEGER) AS level, coalesce(n, 0) AS n FROM range(5) AS r(l) LEFT JOIN c ON c.level = r.l",
     "prediction_summary": f"WITH {STATES} SELECT count(*) AS n, round(avg(p_mean) + 1e-9, 6) AS mean, round(stddev_pop(p_mean) + 1e-9, 6) AS std, round(min(p_mean) + 1e-9, 6) AS min, round(max(p_mean) + 1e-9, 6) AS max FROM risk",
     "top20_nodes": f"{_RISK} SELECT node_id, p_mean, p_max, CAST(row_number() OVER (ORDER BY p_mean DESC, node_id) AS INTEGER) AS rank, {_LABEL} AS risk FROM k ORDER BY rank LIMIT 20",
-    "high_risk_top10": f"{_RISK} SELECT * FROM k WHERE p_mean > 0.3 ORDER BY p_mean DESC, node_id LIMIT 10",
+    "high_risk_top10": f"{_RISK} SELECT * FROM k WHERE p_max > 0.7 ORDER BY p_max DESC, node_id LIMIT 10",
     "alert_kpi": f"""{_RISK}, z AS (SELECT count(*) FILTER (WHERE p_mean >= 0.1) AS at_risk, count(*) AS n, avg(p_mean) AS mean_p, max(p_mean) AS max_p FROM k)
         SELECT at_risk, n, {_R('mean_p', 'max_p')}, round(at_risk / n + 1e-9, 6) AS share, CASE WHEN at_risk / n >= 0.5 THEN 'critical' WHEN at_risk / n >= 0.15 THEN 'warning' ELSE 'normal' END AS alert FROM z""",
     "display_table": f"""WITH {GRID}, d AS (SELECT node_id, lat, lon, (node_id * 7 % 101) / 101 AS p_mean FROM nodes) SELECT node_id, printf('%.5f', lat) AS lat, printf('%.5f', lon) AS lon, printf('%.1f%%', p_mean * 100) AS p, {_LABEL} AS risk FROM d""",
-    "scenario_change": f"{_RISK} SELECT node_id, round(p_max + 1e-9, 6) AS p_scenario, round(p_mean + 1e-9, 6) AS p_history, round(p_max - p_mean + 1e-9, 6) AS change FROM k",
+    "scenario_change": f"""WITH a AS ({_MEAN.format(states=STATES.replace("sum(rain) OVER", "1.5::DOUBLE * sum(rain) OVER"))}), b AS ({_MEAN.format(states=STATES)})
+        SELECT node_id, a.p_mean AS p_scenario, b.p_mean AS p_history, round(a.p_mean - b.p_mean + 1e-9, 6) AS change FROM a JOIN b USING (node_id)""",
+    "readiness_full": f"""WITH {SCORED}, one AS (SELECT p, y FROM scored WHERE lead = 1),
+        {', '.join(f"c{k} AS ({_COUNTS.format(src=src)}), s{k} AS ({_SKILL.format(c=f'c{k}')})" for k, src in (("a", "one"), ("b", "(SELECT p, y FROM scored WHERE lead = 12)"), ("c", "(SELECT p, y FROM scored WHERE lead = 6)"), ("d", "(SELECT round(1 - p, 6) AS p, y FROM one)"), ("e", "(SELECT 0.5::DOUBLE AS p, y FROM one)")))},
+        top AS (SELECT max(f1) AS f1, max(csi) AS csi FROM (SELECT f1, csi FROM sd UNION ALL SELECT f1, csi FROM se)),
+        a AS ({_AUC.format(by='', part='', part2='PARTITION BY').replace('GROUP BY ALL', 'GROUP BY np, n').replace('FROM scored', 'FROM one')}), e AS ({_ECE.replace('FROM scored', 'FROM one')}),
+        v AS (SELECT unnest(['f1', 'auroc', 'csi', 'pod', 'far', 'ece']) AS metric, unnest([f1, auroc, csi, recall, far, ece]) AS value, unnest([0.75, 0.85, 0.55, 0.60, 0.40, 0.10]) AS ok, unnest([0.75, 0.80, 0.55, 0.60, 1.0, 0.20]) AS warn, unnest([1, 1, 1, 1, -1, -1]) AS up FROM sa, a, e),
+        z AS (SELECT metric, value, CASE WHEN value * up >= ok * up THEN 'PASS' WHEN value * up >= warn * up THEN 'WARN' ELSE 'FAIL' END AS status FROM v
+            UNION ALL SELECT 'f1_drop', sa.f1 - sb.f1, CASE WHEN sa.f1 - sb.f1 < 0.20 THEN 'PASS' WHEN sa.f1 - sb.f1 < 0.30 THEN 'WARN' ELSE 'FAIL' END FROM sa, sb
+            UNION ALL SELECT 'over_baselines', sa.f1 - top.f1, CASE WHEN sa.f1 > top.f1 OR sa.csi > top.csi THEN 'PASS' ELSE 'FAIL' END FROM sa, top
+            UNION ALL SELECT 'event_drop', sa.f1 - sc.f1, CASE WHEN sa.f1 - sc.f1 <= 0.15 THEN 'PASS' WHEN sa.f1 - sc.f1 <= 0.25 THEN 'WARN' ELSE 'FAIL' END FROM sa, sc)
+        SELECT metric, round(value + 1e-9, 6) AS value, status FROM z""",
     "rate_by_split": f"""WITH {SCORED}, s AS (SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS split, y FROM scored) SELECT split, round(avg(y) + 1e-9, 6) AS rate, count(*) AS n FROM s GROUP BY 1
         UNION ALL SELECT 'all', round(avg(y) + 1e-9, 6), count(*) FROM s""",
     "metric_state": f"WITH {SCORED}, {_CM_ALL}, {_SK} SELECT tp, fp, fn, tn, {_R('precision', 'recall', 'far', 'csi', 'f1')} FROM f",

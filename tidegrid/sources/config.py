@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+#: Where a file of parameters is looked for, from the working folder.
+CANDIDATES = ("config/config.yaml", "config.yaml", "config/config.json", "config.json")
+
 
 @dataclass(frozen=True)
 class RunConfig:
@@ -41,3 +46,20 @@ class RunConfig:
     def from_json(cls, text: str) -> RunConfig:
         raw = json.loads(text)
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
+
+    @classmethod
+    def load(cls, path: str | None = None, candidates: Sequence[str] = CANDIDATES) -> RunConfig:
+        """From a YAML or JSON file: the given one, else the first candidate that is there, else the defaults.
+
+        A given path without a file gives the defaults too. Unknown parameters are an error. YAML needs the yaml package.
+        """
+        found = path if path else next((c for c in candidates if os.path.exists(c)), None)
+        if not found or not os.path.exists(found):
+            return cls()
+        with open(found, encoding="utf-8") as f:
+            text = f.read()
+        if found.endswith((".yaml", ".yml")):
+            import yaml
+
+            text = json.dumps(yaml.safe_load(text) or {})
+        return cls.from_json(text)
