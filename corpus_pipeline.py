@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import decontam, line_rules, near_sets, packing, quality_rank
-from tidegrid.llm.common import staged
+from tidegrid.llm.common import scratch, staged
 from tidegrid.llm.queries import table, tokenizer_path
 
 
@@ -60,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote for itself, and the stage before it, is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with scratch(spark) as clear:
+        for name, stage in STAGES:
+            docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            clear()
     return docs

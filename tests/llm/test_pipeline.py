@@ -62,6 +62,13 @@ def test_packing_stage(steps):
     check_packing(steps[5], [(r.doc_id, r.text) for r in steps[4]], Tokenizer.from_file(TOKENIZER), 2048)
 
 
+def test_only_the_result_stays(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidegrid.llm.common.shared_dir", lambda spark: str(tmp_path))
+    rows = corpus_pipeline.run(spark, sf)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["tidegrid-best-fit-packing"]
+    assert rows.count() > 0
+
+
 def test_odd_tables(spark, tmp_path, odd, empty, labels):
     """Nulls, empty texts, repeated rows, and no rows at all, through every stage."""
     for k, docs in enumerate((odd, empty)):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +45,7 @@ def raw_text(text: str = "text") -> Column:
 
 def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Hand texts to Python workers by so many rows at most: what a worker and its buffers hold is bounded by the rows, whose
-    texts may be long. A smaller setting of the session's own stays."""
+    texts may be long. Sets the session's Arrow batches (``build_session`` does so from the start); a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
@@ -72,13 +75,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
     This cuts the lineage and keeps what several later steps read from being computed twice; the files
-    outlive any executor.
+    outlive any executor. They stay until a ``scratch`` that they were written in ends, or the folder is cleared.
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[], None]]:
+    """Within it, the function that it gives deletes all tables staged so far but the last one, whose maker has ended by then."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+
+    def clear() -> None:
+        for at in paths[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del paths[:-1]
+
+    try:
+        yield clear
+    finally:
+        _SCRATCH.reset(token)
+
+
 def bounded_sample(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """The rows whose keys' hash is under a bound: about ``most`` of them if every key has one row; all if there are no more.
 
