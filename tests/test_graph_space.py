@@ -258,6 +258,39 @@ def test_recurrent_baseline(spark):
         assert np.isclose(r.p, want, atol=1e-5)
 
 
+def test_older_network_equals_plain_loops(spark):
+    w = gnn.older_weights(2)
+    snap, edges, (static, short, _, rows) = network_inputs(spark, hours=1)
+    sig, relu = (lambda x: 1 / (1 + np.exp(-x))), (lambda x: np.maximum(x, 0))
+    norm = lambda x, n: (x - w[f"{n}.m"]) / np.sqrt(w[f"{n}.v"] + 1e-5) * w[f"{n}.g"] + w[f"{n}.c"]
+    rows = [(u, v) for u, v, _ in rows if max(u, v) < 14 and u != v]
+    time = []
+    for k in range(14):
+        seq = [x[None] for x in short[0, k]]
+        for n in ("time0", "time1"):
+            h, out = np.zeros(64), []
+            for x in seq:
+                a, c = np.split(x @ w[f"{n}.w"] + w[f"{n}.b"], 3), np.split(h @ w[f"{n}.u"] + w[f"{n}.d"], 3)
+                z = sig(a[1] + c[1])
+                h = (1 - z) * np.tanh(a[2] + sig(a[0] + c[0]) * c[2]) + z * h
+                out.append(h)
+            seq = out
+        time.append(seq[-1])
+    h = [np.concatenate([static[0, k], time[k]]) for k in range(14)]
+    for n in ("mean0", "mean1", "mean2"):
+        means = [np.mean([h[u] for u, x in rows if x == v], axis=0) if any(x == v for _, x in rows) else np.zeros(len(h[0])) for v in range(14)]
+        h = [relu(norm(means[v] @ w[f"{n}.l"] + w[f"{n}.b"] + h[v] @ w[f"{n}.r"], n)) for v in range(14)]
+    found = {r.node_id: r for r in gnn.older_forward(snap, edges, w).collect()}
+    assert len(found) == 14
+    for k in range(14):
+        x = np.concatenate([static[0, k], time[k], h[k]])
+        for n in ("fuse0", "fuse1", "fuse2"):
+            x = relu(norm(x @ w[f"{n}.w"] + w[f"{n}.b"], n))
+        p = sig(relu(x @ w["end1.w"] + w["end1.b"]) @ w["end2.w"] + w["end2.b"])[0]
+        r = found[k]
+        assert np.allclose(r.temporal, time[k], atol=1e-5) and np.allclose(r.spatial, h[k], atol=1e-4) and np.allclose(r.fused, x, atol=1e-3) and np.isclose(r.p, p, atol=1e-4)
+
+
 def test_random_forest(spark):
     rows = [(k, float(k % 10), float(k % 7), int(k % 10 > 6)) for k in range(300)]
     df = spark.createDataFrame(rows, "id long, a double, b double, y int")

@@ -178,6 +178,12 @@ def gru_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gnn.gru_baseline(_snapshots(spark, sf_dir)[0], gnn.weights(gnn.GRU_SHAPES))
 
 
+def older_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and embeddings of the older network with fixed weights, on the first two days' snapshots."""
+    snap, edges = _snapshots(spark, sf_dir)
+    return gnn.older_forward(snap.filter("t < 72"), edges, gnn.older_weights())
+
+
 # --- space --------------------------------------------------------------------------------------------------
 
 
@@ -274,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         grid_graph, node_records, drainage_edges, both_directions, edge_dedupe_min, wcc_largest, drain_capacity_max, waterway_nodes, edge_features, edge_features_refined, khop_3, khop_sampled,
-        graph_stats, graph_compose, relabelled, sage_max, sage_mean, gcn_norm, gat_softmax, mc_dropout_stats, dense_forward, forward_spread, gru_baseline, benchmark_edge_features, drain_fallback, drain_distance_by_max, lowest_nodes, knn_pairs, knn_slope, nearest_drain, river_proximity, coast_distance,
+        graph_stats, graph_compose, relabelled, sage_max, sage_mean, gcn_norm, gat_softmax, mc_dropout_stats, dense_forward, forward_spread, gru_baseline, older_embeddings, benchmark_edge_features, drain_fallback, drain_distance_by_max, lowest_nodes, knn_pairs, knn_slope, nearest_drain, river_proximity, coast_distance,
         idw_all, idw_k5, station_interp, raster_sample,
     )
 }
