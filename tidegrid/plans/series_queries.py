@@ -184,13 +184,14 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over the whole input vector of each valid step."""
+    """Sums over the three parts of the whole input vector (16 static, 6 short, 12 long) of each valid step."""
     own = rain(spark, sf_dir)
     snap = series.valid_steps(series.snapshot(own, series.positive_percentile(own)))
-    x = F.concat(F.array_repeat(F.lit(0.0), 16), "short", "long")
+    static = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: (F.col("node_id") * k % 16) / 16)
+    x = F.concat(static, "short", "long")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
     own = snap.select("node_id", "t", x.alias("x"))
-    return own.select("node_id", "t", F.size("x").alias("width"), F.round(total(F.slice("x", 17, 6)), 6).alias("short"), F.round(total(F.slice("x", 23, 12)), 6).alias("long"))
+    return own.select("node_id", "t", F.size("x").alias("width"), F.round(total(F.slice("x", 1, 16)), 6).alias("static"), F.round(total(F.slice("x", 17, 6)), 6).alias("short"), F.round(total(F.slice("x", 23, 12)), 6).alias("long"))
 
 
 def storm_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,6 +283,6 @@ ORACLES = {
         SELECT epoch, score, best, since, bool_or(since >= 5) OVER (ORDER BY epoch) AS stopped FROM f""",
     "snapshot_windows": f"""WITH {RAIN}, n AS (SELECT greatest(quantile_cont(rain, 0.95), 1.0::DOUBLE) AS n FROM rain WHERE rain > 0),
         l AS (SELECT node_id, t, {' + '.join(_lag(k) for k in series.SHORT_LAGS)} AS a, {' + '.join(_lag(k) for k in series.LONG_LAGS)} AS b FROM rain)
-        SELECT node_id, t, 34 AS width, round(a / n, 6) AS short, round(b / n, 6) AS long FROM l, n, b AS z WHERE t >= 24 AND t < z.last + 1 - 12""",
+        SELECT node_id, t, 34 AS width, round(list_sum([(node_id * k % 16) / 16::DOUBLE FOR k IN range(1, 17)]), 6) AS static, round(a / n, 6) AS short, round(b / n, 6) AS long FROM l, n, b AS z WHERE t >= 24 AND t < z.last + 1 - 12""",
     "storm_rain": _storm_sql(),
 }
