@@ -23,6 +23,8 @@ BROADCAST_ROWS = 500_000
 KEY = ["k1", "k2"]
 #: Proximity: words by which a term may be off its place, and terms of a whole window that may be missing.
 SLOP, MISS = 3, 1
+#: Words of the stretches of text that candidates are looked up in.
+STRETCH = 32
 
 
 def words(text: Column) -> Column:
@@ -149,7 +151,8 @@ def proximity_matches(index: DataFrame, items: DataFrame, at: DataFrame, slop: i
     that term says (start, below 0 if the document begins within the window). There all words of the window, or all but ``miss``
     if it is a whole one, stand at most ``slop`` words from where they would in an exact occurrence; spread is the largest such
     distance. Exact occurrences are among them, with spread 0 and len words found. Items of fewer than ``window`` words are one
-    window. Of the miss + 2 rarest terms two must be there, so only places where two rare terms agree are looked at.
+    window. Of the miss + 2 rarest terms two must be there, so only places where two rare terms agree are looked at; the lists of
+    rare terms of neighbouring windows then leave out most of these.
     """
     at = frequencies(index, at)
     postings = index.filter("tid is not null").select("tid", "k1", "k2", "pos")
@@ -163,18 +166,22 @@ def proximity_matches(index: DataFrame, items: DataFrame, at: DataFrame, slop: i
         .filter("_lo < _hi or alone")
     )
     agreed = staged(agreed.select(*KEY, "ik", "ipos", "diag"), "agreed")
-    # Those of one window: an anchor with another of its rarest terms.
-    every = rare.groupBy("ik", "start").agg(F.collect_list("ipos").alias("every"))
-    anchors = rare.filter("anchor").join(every, ["ik", "start"]).select("ik", "ipos", "start", "len", F.array_remove("every", F.col("ipos")).alias("others"))
+    # Of all the item's listed places within the window of an anchor, no more than the spare ones may be missing.
+    every = rare.groupBy("ik").agg(F.collect_set("ipos").alias("every"))
+    others = F.filter("every", lambda x: (x >= F.col("start")) & (x < F.col("start") + F.col("len")) & (x != F.col("ipos")))
+    anchors = rare.filter("anchor").join(every, "ik").select("ik", "ipos", "start", "len", others.alias("others"))
     cand = (
         agreed.withColumn("_by", F.collect_set("ipos").over(beside))
         .join(small(staged(anchors, "anchors")), ["ik", "ipos"])
-        .filter((F.size("others") == 0) | F.arrays_overlap("_by", "others"))
+        .filter(F.size(F.array_intersect("_by", "others")) >= F.size("others") - spare)
     )
     cand = staged(cand.select(*KEY, "ik", "diag", "start", "len").distinct(), "near-candidates")
-    # All words of these items in these documents, as far as they stand near a candidate's diagonal.
-    wanted = cand.select(*KEY, "ik").distinct().join(small(at.select("ik", "ipos", "tid")), "ik")
-    near = postings.join(small(cand.select(*KEY).distinct()), KEY, "left_semi")
+    # The words of these windows, among the postings of the stretches of text where they would stand.
+    first, last = F.col("diag") + F.col("start") - slop, F.col("diag") + F.col("start") + F.col("len") - 1 + slop
+    spots = cand.select(*KEY, F.explode(F.sequence(F.floor(first / STRETCH), F.floor(last / STRETCH))).alias("_at")).distinct()
+    near = postings.withColumn("_at", F.floor(F.col("pos") / STRETCH)).join(small(spots), [*KEY, "_at"], "left_semi")
+    wanted = cand.select(*KEY, "ik", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("ipos")).distinct()
+    wanted = wanted.join(small(at.select("ik", "ipos", "tid")), ["ik", "ipos"])
     words_of = wanted.join(near, [*KEY, "tid"]).select(*KEY, "ik", "ipos", (F.col("pos") - F.col("ipos")).alias("at"))
     reach = cand.select(*KEY, "ik", "diag").distinct().withColumn("at", F.explode(F.sequence(F.col("diag") - slop, F.col("diag") + slop)))
     off = reach.join(words_of, [*KEY, "ik", "at"]).groupBy(*KEY, "ik", "diag", "ipos").agg(F.min(F.abs(F.col("at") - F.col("diag"))).alias("off"))
