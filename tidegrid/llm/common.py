@@ -123,6 +123,18 @@ def labelled(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame
     return docs.select("doc_id", raw_text(text).alias("_raw")).join(F.broadcast(known), "doc_id").select("doc_id", "_y", "_raw")
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int, least: int = 1_000) -> DataFrame:
+    """rows joined with ``facts``, one row for each key, of which ``weight`` says how many of the ``total`` rows have that key.
+
+    Fewer than 1,000 keys have over a thousandth of the rows: their facts are broadcast, and their rows don't meet in one task;
+    the others are an ordinary join. ``weight`` isn't in the result.
+    """
+    bound = max(least, total // 1000)
+    hot, cold = facts.filter(F.col(weight) > bound).drop(weight), facts.filter(F.col(weight) <= bound).drop(weight)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name`` with as many underscores before it as it takes to be no column of df."""
     taken = {c.lower() for c in df.columns}

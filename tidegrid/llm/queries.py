@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontam, langid, licenses, line_rules, packing, quality_rank, simhash, suffix_lm, toxicity, warc
+from tidegrid.llm import decontam, langid, licenses, line_dedup, line_rules, packing, prefix_trie, quality_rank, simhash, suffix_lm, toxicity, warc
 from tidegrid.llm.common import bound_batches, crc_fold
 from tidegrid.session import ship
 
@@ -85,11 +85,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_tree(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_best_fit_packing, op3_quality_ranking, op4_language_id, op5_warc_convert,
         op6_simhash_dedup, op7_suffix_tree_lm, op8_toxicity, op9_line_rules, op10_decontamination,
+        op12_line_dedup, op13_prefix_trie,
     )
 }
 
@@ -98,6 +108,12 @@ _WORDS = (
     "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 )
 
+#: The CRC-32 of a text column, bit by bit over its bytes.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode({x})) + 1), lambda i: ('0x' || substr(hex(encode({x})), 2 * i - 1, 2))::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: xor(r >> 1, 3988292384::BIGINT * (r & 1)))), 4294967295::BIGINT)"
+)
+
 ORACLES = {
     "op5_warc_convert": """
         WITH p AS (
@@ -163,4 +179,53 @@ ORACLES = {
         FROM d LEFT JOIN hit ON hit.doc_id IS NOT DISTINCT FROM d.doc_id AND hit.text IS NOT DISTINCT FROM d.text
             LEFT JOIN it ON it.doc_id IS NOT DISTINCT FROM d.doc_id AND it.text IS NOT DISTINCT FROM d.text
             LEFT JOIN ni ON ni.doc_id IS NOT DISTINCT FROM d.doc_id AND ni.text IS NOT DISTINCT FROM d.text""",
+    "op12_line_dedup": """
+        WITH r AS (
+            SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), x AS (
+            SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM r
+        ), k AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x
+        ), f AS (
+            SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 2
+        ), m AS (
+            SELECT row, line, pos, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM first AS gone FROM k LEFT JOIN f ON f.key = k.key
+        ), t AS (
+            SELECT row, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY row
+        )
+        SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM r JOIN t ON t.row = r.row""",
+    "op13_prefix_trie": f"""
+        WITH c AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS r
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format(x="conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM c)
+        ), turns AS (
+            SELECT ids.conv_id, 0 AS part, r, role, text FROM ids JOIN c ON c.conv_id = base AND r <= h
+            UNION ALL SELECT ids.conv_id, 1, r, role, text FROM ids JOIN c ON c.conv_id = ids.conv_id AND r > h
+        ), n AS (
+            SELECT conv_id, text, length(role) || ':' || role || length(text) || ':' || text AS x, row_number() OVER (PARTITION BY conv_id ORDER BY part, r) AS d FROM turns
+        ), p AS (
+            SELECT conv_id, d, text, string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY d) AS p FROM n
+            UNION ALL SELECT conv_id, 0, '', '' FROM ids
+        ), node AS (
+            SELECT d, p, min(conv_id) AS owner, count(*) AS n_convs, length(any_value(text)) AS cost FROM p GROUP BY d, p
+        ), m AS (
+            SELECT p.conv_id, p.d, owner, n_convs, cost FROM p JOIN node ON node.d = p.d AND node.p = p.p
+        ), size AS (
+            SELECT conv_id, max(d) AS length FROM p GROUP BY conv_id
+        ), kin AS (
+            SELECT b.owner AS po, b.d AS pd, count(DISTINCT a.owner) AS n_children FROM m a JOIN m b ON b.conv_id = a.conv_id AND b.d = a.d - 1 WHERE a.conv_id = a.owner GROUP BY 1, 2
+        ), own AS (
+            SELECT owner, d, n_convs, (n_convs - 1) * cost AS saved, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN kin ON po = owner AND pd = d WHERE m.conv_id = owner
+        ), up AS (
+            SELECT b.owner, b.d, sum(own.saved) AS saved_tokens, count(*) FILTER (WHERE own.n_children = 0) AS n_leaves
+            FROM own JOIN m b ON b.conv_id = own.owner AND b.d <= own.d GROUP BY 1, 2
+        ), e AS (
+            SELECT m.owner, m.d, string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) AS ids FROM m JOIN size ON size.conv_id = m.conv_id AND length = m.d GROUP BY 1, 2
+        ), par AS (
+            SELECT a.owner, a.d, b.owner AS parent FROM m a JOIN m b ON b.conv_id = a.conv_id AND b.d = a.d - 1 WHERE a.conv_id = a.owner
+        )
+        SELECT own.owner AS conv_id, CAST(own.d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM own JOIN up ON up.owner = own.owner AND up.d = own.d LEFT JOIN e ON e.owner = own.owner AND e.d = own.d LEFT JOIN par ON par.owner = own.owner AND par.d = own.d""",
 }
