@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontam, langid, licenses, line_dedup, line_rules, packing, prefix_trie, quality_rank, simhash, suffix_lm, toxicity, warc
+from tidegrid.llm import decontam, langid, licenses, line_dedup, line_rules, packing, prefix_trie, quality_rank, resampling, simhash, suffix_lm, toxicity, warc
 from tidegrid.llm.common import bound_batches, crc_fold
 from tidegrid.session import ship
 
@@ -85,6 +85,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -99,7 +104,7 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_best_fit_packing, op3_quality_ranking, op4_language_id, op5_warc_convert,
         op6_simhash_dedup, op7_suffix_tree_lm, op8_toxicity, op9_line_rules, op10_decontamination,
-        op12_line_dedup, op13_prefix_trie,
+        op11_importance_resampling, op12_line_dedup, op13_prefix_trie,
     )
 }
 
@@ -179,6 +184,39 @@ ORACLES = {
         FROM d LEFT JOIN hit ON hit.doc_id IS NOT DISTINCT FROM d.doc_id AND hit.text IS NOT DISTINCT FROM d.text
             LEFT JOIN it ON it.doc_id IS NOT DISTINCT FROM d.doc_id AND it.text IS NOT DISTINCT FROM d.text
             LEFT JOIN ni ON ni.doc_id IS NOT DISTINCT FROM d.doc_id AND ni.text IS NOT DISTINCT FROM d.text""",
+    "op11_importance_resampling": f"""
+        WITH tab AS (
+            SELECT list(list_reduce(list_prepend(n, range(8)), lambda r, k: xor(r >> 1, 3988292384::BIGINT * (r & 1))) ORDER BY n) AS tab FROM range(256) AS t(n)
+        ), d AS (
+            SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents
+        ), b AS (
+            SELECT -row_number() OVER () AS row, {_WORDS} AS w FROM benchmark
+        ), runs AS (
+            SELECT row, array_to_string(w[s:s + n - 1], ' ') AS f
+            FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM (SELECT row, w FROM d UNION ALL SELECT row, w FROM b), range(1, 4) AS t(n) WHERE len(w) >= n)
+        ), counts AS (
+            SELECT row, f, count(*) AS n FROM runs GROUP BY row, f
+        ), dict AS (
+            SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+                lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+            FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM counts)), tab
+        ), own AS (
+            SELECT row, bucket, sum(n) AS n FROM counts JOIN dict ON dict.f = counts.f GROUP BY row, bucket
+        ), buckets AS (
+            SELECT bucket, coalesce(sum(n) FILTER (WHERE row > 0), 0) AS s, coalesce(sum(n) FILTER (WHERE row < 0), 0) AS t FROM own GROUP BY bucket
+        ), gain AS (
+            SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS g FROM buckets
+        ), weights AS (
+            SELECT row, sum(n) AS n_features, sum(n * g) AS weight FROM own JOIN gain ON gain.bucket = own.bucket WHERE row > 0 GROUP BY row
+        ), scored AS (
+            SELECT d.row, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM d LEFT JOIN weights ON weights.row = d.row
+        ), ranked AS (
+            SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) OVER () AS able FROM scored WHERE n_words >= 20
+        )
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN r <= 5 * able // 100 THEN r END AS rank
+        FROM scored LEFT JOIN ranked ON ranked.row = scored.row""",
     "op12_line_dedup": """
         WITH r AS (
             SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
