@@ -38,6 +38,25 @@ def test_ids_are_the_tokenizers(reference_tokenizer, text):
     assert packing.encoder(TOKENIZER).encode(text, allowed_special="all") == reference_tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\t", "\n", "\r\n", "\x85", "\xa0", "\u2003", "\x1c", "ab", "'s", "7", "<|endoftext|>"])).map("".join), st.sampled_from([1, 2, 3]))
+def test_runs_of_white_space_cut_by_hand(reference_tokenizer, text, least):
+    assert packing.token_ids(text, TOKENIZER, least).tolist() == reference_tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [999_999, 1_000_001, 3_000_000])
+def test_long_runs_of_white_space(reference_tokenizer, n):
+    for run in (" ", "\n", " \t\n"):
+        for before, after in (("a", "b"), ("", ""), ("a", "<|endoftext|>x"), ("é.", "\n7")):
+            text = before + (run * n)[:n] + after
+            assert packing.token_ids(text, TOKENIZER).tolist() == reference_tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_a_long_run_of_blanks(spark):
+    packed = packing.pack(packing.token_pieces(make(spark, [(1, "a" + " " * 1_000_001 + "b"), (2, "c")]), TOKENIZER))
+    assert packed.filter("doc_id = 1").agg({"length": "sum"}).first()[0] == len(packing.token_ids("a" + " " * 1_000_001 + "b", TOKENIZER)) + 1
+
+
 def test_ids_of_documents_are_the_tokenizers(spark, reference_tokenizer, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert [packing.encoder(TOKENIZER).encode(t, allowed_special="all") for t in texts] == [x.ids for x in reference_tokenizer.encode_batch(texts, add_special_tokens=False)]

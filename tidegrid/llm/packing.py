@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -48,6 +49,33 @@ def encoder(path: str):
     return tiktoken.Encoding("bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: White space as the pattern has it, and the characters of a run of it that are kept from the pattern, which runs out of stack
+#: over about a million.
+WHITE, LONG_RUN = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]", 100_000
+
+
+@functools.cache
+def _runs(path: str, least: int) -> re.Pattern:
+    """A long run of white space, and whether the text, or an added token, ends it (then all of it is one piece)."""
+    ends = "|".join(["$(?!\\n)", *map(re.escape, sorted(encoder(path).special_tokens_set))])
+    return re.compile(f"{WHITE}{{{least},}}+(?P<end>(?={ends}))?")
+
+
+def token_ids(text: str, path: str, least: int = LONG_RUN) -> np.ndarray:
+    """The ids of a text. Of a long run of white space all but the last character is one piece, or all if nothing follows."""
+    own = encoder(path)
+    if len(text) < least or not (found := list(_runs(path, least).finditer(text))):
+        return own.encode_to_numpy(text, allowed_special="all")
+    parts, at = [], 0
+    for run in found:
+        end = run.end() if run["end"] is not None else run.end() - 1
+        if end == run.start():
+            continue
+        parts += [own.encode_to_numpy(text[at : run.start()], allowed_special="all"), np.array(own._encode_single_piece(text[run.start() : end]), np.uint32)]
+        at = end
+    return np.concatenate([*parts, own.encode_to_numpy(text[at:], allowed_special="all")])
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, text: str = "text") -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece: the ids of a text, then ``end_id``.
 
@@ -57,11 +85,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode_to_numpy
         for b in batches:
             rows = []
             for doc, value in zip(b["doc_id"], b["_text"]):
-                ids = np.append(encode(value, allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(token_ids(value, tokenizer), end_id).astype("<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 rows += [(doc, k, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
