@@ -32,7 +32,7 @@ from tidegrid.operators.graph import relabel
 BUCKETS, RUNS, SEED = 10_000, 3, 42
 LEAST_WORDS, PERCENT = 20, 5
 #: Words that share a dictionary, about; longer texts are cut to as many.
-BLOCK = 300_000
+BLOCK = 120_000
 
 
 def features(texts: list[list[bytes]], runs: int = RUNS) -> tuple[pa.DictionaryArray, np.ndarray]:
