@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import maths
-from tidegrid.operators import gnn, graph, spatial
+from tidegrid.operators import gnn, graph, layers, spatial
 
 
 def edges_of(spark, pairs, **more):
@@ -139,13 +139,15 @@ def test_gelu_and_gru():
     assert np.allclose(gnn.gru(seq, w, u, b)[0], h)
 
 
-def network_brute(static, short, long, edges, w, mixing=False):
-    """The network for one snapshot, node by node and edge by edge, in plain loops."""
+def network_brute(static, short, long, edges, w, mixing=False, at=0, rate=0.0):
+    """The network for one snapshot, node by node and edge by edge, in plain loops; with a rate, units are dropped in column ``at``."""
     erf = np.vectorize(math.erf)
     act = lambda x: 0.5 * x * (1 + erf(x / math.sqrt(2)))
     sig = lambda x: 1 / (1 + np.exp(-x))
     norm = lambda x, n: (x - x.mean()) / np.sqrt(((x - x.mean()) ** 2).mean() + 1e-5) * w[f"{n}.g"] + w[f"{n}.c"]
     lin = lambda x, n: x @ w[f"{n}.w"] + w[f"{n}.b"]
+    key = lambda v: layers.row_keys(np.array([v]), np.array([at]))
+    drop = lambda x, v, layer: x * layers.kept(key(v), len(x), layer, rate)[0] if rate else x
 
     def recur(seq, n):
         h, out = np.zeros(w[f"{n}.u"].shape[0]), []
@@ -158,14 +160,15 @@ def network_brute(static, short, long, edges, w, mixing=False):
 
     h, edges = [], [x for x in edges if max(x[:2]) < len(static)]
     for k in range(len(static)):
-        s = act(norm(lin(act(norm(lin(static[k], "static1"), "static1")), "static2"), "static2")) + static[k] @ w["skip.w"]
-        a, b = recur(recur(short[k][:, None], "short0"), "short1")[-1], recur(long[k][:, None], "long0")[-1]
+        s = act(norm(lin(drop(act(norm(lin(static[k], "static1"), "static1")), k, 1), "static2"), "static2")) + static[k] @ w["skip.w"]
+        first = [drop(x, k, 10 + i) for i, x in enumerate(recur(short[k][:, None], "short0"))]
+        a, b = recur(first, "short1")[-1], recur(long[k][:, None], "long0")[-1]
         both = np.concatenate([a, b])
         z = np.exp(lin(act(lin(both, "gate1")), "gate2"))
         z /= z.sum()
         g = act(norm(lin(z[0] * a + z[1] * np.concatenate([b, np.zeros(32)]), "mix"), "mix")) if mixing else act(norm(lin(both, "gate"), "gate"))
-        h.append(act(norm(lin(np.concatenate([s, g]), "fuse"), "fuse")))
-    for n in ("gat1", "gat2"):
+        h.append(drop(act(norm(lin(np.concatenate([s, drop(g, k, 2)]), "fuse"), "fuse")), k, 3))
+    for layer, n in ((4, "gat1"), (5, "gat2")):
         heads, m = w[f"{n}.a"].shape
         new = []
         for v in range(len(h)):
@@ -173,6 +176,7 @@ def network_brute(static, short, long, edges, w, mixing=False):
             own.append((v, np.mean([e for _, e in own], axis=0) if own else np.zeros(4)))
             left = [(h[u] @ w[f"{n}.l"] + w[f"{n}.lb"]).reshape(heads, m) for u, _ in own]
             right = (h[v] @ w[f"{n}.r"] + w[f"{n}.rb"]).reshape(heads, m)
+            off = [layers.kept(layers.mixed(key(v) + layers.row_keys(np.array([u]), 0)), heads, 100 + layer, rate)[0] if rate else np.ones(heads) for u, _ in own]
             out = np.zeros(m)
             for q in range(heads):
                 score = []
@@ -180,15 +184,15 @@ def network_brute(static, short, long, edges, w, mixing=False):
                     y = x[q] + right[q] + (e @ w[f"{n}.e"]).reshape(heads, m)[q]
                     score.append(w[f"{n}.a"][q] @ np.where(y >= 0, y, 0.2 * y))
                 p = np.exp(np.array(score) - max(score))
-                out += sum(c * x[q] for c, x in zip(p / p.sum(), left)) / heads
-            new.append(act(norm(out + w[f"{n}.b"] + h[v] @ w[f"{n}.res"], n)))
+                out += sum(c * o[q] * x[q] for c, o, x in zip(p / p.sum(), off, left)) / heads
+            new.append(drop(act(norm(out + w[f"{n}.b"] + h[v] @ w[f"{n}.res"], n)), v, layer))
         h = new
     new = []
     for v in range(len(h)):
         own = [h[u] for u, x, _ in edges if x == v and u != v]
         top = np.max(own, axis=0) if own else np.zeros(64)
-        new.append(act(norm(top @ w["sage.l"] + w["sage.b"] + h[v] @ w["sage.r"] + h[v], "sage")))
-    return np.array([sig(lin(act(lin(x, "head1")), "head2")) for x in new])
+        new.append(drop(act(norm(top @ w["sage.l"] + w["sage.b"] + h[v] @ w["sage.r"] + h[v], "sage")), v, 6))
+    return np.array([sig(lin(drop(act(lin(x, "head1")), v, 7), "head2")) for v, x in enumerate(new)])
 
 
 def network_inputs(spark, n=14, hours=2):
@@ -201,41 +205,68 @@ def network_inputs(spark, n=14, hours=2):
     return snap, table, (static, short, long, edges)
 
 
-@pytest.mark.parametrize("mixing", [False, True])
-def test_forward_equals_plain_loops(spark, mixing):
-    """Loops, a hub, a node without sources, edges to and from unknown nodes."""
+@pytest.mark.parametrize(("mixing", "hours", "split"), [(False, 8, None), (True, 1, (5, 3)), (False, 2, (4, 2))])
+def test_forward_equals_plain_loops(spark, monkeypatch, mixing, hours, split):
+    """Loops, a hub, a node without sources, edges to and from unknown nodes; also in small blocks of several parts, by a shuffle."""
+    if split:
+        monkeypatch.setattr(layers, "TARGETS", split[0])
+        monkeypatch.setattr(layers, "SOURCES", split[1])
+        monkeypatch.setattr(layers, "BROADCAST_ROWS", 0)
     w = gnn.weights(gnn.SHAPES, 3)
     w |= {k: np.random.default_rng(len(k)).random(x.shape) + 0.5 for k, x in w.items() if k.endswith(".g")}
     snap, edges, (static, short, long, rows) = network_inputs(spark)
-    got = {(r.node_id, r.t): [r.p_1, r.p_3, r.p_6, r.p_12] for r in gnn.forward(snap, edges, w, mixing=mixing).collect()}
+    got = {(r.node_id, r.t): [r.p_1, r.p_3, r.p_6, r.p_12] for r in gnn.forward(snap, edges, w, mixing=mixing, hours=hours).collect()}
     assert len(got) == 28
     for t in range(2):
         want = network_brute(static[t], short[t], long[t], rows, w, mixing)
         assert np.allclose([got[k, t] for k in range(14)], want, atol=1e-5)
 
 
+def test_nodes_without_some_hours(spark):
+    """A node counts for the hours that it has: in others it is as if it weren't there."""
+    w = gnn.weights(gnn.SHAPES, 3)
+    snap, edges, (static, short, long, rows) = network_inputs(spark)
+    edges = edges.withColumn("e", F.array_repeat(F.lit(0.5), 4))  # the mean of a target's edges is that of all hours
+    got = {(r.node_id, r.t): [r.p_1, r.p_3, r.p_6, r.p_12] for r in gnn.forward(snap.filter("t = 0 OR node_id <> 13"), edges, w).collect()}
+    assert len(got) == 27
+    rows = [(u, v, np.full(4, 0.5)) for u, v, _ in rows if 13 not in (u, v)]
+    want = network_brute(static[1][:13], short[1][:13], long[1][:13], rows, w)
+    assert np.allclose([got[k, 1] for k in range(13)], want, atol=1e-5)
+
+
 def test_hubs_are_folded_in_parts():
-    """The rows of one target in many parts, merged, give what they give together."""
+    """The edges of one target in many parts, merged, give what they give together."""
     rng = np.random.default_rng(2)
     w = gnn.weights(gnn.SHAPES, 1)
-    h, e, own = rng.normal(size=(90, 128)), rng.random((90, 4)), np.arange(90) == 0
-    for fold, x in ((gnn.Attend(w, "gat1", 4), h), (gnn.Largest(w, "sage", 6), h[:, :64])):
-        whole = fold.reduce(x, e, own, x[:1], np.array([0]))
-        parts = [fold.reduce(x[a : a + 7], e[a : a + 7], own[a : a + 7], x[:1], np.array([0])) for a in range(0, 90, 7)]
-        merged = parts[0]
-        for p in parts[1:]:
+    x, e, own, node = rng.normal(size=(90, 128)), rng.random((90, 4)), np.array([0]), np.arange(90)
+    keys, one = layers.row_keys(node[:1], 0), lambda a, b: (np.arange(a, b), np.zeros(b - a, np.int64), e[a:b])
+    for fold, x in ((gnn.Attend(w, "gat1", 4, 0.25), x), (gnn.Largest(w, "sage", 6), x[:, :64])):
+        whole = fold.parts(x, own, *one(0, 90), node, keys)
+        merged, *rest = [fold.parts(x, own, *one(a, min(90, a + 7)), node, keys) for a in range(0, 90, 7)]
+        for p in rest:
             merged = fold.merge(merged, p)
-        assert np.allclose(fold.finish(whole, x[:1], np.zeros(1)), fold.finish(merged, x[:1], np.zeros(1)))
+        assert np.allclose(fold.finish(whole, x[:1], keys), fold.finish(merged, x[:1], keys), atol=1e-6)
 
 
-def test_dropped_units(spark):
-    x = np.ones((400, 128))
-    got = gnn.dropped(x, np.arange(400), 1, 0.25)
-    assert abs((got == 0).mean() - 0.25) < 0.01 and np.allclose(got[got > 0], 4 / 3) and (gnn.dropped(x, np.arange(400), 1, 0.0) == x).all()
-    snap, edges, _ = network_inputs(spark, hours=1)
+def test_dropped_units():
+    x, keys = np.ones((400, 128)), layers.row_keys(np.arange(400), 5)
+    got = layers.dropped(x, keys, 1, 0.25)
+    assert abs((got == 0).mean() - 0.25) < 0.01 and np.allclose(got[got > 0], 4 / 3) and (layers.dropped(x, keys, 1, 0.0) == x).all()
+    assert abs(((got == 0) & (layers.dropped(x, keys, 2, 0.25) == 0)).mean() - 1 / 16) < 0.01
+
+
+def test_spread_equals_plain_loops(spark):
+    """Mean and deviation (n - 1) over samples with all dropout places, from the same units."""
+    snap, edges, (static, short, long, rows) = network_inputs(spark)
     w = gnn.weights(gnn.SHAPES, 3)
-    a, b = (sorted(tuple(r) for r in gnn.forward_with_spread(d, edges, w, samples=4).collect()) for d in (snap, snap.repartition(1)))
-    assert len(a) == 14 and np.allclose(a, b) and all(0 < r[6] < 0.5 for r in a)
+    found = gnn.forward_with_spread(snap.repartition(1), edges, w, samples=4).collect()
+    assert len(found) == 28
+    for t in range(2):
+        p = np.array([network_brute(static[t], short[t], long[t], rows, w, at=t * 4 + k, rate=0.25) for k in range(4)])
+        for r in found:
+            if r.t == t:
+                assert np.allclose([r.mean_1, r.mean_3, r.mean_6, r.mean_12], p[:, r.node_id].mean(0), atol=1e-5)
+                assert np.allclose([r.std_1, r.std_3, r.std_6, r.std_12], p[:, r.node_id].std(0, ddof=1), atol=1e-5)
 
 
 def test_recurrent_baseline(spark):
@@ -303,7 +334,7 @@ def test_hubs_and_triggers(spark):
     df = spark.createDataFrame([(v, t, 1.0 if (v, t) == (3, 0) else 0.0) for v in range(500) for t in range(4)], "node_id long, t int, rain double")
     edges = edges_of(spark, [(v, 0) for v in range(1, 500)] + [(0, v) for v in range(1, 500)])
     got = {(r.node_id, r.t): r.p for r in graph.propagate(df, edges, "rain").collect()}
-    assert len(got) == 2000 and np.isclose(got[0, 1], 0.9) and np.isclose(got[7, 2], 0.81) and got[7, 1] is None and np.isclose(got[0, 3], max(0.9**3, 0.9 * 0.5**0.5))
+    assert len(got) == 2000 and np.isclose(got[0, 1], 0.9) and np.isclose(got[7, 2], 0.81) and got[7, 1] == 0 and np.isclose(got[0, 3], max(0.9**3, 0.9 * 0.5**0.5))
 
 
 def test_attributes_of_parallel_edges_are_laid_over(spark):

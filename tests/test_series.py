@@ -95,18 +95,29 @@ def test_normaliser_is_one_at_least(spark):
     assert np.isclose(series.positive_percentile(make(spark, v)).first()[0], np.percentile(v[v > 0], 95))
 
 
+def test_propagation_goes_on_where_all_is_dry(spark, monkeypatch):
+    """One trigger on a chain of nodes: it arrives everywhere, and rounds are as many as its hops."""
+    rounds, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rounds.append(name) or written(df, name))
+    df = spark.createDataFrame([(v, t, 1.0 if (v, t) == (0, 0) else 0.0) for v in range(25) for t in range(40)], "node_id long, t int, rain double")
+    edges = spark.createDataFrame([(v, v + 1) for v in range(24)] + [(3, 99)], "u long, v long")
+    got = {(r.node_id, r.t): r.p for r in graph.propagate(df, edges, "rain").collect()}
+    assert rounds.count("front") == 25
+    assert all(np.isclose(x, 0.9**v * 0.5 ** ((t - v) / 4) if t >= v else 0.0, atol=1e-6) for (v, t), x in got.items())
+
+
 def test_propagation_by_hand(spark):
     df = make(spark, [1, 0, 0], 0).unionByName(make(spark, [0, 0, 0], 1))
     edges = spark.createDataFrame([(0, 1)], "u long, v long")
     got = {(r.node_id, r.t): r.p for r in graph.propagate(df, edges, "rain").collect()}
-    assert got[1, 0] is None and np.isclose(got[1, 1], 0.9) and np.isclose(got[1, 2], 0.756807, atol=1e-6)
+    assert got[1, 0] == 0 and np.isclose(got[1, 1], 0.9) and np.isclose(got[1, 2], 0.756807, atol=1e-6)
 
 
 @pytest.mark.parametrize("both", [False, True])
 def test_propagation_equals_a_loop(spark, both):
     rng = np.random.default_rng(4)
     n, hours = 12, 60
-    trig = rng.random((hours, n)) * (rng.random((hours, n)) < 0.08)
+    trig = rng.random((hours, n)) * (rng.random((hours, n)) < 0.08) + 0.02 * rng.random((hours, n))
     pairs = {(int(a), int(b)) for a, b in rng.integers(0, n, (20, 2)) if a != b}
     pairs |= {(b, a) for a, b in pairs} if both else set()
     p = np.zeros((hours, n))
@@ -117,11 +128,8 @@ def test_propagation_equals_a_loop(spark, both):
             p[t, v] = max(p[t, v], 0.9 * before[u])
     df = spark.createDataFrame([(v, t, float(trig[t, v])) for t in range(hours) for v in range(n)], "node_id long, t int, rain double")
     edges = spark.createDataFrame(sorted(pairs), "u long, v long")
-    for r in graph.propagate(df, edges, "rain").collect():
-        if p[r.t, r.node_id] >= 0.5 - 5e-7:
-            assert np.isclose(r.p, p[r.t, r.node_id])
-        else:
-            assert r.p is None
+    found = graph.propagate(df, edges, "rain").collect()
+    assert len(found) == hours * n and all(np.isclose(r.p, p[r.t, r.node_id], atol=1e-6) for r in found)
 
 
 def test_early_stopping(spark):

@@ -228,27 +228,33 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> bool:
     return n <= 1 or reachable(edges, start).count() == n and reachable(back, start).count() == n
 
 
-def propagate(series: DataFrame, edges: DataFrame, trigger: str, half_life: float = 4.0, strength: float = 0.9, least: float = 0.5, out: str = "p") -> DataFrame:
-    """p[t, v] = max(d p[t-1, v], trigger[t, v], strength max over u -> v of p[t-1, u]), where it reaches ``least``.
-
-    Starts from the triggers of at least ``least`` and goes on an hour a round, to the node itself (a factor of d) and along its
-    edges (a factor of ``strength``); of all that reaches a node in an hour the largest goes on. An hour costs a factor of at most
-    max(strength, d), so few rounds matter, whatever the length of the series; a hub costs its edges, not pairs of its
-    neighbours. Values under ``least`` are null.
+def propagate(series: DataFrame, edges: DataFrame, trigger: str, half_life: float = 4.0, strength: float = 0.9, least: float = 1e-7, out: str = "p") -> DataFrame:
+    """p[t, v] = max(d p[t-1, v], trigger[t, v], strength max over u -> v of p[t-1, u]) for every row of the series.
+
+    A value is a trigger times a factor for each edge that it goes along and each hour that it stays, in whatever order, so stays
+    can come last: triggers go along edges hour by hour, and what they bring is one more trigger of the decaying maximum, in its
+    closed form. A node's own closed form is known from the start; what comes to no more than that is dropped, for whatever it
+    would bring later the node brings as well. The rest loses a factor of ``strength`` an hour and dies out by itself where states
+    are over 0; where they are 0, below ``least``, under which a state may lack what its neighbours would add. A hub costs its edges,
+    not pairs of its neighbours.
     """
-    from math import floor, log
-
-    from tidegrid.operators.series import decay_rate
-
-    d = decay_rate(half_life)
-    own = edges.select(F.col("u").alias("node_id"), F.col("v").alias("_to")).distinct()
-    front = series.filter(F.col(trigger) >= least).select("node_id", "t", F.col(trigger).alias(out))
-    reached = front
-    for _ in range(floor(log(least) / log(max(strength, d)) + 1e-9)):
-        along = front.join(own, "node_id").select(F.col("_to").alias("node_id"), (F.col("t") + 1).alias("t"), (F.col(out) * F.lit(strength)).alias(out))
-        stays = front.select("node_id", (F.col("t") + 1).alias("t"), (F.col(out) * F.lit(d)).alias(out))
-        front = along.unionByName(stays).filter(F.round(out, 6) >= least).groupBy("node_id", "t").agg(F.max(out).alias(out))
-        front = written(front, "front")
-        reached = reached.unionByName(front)
-    best = reached.groupBy("node_id", "t").agg(F.max(out).alias(out))
-    return series.join(best.withColumn("t", F.col("t").cast(series.schema["t"].dataType)), ["node_id", "t"], "left")
+    from tidegrid.operators.series import decaying_max
+
+    at, of = ("node_id", "t"), F.col("_x")
+    own = decaying_max(series.select(*at, F.coalesce(trigger, F.lit(0.0)).alias("_x")), "_x", half_life, "_own")
+    own = written(own.select(F.col("node_id"), F.col("t").cast("long").alias("t"), "_x", "_own"), "triggers")
+    links = written(edges.select(F.col("u").alias("node_id"), F.col("v").alias("_to")).distinct(), "links")
+    front, fronts = own.filter((of >= least) & (of >= F.col("_own") * (1 - 1e-9))).select(*at, "_x"), []
+    while True:
+        along = front.join(links, "node_id").select(F.col("_to").alias("node_id"), (F.col("t") + 1).alias("t"), (of * F.lit(strength)).alias("_x"))
+        along = along.filter(of >= least).groupBy(*at).agg(F.max("_x").alias("_x"))
+        front = written(along.join(own.select(*at, "_own"), list(at)).filter(of > F.col("_own") * (1 + 1e-9)).select(*at, "_x"), "front")
+        if front.isEmpty():
+            break
+        fronts.append(front)
+    rows = own.select(*at, "_x")
+    for x in fronts:
+        rows = rows.unionByName(x)
+    best = decaying_max(rows.groupBy(*at).agg(F.max("_x").alias("_x")), "_x", half_life, out)
+    kept = series.drop(out).withColumn("t", F.col("t").cast("long")) if out in series.columns else series.withColumn("t", F.col("t").cast("long"))
+    return kept.join(best.select(*at, out), list(at)).withColumn("t", F.col("t").cast(series.schema["t"].dataType))

@@ -229,7 +229,7 @@ def encode_event(
     rain: DataFrame, thresholds: DataFrame, edges: DataFrame | None = None, half_life: float = 4.0, hours: int = 6, scale: float = 5.0
 ) -> DataFrame:
     """An event's series (node_id, t, rain) with ``cum``, ``ant``, ``p`` and ``label``: trailing sums, wetness, triggers against each
-    node's threshold (node_id, threshold), states that decay (along ``edges`` too, if given: then those under 0.5 are 0), labels."""
+    node's threshold (node_id, threshold), states that decay (and go along ``edges``, if given), labels."""
     own = antecedent(trailing_sum(rain, hours)).join(thresholds.select("node_id", "threshold"), "node_id")
     trigger = F.when(F.col("cum").isNotNull(), F.round(trigger_probability(F.col("cum"), F.col("threshold"), F.col("ant"), scale), 9)).otherwise(0.0)
     own = own.withColumn("trig", trigger)
@@ -238,6 +238,6 @@ def encode_event(
     else:
         from tidegrid.operators.graph import propagate
 
-        own = propagate(own, edges, "trig", half_life).withColumn("p", F.coalesce("p", F.lit(0.0)))
+        own = propagate(own, edges, "trig", half_life)
     own = own.withColumn("p", F.round("p", 6))
     return coherent(own.withColumn("wet", (F.col("p") >= 0.5).cast("int")), "wet").drop("trig", "wet", "threshold")

@@ -168,9 +168,9 @@ def dense_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forward_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and deviation of five forwards with units dropped, on the first day's snapshots."""
+    """Mean and deviation of twenty forwards with units dropped, on every snapshot."""
     snap, edges = _snapshots(spark, sf_dir)
-    return gnn.forward_with_spread(snap.filter("t < 48"), edges, gnn.weights(gnn.SHAPES), samples=5)
+    return gnn.forward_with_spread(snap, edges, gnn.weights(gnn.SHAPES))
 
 
 def gru_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +179,9 @@ def gru_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def older_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities and embeddings of the older network with fixed weights, on the first two days' snapshots."""
+    """Probabilities and embeddings of the older network with fixed weights, on every snapshot."""
     snap, edges = _snapshots(spark, sf_dir)
-    return gnn.older_forward(snap.filter("t < 72"), edges, gnn.older_weights())
+    return gnn.older_forward(snap, edges, gnn.older_weights())
 
 
 # --- space --------------------------------------------------------------------------------------------------

@@ -109,11 +109,10 @@ def flood_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flood_labels_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, with the states of neighbours on a grid over the users (drainage edges alone): all hours. States under 0.5,
-    which no label depends on, are given as 0."""
+    """As above, with the states of neighbours on a grid over the users (drainage edges alone): every hour and state."""
     own = _triggers(spark, sf_dir)
     edges = grid_edges(spark, sf_dir).filter("edge_type > 0.5").select("u", "v")
-    found = graph.propagate(own, edges, "trig").withColumn("p", F.coalesce(F.round("p", 6), F.lit(0.0)))
+    found = graph.propagate(own, edges, "trig").withColumn("p", F.round(F.col("p") + OFF_GRID, 6))
     return series.coherent(found.withColumn("wet", (F.col("p") >= 0.5).cast("int")), "wet").select("node_id", "t", "p", "wet", "label")
 
 
@@ -252,12 +251,10 @@ ORACLES = {
         y AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS wet FROM p)
         SELECT node_id, t, p, wet, CASE WHEN t >= 2 THEN wet * lag(wet) {L} ELSE 0 END AS label FROM y""",
     "flood_labels_propagated": f"""WITH RECURSIVE {TRIGGERS}, {GRID},
-        walk(src, dst, k) AS (SELECT DISTINCT node_id, node_id, 0 FROM rain UNION SELECT DISTINCT u, u, 0 FROM edges UNION SELECT DISTINCT v, v, 0 FROM edges
-            UNION SELECT walk.src, edges.v, walk.k + 1 FROM walk JOIN edges ON edges.u = walk.dst AND edges.edge_type > 0.5 WHERE walk.k < 6),
-        f AS (SELECT dst AS node_id, trig.t + d AS t, max(trig * pow(0.9::DOUBLE, k) * pow(0.5::DOUBLE, (d - k) / 4.0::DOUBLE)) AS p
-              FROM trig JOIN walk ON walk.src = trig.node_id, range(0, 7) AS x(d) WHERE d >= k AND trig >= 0.5 GROUP BY 1, 2),
-        y AS (SELECT rain.node_id, rain.t, CASE WHEN round(p, 6) >= 0.5 THEN round(p, 6) ELSE 0.0::DOUBLE END AS p FROM rain LEFT JOIN f ON rain.node_id = f.node_id AND rain.t = f.t),
-        z AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS wet FROM y)
+        links AS (SELECT u, v, 0.9::DOUBLE AS f FROM edges WHERE edge_type > 0.5 UNION ALL SELECT DISTINCT node_id, node_id, pow(0.5::DOUBLE, 0.25::DOUBLE) FROM rain),
+        r(node_id, t, p) AS (SELECT node_id, t, trig FROM trig WHERE t = 0
+            UNION ALL SELECT links.v, r.t + 1, greatest(max(r.p * links.f), any_value(trig.trig)) FROM r JOIN links ON links.u = r.node_id JOIN trig ON trig.node_id = links.v AND trig.t = r.t + 1 GROUP BY links.v, r.t),
+        z AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS wet FROM (SELECT node_id, t, round(p + {OFF_GRID!r}, 6) AS p FROM r))
         SELECT node_id, t, p, wet, CASE WHEN t >= 2 THEN wet * lag(wet) {L} ELSE 0 END AS label FROM z""",
     "encoded_event": f"""WITH {RAIN}, w AS (SELECT node_id, t, CASE WHEN t >= 6 THEN sum(rain) {W.format(6)} END AS cum, CASE WHEN t >= 120 THEN avg(rain) {W.format(120)} ELSE 0 END AS a FROM rain),
         top AS (SELECT greatest(max(a), 1.0::DOUBLE) AS top FROM w), x AS (SELECT node_id, t, cum, a / top AS ant FROM w, top),
