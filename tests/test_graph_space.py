@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import maths
-from tidegrid.operators import gnn, graph, layers, spatial
+from tidegrid.operators import gnn, graph, layers, order, spatial, strong
 
 
 def edges_of(spark, pairs, **more):
@@ -43,6 +43,49 @@ def test_strong_connection(spark):
     assert not graph.strongly_connected(nodes, edges_of(spark, ring[:-1]))
 
 
+def strong_brute(pairs):
+    nodes = {x for p in pairs for x in p}
+    reach = {x: {x} for x in nodes}
+    grown = True
+    while grown:
+        grown = False
+        for u, v in pairs:
+            for x in nodes:
+                if u in reach[x] and v not in reach[x]:
+                    reach[x].add(v)
+                    grown = True
+    return {x: min(y for y in reach[x] if x in reach[y]) for x in nodes}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_strong_components(spark, seed):
+    """Random graphs, with cycles on chains on cycles, mutual edges, loops and repeated edges."""
+    rng = np.random.default_rng(seed)
+    n = (12, 30, 40, 60)[seed]
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (int(n * (1.1 + 0.3 * seed)), 2))]
+    pairs += [(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (104, 105), (105, 103), (105, 106), (106, 107), (108, 108), (0, 100), (100, 101)]
+    got = {r.node: r.component for r in strong.strong_components(edges_of(spark, pairs)).collect()}
+    assert got == strong_brute(pairs)
+
+
+def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
+    rounds, written = [], strong.written
+    monkeypatch.setattr(strong, "written", lambda df, name: rounds.append(name) or written(df, name))
+    pairs = [(k, k + 1) for k in range(1, 400)] + [(1000 + k, 1000 + (k + 1) % 300) for k in range(300)] + [(400, 1000)]
+    got = {r.node: r.component for r in strong.strong_components(edges_of(spark, pairs)).collect()}
+    assert got == {k: k for k in range(1, 401)} | {1000 + k: 1000 for k in range(300)}
+    assert len(rounds) < 60
+
+
+def test_sampled_hops_limit_each_task(spark, monkeypatch):
+    plans, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    edges = edges_of(spark, [(k, 0) for k in range(1, 500)])
+    assert graph.k_hop(spark.createDataFrame([(0,)], "node long"), edges, 1, fanout=(5,)).count() == 6
+    limit = plans[-1].split("WindowGroupLimit")
+    assert len(limit) == 3 and "Exchange" in limit[1] and "Partial" in limit[2]  # once before the shuffle, once after it
+
+
 def test_k_hop(spark):
     pairs = [(1, 0), (2, 1), (3, 2), (4, 3), (2, 0)]
     seeds = spark.createDataFrame([(0,)], "node long")
@@ -343,6 +386,23 @@ def test_attributes_of_parallel_edges_are_laid_over(spark):
     assert [tuple(r) for r in graph.shortest_parallel(df).collect()] == [(0, 1, 2.0, 4, "a", "y")]
 
 
+def test_a_missing_order_comes_first(spark):
+    df = spark.createDataFrame([(0, 1, 5.0, None, "a"), (0, 1, 5.0, 1, "b"), (0, 2, 5.0, None, "c"), (0, 2, 4.0, 1, None)], "u long, v long, length double, key int, x string")
+    got = {r.v: (r.length, r.key, r.x) for r in graph.shortest_parallel(df).collect()}
+    assert got == {1: (5.0, None, "a"), 2: (4.0, 1, "c")}
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(1)
+    for v in (rng.normal(size=1001), rng.integers(0, 4, 500) * 1.0, [3.0], [1e-300, 1e300, -1e300, 0.0, 1.7e308, -1.7e308], np.exp(rng.normal(size=300) * 40), [0.0, 5e-324, 1e-323]):
+        rows = [(float(x),) for x in v] + [(None,), (float("nan"),), (float("inf"),)]
+        got = order.quantiles(spark.createDataFrame(rows, "a double"), "a", [0.0, 0.25, 0.5, 0.95, 1.0])
+        with np.errstate(over="ignore"):
+            want = [np.sort(v)[int(q * (len(v) - 1))] + (np.sort(v)[min(len(v) - 1, int(q * (len(v) - 1)) + 1)] - np.sort(v)[int(q * (len(v) - 1))]) * (q * (len(v) - 1) % 1) if q * (len(v) - 1) % 1 else np.sort(v)[int(q * (len(v) - 1))] for q in (0.0, 0.25, 0.5, 0.95, 1.0)]
+        assert np.allclose(got, want, rtol=1e-12, atol=0)
+    assert order.quantiles(spark.createDataFrame([(None,)], "a double"), "a", [0.5]) == [None]
+
+
 def test_repeated_points_and_empty_sides(spark):
     p = spark.createDataFrame([(0.0, 0.0, 13.0, 80.25)] * 3 + [(1.0, 2.0, 13.1, 80.3)], "x double, y double, lat double, lon double")
     st = spark.createDataFrame([(1.0, 0.0, 4.0), (0.0, 2.0, 8.0)], "s_x double, s_y double, s_value double")

@@ -71,12 +71,12 @@ def test_split(spark, n, train, val, added, want):
     assert ends["train"][1] < ends["val"][0] and ends["val"][1] < ends["test"][0]
 
 
-@pytest.mark.parametrize("sigma", [1.5, 3.0])
-def test_smoothing_reflects(spark, sigma):
-    v = np.random.default_rng(2).random(40)
+@pytest.mark.parametrize(("sigma", "n"), [(1.5, 40), (3.0, 40), (1.5, 5), (3.0, 1), (3.0, 2), (3.0, 11), (3.0, 13)])
+def test_smoothing_reflects(spark, sigma, n):
+    v = np.random.default_rng(2).random(n)
     kernel = series.smooth_kernel(sigma)
-    wide = np.concatenate([v[::-1], v, v[::-1]])
-    want = [sum(w * wide[40 + t + k] for k, w in kernel) for t in range(40)]
+    fold = lambda p: v[p % (2 * n)] if p % (2 * n) < n else v[2 * n - 1 - p % (2 * n)]
+    want = [sum(w * fold(t + k) for k, w in kernel) for t in range(n)]
     assert np.allclose(column(series.gaussian_smooth(make(spark, v), sigma), "smooth"), want)
 
 
@@ -140,6 +140,13 @@ def test_early_stopping(spark):
     assert [r.stopped for r in got] == [False] * 4 + [True] * 5
 
 
+def test_columns_of_any_name_pass_through(spark):
+    df = make(spark, range(200)).withColumns({c: F.lit("x") for c in ("_top", "_block", "_rest", "_end", "_n", "_at", "_by", "_last")})
+    own = series.gaussian_smooth(series.valid_steps(series.antecedent(df, 30)), 1.5)
+    assert {*df.columns, "ant", "smooth"} == set(own.columns) and own.filter("_top = 'x' AND _at = 'x' AND _n = 'x'").count() == 200 - 36
+    assert series.permuted(df, ["t"]).filter("_by = 'x'").count() == 200 and series.sampled(df, ["t"], 7).filter("_by = 'x'").count() == 7
+
+
 @pytest.mark.parametrize("hours", [6, 12, 24, 50, 120])
 def test_long_windows_forget(spark, hours):
     """Large values and NaN go with their hour: no later window holds a trace of them."""

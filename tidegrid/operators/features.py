@@ -129,13 +129,18 @@ def synthetic_rain(nodes: DataFrame, storms: DataFrame, hours: int, background:
     return joined.select("node_id", F.col("hour").alias("t"), clip(rain, 0.0, most).alias("rain"))
 
 
-def synthetic_gauge_grid(spark: SparkSession, hours: int, side: int = 10, mean: float = 2.0, seed: int = 0) -> DataFrame:
-    """t, lon, lat, precip_mm on a grid of gauges: exponential rain, heavier from 14 to 18 h. A hash is the chance."""
-    own = spark.range(hours * side * side).select((F.col("id") / (side * side)).cast("int").alias("t"), (F.col("id") % side).cast("int").alias("i"), ((F.col("id") / side).cast("long") % side).cast("int").alias("j"))
-    u = (F.pmod(F.xxhash64("t", "i", "j", F.lit(seed)), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+def synthetic_gauge_grid(hours: DataFrame, nodes: DataFrame, side: int = 10, mean: float = 2.0, seed: int = 0) -> DataFrame:
+    """t, i, j, lon, lat, precip_mm of side x side gauges over the box of the nodes (lon, lat), for every hour (t): exponential rain,
+    heavier from 14 to 18 h. The MD5 of seed, hour and place is the chance."""
+    box = nodes.agg(*[f(c).alias(f"_{n}_{c}") for c in ("lon", "lat") for n, f in (("a", F.min), ("b", F.max))])
+    at = lambda k, c: F.col(f"_a_{c}") + F.col(k) * (F.col(f"_b_{c}") - F.col(f"_a_{c}")) / (side - 1)
+    axis = F.sequence(F.lit(0), F.lit(side - 1))
+    own = hours.select("t").join(F.broadcast(box)).withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis))
+    key = F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("t", "i", "j")]).cast("binary"))
+    u = (F.conv(F.substring(key, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     hour = F.col("t") % 24
     factor = F.when((hour >= 14) & (hour <= 18), 1.5).otherwise(0.5)
-    return own.select("t", (F.col("i") / side).alias("lon"), (F.col("j") / side).alias("lat"), (-F.lit(mean) * F.ln(u) * factor).alias("precip_mm"))
+    return own.select("t", "i", "j", at("i", "lon").alias("lon"), at("j", "lat").alias("lat"), (-F.lit(mean) * F.ln(u) * factor).alias("precip_mm"))
 
 
 def with_fallbacks(nodes: DataFrame, sources: Sequence[str], least_share: float = 0.5, low: float = 0.0, high: float = 200.0, out: str = "elev") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.maths import clip
+from tidegrid.functions.names import free_names
 
 #: Relative capacity of each kind of waterway; others get the default.
 WATERWAY_CAPACITY = {"river": 1.0, "canal": 0.8, "stream": 0.5, "drain": 0.4, "ditch": 0.25}
@@ -67,11 +68,13 @@ def shortest_parallel(edges: DataFrame, order: str = "key") -> DataFrame:
     Edges are taken in their order: each that is shorter than all before it lays its attributes over those of the ones before,
     so that an attribute which it lacks keeps its value. Of equally short ones the first counts.
     """
+    (shorter,) = free_names(edges, "_shorter")
     own = without_loops(edges).withColumn("length", floored_length(F.col("length")))
-    before = Window.partitionBy("u", "v").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    own = own.withColumn("_shorter", F.col("length") < F.coalesce(F.min("length").over(before), F.lit(float("inf"))))
+    place = F.struct(F.col(order).isNotNull().alias("a"), F.col(order).alias("b"))  # a missing order comes first
+    before = Window.partitionBy("u", "v").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn(shorter, F.col("length") < F.coalesce(F.min("length").over(before), F.lit(float("inf"))))
     rest = [c for c in edges.columns if c not in ("u", "v", "length")]
-    last = lambda c: F.max_by(c, F.when(F.col("_shorter") & F.col(c).isNotNull(), F.col(order))).alias(c)
+    last = lambda c: F.max_by(c, F.when(F.col(shorter) & F.col(c).isNotNull(), place)).alias(c)
     found = own.groupBy("u", "v").agg(F.min("length").alias("length"), *[last(c) for c in rest])
     return found.select("u", "v", *[c for c in edges.columns if c not in ("u", "v")])
 
@@ -172,60 +175,58 @@ def benchmark_edge_features(edges: DataFrame, nodes: DataFrame, value: str = "el
 def k_hop(seeds: DataFrame, edges: DataFrame, k: int = 3, fanout: Sequence[int] | None = None, seed: int = 0) -> DataFrame:
     """node and hop of all nodes within k steps against the edges' direction (v's sources); the smallest hop of each.
 
-    With ``fanout``, at most that many sources of a node are followed in each hop, chosen by a hash.
+    With ``fanout``, at most that many sources of a node are followed in each hop: those whose MD5 of seed + hop, node and source is
+    smallest. Each task of the join keeps no more than that many of a node before the shuffle (a group limit below the window), so a
+    hub's whole list is sorted nowhere. The edges are made distinct and written once, and so is each hop.
     """
-    seen = seeds.select(F.col("node").cast("long").alias("node"), F.lit(0).alias("hop")).distinct()
-    front = seen
+    links = written(edges.select(F.col("v").alias("node"), F.col("u").alias("next")).distinct(), "links")
+    seen = front = written(seeds.select(F.col("node").cast("long").alias("node"), F.lit(0).alias("hop")).distinct(), "hop")
     for h in range(1, k + 1):
-        step = front.select("node").join(edges.select(F.col("v").alias("node"), F.col("u").alias("next")).distinct(), "node")
+        step = front.select("node").join(links, "node")
         if fanout is not None:
-            order = Window.partitionBy("node").orderBy(F.xxhash64("next", F.lit(seed + h)), "next")
-            step = step.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= fanout[h - 1])
-        front = step.select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(h).alias("hop"))
+            key = F.md5(F.concat_ws("-", F.lit(str(seed + h)), F.col("node").cast("string"), F.col("next").cast("string")).cast("binary"))
+            order = Window.partitionBy("node").orderBy("_key", "next")
+            step = step.withColumn("_key", key).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= fanout[h - 1])
+        front = written(step.select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(h).alias("hop")), "hop")
         seen = seen.unionByName(front)
     return seen
 
 
 def relabel(nodes: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Consecutive numbers from 0 in an order: counts by range part first, so that no task numbers all rows."""
-    key = F.struct(*order)
-    parts = nodes.withColumn("_key", key).repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id())
-    parts = written(parts.drop("_key"), "parts")
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    first = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    own = Window.partitionBy("_part").orderBy(*order)
-    return parts.withColumn("new_id", F.row_number().over(own) - 1).join(F.broadcast(first), "_part").withColumn("new_id", F.col("new_id") + F.col("_first")).drop("_part", "_first")
+    k, part, n, start = free_names(nodes, "_key", "_part", "_n", "_first")
+    parts = nodes.withColumn(k, F.struct(*order)).repartitionByRange(k).sortWithinPartitions(k).withColumn(part, F.spark_partition_id())
+    parts = written(parts.drop(k), "parts")
+    counts = parts.groupBy(part).agg(F.count("*").alias(n))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    first = counts.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    own = Window.partitionBy(part).orderBy(*order)
+    return parts.withColumn("new_id", F.row_number().over(own) - 1).join(F.broadcast(first), part).withColumn("new_id", F.col("new_id") + F.col(start)).drop(part, start)
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, degrees (in and out), number of weak components."""
+    """One row: nodes, edges, degrees (in and out), numbers of weak and of strong components, nodes without an edge among them."""
+    from tidegrid.operators.order import quantiles
+    from tidegrid.operators.strong import strong_components
+
     degree = edges.select(F.explode(F.array("u", "v")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("d"))
-    own = nodes.select("node_id").join(degree, "node_id", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    sums = own.agg(F.count("*").alias("n_nodes"), F.avg("d").alias("avg_degree"), F.min("d").alias("min_degree"), F.max("d").alias("max_degree"), F.median("d").alias("median_degree"), F.count_if(F.col("d") == 0).alias("_alone"))
+    own = written(nodes.select("node_id").join(degree, "node_id", "left").withColumn("d", F.coalesce("d", F.lit(0))), "degrees")
+    middle = F.lit(quantiles(own, "d", [0.5])[0]).cast("double").alias("median_degree")
+    sums = own.agg(F.count("*").alias("n_nodes"), F.avg("d").alias("avg_degree"), F.min("d").alias("min_degree"), F.max("d").alias("max_degree"), middle, F.count_if(F.col("d") == 0).alias("_alone"))
     weak = components(edges).agg(F.count_distinct("component").alias("_weak"))
+    strong = strong_components(edges).agg(F.count_distinct("component").alias("_strong"))
     size = edges.agg(F.count("*").alias("n_edges"))
-    return sums.join(size).join(weak).withColumn("n_components", F.col("_weak") + F.col("_alone")).drop("_weak", "_alone")
-
-
-def reachable(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """Nodes that a walk along the edges reaches from ``start`` (node), these included."""
-    seen = written(start.select("node").distinct(), "reach")
-    front = seen
-    for _ in range(most_rounds):
-        front = written(edges.join(front, F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
-        if front.isEmpty():
-            return seen
-        seen = written(seen.unionByName(front), "reach")
-    raise RuntimeError(f"reachable: no end after {most_rounds} rounds")
+    kinds = {"n_components": F.col("_weak") + F.col("_alone"), "n_strong_components": F.col("_strong") + F.col("_alone")}
+    return sums.join(size).join(weak).join(strong).withColumns(kinds).drop("_weak", "_strong", "_alone")
 
 
 def strongly_connected(nodes: DataFrame, edges: DataFrame) -> bool:
-    """All nodes reached from one node, along the edges and against them."""
-    start = nodes.agg(F.min("node_id").alias("node"))
-    n = nodes.count()
-    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    return n <= 1 or reachable(edges, start).count() == n and reachable(back, start).count() == n
+    """Whether a walk along the edges leads from each node to every other."""
+    from tidegrid.operators.strong import strong_components
+
+    found = nodes.select(F.col("node_id").alias("node")).join(strong_components(edges), "node", "left")
+    n, alone, kinds = found.agg(F.count("*"), F.count_if(F.col("component").isNull()), F.count_distinct("component")).first()
+    return n <= 1 or alone == 0 and kinds == 1
 
 
 def propagate(series: DataFrame, edges: DataFrame, trigger: str, half_life: float = 4.0, strength: float = 0.9, least: float = 1e-7, out: str = "p") -> DataFrame:

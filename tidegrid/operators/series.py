@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegrid.functions.maths import sigmoid
+from tidegrid.functions.names import free_names
 
 SHORT_LAGS = tuple(range(6, 0, -1))
 #: Twelve points over 24 hours, spaced as whole hours: the last one is an hour back.
@@ -67,12 +68,13 @@ def _sum_before(series: DataFrame, hours: int, out: str) -> DataFrame:
     whole, rest = divmod(hours, BLOCK)
     if hours <= BLOCK:
         return series.withColumn(out, frame(hours))
-    own = series.withColumn("_block", frame(BLOCK))
-    parts = [F.col("_block"), *[F.lag("_block", BLOCK * k).over(w) for k in range(1, whole)]]
+    block, short = free_names(series, "_block", "_rest")
+    own = series.withColumn(block, frame(BLOCK))
+    parts = [F.col(block), *[F.lag(block, BLOCK * k).over(w) for k in range(1, whole)]]
     if rest:
-        own = own.withColumn("_rest", frame(rest))
-        parts.append(F.lag("_rest", BLOCK * whole).over(w))
-    return own.withColumn(out, sum(parts[1:], parts[0])).drop("_block", "_rest")
+        own = own.withColumn(short, frame(rest))
+        parts.append(F.lag(short, BLOCK * whole).over(w))
+    return own.withColumn(out, sum(parts[1:], parts[0])).drop(block, short)
 
 
 def trailing_mean(series: DataFrame, hours: int = 120, out: str = "ant") -> DataFrame:
@@ -83,13 +85,18 @@ def trailing_mean(series: DataFrame, hours: int = 120, out: str = "ant") -> Data
 def antecedent(series: DataFrame, hours: int = 120) -> DataFrame:
     """The trailing mean as a share of its largest value over all nodes (at least 1)."""
     own = trailing_mean(series, hours)
-    top = own.agg(F.greatest(F.max("ant"), F.lit(1.0)).alias("_top"))
-    return own.join(F.broadcast(top)).withColumn("ant", F.col("ant") / F.col("_top")).drop("_top")
+    (most,) = free_names(own, "_top")
+    top = own.agg(F.greatest(F.max("ant"), F.lit(1.0)).alias(most))
+    return own.join(F.broadcast(top)).withColumn("ant", F.col("ant") / F.col(most)).drop(most)
 
 
 def positive_percentile(series: DataFrame, q: float = 0.95) -> DataFrame:
     """One row: the exact percentile of positive rain, with linear interpolation, at least 1."""
-    return series.filter("rain > 0").agg(F.greatest(F.coalesce(F.percentile("rain", F.lit(q)), F.lit(1.0)), F.lit(1.0)).alias("rain_norm"))
+    from tidegrid.operators.graph import written
+    from tidegrid.operators.order import quantiles
+
+    found = quantiles(written(series.filter("rain > 0").select("rain"), "rain"), "rain", [q])[0]
+    return series.sparkSession.range(1).select(F.lit(max(found or 1.0, 1.0)).alias("rain_norm"))
 
 
 def lags(series: DataFrame, offsets: Sequence[int], out: str, value: str = "rain") -> DataFrame:
@@ -107,8 +114,9 @@ def leads(series: DataFrame, value: str, hours: Sequence[int] = LEADS, prefix: s
 
 def valid_steps(series: DataFrame, lookback: int = 24, lead: int = 12) -> DataFrame:
     """lookback <= t < T - lead, T the number of steps."""
-    end = series.agg((F.max("t") + 1 - lead).alias("_end"))
-    return series.join(F.broadcast(end)).filter((F.col("t") >= lookback) & (F.col("t") < F.col("_end"))).drop("_end")
+    (until,) = free_names(series, "_end")
+    end = series.agg((F.max("t") + 1 - lead).alias(until))
+    return series.join(F.broadcast(end)).filter((F.col("t") >= lookback) & (F.col("t") < F.col(until))).drop(until)
 
 
 def decay_rate(half_life: float) -> float:
@@ -143,23 +151,23 @@ def smooth_kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]
 
 
 def gaussian_smooth(series: DataFrame, sigma: float, value: str = "rain", out: str = "smooth") -> DataFrame:
-    """Convolution along time with reflected ends (d c b a | a b c d | d c b a); needs as many hours as the radius.
+    """Convolution along time with reflected ends (d c b a | a b c d | d c b a), again and again if a series is shorter than the radius.
 
-    A weighted sum of lags and leads. The rows that a reflection shows are added beyond both ends first (position -j is row
-    j - 1), so that every row has its whole neighbourhood; a node's length is one aggregate.
+    A weighted sum of lags and leads. Positions beyond both ends show the row that they fold to, with a period of twice the
+    length: each row is put to all places where it is seen (t and -1 - t, by periods), so that every row has its whole
+    neighbourhood; a node's length is one aggregate.
     """
     kernel = smooth_kernel(sigma)
     r = max(k for k, _ in kernel)
-    last = series.groupBy("node_id").agg(F.max("t").alias("_last"))
-    own = series.join(last, "node_id")
-    at = F.array_compact(
-        F.array(F.col("t"), F.when(F.col("t") < r, -1 - F.col("t")), F.when(F.col("t") > F.col("_last") - r, 2 * F.col("_last") + 1 - F.col("t")))
-    )
-    wide = own.withColumn("_at", F.explode(at))
-    w = Window.partitionBy("node_id").orderBy("_at")
+    n, at = free_names(series, "_n", "_at")
+    own = series.join(series.groupBy("node_id").agg((F.max("t") + 1).alias(n)), "node_id")
+    most = F.ceil((F.col(n) + r) / (2 * F.col(n))).cast("int")
+    places = F.flatten(F.transform(F.sequence(-most, most), lambda m: F.array(F.col("t") + 2 * m * F.col(n), 2 * m * F.col(n) - 1 - F.col("t"))))
+    wide = own.withColumn(at, F.explode(F.filter(places, lambda p: (p >= -r) & (p < F.col(n) + r))))
+    w = Window.partitionBy("node_id").orderBy(at)
     near = lambda k: F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w) if k else F.col(value)
     total = sum((F.lit(weight) * near(k) for k, weight in kernel[1:]), F.lit(kernel[0][1]) * near(kernel[0][0]))
-    return wide.withColumn(out, total).filter("_at = t").drop("_at", "_last")
+    return wide.withColumn(out, total).filter(F.col(at) == F.col("t")).drop(at, n)
 
 
 def shift_by_node(series: DataFrame, shift: Column, background: float = 0.0, out: str = "shifted") -> DataFrame:
@@ -211,12 +219,14 @@ def permuted(rows: DataFrame, cols: Sequence[str], seed: int = 0) -> DataFrame:
     """rows with ``place``, from 0, in an order of chance that the seed fixes; equal values of ``cols`` tie."""
     from tidegrid.operators.graph import relabel
 
-    return relabel(rows.withColumn("_by", shuffle_key(seed, *cols)), ["_by", *cols]).drop("_by").withColumnRenamed("new_id", "place")
+    (by,) = free_names(rows, "_by")
+    return relabel(rows.withColumn(by, shuffle_key(seed, *cols)), [by, *cols]).drop(by).withColumnRenamed("new_id", "place")
 
 
 def sampled(rows: DataFrame, cols: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement (all if there are fewer): the first of the order that ``permuted`` gives, by an ordered take."""
-    return rows.withColumn("_by", shuffle_key(seed, *cols)).orderBy("_by", *cols).limit(n).drop("_by")
+    (by,) = free_names(rows, "_by")
+    return rows.withColumn(by, shuffle_key(seed, *cols)).orderBy(by, *cols).limit(n).drop(by)
 
 
 def sequences(series: DataFrame, label: str, window: int = 6, horizon: int = 3) -> DataFrame:

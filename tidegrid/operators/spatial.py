@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.maths import clip, haversine
 from tidegrid.operators.graph import written
+from tidegrid.operators.order import quantiles
 
 #: Rows up to which a side (rivers, stations, drains of one map) is broadcast; more of them are found through cells.
 BROADCAST_ROWS = 10_000
@@ -162,8 +163,8 @@ def fill_raster(sampled: DataFrame, fill: float | None = None) -> DataFrame:
     """Null samples to a constant, or to the median of the others."""
     if fill is not None:
         return sampled.withColumn("value", F.coalesce("value", F.lit(fill)))
-    med = sampled.agg(F.median("value").alias("_m"))
-    return sampled.join(F.broadcast(med)).withColumn("value", F.coalesce("value", "_m")).drop("_m")
+    middle = quantiles(written(sampled.select("value"), "samples"), "value", [0.5])[0]
+    return sampled.withColumn("value", F.coalesce("value", F.lit(middle).cast("double")))
 
 
 def neighbour_slope(pairs: DataFrame, elevation: DataFrame, none: float = 0.5) -> DataFrame:

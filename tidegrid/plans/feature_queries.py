@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import maths, spectral
 from tidegrid.operators import features, scale, series, spatial
-from tidegrid.plans.common import GRID, grid_edges, grid_nodes, settled, table
+from tidegrid.plans.common import GRID, RAIN, grid_edges, grid_nodes, rain, settled, table
 from tidegrid.sources import tables
 
 
@@ -104,9 +104,9 @@ def utm_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gauge_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and bounds of the synthetic gauges; their values hang on Spark's hash."""
-    own = features.synthetic_gauge_grid(spark, 48)
-    return own.groupBy("t").agg(F.count("*").alias("n"), (F.min("precip_mm") >= 0).alias("not_negative"), F.count_distinct("lon", "lat").alias("places"))
+    """Synthetic gauges over the customers' box, for every hour of the events."""
+    own = features.synthetic_gauge_grid(rain(spark, sf_dir).select("t").distinct(), grid_nodes(spark, sf_dir))
+    return own.select("t", "i", "j", *[settled(F.col(c)).alias(c) for c in ("lon", "lat", "precip_mm")])
 
 
 def scenario_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +233,9 @@ ORACLES = {
     "node_thresholds": f"""WITH {_ACC}, z AS (SELECT c_custkey, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS z FROM acc)
         SELECT c_custkey, round(least(greatest(15.0::DOUBLE * exp(least(greatest((z + 3) / 6, 0), 1) * ln(80.0::DOUBLE / 15.0::DOUBLE)) * (1 - 0.25::DOUBLE * 0.4 - 0.18::DOUBLE * 0.6 + 0.10::DOUBLE * 0.1 + 0.15::DOUBLE * (c_custkey % 5) / 4), 12.0), 80.0) + 1e-9, 6) AS thr FROM z""",
     "haversine_pairs": f"""WITH {GRID} SELECT node_id, round(2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(12.95::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(12.95::DOUBLE)) * pow(sin(radians(80.2::DOUBLE - lon) / 2), 2))) + 1e-9, 6) AS km FROM nodes""",
-    "gauge_grid": "SELECT CAST(t AS INTEGER) AS t, 100::BIGINT AS n, true AS not_negative, 100::BIGINT AS places FROM range(48) AS r(t)",
+    "gauge_grid": f"""WITH {RAIN}, {GRID}, box AS (SELECT min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM nodes),
+        x AS (SELECT t, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, (('0x' || substr(md5('0-' || t || '-' || i || '-' || j), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 AS u FROM (SELECT DISTINCT t FROM rain), range(10) AS p(i), range(10) AS q(j))
+        SELECT t, i, j, round(a + i * (b - a) / 9 + 1e-9, 6) AS lon, round(c + j * (d - c) / 9 + 1e-9, 6) AS lat, round(-2.0::DOUBLE * ln(u) * CASE WHEN t % 24 BETWEEN 14 AND 18 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END + 1e-9, 6) AS precip_mm FROM x, box""",
     "scenario_rain": f"""WITH {_XY}, sc(name, i, d, a, p) AS (VALUES {', '.join(f"('{n}', {i}::DOUBLE, {d}::DOUBLE, {a}::DOUBLE, '{p}')" for n, i, d, a, p in tables.SCENARIOS)}),
         w AS (SELECT node_id, sc.*, CASE p WHEN 'south_biased' THEN 1 + 0.35::DOUBLE * (1 - y) + 0.10::DOUBLE * (1 - x) WHEN 'north_biased' THEN 1 + 0.30::DOUBLE * y ELSE 1 END AS w FROM xy, sc)
         SELECT node_id, name, round(list_sum([CASE WHEN h <= d THEN least(i * w / 5, 2) ELSE 0 END FOR h IN range(1, 7)]) + 1e-9, 6) AS short,

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators import features, gnn, graph, metrics, spatial
+from tidegrid.operators import features, gnn, graph, metrics, spatial, strong
 from tidegrid.plans.common import GRID, grid_edges, grid_nodes, settled, table
 from tidegrid.sources import tables
 
@@ -90,11 +90,18 @@ def khop_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def khop_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many nodes each hop of the sampled neighbourhood has; the choice is by hash, so only bounds are exact."""
+    """The nodes of three hops of at most 15, 10 and 5 neighbours each, chosen by MD5."""
     edges = graph.both_directions(_pairs(spark, sf_dir))
     return graph.k_hop(_seeds(spark, sf_dir), edges, 3, fanout=(15, 10, 5))
 
 
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, each with an edge to the next order's customer for two orders in five: components of all sizes, and chains."""
+    w = Window.partitionBy(F.floor(F.col("o_orderkey") / 4096)).orderBy("o_orderkey")
+    own = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("u"), F.lead("o_custkey").over(w).alias("v"))
+    return strong.strong_components(own.filter("o_orderkey % 20 < 2 AND v IS NOT NULL").select("u", "v"))
+
+
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = graph.statistics(grid_nodes(spark, sf_dir), grid_edges(spark, sf_dir))
     return own.withColumn("avg_degree", F.round("avg_degree", 6))
@@ -279,7 +286,7 @@ def raster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        grid_graph, node_records, drainage_edges, both_directions, edge_dedupe_min, wcc_largest, drain_capacity_max, waterway_nodes, edge_features, edge_features_refined, khop_3, khop_sampled,
+        grid_graph, node_records, drainage_edges, both_directions, edge_dedupe_min, wcc_largest, drain_capacity_max, waterway_nodes, edge_features, edge_features_refined, khop_3, khop_sampled, strong_components,
         graph_stats, graph_compose, relabelled, sage_max, sage_mean, gcn_norm, gat_softmax, mc_dropout_stats, dense_forward, forward_spread, gru_baseline, older_embeddings, benchmark_edge_features, drain_fallback, drain_distance_by_max, lowest_nodes, knn_pairs, knn_slope, nearest_drain, river_proximity, coast_distance,
         idw_all, idw_k5, station_interp, raster_sample,
     )
@@ -323,8 +330,18 @@ ORACLES = {
         {_EDGE.format(span='span', gain='50', steep='0.01')}""",
     "khop_3": f"""{_REACH}, r(node, hop) AS (SELECT DISTINCT c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT sym.v, r.hop + 1 FROM r JOIN sym ON sym.u = r.node WHERE r.hop < 3)
         SELECT node, min(hop) AS hop FROM r GROUP BY node""",
-    "graph_stats": f"""WITH {GRID}, d AS (SELECT node_id, (SELECT count(*) FROM edges WHERE u = node_id) + (SELECT count(*) FROM edges WHERE v = node_id) AS d FROM nodes)
-        SELECT count(*) AS n_nodes, round(avg(d), 6) AS avg_degree, min(d) AS min_degree, max(d) AS max_degree, median(d) AS median_degree, (SELECT count(*) FROM edges) AS n_edges, 1::BIGINT AS n_components FROM d""",
+    "khop_sampled": f"""WITH {_PAIRS}, sym AS MATERIALIZED (SELECT DISTINCT u, v FROM pairs UNION SELECT DISTINCT v, u FROM pairs), s0 AS MATERIALIZED (SELECT DISTINCT c_custkey AS node, 0 AS hop FROM customer WHERE c_mktsegment = 'BUILDING'),
+        {', '.join(f"c{h} AS MATERIALIZED (SELECT DISTINCT u AS node FROM (SELECT u, v FROM sym JOIN (SELECT node FROM s{h - 1} WHERE hop = {h - 1}) ON node = v QUALIFY row_number() OVER (PARTITION BY v ORDER BY md5('{h}-' || v || '-' || u), u) <= {n})), s{h} AS MATERIALIZED (SELECT * FROM s{h - 1} UNION ALL SELECT node, {h} FROM c{h} WHERE node NOT IN (SELECT node FROM s{h - 1}))" for h, n in ((1, 15), (2, 10), (3, 5)))}
+        SELECT node, hop FROM s3""",
+    "strong_components": """WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey AS u, lead(o_custkey) OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) AS v FROM orders),
+        e AS (SELECT DISTINCT u, v FROM o WHERE o_orderkey % 20 < 2 AND v IS NOT NULL), n AS (SELECT u AS node FROM e UNION SELECT v FROM e),
+        r(a, b) AS (SELECT node, node FROM n UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b)
+        SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a""",
+    "graph_stats": f"""WITH RECURSIVE {GRID}, w(a, b) AS (SELECT node_id, node_id FROM nodes UNION SELECT w.a, x.v FROM w JOIN (SELECT u, v FROM edges UNION SELECT v, u FROM edges) x ON x.u = w.b),
+        s(a, b) AS (SELECT node_id, node_id FROM nodes UNION SELECT s.a, edges.v FROM s JOIN edges ON edges.u = s.b),
+        d AS (SELECT node_id, (SELECT count(*) FROM edges WHERE u = node_id) + (SELECT count(*) FROM edges WHERE v = node_id) AS d FROM nodes)
+        SELECT count(*) AS n_nodes, round(avg(d), 6) AS avg_degree, min(d) AS min_degree, max(d) AS max_degree, median(d) AS median_degree, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT c) FROM (SELECT min(b) AS c FROM w GROUP BY a)) AS n_components,
+            (SELECT count(DISTINCT c) FROM (SELECT min(x.b) AS c FROM s x JOIN s y ON y.a = x.b AND y.b = x.a GROUP BY x.a)) AS n_strong_components FROM d""",
     "graph_compose": """WITH a AS (SELECT l_partkey AS u, l_suppkey AS v, max(l_quantity) AS w, min(l_discount) AS d FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
         b AS (SELECT l_partkey AS u, l_suppkey AS v, max(l_quantity) AS w, min(l_discount) AS d FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
         SELECT coalesce(b.u, a.u) AS u, coalesce(b.v, a.v) AS v, coalesce(b.w, a.w) AS w, coalesce(b.d, a.d) AS d FROM a FULL JOIN b ON a.u = b.u AND a.v = b.v""",

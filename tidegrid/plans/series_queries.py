@@ -160,11 +160,18 @@ def gauss_smooth_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.gaussian_smooth(rain(spark, sf_dir), 3.0).select("node_id", "t", F.round("smooth", 4).alias("smooth"))
 
 
-def _gauss_sql(sigma: float) -> str:
+def gauss_smooth_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's first 1 to 30 hours, most of them fewer than the kernel's radius."""
+    own = rain(spark, sf_dir).filter(F.col("t") <= F.col("node_id") % 30)
+    return series.gaussian_smooth(own, 3.0).select("node_id", "t", F.round("smooth", 4).alias("smooth"))
+
+
+def _gauss_sql(sigma: float, rows: str = "SELECT * FROM rain") -> str:
     kernel = ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in series.smooth_kernel(sigma))
-    return f"""WITH {RAIN}, k(o, w) AS (VALUES {kernel}), n AS (SELECT max(t) + 1 AS n FROM rain),
-        a AS (SELECT node_id, t, w, CASE WHEN t + o < 0 THEN -(t + o) - 1 WHEN t + o >= n THEN 2 * n - 1 - (t + o) ELSE t + o END AS at FROM rain, k, n)
-        SELECT a.node_id, a.t, round(sum(a.w * rain.rain), 4) AS smooth FROM a JOIN rain ON rain.node_id = a.node_id AND rain.t = a.at GROUP BY ALL"""
+    return f"""WITH {RAIN}, own AS ({rows}), k(o, w) AS (VALUES {kernel}), n AS (SELECT node_id, max(t) + 1 AS n FROM own GROUP BY node_id),
+        m AS (SELECT own.node_id, t, w, n, ((t + o) % (2 * n) + 2 * n) % (2 * n) AS q FROM own JOIN n ON n.node_id = own.node_id, k),
+        a AS (SELECT node_id, t, w, CASE WHEN q < n THEN q ELSE 2 * n - 1 - q END AS at FROM m)
+        SELECT a.node_id, a.t, round(sum(a.w * own.rain), 4) AS smooth FROM a JOIN own ON own.node_id = a.node_id AND own.t = a.at GROUP BY ALL"""
 
 
 def time_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +229,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         spine_fill, cum_rain_6h, rolling_label, antecedent_120h, rain_norm_p95, short_lags, long_lags, strided_lags, window_means, lead_targets, decay_running_max,
-        flood_labels, flood_labels_propagated, encoded_event, lagged_sequences, permuted_steps, chrono_split, chrono_split_added, gauss_smooth, gauss_smooth_wide, time_shift, diurnal_cycle, early_stop, snapshot_windows, storm_rain,
+        flood_labels, flood_labels_propagated, encoded_event, lagged_sequences, permuted_steps, chrono_split, chrono_split_added, gauss_smooth, gauss_smooth_wide, gauss_smooth_short, time_shift, diurnal_cycle, early_stop, snapshot_windows, storm_rain,
     )
 }
 
@@ -272,7 +279,8 @@ ORACLES = {
         SELECT CASE WHEN t < floor(n * 0.7::DOUBLE) THEN 'train' WHEN t < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split, count(*) AS steps FROM v GROUP BY 1""",
     "gauss_smooth": _gauss_sql(1.5),
     "gauss_smooth_wide": _gauss_sql(3.0),
-    "time_shift": f"""WITH {RAIN} SELECT a.node_id, a.t, round(coalesce(b.rain, 0.8::DOUBLE), 6) AS shifted FROM rain a LEFT JOIN rain b ON b.node_id = a.node_id AND b.t + (b.node_id % 4 - 1) * 3 = a.t""",
+    "gauss_smooth_short": _gauss_sql(3.0, "SELECT * FROM rain WHERE t <= node_id % 30"),
+    "time_shift": f"""WITH {RAIN} SELECT a.node_id, a.t, round(coalesce(b.rain, 0.8::DOUBLE), 6) AS shifted FROM rain a LEFT JOIN rain b ON b.node_id = a.node_id AND b.t = a.t - (a.node_id % 4 - 1) * 3""",
     "diurnal_cycle": f"WITH {RAIN} SELECT node_id, t, round(rain * (1 + 0.15::DOUBLE * sin(2 * pi() * (t % 24 - 18) / 24)) + 1e-9, 6) AS rain FROM rain",
     "early_stop": f"""WITH {RAIN}, d AS (SELECT CAST(t // 24 AS INTEGER) AS epoch, round(avg(rain), 6) AS score FROM rain GROUP BY 1),
         e AS (SELECT epoch, score, max(score) OVER (ORDER BY epoch) AS best FROM d),

@@ -66,8 +66,7 @@ def focal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = scored(spark, sf_dir)
     m = metrics.skill(metrics.confusion(own)).join(metrics.auroc(own)).join(metrics.expected_calibration_error(own)).withColumn("pod", F.col("recall"))
-    limits = {"f1": (0.75, 0.75, True), "auroc": (0.85, 0.80, True), "csi": (0.55, 0.55, True), "pod": (0.60, 0.60, True), "far": (0.40, 1.0, False), "ece": (0.10, 0.20, False)}
-    return _rounded(metrics.gates(m, limits))
+    return _rounded(metrics.gates(m, metrics.LIMITS))
 
 
 def readiness_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +91,7 @@ def node_mean_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peak_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(report.peak_step(states(spark, sf_dir).filter("t >= 100"), 20))
+    return _rounded(report.peak_step(states(spark, sf_dir), 20))
 
 
 def merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +242,7 @@ ORACLES = {
         SELECT metric, round(value + 1e-9, 6) AS value, CASE WHEN value * up >= ok * up THEN 'PASS' WHEN value * up >= warn * up THEN 'WARN' ELSE 'FAIL' END AS status FROM v""",
     "best_baseline": f"WITH {SCORED}, {_CM_LEAD}, {_SK} SELECT round(max(f1) + 1e-9, 6) AS best_f1, round(max(csi) + 1e-9, 6) AS best_csi, (SELECT lead FROM f ORDER BY f1 DESC, lead DESC LIMIT 1) AS lead FROM f",
     "node_mean_max": f"WITH {STATES} SELECT node_id, {_R('p_mean', 'p_max')} FROM risk",
-    "peak_step": f"WITH {STATES}, m AS (SELECT t, avg(p) AS mean_p FROM p WHERE t >= 100 GROUP BY t ORDER BY t LIMIT 20) SELECT t, {_R('mean_p')} FROM m ORDER BY m.mean_p DESC, t LIMIT 1",
+    "peak_step": f"WITH {STATES}, m AS (SELECT t, avg(p) AS mean_p FROM p GROUP BY t ORDER BY t LIMIT 20) SELECT t, {_R('mean_p')} FROM m ORDER BY m.mean_p DESC, t LIMIT 1",
     "merged_batches": f"WITH {STATES}, a AS (SELECT node_id, t // 24 AS batch, round(avg(p), 9) AS p FROM p GROUP BY ALL) SELECT node_id, round(avg(p) + 1e-9, 6) AS p FROM a GROUP BY 1",
     "risk_bands": f"{_RISK} SELECT node_id, {_LABEL} AS label, {_BAND.format(chr(39) + '#2ECC71' + chr(39), chr(39) + '#F1C40F' + chr(39), chr(39) + '#E67E22' + chr(39), chr(39) + '#E74C3C' + chr(39))} AS colour, {_LEVEL} AS level FROM k",
     "risk_counts": f"{_RISK} SELECT count(*) FILTER (WHERE p_mean < 0.2) AS under, {', '.join(f'count(*) FILTER (WHERE p_mean >= 0.{d}) AS over_{d}0' for d in range(2, 9))} FROM k",
