@@ -27,8 +27,12 @@ def _moved(edges: DataFrame, into: DataFrame) -> DataFrame:
 def _chains(links: DataFrame) -> DataFrame:
     """node, p, n, least of links (node, p: the node before, n: the one after), all with one edge in and one out: p and n the ends of
     its chain, outside of links; on a cycle of links alone they stay within, and least is its smallest node."""
-    now = written(links.withColumn("least", F.col("node")), "chains")
+    now, seen = written(links.withColumn("least", F.col("node")), "chains"), None
     for _ in range(ceil(log2(now.count() + 1)) + 1):
+        ends = now.agg(F.sum(F.xxhash64("node", "p", "n").cast("decimal(38,0)"))).first()[0]
+        if ends == seen:  # no chain grows, and on a cycle some pointer always moves
+            break
+        seen = ends
         before = now.select(F.col("node").alias("p"), F.col("p").alias("_p"), F.col("least").alias("_l"))
         after = now.select(F.col("node").alias("n"), F.col("n").alias("_n"))
         least = F.least("least", F.coalesce("_l", "least")).alias("least")
@@ -39,10 +43,13 @@ def _chains(links: DataFrame) -> DataFrame:
 def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
     """node and label: the smallest label of start (node, label) that reaches the node along the edges."""
     best = front = written(start, "labels")
+    hop = 0
     while not front.isEmpty():
         along = edges.join(front.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("_new"))
         front = written(along.join(best, "node", "left").filter(F.col("label").isNull() | (F.col("_new") < F.col("label"))).select("node", F.col("_new").alias("label")), "front")
-        best = written(best.unionByName(front).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        hop += 1
+        best = best.unionByName(front).groupBy("node").agg(F.min("label").alias("label"))
+        best = written(best, "labels") if hop % 8 == 0 else best
     return best
 
 
