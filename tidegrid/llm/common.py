@@ -71,14 +71,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidegrid-{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
     This cuts the lineage and keeps what several later steps read from being computed twice; the files
     outlive any executor. They stay until a ``scratch`` that they were written in ends, or the folder is cleared.
+    ``by`` is a column whose values get folders of their own.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if (paths := _SCRATCH.get()) is not None:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -123,8 +124,8 @@ def labelled(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame
     return docs.select("doc_id", raw_text(text).alias("_raw")).join(F.broadcast(known), "doc_id").select("doc_id", "_y", "_raw")
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int, least: int = 1_000) -> DataFrame:
-    """rows joined with ``facts``, one row for each key, of which ``weight`` says how many of the ``total`` rows have that key.
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int, least: int = 1_000, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with ``facts``, one row for each key, of which ``weight`` says how many of the ``total`` rows have it.
 
     Fewer than 1,000 keys have over a thousandth of the rows: their facts are broadcast, and their rows don't meet in one task;
     the others are an ordinary join. ``weight`` isn't in the result.
@@ -132,7 +133,31 @@ def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, to
     bound = max(least, total // 1000)
     hot, cold = facts.filter(F.col(weight) > bound).drop(weight), facts.filter(F.col(weight) <= bound).drop(weight)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, how))
+
+
+def join_salted(rows: DataFrame, facts: DataFrame, key: str, spread: str, counted: DataFrame, most: int = 1_000) -> DataFrame:
+    """rows joined with ``facts``, one row for each key, where facts may be too large to broadcast: of a key with over ``most`` rows these
+    are dealt by a hash of ``spread``, and its facts are copied to as many places, so that about ``most`` meet in one.
+
+    Fewer than a ``most``-th of the rows are keys of that kind; which they are is known from ``counted``, which has a row with the key
+    for each of rows, by a count that is combined before the shuffle.
+    """
+    salt, places = free_name(rows, "_salt"), free_name(rows, "_places")
+    hot = counted.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias(places)).filter(F.col(places) > 1)
+    hot = small(staged(hot, "hot-keys"))
+    dealt = rows.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(spread), F.col(places)).cast("int"), F.lit(0)))
+    copied = facts.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(places) - 1, F.lit(0)))))
+    return dealt.drop(places).join(copied.drop(places), [key, salt]).drop(salt)
+
+
+#: Rows up to which a table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast if it has at most ``most`` rows; else Spark joins it by a shuffle, splitting skewed keys."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def free_name(df: DataFrame, name: str) -> str:
