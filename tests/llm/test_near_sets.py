@@ -5,9 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidegrid.llm import near_sets
+from tidegrid.llm.common import join_salted
 
 from .conftest import make
 
@@ -64,6 +66,19 @@ def test_near_duplicates_of_odd_rows(spark, sf, odd, odd_rows, empty):
     assert corpus_pipeline.near_dedup(spark, empty, sf).count() == 0
 
 
+def test_template_of_very_many_near_copies(spark):
+    """One template with thousands of near copies: all are found, and pairs with it are dealt over salts."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[: 20 + k % 30], f"x{k}", *base[20 + k % 30 :]])) for k in range(3_000)] + [(9_000 + k, f"other text number {k} " * 3) for k in range(20)]
+    kept = near_sets.drop_near_duplicates(make(spark, rows))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, *range(9_000, 9_020)]
+    pairs = spark.createDataFrame([(1, k) for k in range(5_000)] + [(k, k) for k in range(2, 50)], "u long, v long")
+    facts = spark.range(50).select(F.col("id").alias("u"), (F.col("id") * 2).alias("x"))
+    met = join_salted(pairs, facts, "u", "v", pairs)
+    assert sorted(map(tuple, met.select("u", "v", "x").collect())) == sorted([(1, k, 2) for k in range(5_000)] + [(k, k, 2 * k) for k in range(2, 50)])
+
+
 @pytest.mark.parametrize("words", [near_sets.MAP_WORDS, 0])
 def test_common_members(monkeypatch, words):
     monkeypatch.setattr(near_sets, "MAP_WORDS", words)

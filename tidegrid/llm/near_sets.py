@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import free_name, raw_text, row_keys, staged
-from tidegrid.llm.decontam import small
+from tidegrid.llm.common import free_name, join_salted, raw_text, row_keys, small, staged
 from tidegrid.llm.simhash import BLOCK, components, in_blocks, majority, merge, near_pairs
 
 SHINGLE, SEED = 5, 42
@@ -94,7 +93,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose sets have a similarity of 0.8 or more, counted exactly."""
     u, v = (sets.select(F.col("node").alias(x), F.col("own").alias(f"_{x}")) for x in "uv")
     both = F.size(F.array_intersect("_u", "_v"))
-    return pairs.join(u, "u").join(v, "v").filter(9 * both >= 4 * (F.size("_u") + F.size("_v"))).select("u", "v")
+    # v first: a set is the v of few pairs, but the u of a whole template's, whose hashes needn't be shuffled with each of them.
+    met = join_salted(pairs.join(v, "v"), u, "u", "v", pairs)
+    return met.filter(9 * both >= 4 * (F.size("_u") + F.size("_v"))).select("u", "v")
 
 
 def _with(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
