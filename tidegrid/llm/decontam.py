@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidegrid.llm.common import free_name, row_keys, staged
+from tidegrid.llm.common import free_name, row_keys, small, staged
 
 WINDOW = 10
-#: Rows up to which a table derived from the benchmark is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 KEY = ["k1", "k2"]
 #: Proximity: words by which a term may be off its place, and terms of a whole window that may be missing.
 SLOP, MISS = 3, 1
@@ -35,11 +33,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, broadcast if it has at most ``most`` rows; else Spark joins it by a shuffle, splitting skewed keys."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def item_terms(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items (ik, item_id, n) and their words (ik, ipos, term, tid); equal rows once, items without words not at all."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).distinct()
@@ -55,21 +48,20 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     k1 and k2, hashes of id and text, name a document: null and repeated ids need no care, equal rows have
     equal postings. The first word of a document (or its lack) has a row in any case, with the id and
     the number of words, so that one scan of the texts gives both postings and lengths; ``pos`` and ``tid``
-    are null where there is none.
+    are null where there is none. Rows with lengths are a part of the table of their own, so that these are read without the rest.
     """
     own = docs.select(
         F.col(id_col).alias("id"), *row_keys(id_col, text_col), words(F.col(text_col)).alias("w")
     ).select("id", "k1", "k2", F.size("w").cast("long").alias("n_words"), F.posexplode_outer("w").alias("pos", "term"))
     found = own.join(small(terms), "term", "left").filter("tid is not null or pos = 0 or pos is null")
-    return staged(
-        found.select("tid", "k1", "k2", "pos", F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct("id", "n_words")).alias("doc")).sortWithinPartitions("tid"),
-        "postings",
-    )
+    first = F.coalesce("pos", F.lit(0)) == 0
+    rows = found.select("tid", "k1", "k2", "pos", F.when(first, F.struct("id", "n_words")).alias("doc"), first.alias("first"))
+    return staged(rows.sortWithinPartitions("first", "tid"), "postings", by="first")
 
 
 def documents_of(index: DataFrame) -> DataFrame:
     """id, k1, k2 and n_words of every document row."""
-    return index.filter("doc is not null").select("doc.id", "k1", "k2", "doc.n_words")
+    return index.filter("first").select("doc.id", "k1", "k2", "doc.n_words")
 
 
 def frequencies(index: DataFrame, at: DataFrame) -> DataFrame:
@@ -98,14 +90,26 @@ def _ranked(items: DataFrame, at: DataFrame, window: int) -> DataFrame:
     return staged(windows.filter("f > 0").drop("f"), "windows")
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, at: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k1, k2, ik and the document positions ``hits`` (array) inside any occurrence of a window of the item.
+def rare_postings(index: DataFrame, items: DataFrame, at: DataFrame, window: int = WINDOW, rarest: int = MISS + 2) -> DataFrame:
+    """The postings of all terms that are among the ``rarest`` of a window: what candidates are made of, read from the index once."""
+    rare = _ranks(items, at, window).filter(F.col("r") <= rarest).select("tid").distinct()
+    return staged(index.filter("tid is not null").select("tid", *KEY, "pos").join(small(staged(rare, "rare-terms")), "tid", "left_semi"), "rare-postings")
 
-    A window is ``window`` words in a row; an item of fewer is one window.
-    """
-    at = frequencies(index, at)
+
+def _stretches(cand: DataFrame, first: Column, last: Column) -> DataFrame:
+    """The stretches of text (k1, k2, _at) from place ``first`` to ``last`` of each candidate."""
+    return cand.select(*KEY, F.explode(F.sequence(F.floor(F.greatest(first, F.lit(0)) / STRETCH), F.floor(last / STRETCH))).alias("_at"))
+
+
+def postings_near(index: DataFrame, spots: DataFrame) -> DataFrame:
+    """The postings of all terms in these stretches, read from the index once for all searches."""
+    near = index.filter("tid is not null").select("tid", *KEY, "pos").withColumn("_at", F.floor(F.col("pos") / STRETCH))
+    return staged(near.join(small(staged(spots.distinct(), "spots")), [*KEY, "_at"], "left_semi").drop("_at"), "near-postings")
+
+
+def phrase_candidates(postings: DataFrame, items: DataFrame, at: DataFrame, window: int = WINDOW) -> DataFrame:
+    """k1, k2, ik, diag (where the item would begin), starts of windows and len, where the two rarest terms of a window stand."""
     windows = _ranked(items, at, window)
-    postings = index.filter("tid is not null").select("tid", "k1", "k2", "pos")
     first = windows.select(F.col("t1").alias("tid"), "ik", "p1").distinct()
     found = postings.join(small(first), "tid").select("k1", "k2", "ik", "p1", (F.col("pos") - F.col("p1")).alias("diag"))
     # The second rarest term must stand where the first one says.
@@ -127,12 +131,18 @@ def phrase_matches(index: DataFrame, items: DataFrame, at: DataFrame, window: in
         .groupBy(*KEY, "ik", "diag")
         .agg(F.collect_set("start").alias("starts"), F.max("len").alias("len"))
     )
-    cand = staged(cand, "candidates")
-    # All other words: the postings of candidate documents, at the places that the candidates' windows cover.
+    return staged(cand, "candidates")
+
+
+def phrase_spots(cand: DataFrame) -> DataFrame:
+    return _stretches(cand, F.col("diag") + F.array_min("starts"), F.col("diag") + F.array_max("starts") + F.col("len") - 1)
+
+
+def whole_phrases(cand: DataFrame, near: DataFrame, at: DataFrame) -> DataFrame:
+    """Of the candidates k1, k2, ik and ``hits``, by the postings near them: all words of a window at their places."""
     run = lambda s: F.sequence(s, s + F.col("len") - 1)
     wanted = cand.select(*KEY, "ik", "diag", F.explode(F.array_distinct(F.flatten(F.transform("starts", run)))).alias("ipos"))
     wanted = wanted.join(small(at.select("ik", "ipos", "tid")), ["ik", "ipos"]).withColumn("pos", F.col("diag") + F.col("ipos"))
-    near = postings.join(small(cand.select(*KEY).distinct()), KEY, "left_semi")
     right = wanted.join(near, [*KEY, "tid", "pos"], "left_semi").groupBy(*KEY, "ik", "diag").agg(F.collect_set("ipos").alias("right"))
     whole = F.filter("starts", lambda s: F.size(F.array_except(run(s), F.col("right"))) == 0)
     hits = F.array_distinct(F.flatten(F.transform("whole", run)))
@@ -144,6 +154,16 @@ def phrase_matches(index: DataFrame, items: DataFrame, at: DataFrame, window: in
     )
 
 
+def phrase_matches(index: DataFrame, items: DataFrame, at: DataFrame, window: int = WINDOW) -> DataFrame:
+    """k1, k2, ik and the document positions ``hits`` (array) inside any occurrence of a window of the item.
+
+    A window is ``window`` words in a row; an item of fewer is one window.
+    """
+    at = frequencies(index, at)
+    cand = phrase_candidates(rare_postings(index, items, at, window, 2), items, at, window)
+    return whole_phrases(cand, postings_near(index, phrase_spots(cand)), at)
+
+
 def proximity_matches(index: DataFrame, items: DataFrame, at: DataFrame, slop: int = SLOP, miss: int = MISS, window: int = WINDOW) -> DataFrame:
     """k1, k2, ik, start, len, spread and ``n_found``: every place of a document where an item's window nearly stands.
 
@@ -155,7 +175,12 @@ def proximity_matches(index: DataFrame, items: DataFrame, at: DataFrame, slop: i
     rare terms of neighbouring windows then leave out most of these.
     """
     at = frequencies(index, at)
-    postings = index.filter("tid is not null").select("tid", "k1", "k2", "pos")
+    cand = proximity_candidates(rare_postings(index, items, at, window, miss + 2), items, at, slop, miss, window)
+    return near_phrases(cand, postings_near(index, proximity_spots(cand, slop)), at, slop, miss, window)
+
+
+def proximity_candidates(postings: DataFrame, items: DataFrame, at: DataFrame, slop: int = SLOP, miss: int = MISS, window: int = WINDOW) -> DataFrame:
+    """k1, k2, ik, diag, start and len where enough of a window's rare terms agree."""
     spare = F.when(F.col("len") == window, miss).otherwise(0)
     rare = staged(_ranks(items, at, window).filter(F.col("r") <= spare + 2).select("ik", "start", "len", "ipos", "tid", (F.col("r") <= spare + 1).alias("anchor")), "rare")
     lists = postings.join(small(rare.select("tid", "ik", "ipos", (F.col("len") == 1).alias("alone")).distinct()), "tid")
@@ -175,11 +200,16 @@ def proximity_matches(index: DataFrame, items: DataFrame, at: DataFrame, slop: i
         .join(small(staged(anchors, "anchors")), ["ik", "ipos"])
         .filter(F.size(F.array_intersect("_by", "others")) >= F.size("others") - spare)
     )
-    cand = staged(cand.select(*KEY, "ik", "diag", "start", "len").distinct(), "near-candidates")
-    # The words of these windows, among the postings of the stretches of text where they would stand.
-    first, last = F.col("diag") + F.col("start") - slop, F.col("diag") + F.col("start") + F.col("len") - 1 + slop
-    spots = cand.select(*KEY, F.explode(F.sequence(F.floor(first / STRETCH), F.floor(last / STRETCH))).alias("_at")).distinct()
-    near = postings.withColumn("_at", F.floor(F.col("pos") / STRETCH)).join(small(spots), [*KEY, "_at"], "left_semi")
+    return staged(cand.select(*KEY, "ik", "diag", "start", "len").distinct(), "near-candidates")
+
+
+def proximity_spots(cand: DataFrame, slop: int = SLOP) -> DataFrame:
+    return _stretches(cand, F.col("diag") + F.col("start") - slop, F.greatest(F.col("diag") + F.col("start") + F.col("len") - 1 + slop, F.lit(0)))
+
+
+def near_phrases(cand: DataFrame, near: DataFrame, at: DataFrame, slop: int = SLOP, miss: int = MISS, window: int = WINDOW) -> DataFrame:
+    """Of the candidates those that ``proximity_matches`` gives, by the postings near them."""
+    spare = F.when(F.col("len") == window, miss).otherwise(0)
     wanted = cand.select(*KEY, "ik", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("ipos")).distinct()
     wanted = wanted.join(small(at.select("ik", "ipos", "tid")), ["ik", "ipos"])
     words_of = wanted.join(near, [*KEY, "tid"]).select(*KEY, "ik", "ipos", (F.col("pos") - F.col("ipos")).alias("at"))
@@ -209,15 +239,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     items, at = item_terms(benchmark)
     index = build_index(docs, at.select("term", "tid").distinct(), id_col, text_col)
     at = frequencies(index, at)
+    rare = rare_postings(index, items, at, window)
+    exact, loose = phrase_candidates(rare, items, at, window), proximity_candidates(rare, items, at, window=window)
+    close = postings_near(index, phrase_spots(exact).unionByName(proximity_spots(loose)))
     ids = small(items.select("ik", F.col("item_id").cast("string").alias("item")))
     named = lambda c: F.sort_array(F.collect_set(c))
     found = (
-        phrase_matches(index, items, at, window)
+        whole_phrases(exact, close, at)
         .join(ids, "ik")
         .groupBy(*KEY)
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), named("item").alias("items"))
     )
-    near = proximity_matches(index, items, at, window=window).select(*KEY, "ik").distinct().join(ids, "ik").groupBy(*KEY).agg(named("item").alias("near"))
+    near = near_phrases(loose, close, at, window=window).select(*KEY, "ik").distinct().join(ids, "ik").groupBy(*KEY).agg(named("item").alias("near"))
     none = F.array().cast("array<string>")
     return (
         documents_of(index)
