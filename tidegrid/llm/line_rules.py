@@ -26,7 +26,7 @@ _NOT_WORD_CHARS = bytes([32, *range(9, 14), *range(0x80, 0xC0)])
 _NOT_LETTERS = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122)) + bytes(range(0x80, 0xC0))
 _NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 _NOT_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
-N_FEATURES = 14
+N_FEATURES = 18
 #: A document stays if at least this share of its words is in content lines.
 LEAST_CONTENT = 0.5
 STEP = 64
@@ -74,8 +74,8 @@ def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:
 def line_features(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, word counts and rule marks (CONTENT, BOILERPLATE or UNKNOWN) of the lines with a word.
 
-    The marks' own tests (repeated, mostly capitals, many symbols) are no features: the field learns what such lines
-    look like from their make-up and from the lines beside them.
+    What the marks' own tests look at (repeats, and shares of letters, capitals, symbols and pipes) is no feature of the line itself,
+    only of the lines beside it: the field learns what such lines look like from the rest of their make-up and from where they stand.
     """
     xs, marks = [], []
     seen: set[bytes] = set()
@@ -104,16 +104,15 @@ def line_features(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = np.zeros((len(xs), N_FEATURES))
     x[:, 0] = 1.0
     x[:, 1] = np.minimum(np.log1p(n) / 4, 2.0)
-    x[:, 2] = letters / size
-    x[:, 3] = upper / np.maximum(letters, 1)
-    x[:, 4] = np.minimum(symbols / n, 2.0)
-    x[:, 5] = np.minimum(pipes / n, 1.0)
-    x[:, 6] = digits / size
-    x[:, 7] = np.minimum(commas / n, 1.0)
-    x[:, 8] = plain / n
-    x[:, 9] = ends
-    x[1:, 10:12] = x[:-1, 1:3]  # the line before, zero at the edge
-    x[:-1, 12:14] = x[1:, 1:3]  # the line after
+    x[:, 2] = np.minimum(size / n / 8, 2.0)
+    x[:, 3] = digits / size
+    x[:, 4] = np.minimum(commas / n, 1.0)
+    x[:, 5] = plain / n
+    x[:, 6] = ends
+    x[:, 7] = plain > 0
+    beside = np.stack([x[:, 1], letters / size, upper / np.maximum(letters, 1), np.minimum(symbols / n, 2.0), np.minimum(pipes / n, 1.0)], 1)
+    x[1:, 8:13] = beside[:-1]  # the line before, zero at the edge
+    x[:-1, 13:18] = beside[1:]  # the line after
     return x, n.astype(np.int64), np.array(marks, np.int8)
 
 
