@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import shared_path, staged
+from tidegrid.llm.common import join_hot, shared_path, staged
 
 #: Payloads under this size are never made revisits.
 LEAST_REVISIT = 100
@@ -275,18 +275,16 @@ def with_revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
     Null for that one itself (and for all that share its page_id), for small payloads, and where no page_id is
     known. Only digests that occur twice or more are looked up; of a digest that very many records share, the
-    minimum is taken before the shuffle, and its records are spread over salts in the join.
+    minimum is taken before the shuffle, and what is known of it is broadcast, so that its records don't meet.
     """
-    salts = 64
     same = (
         records.filter(F.col("payload_bytes") >= least)
         .groupBy("digest", "payload_bytes")
         .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))).alias("first"), F.count("*").alias("n"))
         .filter("n > 1 and first is not null")
-        .select("digest", "payload_bytes", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        .select("digest", "payload_bytes", "first", "n")
     )
-    salted = records.withColumn("_salt", F.pmod(F.xxhash64("archive", "place"), F.lit(salts)).cast("int"))
-    found = salted.join(same, ["digest", "payload_bytes", "_salt"], "left").drop("_salt")
+    found = join_hot(records, staged(same, "same-payloads"), ["digest", "payload_bytes"], "n", records.count(), how="left")
     return found.withColumn("first", F.when(~F.col("first.page_id").eqNullSafe(F.col("page_id")), F.col("first")))
 
 
