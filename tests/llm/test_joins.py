@@ -570,7 +570,7 @@ def test_queries_equal_their_sql(spark, query):
 
     at = "/root/testdata/sf0.001" if query == "op5_warc_convert" else "/root/testdata/sf0.01"
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
     want = c.sql(queries.ORACLES[query])
     names = sorted(want.columns)

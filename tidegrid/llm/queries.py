@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import decontam, langid, licenses, line_dedup, line_rules, packing, prefix_trie, quality_rank, resampling, simhash, suffix_lm, toxicity, warc
-from tidegrid.llm.common import bound_batches, crc_fold
+from tidegrid.llm.common import bound_batches, crc_fold, scratch, staged
 from tidegrid.session import ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +32,19 @@ def held_out(folds: int, rest: int):
     return F.coalesce(crc_fold(F.col("doc_id"), folds) == rest, F.lit(False)).alias("held_out")
 
 
+def cleared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result written, and all that it staged for itself deleted."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark) as clear:
+            found = staged(query(spark, sf_dir), query.__name__)
+            clear()
+        return found
+
+    return run
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -62,6 +78,7 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@cleared
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score_documents(table(spark, sf_dir, "documents"), fold=(5, 1))
 
@@ -80,21 +97,25 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *line_rules.NAMES[:-1])
 
 
+@cleared
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items")
 
 
+@cleared
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+@cleared
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@cleared
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_tree(table(spark, sf_dir, "conversations"))
 
