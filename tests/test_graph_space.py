@@ -403,6 +403,18 @@ def test_exact_quantiles(spark):
     assert order.quantiles(spark.createDataFrame([(None,)], "a double"), "a", [0.5]) == [None]
 
 
+def test_tiles_of_several_bands(spark):
+    """Edges of tiles, overlaps band by band, points outside, columns of clashing names."""
+    tiles = spark.createDataFrame([(1, 0.0, 4.0, 1.0, 4, 4), (2, 3.0, 4.0, 1.0, 4, 4), (3, -50.0, 0.0, 0.5, 2, 2)], "tile int, x0 double, y0 double, res double, rows int, cols int")
+    cells = spark.createDataFrame([(t, r, c, float(100 * t + 10 * r + c), None if t == 1 else float(t)) for t in (1, 2) for r in range(4) for c in range(4)], "tile int, row int, col int, a double, b double")
+    cells = cells.withColumn("a", F.when(F.col("a") == 103, -1.0).otherwise(F.col("a")))
+    p = spark.createDataFrame([(0, 0.0, 4.0), (1, 3.0, 3.5), (2, 3.5, 2.5), (3, 4.0, 4.0), (4, 7.0, 4.0), (5, 0.0, 0.0), (6, 6.9, 0.1), (7, -49.9, -0.1)], "id int, x double, y double").withColumn("_left", F.lit("k"))
+    found = spatial.sample_tiles(p, tiles, cells, ["a", "b"], {"a": -1.0})
+    assert {r.id: (r.a, r.b) for r in found.filter("_left = 'k'").collect()} == {0: (100.0, None), 1: (200.0, 2.0), 2: (113.0, 2.0), 3: (201.0, 2.0), 4: (None, None), 5: (None, None), 6: (233.0, 2.0), 7: (None, None)}
+    full = spatial.fill_bands(found, {"a": None, "b": 9.0})
+    assert {r.id: (r.a, r.b) for r in full.collect() if r.id in (4, 0)} == {4: (200.0, 9.0), 0: (100.0, 9.0)}
+
+
 def test_repeated_points_and_empty_sides(spark):
     p = spark.createDataFrame([(0.0, 0.0, 13.0, 80.25)] * 3 + [(1.0, 2.0, 13.1, 80.3)], "x double, y double, lat double, lon double")
     st = spark.createDataFrame([(1.0, 0.0, 4.0), (0.0, 2.0, 8.0)], "s_x double, s_y double, s_value double")

@@ -139,6 +139,45 @@ def test_versioned_cache(spark, tmp_path):
     assert len(made) == 2
 
 
+def test_a_half_written_version_is_not_read(spark, tmp_path):
+    """A folder whose writer died, and a manifest whose writer died before it had a name in it."""
+    at = tmp_path / "c" / "version=1"
+    spark.range(9).write.parquet(str(at / "table-dead"))
+    assert sinks.cached(spark, str(tmp_path / "c"), "1", lambda: spark.range(3)).count() == 3
+    (tmp_path / "d" / "version=1").mkdir(parents=True)
+    (tmp_path / "d" / "version=1" / "CURRENT").write_text("table-x")
+    assert sinks.cached(spark, str(tmp_path / "d"), "1", lambda: spark.range(4)).count() == 4
+    assert sinks.cached(spark, str(tmp_path / "d"), "1", lambda: spark.range(5)).count() == 4
+
+
+def test_of_two_makers_the_first_counts(spark, tmp_path):
+    path = str(tmp_path / "c")
+
+    def slow():
+        assert sinks.cached(spark, path, "1", lambda: spark.range(7)).count() == 7  # another is done meanwhile
+        return spark.range(3)
+
+    assert sinks.cached(spark, path, "1", slow).count() == 7
+    assert len(list((tmp_path / "c" / "version=1").glob("table-*"))) == 1
+
+
+def test_metric_state_by_batch(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(float(round(p, 2)), int(rng.random() < p), k % 3, "ab"[k % 2]) for k, p in enumerate(rng.random(600))]
+    df = spark.createDataFrame(rows, "p double, y int, batch int, lead string")
+    for by in ((), ("lead",)):
+        state = metrics.MetricState(spark, str(tmp_path / f"s{len(by)}"), by)
+        for b in (0, 1, 2, 1):  # a batch that is run again replaces itself
+            state.update(df.filter(f"batch = {b}"), b)
+        got = {tuple(r[c] for c in by): r for r in state.compute().collect()}
+        whole = metrics.skill(metrics.confusion(df, by))
+        for want in (whole, metrics.auroc(df, by), metrics.average_precision(df, by)):
+            for r in want.collect():
+                assert all(np.isclose(got[tuple(r[c] for c in by)][c], r[c]) for c in want.columns if c not in by)
+        state.reset()
+        assert not (tmp_path / f"s{len(by)}").exists()
+
+
 def test_geojson_and_csv(spark, tmp_path):
     df = spark.createDataFrame([(1, 80.2, 13.0, 0.5)], "node_id long, lon double, lat double, p double")
     f = json.loads(sinks.features(df).first()[0])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-8
@@ -34,14 +34,58 @@ def skill(counts: DataFrame, floor_one: bool = False) -> DataFrame:
 PARTS = 1024
 
 
+def score_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, p, pos (rows with label 1) and n of each distinct score: what all metrics can be had from, and what adds up."""
+    return scored.groupBy(*by, "p").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.count("*").alias("n"))
+
+
+def merged_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Score counts of several batches as one."""
+    return counts.groupBy(*by, "p").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+
+
+def metrics_of_counts(counts: DataFrame, by: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+    """Confusion, Brier score, skill, ``auroc`` and ``ap`` from score counts, one row for each p: the same as from the rows themselves."""
+    hit, pos, neg = F.col("p") >= threshold, F.col("pos"), F.col("n") - F.col("pos")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    brier = (F.sum(pos * F.pow(F.col("p") - 1, 2) + neg * F.pow(F.col("p"), 2)) / F.sum("n")).alias("brier")
+    table = counts.groupBy(*by).agg(total(F.when(hit, pos), "tp"), total(F.when(hit, neg), "fp"), total(F.when(~hit, pos), "fn"), total(F.when(~hit, neg), "tn"), brier)
+    own, keys = skill(table), list(by)
+    for area in (auroc(counts, by), average_precision(counts, by)):
+        own = own.join(area, keys) if keys else own.join(F.broadcast(area))
+    return own
+
+
+class MetricState:
+    """Score counts by batch in a shared folder: a batch that is run again replaces itself, and batches add up to the whole's metrics."""
+
+    def __init__(self, spark: SparkSession, path: str, by: Sequence[str] = ()):
+        self.spark, self.path, self.by = spark, path.rstrip("/"), tuple(by)
+
+    def update(self, scored: DataFrame, batch: int) -> None:
+        score_counts(scored, self.by).write.mode("overwrite").parquet(f"{self.path}/batch={int(batch)}")
+
+    def counts(self) -> DataFrame:
+        return merged_counts(self.spark.read.parquet(self.path), self.by)
+
+    def compute(self) -> DataFrame:
+        return metrics_of_counts(self.counts(), self.by)
+
+    def reset(self) -> None:
+        from tidegrid.sources.sinks import purge
+
+        purge(self.path)
+
+
 def _by_score(scored: DataFrame, by: Sequence[str], rising: bool) -> DataFrame:
-    """pos and n of each distinct score, with the counts up to it (``cum_pos``, ``cum_n``), in rising or falling order.
+    """pos and n of each distinct score, with the counts up to it (``cum_pos``, ``cum_n``), in rising or falling order; of rows, or of
+    score counts, which have a row for each score already.
 
     Scores are dealt to parts of their range; a running sum over the parts' totals, a small table, gives what lies
     before each part, and a window within the part the rest, so that no task holds all scores.
     """
     part = F.least(F.greatest(F.floor(F.col("p") * PARTS), F.lit(0)), F.lit(PARTS)).cast("int")
-    own = scored.groupBy(*by, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("_part", part)
+    own = (scored if "y" not in scored.columns else score_counts(scored, by)).withColumn("_part", part)
     order = (lambda c: F.asc(c)) if rising else (lambda c: F.desc(c))
     before = Window.partitionBy(*by).orderBy(order("_part")).rowsBetween(Window.unboundedPreceding, -1)
     totals = own.groupBy(*by, "_part").agg(F.sum("pos").alias("_sp"), F.sum("n").alias("_sn"))

@@ -7,12 +7,13 @@ exact. Ties are broken by id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.maths import clip, haversine
+from tidegrid.functions.names import free_names
 from tidegrid.operators.graph import written
 from tidegrid.operators.order import quantiles
 
@@ -159,6 +160,40 @@ def sample_raster(points: DataFrame, raster: DataFrame, x0: float, y0: float, re
     return own.join(raster.withColumn("value", value), ["row", "col"], "left")
 
 
+def sample_tiles(points: DataFrame, tiles: DataFrame, cells: DataFrame, bands: Sequence[str], nodata: dict[str, float] | None = None, size: float | None = None) -> DataFrame:
+    """Each point with all bands of the cell that holds it, from a mosaic of raster tiles in one pass; null where there is none.
+
+    tiles: tile, x0 and y0 (the upper left corner), res, rows, cols; cells: tile, row, col and the bands. A tile holds its upper and left
+    edge, not the others. Where tiles overlap that with the smallest id counts, band by band: a null, or the band's ``nodata`` value, lets
+    the next one show. Tiles are found by an index: their bounds as squares of ``size`` (by default the largest side of a tile, so a tile
+    has at most four), to which points are dealt; no point meets a tile that isn't near it.
+    """
+    nodata = nodata or {}
+    if size is None:
+        size = tiles.agg(F.max(F.greatest("rows", "cols") * F.col("res"))).first()[0] or 1.0
+    left, top, square, point, at_row, at_col = free_names(points, "_left", "_top", "_square", "_point", "_row", "_col")
+    own = written(points.withColumn(point, F.monotonically_increasing_id()), "points")
+    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
+    wide, high = F.col("cols") * F.col("res"), F.col("rows") * F.col("res")
+    index = tiles.select("tile", F.col("x0").alias(left), F.col("y0").alias(top), "res", "rows", "cols", F.explode(span(F.col("x0"), F.col("x0") + wide)).alias("_sx"), span(F.col("y0") - high, F.col("y0")).alias("_sy"))
+    index = index.withColumn("_sy", F.explode("_sy")).withColumn(square, F.struct("_sx", "_sy")).drop("_sx", "_sy")
+    placed = own.select(point, F.col("x").alias("_x"), F.col("y").alias("_y"), F.struct(F.floor(F.col("x") / size).alias("_sx"), F.floor(F.col("y") / size).alias("_sy")).alias(square))
+    near = placed.join(index, square).withColumns({at_col: F.floor((F.col("_x") - F.col(left)) / F.col("res")), at_row: F.floor((F.col(top) - F.col("_y")) / F.col("res"))})
+    near = near.filter((F.col(at_col) >= 0) & (F.col(at_col) < F.col("cols")) & (F.col(at_row) >= 0) & (F.col(at_row) < F.col("rows")))
+    value = lambda b: F.when(F.col(b) != nodata[b], F.col(b)) if b in nodata else F.col(b)
+    known = cells.select("tile", F.col("row").cast("long").alias(at_row), F.col("col").cast("long").alias(at_col), *[value(b).alias(b) for b in bands])
+    met = near.select(point, "tile", at_row, at_col).join(known, ["tile", at_row, at_col])
+    first = met.groupBy(point).agg(*[F.min_by(b, F.when(F.col(b).isNotNull(), F.col("tile"))).alias(b) for b in bands])
+    return own.drop(*bands).join(first, point, "left").drop(point)
+
+
+def fill_bands(sampled: DataFrame, fills: dict[str, float | None]) -> DataFrame:
+    """Null samples of each band to its constant, or, for None, to the exact median of the others."""
+    own = written(sampled, "samples")
+    by = {b: quantiles(own, b, [0.5])[0] if f is None else f for b, f in fills.items()}
+    return own.withColumns({b: F.coalesce(F.col(b).cast("double"), F.lit(x).cast("double")) for b, x in by.items()})
+
+
 def fill_raster(sampled: DataFrame, fill: float | None = None) -> DataFrame:
     """Null samples to a constant, or to the median of the others."""
     if fill is not None:

@@ -283,12 +283,23 @@ def raster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.fill_raster(found).select("node_id", "row", "col", F.round("value", 6).alias("value"))
 
 
+def raster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three bands of a mosaic that the parts make, tiles of 20 x 20 cells that overlap by a column: nodata by band, then fills by band."""
+    k, at = F.floor(F.col("p_partkey") / 400), F.col("p_partkey") % 400
+    cells = table(spark, sf_dir, "part").select(k.alias("tile"), F.floor(at / 20).alias("row"), (at % 20).alias("col"), *[F.when(F.col("p_partkey") % n == 0, -9999.0).otherwise(c).alias(b) for b, n, c in (("red", 11, F.col("p_retailprice")), ("nir", 7, F.col("p_size") * 1.0), ("swir", 5, F.col("p_retailprice") / F.col("p_size")))])
+    place = lambda c, start, step: F.lit(start) + c * F.lit(step)
+    tiles = cells.select("tile").distinct().select("tile", place(F.col("tile") % 4, 80.2003, 0.0133).alias("x0"), place(F.floor(F.col("tile") / 4), 13.0003, -0.014).alias("y0"), F.lit(0.0007).alias("res"), F.lit(20).alias("rows"), F.lit(20).alias("cols"))
+    p = grid_nodes(spark, sf_dir).select("node_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    found = spatial.sample_tiles(p, tiles, cells, ["red", "nir", "swir"], {"red": -9999.0, "nir": -9999.0, "swir": -9999.0})
+    return spatial.fill_bands(found, {"red": None, "nir": 0.0, "swir": None}).select("node_id", *[settled(F.col(b)).alias(b) for b in ("red", "nir", "swir")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         grid_graph, node_records, drainage_edges, both_directions, edge_dedupe_min, wcc_largest, drain_capacity_max, waterway_nodes, edge_features, edge_features_refined, khop_3, khop_sampled, strong_components,
         graph_stats, graph_compose, relabelled, sage_max, sage_mean, gcn_norm, gat_softmax, mc_dropout_stats, dense_forward, forward_spread, gru_baseline, older_embeddings, benchmark_edge_features, drain_fallback, drain_distance_by_max, lowest_nodes, knn_pairs, knn_slope, nearest_drain, river_proximity, coast_distance,
-        idw_all, idw_k5, station_interp, raster_sample,
+        idw_all, idw_k5, station_interp, raster_sample, raster_tiles,
     )
 }
 
@@ -374,6 +385,14 @@ ORACLES = {
         a AS (SELECT node_id, lat, (SELECT max(s_y) FROM st WHERE s_y <= lat) AS lo, (SELECT min(s_y) FROM st WHERE s_y > lat) AS hi FROM p)
         SELECT node_id, round(CASE WHEN lo IS NULL THEN h.s_value WHEN hi IS NULL THEN l.s_value ELSE l.s_value + (h.s_value - l.s_value) * (lat - lo) / (hi - lo) END + 1e-9, 6) AS rain
         FROM a LEFT JOIN st l ON l.s_y = lo LEFT JOIN st h ON h.s_y = hi""",
+    "raster_tiles": f"""WITH {GRID}, c AS (SELECT p_partkey // 400 AS tile, p_partkey % 400 // 20 AS row, p_partkey % 400 % 20 AS col, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice END AS red,
+            CASE WHEN p_partkey % 7 <> 0 THEN p_size * 1.0::DOUBLE END AS nir, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice / p_size END AS swir FROM part),
+        t AS (SELECT DISTINCT tile, 80.2003::DOUBLE + tile % 4 * 0.0133::DOUBLE AS x0, 13.0003::DOUBLE + tile // 4 * -0.014::DOUBLE AS y0 FROM c),
+        p AS (SELECT node_id, tile, CAST(floor((lon - x0) / 0.0007::DOUBLE) AS BIGINT) AS col, CAST(floor((y0 - lat) / 0.0007::DOUBLE) AS BIGINT) AS row FROM nodes, t),
+        m AS (SELECT p.node_id, c.* FROM p JOIN c ON c.tile = p.tile AND c.row = p.row AND c.col = p.col),
+        f AS (SELECT node_id, arg_min(red, tile) FILTER (WHERE red IS NOT NULL) AS red, arg_min(nir, tile) FILTER (WHERE nir IS NOT NULL) AS nir, arg_min(swir, tile) FILTER (WHERE swir IS NOT NULL) AS swir FROM m GROUP BY node_id)
+        SELECT nodes.node_id, round(coalesce(red, (SELECT median(red) FROM f)) + 1e-9, 6) AS red, round(coalesce(nir, 0.0::DOUBLE) + 1e-9, 6) AS nir, round(coalesce(swir, (SELECT median(swir) FROM f)) + 1e-9, 6) AS swir
+        FROM nodes LEFT JOIN f ON f.node_id = nodes.node_id""",
     "raster_sample": f"""WITH {GRID}, p AS (SELECT node_id, CAST(floor((lon - 80.2003::DOUBLE) / 0.0007::DOUBLE) AS INTEGER) AS col, CAST(floor((13.0003::DOUBLE - lat) / 0.0007::DOUBLE) AS INTEGER) AS row FROM nodes),
         v AS (SELECT *, CASE WHEN col BETWEEN 0 AND 39 AND row BETWEEN 0 AND 39 AND (row * 40 + col) % 11 <> 0 THEN (row * 40 + col) * 0.5::DOUBLE END AS value FROM p)
         SELECT node_id, row, col, round(coalesce(value, (SELECT median(value) FROM v)), 6) AS value FROM v""",

@@ -151,10 +151,9 @@ def rate_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches' counts, merged: partial aggregates give the whole's skill."""
-    own = scored(spark, sf_dir).withColumn("batch", F.col("doc_id") % 16)
-    parts = metrics.confusion(own, ["batch"]).groupBy().agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
-    return _rounded(metrics.skill(parts))
+    """Batches' score counts, merged: they give the whole's confusion, skill, AUROC and average precision."""
+    parts = metrics.score_counts(scored(spark, sf_dir).withColumn("batch", F.col("doc_id") % 16), ["batch"])
+    return _rounded(metrics.metrics_of_counts(metrics.merged_counts(parts)))
 
 
 def flood_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +266,10 @@ ORACLES = {
         SELECT metric, round(value + 1e-9, 6) AS value, status FROM z""",
     "rate_by_split": f"""WITH {SCORED}, s AS (SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS split, y FROM scored) SELECT split, round(avg(y) + 1e-9, 6) AS rate, count(*) AS n FROM s GROUP BY 1
         UNION ALL SELECT 'all', round(avg(y) + 1e-9, 6), count(*) FROM s""",
-    "metric_state": f"WITH {SCORED}, {_CM_ALL}, {_SK} SELECT tp, fp, fn, tn, {_R('precision', 'recall', 'far', 'csi', 'f1')} FROM f",
+    "metric_state": f"""WITH {SCORED}, {_CM_ALL}, {_SK}, a AS ({_AUC.format(by='', part='', part2='PARTITION BY').replace('GROUP BY ALL', 'GROUP BY np, n')}),
+        s AS (SELECT p, sum(y) AS pos, count(*) AS n FROM scored GROUP BY p), w AS (SELECT pos, sum(pos) OVER o AS cp, sum(n) OVER o AS cn, sum(pos) OVER () AS np FROM s WINDOW o AS (ORDER BY p DESC)),
+        ap AS (SELECT sum(pos::DOUBLE * cp / cn) / any_value(np) AS ap FROM w)
+        SELECT tp, fp, fn, tn, {_R('brier', 'precision', 'recall', 'far', 'csi', 'f1', 'auroc', 'ap')} FROM f, a, ap""",
     "flood_report": f"""{_RISK} SELECT count(*) AS total, count(*) FILTER (WHERE p_mean >= 0.1) AS flooded, count(*) FILTER (WHERE p_mean < 0.1) AS not_flooded, count(*) FILTER (WHERE p_mean >= 0.8) AS high_risk,
         count(*) FILTER (WHERE p_mean >= 0.5 AND p_mean < 0.8) AS medium_risk, count(*) FILTER (WHERE p_mean >= 0.3 AND p_mean < 0.5) AS low_risk, count(*) FILTER (WHERE p_mean < 0.3) AS no_risk,
         round(avg(p_mean) + 1e-9, 6) AS mean, round(max(p_mean) + 1e-9, 6) AS max FROM k""",
