@@ -139,6 +139,17 @@ def test_versioned_cache(spark, tmp_path):
     assert len(made) == 2
 
 
+def test_models_that_fail_are_gaps(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.2, 0), (0.6, 0)], "p double, y int")
+
+    def broken():
+        raise ValueError("no weights")
+
+    got = {r.model: r for r in metrics.compare_models(spark, {"a": lambda: df, "b": broken, "c": lambda: df.select("missing")}).collect()}
+    assert (got["a"].tp, got["a"].fp, got["a"].auroc, got["a"].error) == (1, 1, 1.0, None)
+    assert got["b"].tp is None and got["b"].error == "ValueError: no weights" and got["c"].f1 is None and "missing" in got["c"].error
+
+
 def test_a_half_written_version_is_not_read(spark, tmp_path):
     """A folder whose writer died, and a manifest whose writer died before it had a name in it."""
     at = tmp_path / "c" / "version=1"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,6 +77,24 @@ class MetricState:
         purge(self.path)
 
 
+def compare_models(spark: SparkSession, models: dict[str, Callable[[], DataFrame]], threshold: float = 0.5) -> DataFrame:
+    """model, the metrics of its rows (p, y), and ``error``: a model whose rows can't be made has nulls and why, the others stand.
+
+    Each model's rows go through score counts, so they are made once for all its metrics.
+    """
+    from tidegrid.operators.graph import written
+
+    out = None
+    for name, make in models.items():
+        try:
+            row = metrics_of_counts(written(score_counts(make()), "scores"), (), threshold).withColumn("error", F.lit(None).cast("string"))
+        except Exception as e:  # whatever a model's library raises
+            row = spark.range(1).select(F.lit(f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}").alias("error"))
+        row = row.withColumn("model", F.lit(name))
+        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+    return out
+
+
 def _by_score(scored: DataFrame, by: Sequence[str], rising: bool) -> DataFrame:
     """pos and n of each distinct score, with the counts up to it (``cum_pos``, ``cum_n``), in rising or falling order; of rows, or of
     score counts, which have a row for each score already.

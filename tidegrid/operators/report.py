@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,13 @@ def node_summary(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("node_id").agg(F.avg("p").alias("p_mean"), F.max("p").alias("p_max"))
 
 
+def lead_summary(forecasts: DataFrame, leads: Sequence[int], prefix: str = "p_") -> DataFrame:
+    """node_id, lead, p_mean and p_max over the steps of forecasts with a column for each lead: one aggregate by node, then a row a lead."""
+    wide = forecasts.groupBy("node_id").agg(*[f(f"{prefix}{h}").alias(f"{n}_{h}") for h in leads for n, f in (("mean", F.avg), ("max", F.max))])
+    rows = F.array(*[F.struct(F.lit(h).alias("lead"), F.col(f"mean_{h}").alias("p_mean"), F.col(f"max_{h}").alias("p_max")) for h in leads])
+    return wide.select("node_id", F.explode(rows).alias("r")).select("node_id", "r.*")
+
+
 def peak_step(predictions: DataFrame, first: int = 20) -> DataFrame:
     """The earliest of the first steps whose mean over nodes is largest."""
     steps = predictions.groupBy("t").agg(F.avg("p").alias("mean_p"))

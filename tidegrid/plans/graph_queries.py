@@ -156,7 +156,7 @@ def mc_dropout_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.mean_and_spread(samples, ["node_id"]))
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def network_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The users' snapshots with sixteen static features, and the edges of a grid with their four features."""
     from tidegrid.operators import series
     from tidegrid.plans.common import rain
@@ -170,24 +170,24 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def dense_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole network with fixed weights on every snapshot: encoders, attention and maximum layers, head (no SQL: see the tests)."""
-    snap, edges = _snapshots(spark, sf_dir)
+    snap, edges = network_inputs(spark, sf_dir)
     return gnn.forward(snap, edges, gnn.weights(gnn.SHAPES))
 
 
 def forward_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of twenty forwards with units dropped, on every snapshot."""
-    snap, edges = _snapshots(spark, sf_dir)
+    snap, edges = network_inputs(spark, sf_dir)
     return gnn.forward_with_spread(snap, edges, gnn.weights(gnn.SHAPES))
 
 
 def gru_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recurrent baseline with fixed weights on every snapshot."""
-    return gnn.gru_baseline(_snapshots(spark, sf_dir)[0], gnn.weights(gnn.GRU_SHAPES))
+    return gnn.gru_baseline(network_inputs(spark, sf_dir)[0], gnn.weights(gnn.GRU_SHAPES))
 
 
 def older_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities and embeddings of the older network with fixed weights, on every snapshot."""
-    snap, edges = _snapshots(spark, sf_dir)
+    snap, edges = network_inputs(spark, sf_dir)
     return gnn.older_forward(snap, edges, gnn.older_weights())
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.risk import risk_band, risk_level
 from tidegrid.operators import gnn, metrics, report, series
+from tidegrid.operators.graph import written
 from tidegrid.plans.common import GRID, RAIN, SCORED, STATES, grid_nodes, rain, risk, scored, settled, states
 
 
@@ -90,6 +91,13 @@ def node_mean_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(risk(spark, sf_dir))
 
 
+def lead_mean_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and maximum over the hours of each lead's states, by node."""
+    own = series.leads(states(spark, sf_dir), "p", prefix="p_")
+    found = report.lead_summary(own, series.LEADS)
+    return found.select("node_id", "lead", *[settled(F.col(c)).alias(c) for c in ("p_mean", "p_max")])
+
+
 def peak_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(report.peak_step(states(spark, sf_dir), 20))
 
@@ -182,22 +190,48 @@ def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.skill(metrics.confusion(own, ["model"])).join(metrics.auroc(own, ["model"]), "model"))
 
 
-def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skill of a balanced random forest on window means (no SQL: the trees are MLlib's own)."""
+def _forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p and y of the test steps by a balanced random forest on window means."""
     own = series.leads(rain(spark, sf_dir).withColumn("y", (F.col("rain") > 300).cast("int")), "y", (1,))
     own = series.valid_steps(series.trailing_mean(series.trailing_mean(own, 6, "m6"), 24, "m24"))
     n = own.agg(F.max("t").alias("last")).first()["last"] or 0
     cut = int(24 + (n - 24) * 0.85)
-    found = gnn.random_forest(own.filter(F.col("t") < cut), own.filter(F.col("t") >= cut), ["rain", "m6", "m24"], "y_1", trees=20, depth=6)
-    scores = found.select("p", F.col("y_1").alias("y"))
-    return metrics.skill(metrics.confusion(scores)).join(metrics.auroc(scores))
+    train = written(own.filter(F.col("t") < cut).select("rain", "m6", "m24", "y_1"), "train")  # the fit goes over it many times
+    found = gnn.random_forest(train, own.filter(F.col("t") >= cut), ["rain", "m6", "m24"], "y_1", trees=20, depth=6)
+    return found.select("p", F.col("y_1").alias("y"))
+
+
+def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skill of a balanced random forest on window means (no SQL: the trees are MLlib's own)."""
+    return metrics.metrics_of_counts(written(metrics.score_counts(_forest_scores(spark, sf_dir)), "scores"))
+
+
+def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest, the recurrent baseline and the older network (fixed weights), persistence, and one that can't be made, at the first
+    lead on the test steps: metrics of each, a gap for the last (no SQL: the models)."""
+    from tidegrid.plans.graph_queries import network_inputs
+
+    snap, edges = network_inputs(spark, sf_dir)
+    labels = series.leads(rain(spark, sf_dir).withColumn("y", (F.col("rain") > 300).cast("int")), "y", (1,))
+    cut = F.lit(int(24 + ((labels.agg(F.max("t")).first()[0] or 0) - 24) * 0.85))
+    test = labels.filter(F.col("t") >= cut).select("node_id", "t", "y_1", "rain")
+    late = snap.filter(F.col("t") >= cut)
+    judged = lambda p: p.select("node_id", F.col("t").cast("int").alias("t"), "p").join(test, ["node_id", "t"]).select("p", F.col("y_1").alias("y"))
+    models = {
+        "random_forest": lambda: _forest_scores(spark, sf_dir),
+        "recurrent": lambda: judged(gnn.gru_baseline(late, gnn.weights(gnn.GRU_SHAPES))),
+        "older_network": lambda: judged(gnn.older_forward(late, edges, gnn.older_weights())),
+        "persistence": lambda: test.select(F.least(F.col("rain") / 500, F.lit(1.0)).alias("p"), F.col("y_1").alias("y")),
+        "unavailable": lambda: judged(gnn.older_forward(late, edges, {})),
+    }
+    return metrics.compare_models(spark, models)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         confusion, confusion_floor_one, auroc, avg_precision, ece, reliability, histogram20, tversky, tversky_weighted, weighted_bce, focal, readiness, readiness_full, best_baseline, node_mean_max, peak_step,
-        merged_batches, risk_bands, risk_counts, category_counts, prediction_summary, top20_nodes, high_risk_top10, alert_kpi, display_table, scenario_change, rate_by_split, metric_state, flood_report, spread_peak_window, baseline_table, forest_baseline,
+        merged_batches, risk_bands, risk_counts, category_counts, prediction_summary, top20_nodes, high_risk_top10, alert_kpi, display_table, scenario_change, rate_by_split, metric_state, flood_report, spread_peak_window, baseline_table, forest_baseline, model_table, lead_mean_max,
     )
 }
 
@@ -241,6 +275,8 @@ ORACLES = {
         SELECT metric, round(value + 1e-9, 6) AS value, CASE WHEN value * up >= ok * up THEN 'PASS' WHEN value * up >= warn * up THEN 'WARN' ELSE 'FAIL' END AS status FROM v""",
     "best_baseline": f"WITH {SCORED}, {_CM_LEAD}, {_SK} SELECT round(max(f1) + 1e-9, 6) AS best_f1, round(max(csi) + 1e-9, 6) AS best_csi, (SELECT lead FROM f ORDER BY f1 DESC, lead DESC LIMIT 1) AS lead FROM f",
     "node_mean_max": f"WITH {STATES} SELECT node_id, {_R('p_mean', 'p_max')} FROM risk",
+    "lead_mean_max": f"""WITH {STATES}, n AS (SELECT max(t) AS last FROM p), ld AS (SELECT unnest([1, 3, 6, 12])::INTEGER AS lead), x AS (SELECT a.node_id, lead, b.p FROM p a CROSS JOIN ld CROSS JOIN n JOIN p b ON b.node_id = a.node_id AND b.t = least(a.t + lead, last))
+        SELECT node_id, lead, round(avg(p) + 1e-9, 6) AS p_mean, round(max(p) + 1e-9, 6) AS p_max FROM x GROUP BY ALL""",
     "peak_step": f"WITH {STATES}, m AS (SELECT t, avg(p) AS mean_p FROM p GROUP BY t ORDER BY t LIMIT 20) SELECT t, {_R('mean_p')} FROM m ORDER BY m.mean_p DESC, t LIMIT 1",
     "merged_batches": f"WITH {STATES}, a AS (SELECT node_id, t // 24 AS batch, round(avg(p), 9) AS p FROM p GROUP BY ALL) SELECT node_id, round(avg(p) + 1e-9, 6) AS p FROM a GROUP BY 1",
     "risk_bands": f"{_RISK} SELECT node_id, {_LABEL} AS label, {_BAND.format(chr(39) + '#2ECC71' + chr(39), chr(39) + '#F1C40F' + chr(39), chr(39) + '#E67E22' + chr(39), chr(39) + '#E74C3C' + chr(39))} AS colour, {_LEVEL} AS level FROM k",
