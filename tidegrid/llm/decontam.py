@@ -48,20 +48,19 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     k1 and k2, hashes of id and text, name a document: null and repeated ids need no care, equal rows have
     equal postings. The first word of a document (or its lack) has a row in any case, with the id and
     the number of words, so that one scan of the texts gives both postings and lengths; ``pos`` and ``tid``
-    are null where there is none. Rows with lengths are a part of the table of their own, so that these are read without the rest.
+    are null where there is none.
     """
     own = docs.select(
         F.col(id_col).alias("id"), *row_keys(id_col, text_col), words(F.col(text_col)).alias("w")
     ).select("id", "k1", "k2", F.size("w").cast("long").alias("n_words"), F.posexplode_outer("w").alias("pos", "term"))
     found = own.join(small(terms), "term", "left").filter("tid is not null or pos = 0 or pos is null")
     first = F.coalesce("pos", F.lit(0)) == 0
-    rows = found.select("tid", "k1", "k2", "pos", F.when(first, F.struct("id", "n_words")).alias("doc"), first.alias("first"))
-    return staged(rows.sortWithinPartitions("first", "tid"), "postings", by="first")
+    return staged(found.select("tid", "k1", "k2", "pos", F.when(first, F.struct("id", "n_words")).alias("doc")).sortWithinPartitions("tid"), "postings")
 
 
 def documents_of(index: DataFrame) -> DataFrame:
     """id, k1, k2 and n_words of every document row."""
-    return index.filter("first").select("doc.id", "k1", "k2", "doc.n_words")
+    return index.filter("doc is not null").select("doc.id", "k1", "k2", "doc.n_words")
 
 
 def frequencies(index: DataFrame, at: DataFrame) -> DataFrame:
