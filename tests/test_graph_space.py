@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import maths
-from tidegrid.operators import gnn, graph, layers, order, spatial, strong
+from tidegrid.operators import features, gnn, graph, layers, order, spatial, strong
 
 
 def edges_of(spark, pairs, **more):
@@ -130,6 +130,27 @@ def test_few_neighbours(spark):
     assert {(r.id, r.other) for r in spatial.k_nearest(df, df, 8, 0.1).collect()} == {(0, 1), (1, 0)}
 
 
+def test_neighbours_within_a_reach(spark):
+    """Others farther than the reach don't count, and the cells stay narrow: points far from a dense table make no pairs with it."""
+    rng = np.random.default_rng(3)
+    p, q = rng.random((60, 2)) * [1, 50], rng.random((400, 2))
+    table = lambda x: spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(x)], "id long, x double, y double")
+    for reach in (0.05, 0.7):
+        got = {r.id: r.other for r in spatial.k_nearest(table(p), table(q), 1, skip_self=False, within=reach).collect()}
+        d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(2))
+        assert got == {i: int(d[i].argmin()) for i in range(len(p)) if d[i].min() <= reach}
+
+
+def test_drains_far_away(spark):
+    """2 km and more is a share of 1, also of nodes that the search never leads to; a node without a place counts as 500 m away."""
+    rows = [(0, 13.0, 80.0), (1, 13.0, 80.01), (2, 13.0, 80.0179), (3, 13.0, 80.02), (4, 19.0, 80.0), (5, None, 80.0)]
+    nodes = spark.createDataFrame(rows, "node_id long, lat double, lon double")
+    edges = spark.createDataFrame([(0, 1, 1.0), (3, 4, 0.0)], "u long, v long, edge_type double")
+    got = {r.node_id: r.drain_dist for r in features.drain_distance(nodes, edges).collect()}
+    metres = lambda d: math.radians(d) * 6_371_000 / 2000
+    assert got[0] == 0 and np.allclose([got[k] for k in range(1, 6)], [metres(0.01), metres(0.0179), 1.0, 1.0, 0.25])
+
+
 def test_idw(spark):
     p = spark.createDataFrame([(0, 0.0, 0.0)], "id long, x double, y double")
     st = spark.createDataFrame([(1.0, 0.0, 0.0), (2.0, 0.0, 10.0)], "s_x double, s_y double, s_value double")

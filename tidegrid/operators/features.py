@@ -183,16 +183,18 @@ def lowest(nodes: DataFrame, share: float = 0.1, by: str = "lat") -> DataFrame:
 def drain_distance(nodes: DataFrame, edges: DataFrame, most_m: float = 2000.0) -> DataFrame:
     """node_id and ``drain_dist``, the distance to the nearest node (lat, lon) where a drain starts, as a share of 2 km and 1 at most.
 
-    Without drains the lowest tenth of the nodes by latitude stands for them; without these every node is 500 m from one.
+    Without drains the lowest tenth of the nodes by latitude stands for them; without these every node is 500 m from one. What is
+    farther than 2 km has a share of 1 wherever its drain is, so the search ends there.
     """
     from tidegrid.operators import spatial
 
     drains = nodes.join(edges.filter("edge_type > 0.5").select(F.col("u").alias("node_id")).distinct(), "node_id", "left_semi")
     if drains.isEmpty():
         drains = lowest(nodes)
+    none = F.lit(500.0) if drains.isEmpty() else F.when(F.isnull("lat") | F.isnull("lon"), 500.0).otherwise(most_m)
     at = lambda d: d.select(F.col("node_id").alias("id"), F.radians("lon").alias("x"), F.radians("lat").alias("y"))
-    near = spatial.k_nearest(at(nodes), at(drains), 1, skip_self=False).select(F.col("id").alias("node_id"), (F.col("dist") * 6_371_000.0).alias("_m"))
-    return nodes.select("node_id").join(near, "node_id", "left").select("node_id", clip(F.coalesce("_m", F.lit(500.0)) / most_m, 0.0, 1.0).alias("drain_dist"))
+    near = spatial.k_nearest(at(nodes), at(drains), 1, skip_self=False, within=most_m / 6_371_000.0).select(F.col("id").alias("node_id"), (F.col("dist") * 6_371_000.0).alias("_m"))
+    return nodes.select("node_id", none.alias("_none")).join(near, "node_id", "left").select("node_id", clip(F.coalesce("_m", "_none") / most_m, 0.0, 1.0).alias("drain_dist"))
 
 
 def drain_distance_by_max(nodes: DataFrame, edges: DataFrame) -> DataFrame:
