@@ -353,6 +353,22 @@ def test_recurrent_baseline(spark):
         assert np.isclose(r.p, want, atol=1e-5)
 
 
+def test_windows_that_begin_alike_share_their_states():
+    rng = np.random.default_rng(6)
+    w, x = gnn.weights(gnn.GRU_SHAPES, 4), rng.random((200, 6)) * (rng.random((200, 6)) < 0.2)
+    x[:40] = 0
+    found, at = gnn.beginnings(x)
+    assert [len(first) for first, _ in found] == [len(np.unique(x[:, : k + 1], axis=0)) for k in range(6)] and len(found[0][0]) < 60
+    assert np.allclose(gnn.stacked(x, w, ["gru0", "gru1"]), gnn.recurrent(gnn.recurrent(x[:, :, None], w, "gru0", True), w, "gru1"), atol=1e-12)
+
+
+def test_recurrent_baseline_is_dealt_over_all_partitions(spark):
+    """However few the snapshots are, as their windows come from one partition."""
+    snap, _, _ = network_inputs(spark, n=60, hours=4)
+    found = gnn.gru_baseline(snap.coalesce(1), gnn.weights(gnn.GRU_SHAPES, 4))
+    assert found.withColumn("part", F.spark_partition_id()).select("part").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_older_network_equals_plain_loops(spark):
     w = gnn.older_weights(2)
     snap, edges, (static, short, _, rows) = network_inputs(spark, hours=1)
