@@ -298,6 +298,38 @@ def test_nodes_without_some_hours(spark):
     assert np.allclose([got[k, 1] for k in range(13)], want, atol=1e-5)
 
 
+@pytest.mark.parametrize("wide", [0, 99])
+def test_both_ways_through_the_layers_are_the_same(spark, monkeypatch, wide):
+    """Layer by layer, and all layers in one task for a block with its neighbourhood: blocks of three nodes, a hub, and a node that
+    lacks an hour; forward, spread and the older network."""
+    monkeypatch.setattr(layers, "WIDE", wide)
+    monkeypatch.setattr(layers, "BLOCK", 3)
+    w = gnn.weights(gnn.SHAPES, 3)
+    snap, edges, (static, short, long, rows) = network_inputs(spark)
+    near = layers.neighbourhoods(snap.select("node_id").distinct(), edges, 3)
+    assert (near is None) == (wide == 0)
+    got = {(r.node_id, r.t): [r.p_1, r.p_3, r.p_6, r.p_12] for r in gnn.forward(snap, edges, w).collect()}
+    assert len(got) == 28
+    for t in range(2):
+        assert np.allclose([got[k, t] for k in range(14)], network_brute(static[t], short[t], long[t], rows, w), atol=1e-5)
+    found = {(r.node_id, r.t): r for r in gnn.forward_with_spread(snap, edges, w, samples=3).collect()}
+    p = np.array([network_brute(static[1], short[1], long[1], rows, w, at=3 + k, rate=0.25) for k in range(3)])
+    assert len(found) == 28 and np.allclose([found[k, 1].std_6 for k in range(14)], p[:, :, 2].std(0, ddof=1), atol=1e-5)
+    test_nodes_without_some_hours(spark)
+    test_older_network_equals_plain_loops(spark)
+
+
+def test_what_the_layers_write_is_little(spark, tmp_path, monkeypatch):
+    """On a map no state of a node and hour is written: only the inputs, a small part of them."""
+    names = []
+    for m in (layers, gnn):
+        monkeypatch.setattr(m, "written", lambda df, name: names.append(name) or graph.written(df, name))
+    snap, edges, _ = network_inputs(spark)
+    gnn.forward(snap, edges, gnn.weights(gnn.SHAPES)).count()
+    gnn.older_forward(snap, edges, gnn.older_weights()).count()
+    assert "hours" in names and not {"states", "layer", "parts"} & set(names)
+
+
 def test_hubs_are_folded_in_parts():
     """The edges of one target in many parts, merged, give what they give together."""
     rng = np.random.default_rng(2)
