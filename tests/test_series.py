@@ -88,6 +88,23 @@ def test_dense_spine_has_every_hour(spark):
     assert got.schema["ts"].dataType.simpleString() == "timestamp_ntz"
 
 
+def test_dense_rows_are_not_shuffled(spark):
+    """Hours are dealt by node before they are spread out; windows and lookups by node take them as they lie."""
+    hours = spark.range(60).selectExpr("id % 7 AS node_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS ts", "1.0D AS rain")
+    with_wide = series.coherent(series.decaying_max(series.trailing_sum(series.dense(hours), 24), "cum").withColumn("wet", F.lit(1)), "wet")
+    plan = with_wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and "hashpartitioning" not in plan[: plan.index("Generate")]
+
+
+def test_dense_of_odd_rows(spark):
+    """Nodes without an hour have all of them, dry; so does a missing node; a repeated hour stays repeated."""
+    rows = [(1, "2024-01-01 01:00:00", 2.0), (1, "2024-01-01 01:00:00", 3.0), (2, None, 7.0), (3, "2024-01-01 03:00:00", None), (3, None, 8.0), (None, "2024-01-01 00:00:00", 9.0)]
+    hours = spark.createDataFrame(rows, "node_id long, ts string, rain double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = sorted((r.node_id or 0, r.t, r.rain) for r in series.dense(hours).collect())
+    assert got == [(0, t, 0.0) for t in range(4)] + [(1, 0, 0.0), (1, 1, 2.0), (1, 1, 3.0), (1, 2, 0.0), (1, 3, 0.0)] + [(v, t, 0.0) for v in (2, 3) for t in range(4)]
+    assert series.dense(hours.limit(0)).count() == 0
+
+
 def test_normaliser_is_one_at_least(spark):
     assert series.positive_percentile(make(spark, [0, 0.1])).first()[0] == 1.0
     assert series.positive_percentile(make(spark, [0, 0])).first()[0] == 1.0

@@ -7,6 +7,7 @@ frames. Every window is partitioned by node, so all of them share one shuffle; n
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -37,15 +38,30 @@ def hourly(rows: DataFrame, node: str, ts: str, value: str) -> DataFrame:
     return rows.groupBy(F.col(node).alias("node_id"), to_hour(F.col(ts)).alias("ts")).agg(F.round(F.sum(value), 6).alias("rain"))
 
 
+#: Rows of a dense series that a task gets on average, at most.
+DENSE_ROWS = 1_000_000
+
+
 def dense(hours: DataFrame) -> DataFrame:
     """Every node and hour from the first to the last of all: missing hours have no rain. ``t`` counts from 0.
 
-    Each node's hours are one sequence, exploded: no cross join of nodes and hours.
+    Each hour with a row stands for the hours after it up to the node's next one, the first also for those before it: hours are
+    dealt by node before they are spread out, and no dense row is shuffled, neither here nor for windows by node. There are as
+    many parts as the dense rows need.
     """
-    span = hours.agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"))
-    nodes = hours.select("node_id").distinct().join(F.broadcast(span))  # one row
-    spine = nodes.select("node_id", F.posexplode(F.sequence("_from", "_to", F.expr("interval 1 hour"))).alias("t", "ts"))
-    return spine.join(hours, ["node_id", "ts"], "left").select("node_id", "t", "ts", F.coalesce("rain", F.lit(0.0)).alias("rain"))
+    first, last, after, more, until, at = free_names(hours, "_from", "_to", "_after", "_more", "_until", "_at")
+    span = hours.agg(F.min("ts").alias(first), F.max("ts").alias(last))
+    nodes, steps = hours.agg(F.approx_count_distinct("node_id"), F.timestamp_diff("HOUR", F.min("ts"), F.max("ts")) + 1).first()
+    parts = max(int(hours.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(nodes * (steps or 0) / DENSE_ROWS))
+    w, hour = Window.partitionBy("node_id").orderBy("ts"), F.expr("interval 1 hour")
+    own = hours.select("node_id", "ts", "rain").repartition(parts, "node_id")
+    own = own.withColumns({after: F.lead("ts").over(w), more: F.lead(F.lit(True)).over(w), until: F.lag("ts").over(w)}).join(F.broadcast(span))  # one row
+    # Rows without an hour come first; they count only where a node has no other.
+    begin = F.when(F.col(until).isNull(), F.col(first)).otherwise(F.col("ts"))
+    end = F.greatest(F.coalesce(F.col(after) - hour, F.when(F.col("ts").isNotNull() | F.col(more).isNull(), F.col(last))), F.col("ts"))
+    own = own.filter(F.col("ts").isNotNull() | F.col(more).isNull()).select("node_id", "ts", "rain", first, F.explode(F.sequence(begin, end, hour)).alias(at))
+    rain = F.when(F.col("node_id").isNotNull() & (F.col(at) == F.col("ts")), F.col("rain"))
+    return own.select("node_id", F.timestamp_diff("HOUR", F.col(first), F.col(at)).cast("int").alias("t"), F.col(at).alias("ts"), F.coalesce(rain, F.lit(0.0)).alias("rain"))
 
 
 def reindex(rows: DataFrame, spine: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -205,9 +221,11 @@ def trigger_probability(cum: Column, threshold: Column, ant: Column, scale: floa
 
 def snapshot(series: DataFrame, norm: DataFrame) -> DataFrame:
     """Short and long windows as shares of the normaliser (one row)."""
-    own = lags(lags(series, SHORT_LAGS, "short"), LONG_LAGS, "long").join(F.broadcast(norm))
-    share = lambda c: F.transform(c, lambda x: x / F.col("rain_norm"))
-    return own.withColumns({"short": share("short"), "long": share("long")}).drop("rain_norm")
+    w = by_node()
+    (whole,) = free_names(series, "_norm")
+    own = series.join(F.broadcast(norm.select(F.col("rain_norm").alias(whole))))
+    share = lambda offsets: F.array(*[F.lag("rain", k, 0.0).over(w) / F.col(whole) for k in offsets])
+    return own.withColumns({"short": share(SHORT_LAGS), "long": share(LONG_LAGS)}).drop(whole)
 
 
 def shuffle_key(seed: int, *cols: str) -> Column:
