@@ -193,11 +193,10 @@ def snapshot_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over the three parts of the whole input vector (16 static, 6 short, 12 long) of each valid step."""
     own = rain(spark, sf_dir)
     snap = series.valid_steps(series.snapshot(own, series.positive_percentile(own)))
-    static = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: (F.col("node_id") * k % 16) / 16)
-    x = F.concat(static, "short", "long")
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
-    own = snap.select("node_id", "t", x.alias("x"))
-    return own.select("node_id", "t", F.size("x").alias("width"), F.round(total(F.slice("x", 1, 16)), 6).alias("static"), F.round(total(F.slice("x", 17, 6)), 6).alias("short"), F.round(total(F.slice("x", 23, 12)), 6).alias("long"))
+    static = F.array(*[(F.col("node_id") * k % 16) / 16 for k in range(1, 17)])
+    own = snap.select("node_id", "t", F.concat(static, "short", "long").alias("x"))
+    total = lambda a, b: F.round(sum((F.get("x", F.lit(k)) for k in range(a, b)), F.lit(0.0)), 6)
+    return own.select("node_id", "t", F.size("x").alias("width"), total(0, 16).alias("static"), total(16, 22).alias("short"), total(22, 34).alias("long"))
 
 
 def storm_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
