@@ -68,6 +68,44 @@ def test_strong_components(spark, seed):
     assert got == strong_brute(pairs)
 
 
+@pytest.mark.parametrize("small", (0, 5, 50_000))
+def test_small_weak_components_are_worked_out_in_tasks(spark, monkeypatch, small):
+    """Components of few edges in tasks, others in rounds: the same components, and few tables are written where all are small."""
+    rounds, written = [], strong.written
+    monkeypatch.setattr(strong, "written", lambda df, name: rounds.append(name) or written(df, name))
+    monkeypatch.setattr(strong, "SMALL", small)
+    monkeypatch.setattr(strong, "BLOCK", 20)
+    rng = np.random.default_rng(7)
+    pairs = [(100 * k + int(a), 100 * k + int(b)) for k in range(12) for a, b in rng.integers(0, 3 + 2 * k, (2 + 2 * k, 2))]
+    got = {r.node: r.component for r in strong.strong_components(edges_of(spark, pairs)).collect()}
+    assert got == strong_brute(pairs)
+    if small == 50_000:
+        assert len(rounds) < 16
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_statistics_count_weak_and_strong_components(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 40, (15 + 12 * seed, 2))]
+    nodes = spark.range(44).withColumnRenamed("id", "node_id")
+    row = graph.statistics(nodes, edges_of(spark, pairs)).first()
+    alone = 44 - len({x for p in pairs for x in p})
+    both = strong_brute(pairs + [(v, u) for u, v in pairs])
+    assert (row.n_components, row.n_strong_components) == (len(set(both.values())) + alone, len(set(strong_brute(pairs).values())) + alone)
+
+
+def test_edges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGE_ROWS", 10)
+    assert graph.dealt(spark.range(100), 100, "id").rdd.getNumPartitions() == 10
+    assert graph.dealt(spark.range(0), 0, "id").count() == 0
+    parts, written = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: parts.setdefault(name, df.rdd.getNumPartitions()) and written(df, name))
+    edges = edges_of(spark, [(k, k + 1) for k in range(100)] * 2)
+    got = {r.node: r.hop for r in graph.k_hop(spark.createDataFrame([(50,)], "node long"), edges, 3).collect()}
+    assert got == {50: 0, 49: 1, 48: 2, 47: 3} and parts["links"] == 20
+    assert graph.components(edges, rows=200).agg({"component": "max"}).first()[0] == 0 and parts["wcc"] == 20
+
+
 def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
     rounds, written = [], strong.written
     monkeypatch.setattr(strong, "written", lambda df, name: rounds.append(name) or written(df, name))

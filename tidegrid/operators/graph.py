@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an edge table that a task gets on average, at most, where they are dealt by their number.
+EDGE_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df, of about that many rows, by columns over as many parts as they need; few rows go to fewer parts than shuffles have."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(ceil(rows / EDGE_ROWS), min(usual, ceil(rows / 20_000)), 1), *by)
+
+
 def waterway_capacity(kind: Column) -> Column:
     """The capacity of a kind of waterway, in any case; the default for others and null."""
     table = F.create_map(*[F.lit(x) for kv in WATERWAY_CAPACITY.items() for x in kv])
@@ -92,15 +103,19 @@ def compose(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("u", "v"))
     return out.select(*keys, *[F.coalesce(f"_r_{c}", c).alias(c) if f"_r_{c}" in out.columns else F.col(c) for c in values], *extra)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and component (its smallest node) of every node with an edge; alternating star steps, each written out."""
-    edges = written(without_loops(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct(), "wcc")
+def components(edges: DataFrame, most_rounds: int = 60, rows: int | None = None, gathered: bool = True) -> DataFrame:
+    """node and component (its smallest node) of every node with an edge; alternating star steps, each written out. Edges of which
+    hardly any two are alike are better made distinct in parts by their number, ``rows``. Without ``gathered`` no
+    side of a join goes through the driver to be broadcast."""
+    plain = (lambda df: df) if gathered else (lambda df: df.hint("merge"))
+    down = without_loops(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    edges = written((dealt(down, rows, "u", "v") if rows else down).distinct(), "wcc")
     before = None
     for _ in range(most_rounds):
         both = both_directions(edges)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        large = both.filter("v > u").join(plain(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        joined = large.join(plain(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         edges = written(without_loops(small).distinct(), "wcc")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -110,9 +125,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components: no end after {most_rounds} rounds")
 
 
-def largest_component(edges: DataFrame) -> DataFrame:
-    """The nodes of the largest component; of equals, that with the smallest node."""
-    found = components(edges)
+def largest_component(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """The nodes of the largest component; of equals, that with the smallest node. ``rows`` as for ``components``."""
+    found = written(components(edges, rows=rows), "found")
     top = found.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     return found.join(F.broadcast(top), "component").select("node", "component", "n")
 
@@ -177,9 +192,12 @@ def k_hop(seeds: DataFrame, edges: DataFrame, k: int = 3, fanout: Sequence[int]
 
     With ``fanout``, at most that many sources of a node are followed in each hop: those whose MD5 of seed + hop, node and source is
     smallest. Each task of the join keeps no more than that many of a node before the shuffle (a group limit below the window), so a
-    hub's whole list is sorted nowhere. The edges are made distinct and written once, and so is each hop.
+    hub's whole list is sorted nowhere. The edges are made distinct and written once, and so is each hop; they are made
+    distinct in parts by their number, so that no task's memory grows with it.
     """
-    links = written(edges.select(F.col("v").alias("node"), F.col("u").alias("next")).distinct(), "links")
+    raw = written(edges.select(F.col("v").alias("node"), F.col("u").alias("next")), "raw")
+    n = raw.count()
+    links = written(dealt(raw, n, "node", "next").distinct(), "links")
     seen = front = written(seeds.select(F.col("node").cast("long").alias("node"), F.lit(0).alias("hop")).distinct(), "hop")
     for h in range(1, k + 1):
         step = front.select("node").join(links, "node")
@@ -213,8 +231,13 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     own = written(nodes.select("node_id").join(degree, "node_id", "left").withColumn("d", F.coalesce("d", F.lit(0))), "degrees")
     middle = F.lit(quantiles(own, "d", [0.5])[0]).cast("double").alias("median_degree")
     sums = own.agg(F.count("*").alias("n_nodes"), F.avg("d").alias("avg_degree"), F.min("d").alias("min_degree"), F.max("d").alias("max_degree"), middle, F.count_if(F.col("d") == 0).alias("_alone"))
-    weak = components(edges).agg(F.count_distinct("component").alias("_weak"))
-    strong = strong_components(edges).agg(F.count_distinct("component").alias("_strong"))
+    found = written(strong_components(edges), "strong")
+    strong = found.agg(F.count_distinct("component").alias("_strong"))
+    # Weak components are those of the strong ones: as many, less one for each edge of a forest that spans what is between them.
+    to = {x: found.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in "uv"}
+    between = edges.select("u", "v").join(to["u"].hint("merge"), "u").join(to["v"].hint("merge"), "v").filter("_u <> _v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    joined = components(between, gathered=False).agg(F.count("*").alias("_in"), F.count_distinct("component").alias("_of"))
+    weak = strong.join(joined).select((F.col("_strong") - F.col("_in") + F.col("_of")).alias("_weak"))
     size = edges.agg(F.count("*").alias("n_edges"))
     kinds = {"n_components": F.col("_weak") + F.col("_alone"), "n_strong_components": F.col("_strong") + F.col("_alone")}
     return sums.join(size).join(weak).join(strong).withColumns(kinds).drop("_weak", "_strong", "_alone")

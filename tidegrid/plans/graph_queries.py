@@ -38,7 +38,8 @@ def edge_dedupe_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and the parts of all their orders' lines; parts are numbered below 0."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    n = lines.count()  # from the files' footers
+    lines, orders = graph.dealt(lines, n, "l_orderkey"), graph.dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), n, "o_orderkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("u"), (-F.col("l_partkey") - 1).alias("v"))
 
 
@@ -51,7 +52,7 @@ def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wcc_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.largest_component(_pairs(spark, sf_dir)).select("node", "component")
+    return graph.largest_component(_pairs(spark, sf_dir), table(spark, sf_dir, "lineitem").count()).select("node", "component")
 
 
 def drain_capacity_max(spark: SparkSession, sf_dir: str) -> DataFrame:
