@@ -1,26 +1,93 @@
 """Strongly connected components by contraction.
 
-Each round makes the graph smaller, and writes down how: nodes of two edges in opposite directions are one; a node with one edge
+Edges in opposite directions are contracted first. What then is in weak components of few edges is worked out in tasks, many
+components in each; the rest goes on in rounds over the whole graph. Each round makes the graph smaller, and writes down how: nodes of two edges in opposite directions are one; a node with one edge
 in and one out goes, with all its like in a row, by doubling, so that a chain or a cycle of any length takes logarithmically many
 steps; edges from nodes that none leads to, or to nodes that lead nowhere, go. What none of this touches is parted by the
 smallest node that reaches each, and that node's own component is merged. In the end the rounds are read backwards: a merged
 node is where its mate is, and a node of a chain is where both ends are, if they are together, else alone.
+
+Joins of tables that grow with the graph are merged, not broadcast: there are many of them, and all that is broadcast goes through
+the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import ceil, log2
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.graph import components, without_loops, written
 
+#: Edges of a weak component that a task works out by itself, at most, and of all components of a task, on average.
+SMALL, BLOCK = 50_000, 100_000
+
+
+def strong_of(u: Sequence[int], v: Sequence[int], n: int) -> np.ndarray:
+    """The smallest node of the strong component of each node 0 to n - 1, by one walk in depth that keeps its own stack."""
+    order = np.argsort(u, kind="stable")
+    to, start = np.asarray(v)[order].tolist(), np.searchsorted(np.asarray(u)[order], np.arange(n + 1)).tolist()
+    seen, low, at, out = [0] * n, [0] * n, start[:n], [-1] * n
+    open_: list[int] = []
+    count = 0
+    for root in range(n):
+        walk = [] if seen[root] else [root]
+        while walk:
+            x = walk[-1]
+            if not seen[x]:
+                count += 1
+                seen[x] = low[x] = count
+                open_.append(x)
+            while at[x] < start[x + 1]:
+                y = to[at[x]]
+                if not seen[y]:
+                    walk.append(y)
+                    break
+                if out[y] < 0:
+                    low[x] = min(low[x], low[y])
+                at[x] += 1
+            else:
+                walk.pop()
+                if low[x] == seen[x]:
+                    k = len(open_) - 1
+                    while open_[k] != x:
+                        k -= 1
+                    least = min(open_[k:])
+                    for y in open_[k:]:
+                        out[y] = least
+                    del open_[k:]
+    return np.array(out, np.int64)
+
+
+def _small(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node and to of the nodes that aren't their strong component's smallest, in all weak components of few edges; and the edges of
+    the others."""
+    weak = written(components(live, gathered=False), "weak")
+    whole = written(live.join(weak.withColumnRenamed("node", "u").hint("merge"), "u"), "whole")
+    sizes = whole.groupBy("component").agg(F.count("*").alias("n"))
+    large = written(sizes.filter(F.col("n") > SMALL).select("component"), "large")
+    few = written(whole.join(large, "component", "left_anti"), "few")
+    bucket = F.pmod(F.xxhash64("component"), F.lit(ceil(few.count() / BLOCK) or 1))
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        nodes, places = np.unique(block[["u", "v"]].to_numpy().ravel(), return_inverse=True)
+        ends = places.reshape(-1, 2)
+        to = nodes[strong_of(ends[:, 0], ends[:, 1], len(nodes))]
+        return pd.DataFrame({"node": nodes, "to": to})[to != nodes]
+
+    kind = live.schema["u"].dataType.simpleString()
+    into = few.select("u", "v", bucket.alias("b")).groupBy("b").applyInPandas(lambda block: run(block), f"node {kind}, to {kind}")
+    return written(into, "into"), written(whole.join(large, "component", "left_semi").select("u", "v"), "live")
+
 
 def _moved(edges: DataFrame, into: DataFrame) -> DataFrame:
     """Edges with nodes replaced where ``into`` (node, to) has them; loops and repeated edges go."""
     to = {x: into.select(F.col("node").alias(x), F.col("to").alias(f"_{x}")) for x in "uv"}
-    both = edges.join(to["u"], "u", "left").join(to["v"], "v", "left")
+    both = edges.join(to["u"].hint("merge"), "u", "left").join(to["v"].hint("merge"), "v", "left")
     return without_loops(both.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))).distinct()
 
 
@@ -57,14 +124,19 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node with an edge (u, v), an edge to itself too. Rows with a null end don't count."""
     edges = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL")
     nodes = written(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
-    live, log = written(without_loops(edges).distinct(), "live"), []
+    live, log, parted = written(without_loops(edges).distinct(), "live"), [], False
     while not live.isEmpty():
-        mutual = written(live.join(live.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_semi").filter("u < v"), "mutual")
+        mutual = written(live.join(live.select(F.col("u").alias("v"), F.col("v").alias("u")).hint("merge"), ["u", "v"], "left_semi").filter("u < v"), "mutual")
         if not mutual.isEmpty():
-            into = written(components(mutual).select("node", F.col("component").alias("to")).filter("node <> to"), "into")
+            into = written(components(mutual, gathered=False).select("node", F.col("component").alias("to")).filter("node <> to"), "into")
             log.append(("merge", into))
             live = written(_moved(live, into), "live")
             continue
+        if not parted:
+            into, live = _small(live)
+            log.append(("merge", into))
+            parted = True
+            continue
         ins = live.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("i"), F.min("u").alias("p"))
         outs = live.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("o"), F.min("v").alias("n"))
         at = written(ins.join(outs, "node", "full_outer"), "degrees")
@@ -95,9 +167,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     of = lambda x: found.select(F.col("node").alias(x), F.col("at").alias(f"_{x}"))
     for kind, table in reversed(log):
         if kind == "merge":
-            new = table.join(of("to"), "to").select("node", F.col("_to").alias("_new"))
+            new = table.join(of("to").hint("merge"), "to").select("node", F.col("_to").alias("_new"))
         else:
-            new = table.join(of("p"), "p").join(of("n"), "n").select("node", F.when(F.col("_p") == F.col("_n"), F.col("_p")).otherwise(F.col("node")).alias("_new"))
-        found = written(found.join(new, "node", "left").select("node", F.coalesce("_new", "at").alias("at")), "found")
+            new = table.join(of("p").hint("merge"), "p").join(of("n").hint("merge"), "n").select("node", F.when(F.col("_p") == F.col("_n"), F.col("_p")).otherwise(F.col("node")).alias("_new"))
+        found = written(found.join(new.hint("merge"), "node", "left").select("node", F.coalesce("_new", "at").alias("at")), "found")
     least = found.groupBy("at").agg(F.min("node").alias("component"))
-    return found.join(least, "at").select("node", "component")
+    return found.join(least.hint("merge"), "at").select("node", "component")
