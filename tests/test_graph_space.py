@@ -479,6 +479,47 @@ def test_random_forest(spark):
     assert got.filter((F.col("p") >= 0.5).cast("int") != F.col("y")).count() == 0
 
 
+def test_random_forest_fits_counts(spark, monkeypatch):
+    """What the trees are fitted to has a row for each class and bins, however many rows there are, and hangs on the rows alone."""
+    sizes = []
+    kept = lambda df, name: (found := graph.written(df, name), sizes.append((name, found.count())))[0]
+    monkeypatch.setattr(gnn, "written", kept)
+    draw = np.random.default_rng(5)
+    a, b = draw.normal(size=800), draw.choice([0.0, 1.0, 2.0], 800, p=[0.9, 0.05, 0.05])
+    df = spark.createDataFrame([(k, float(x), float(y), int(x + y + z > 1)) for k, (x, y, z) in enumerate(zip(a, b, draw.normal(size=800)))], "id long, a double, b double, y int")
+    many = df.crossJoin(spark.range(10).select(F.col("id").alias("copy")))
+    run = lambda train: {r.id: r.p for r in gnn.random_forest(train, df, ["a", "b"], "y", trees=10, depth=4).collect()}
+    first = run(many.repartition(1))
+    assert sizes and all(n <= 2 * 31 * 3 for _, n in sizes) and len(first) == 800
+    assert run(many.repartition(7, "copy")) == pytest.approx(first, abs=1e-9)
+
+
+def test_random_forest_is_that_of_single_rows(spark):
+    """Means of many trees are near those of MLlib's own forest, which draws rows one by one."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(1500, 2))
+    y = (x[:, 0] + x[:, 1] ** 2 + draw.normal(size=1500) > 2.5).astype(int)
+    df = spark.createDataFrame([(k, float(p), float(q), int(l)) for k, ((p, q), l) in enumerate(zip(x, y))], "id long, a double, b double, y int").coalesce(1).cache()
+    got = {r.id: r.p for r in gnn.random_forest(df, df, ["a", "b"], "y", trees=40, depth=4).collect()}
+    share = y.mean()
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="_x").transform(df).withColumn("_w", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    model = RandomForestClassifier(featuresCol="_x", labelCol="y", weightCol="_w", numTrees=40, maxDepth=4, seed=1).fit(rows)
+    want = {r.id: r.p for r in model.transform(rows).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    gap = np.array([got[k] - want[k] for k in want])
+    assert abs(gap.mean()) < 0.02 and np.abs(gap).mean() < 0.05
+
+
+def test_random_forest_finds_few_rows_of_a_class(spark):
+    """Five rows of a class in 4,000 that lie beyond all others' values."""
+    df = spark.range(4000).select("id", (F.col("id") * 0.01).alias("a"), F.lit(0.0).alias("b"), (F.col("id") >= 3995).cast("int").alias("y"))
+    got = gnn.random_forest(df, df, ["a", "b"], "y", trees=10, depth=4)
+    assert got.filter((F.col("p") >= 0.5).cast("int") != F.col("y")).count() == 0
+
+
 def test_hubs_and_triggers(spark):
     """A hub with many neighbours: states go from the triggers alone, hop by hop."""
     df = spark.createDataFrame([(v, t, 1.0 if (v, t) == (3, 0) else 0.0) for v in range(500) for t in range(4)], "node_id long, t int, rain double")

@@ -194,10 +194,10 @@ def _forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p and y of the test steps by a balanced random forest on window means."""
     own = series.leads(rain(spark, sf_dir).withColumn("y", (F.col("rain") > 300).cast("int")), "y", (1,))
     own = series.valid_steps(series.trailing_mean(series.trailing_mean(own, 6, "m6"), 24, "m24"))
+    own = written(own.select("t", "rain", "m6", "m24", "y_1"), "steps")  # windows are made once for all that reads them
     n = own.agg(F.max("t").alias("last")).first()["last"] or 0
     cut = int(24 + (n - 24) * 0.85)
-    train = written(own.filter(F.col("t") < cut).select("rain", "m6", "m24", "y_1"), "train")  # the fit goes over it many times
-    found = gnn.random_forest(train, own.filter(F.col("t") >= cut), ["rain", "m6", "m24"], "y_1", trees=20, depth=6)
+    found = gnn.random_forest(own.filter(F.col("t") < cut), own.filter(F.col("t") >= cut), ["rain", "m6", "m24"], "y_1", trees=20, depth=6)
     return found.select("p", F.col("y_1").alias("y"))
 
 
