@@ -520,6 +520,18 @@ def test_random_forest_finds_few_rows_of_a_class(spark):
     assert got.filter((F.col("p") >= 0.5).cast("int") != F.col("y")).count() == 0
 
 
+def test_blocks_are_dealt_over_more_parts_the_more_rows_there_are(spark, monkeypatch):
+    rows = [(n, t, [0.1 * n] * 16, [0.2 * t] * 6) for n in range(12) for t in range(16)]
+    snap = spark.createDataFrame(rows, "node_id long, t int, static array<double>, short array<double>")
+    run = lambda: gnn.older_forward(snap, edges_of(spark, [(k, k + 1) for k in range(11)]), gnn.older_weights())
+    few = run()
+    monkeypatch.setattr(gnn, "BLOCK_ROWS", 2)
+    many = run()  # 24 rows of a node and eight hours
+    assert few.rdd.getNumPartitions() <= 4 and many.rdd.getNumPartitions() == 12
+    by = lambda df: {(r.node_id, r.t): r.p for r in df.collect()}
+    assert by(many) == by(few) and len(by(many)) == 192
+
+
 def test_hubs_and_triggers(spark):
     """A hub with many neighbours: states go from the triggers alone, hop by hop."""
     df = spark.createDataFrame([(v, t, 1.0 if (v, t) == (3, 0) else 0.0) for v in range(500) for t in range(4)], "node_id long, t int, rain double")

@@ -309,3 +309,16 @@ def test_decaying_state_stream(spark, stream, tmp_path):
     streams.run_once(streams.decaying_state(stream), "decaying", str(tmp_path / "c2"))
     got = [r.state for r in spark.table("decaying").filter("node_id = 1").orderBy("ts").collect()]
     assert np.allclose(got, [1.0, 0.5, 0.9])
+
+
+def test_model_table_makes_its_test_steps_once(spark, sf, monkeypatch):
+    from tidegrid.operators import graph
+    from tidegrid.plans import skill_queries
+
+    made = []
+    kept = lambda df, name: (made.append((name, found := graph.written(df, name))), found)[1]
+    monkeypatch.setattr(skill_queries, "written", kept)
+    rows = {r.model: r for r in skill_queries.model_table(spark, sf).collect()}
+    test = [df for name, df in made if name == "test"]
+    assert len(test) == 1 and all(rows[m].error is None for m in ("random_forest", "recurrent", "older_network", "persistence")) and rows["unavailable"].error
+    assert sum(rows["persistence"][c] for c in ("tp", "fp", "fn", "tn")) == test[0].count()

@@ -214,7 +214,7 @@ def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap, edges = network_inputs(spark, sf_dir)
     labels = series.leads(rain(spark, sf_dir).withColumn("y", (F.col("rain") > 300).cast("int")), "y", (1,))
     cut = F.lit(int(24 + ((labels.agg(F.max("t")).first()[0] or 0) - 24) * 0.85))
-    test = labels.filter(F.col("t") >= cut).select("node_id", "t", "y_1", "rain")
+    test = written(labels.filter(F.col("t") >= cut).select("node_id", "t", "y_1", "rain"), "test")  # read by three models
     late = snap.filter(F.col("t") >= cut)
     judged = lambda p: p.select("node_id", F.col("t").cast("int").alias("t"), "p").join(test, ["node_id", "t"]).select("p", F.col("y_1").alias("y"))
     models = {
