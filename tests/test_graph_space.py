@@ -83,6 +83,33 @@ def test_small_weak_components_are_worked_out_in_tasks(spark, monkeypatch, small
         assert len(rounds) < 16
 
 
+def test_strong_components_reads_every_order(spark, sf):
+    from tidegrid.plans import catalog
+
+    own = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").orderBy("o_orderkey").collect()
+    pairs = [(a.o_custkey, b.o_custkey) for a, b in zip(own, own[1:]) if a.o_orderkey // 4096 == b.o_orderkey // 4096]
+    got = {r.node: r.component for r in catalog.QUERIES["strong_components"](spark, sf).collect()}
+    assert set(got) == {x for p in pairs for x in p} and got == strong_brute(sorted(set(pairs)))
+
+
+def test_large_components_come_from_ranges_and_near_labels(spark, monkeypatch):
+    """Dense parts, each with one edge to the next: by ranges of nodes where ids lie together, by labels where they are mixed."""
+    rounds, written = [], strong.written
+    monkeypatch.setattr(strong, "written", lambda df, name: rounds.append(name) or written(df, name))
+    monkeypatch.setattr(strong, "SMALL", 200)
+    rng = np.random.default_rng(5)
+    pairs = [(20 * k + int(a), 20 * k + int(b)) for k in range(8) for a, b in rng.integers(0, 20, (80, 2)) if a != b]
+    pairs += [(20 * k + 3, 20 * k + 24) for k in range(7)] + [(500_000 + k, 500_001 + k) for k in range(5)]
+    want = strong_brute(pairs)
+    got = {r.node: r.component for r in strong.strong_components(edges_of(spark, pairs)).collect()}
+    assert got == want and rounds.count("live") < 4
+    mixed = {x: x * 7919 % 10_007 for x in want}
+    back = {y: x for x, y in mixed.items()}
+    into = {r.node: r.to for r in strong._near(edges_of(spark, [(mixed[u], mixed[v]) for u, v in pairs]).distinct()).collect()}
+    assert all(want[back[x]] == want[back[y]] for x, y in into.items())
+    assert len(into) > 10
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_statistics_count_weak_and_strong_components(spark, seed):
     rng = np.random.default_rng(seed)

@@ -1,7 +1,9 @@
 """Strongly connected components by contraction.
 
-Edges in opposite directions are contracted first. What then is in weak components of few edges is worked out in tasks, many
-components in each; the rest goes on in rounds over the whole graph. Each round makes the graph smaller, and writes down how: nodes of two edges in opposite directions are one; a node with one edge
+A graph of few edges is worked out in one task. A larger one is first contracted by ranges of its nodes, each range's own edges in one task,
+as long as that helps; then edges in opposite directions are. What then is in weak components of few edges is worked out in tasks, many
+components in each; the rest goes on in rounds over the whole graph, until few edges are left. Each round makes the graph smaller, and writes
+down how: nodes that a label reaches in a few steps both along and against the edges are one, as are those of two edges in opposite directions; a node with one edge
 in and one out goes, with all its like in a row, by doubling, so that a chain or a cycle of any length takes logarithmically many
 steps; edges from nodes that none leads to, or to nodes that lead nowhere, go. What none of this touches is parted by the
 smallest node that reaches each, and that node's own component is merged. In the end the rounds are read backwards: a merged
@@ -18,13 +20,14 @@ from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidegrid.operators.graph import components, without_loops, written
 
-#: Edges of a weak component that a task works out by itself, at most, and of all components of a task, on average.
-SMALL, BLOCK = 50_000, 100_000
+#: Edges that a task works out by itself, at most, and of all weak components of a task, on average; steps of labels that needn't come to an end.
+SMALL, BLOCK, NEAR = 1_000_000, 100_000, 8
 
 
 def strong_of(u: Sequence[int], v: Sequence[int], n: int) -> np.ndarray:
@@ -63,6 +66,44 @@ def strong_of(u: Sequence[int], v: Sequence[int], n: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _in_tasks(edges: DataFrame, by: Column) -> DataFrame:
+    """node and to of the nodes that aren't the smallest of their strong component in the edges of one value of ``by``."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        nodes, places = np.unique(block[["u", "v"]].to_numpy().ravel(), return_inverse=True)
+        ends = places.reshape(-1, 2)
+        to = nodes[strong_of(ends[:, 0], ends[:, 1], len(nodes))]
+        return pd.DataFrame({"node": nodes, "to": to})[to != nodes]
+
+    kind = edges.schema["u"].dataType.simpleString()
+    own = edges.select("u", "v", by.alias("b"))
+    return written(own.groupBy("b").applyInPandas(lambda block: run(block), f"node {kind}, to {kind}"), "into")
+
+
+def _ranges(live: DataFrame, n: int) -> DataFrame:
+    """node and to, by the edges within ranges of nodes with about as many edges each as a task works out; where one node has most edges of
+    a range, so that it has more than twice as many, it is left out."""
+    from pyspark.ml.feature import Bucketizer
+
+    parts = ceil(n / SMALL)
+    ranks = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    cuts = sorted({float(x) for x in live.agg(F.percentile_approx("u", ranks, 10_000)).first()[0] or ()})
+    of = Bucketizer(splitsArray=[[-np.inf, *cuts, np.inf]] * 2, inputCols=["_u", "_v"], outputCols=["b", "_b"])
+    own = of.transform(live.withColumns({"_u": F.col("u").cast("double"), "_v": F.col("v").cast("double")})).filter("b = _b") if cuts else live.withColumn("b", F.lit(0.0))
+    wide = [r.b for r in own.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * SMALL).collect()]  # a row for each range at most
+    return _in_tasks(own.filter(~F.col("b").isin(wide)) if wide else own, F.col("b"))
+
+
+def _near(live: DataFrame) -> DataFrame:
+    """node and to, by the smallest label that reaches a node in a few steps, if it is also the smallest that the node reaches: whose label
+    that is, is in one strong component with all such nodes. Labels are hashes (different ones for different whole numbers)."""
+    start = live.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.xxhash64("node"))
+    both = _spread(start, live, NEAR).join(_spread(start, live.select(F.col("v").alias("u"), F.col("u").alias("v")), NEAR).hint("merge"), ["node", "label"])
+    both = written(both, "near")
+    least = both.groupBy("label").agg(F.min("node").alias("to"))
+    return written(both.join(least.hint("merge"), "label").select("node", "to").filter("node <> to"), "into")
+
+
 def _small(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """node and to of the nodes that aren't their strong component's smallest, in all weak components of few edges; and the edges of
     the others."""
@@ -72,16 +113,7 @@ def _small(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     large = written(sizes.filter(F.col("n") > SMALL).select("component"), "large")
     few = written(whole.join(large, "component", "left_anti"), "few")
     bucket = F.pmod(F.xxhash64("component"), F.lit(ceil(few.count() / BLOCK) or 1))
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        nodes, places = np.unique(block[["u", "v"]].to_numpy().ravel(), return_inverse=True)
-        ends = places.reshape(-1, 2)
-        to = nodes[strong_of(ends[:, 0], ends[:, 1], len(nodes))]
-        return pd.DataFrame({"node": nodes, "to": to})[to != nodes]
-
-    kind = live.schema["u"].dataType.simpleString()
-    into = few.select("u", "v", bucket.alias("b")).groupBy("b").applyInPandas(lambda block: run(block), f"node {kind}, to {kind}")
-    return written(into, "into"), written(whole.join(large, "component", "left_semi").select("u", "v"), "live")
+    return _in_tasks(few, bucket), written(whole.join(large, "component", "left_semi").select("u", "v"), "live")
 
 
 def _moved(edges: DataFrame, into: DataFrame) -> DataFrame:
@@ -107,11 +139,11 @@ def _chains(links: DataFrame) -> DataFrame:
     return now
 
 
-def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and label: the smallest label of start (node, label) that reaches the node along the edges."""
+def _spread(start: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """node and label: the smallest label of start (node, label) that reaches the node along the edges, in ``hops`` steps if given."""
     best = front = written(start, "labels")
     hop = 0
-    while not front.isEmpty():
+    while hop != hops and not front.isEmpty():
         along = edges.join(front.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("_new"))
         front = written(along.join(best, "node", "left").filter(F.col("label").isNull() | (F.col("_new") < F.col("label"))).select("node", F.col("_new").alias("label")), "front")
         hop += 1
@@ -125,7 +157,18 @@ def strong_components(edges: DataFrame) -> DataFrame:
     edges = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL")
     nodes = written(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
     live, log, parted = written(without_loops(edges).distinct(), "live"), [], False
-    while not live.isEmpty():
+    whole = isinstance(edges.schema["u"].dataType, IntegralType)
+    ranged = near = SMALL > 0 and whole  # whether these still help
+    while n := live.count():
+        if n <= SMALL:
+            log.append(("merge", _in_tasks(live, F.lit(0))))
+            break
+        if ranged:
+            into = _ranges(live, n)
+            log.append(("merge", into))
+            live = written(_moved(live, into), "live")
+            ranged = live.count() < 0.9 * n
+            continue
         mutual = written(live.join(live.select(F.col("u").alias("v"), F.col("v").alias("u")).hint("merge"), ["u", "v"], "left_semi").filter("u < v"), "mutual")
         if not mutual.isEmpty():
             into = written(components(mutual, gathered=False).select("node", F.col("component").alias("to")).filter("node <> to"), "into")
@@ -156,6 +199,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         if kept.count() < live.count():
             live = kept
             continue
+        if near:
+            into = _near(live)
+            log.append(("merge", into))
+            live = written(_moved(live, into), "live")
+            near = live.count() < 0.9 * n
+            continue
         colour = _spread(through.withColumn("label", F.col("node")), live)
         c = {x: colour.select(F.col("node").alias(x), F.col("label").alias(f"_{x}")) for x in "uv"}
         own = written(live.join(c["u"], "u").join(c["v"], "v").filter("_u = _v").select("u", "v"), "within")
