@@ -549,6 +549,17 @@ def test_blocks_and_joins_do_not_change_scores(spark, sf, odd):
         assert got[0] == got[1] == got[2] == got[3]
 
 
+def test_language_model_holds_one_block_at_a_time(spark, sf):
+    """Counts are handed on when a task has many, and facts of words and grams come to a block as rows, not as lists that wait for others."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    raw = docs.selectExpr("cast(text AS binary) AS _raw").coalesce(1)
+    few, all_ = (Counter({r.gram: r.n for r in suffix_lm.count_grams(raw, step=3_000, most_held=n).collect()}) for n in (2_000, 10**9))
+    assert few == all_ and len(all_) > 10_000
+    for most_edges in (suffix_lm.MOST_EDGES, 0):
+        found = suffix_lm.score_documents(docs, most_edges=most_edges)
+        assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ids_may_be_text(spark):
     docs = spark.createDataFrame([("a", "one two"), (None, "three"), ("b", None)], "doc_id string, text string")
     assert {r.doc_id for r in suffix_lm.score_documents(docs).collect()} == {"a", None, "b"}
