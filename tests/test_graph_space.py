@@ -409,6 +409,22 @@ def test_hubs_are_folded_in_parts():
         assert np.allclose(fold.finish(whole, x[:1], keys), fold.finish(merged, x[:1], keys), atol=1e-6)
 
 
+@pytest.mark.parametrize("rate", (0.0, 0.25))
+def test_attention_of_all_edges_equals_its_parts(monkeypatch, rate):
+    monkeypatch.setattr(layers, "FEW_EDGES", 7)
+    rng = np.random.default_rng(3)
+    w = {k: x.astype(np.float32) for k, x in gnn.weights(gnn.SHAPES).items()}
+    d = np.sort(np.concatenate([np.arange(12), rng.integers(0, 12, 40)]))
+    s, own = rng.integers(0, 30, len(d)), np.arange(5, 17)
+    x, e, node = rng.normal(size=(30, 128)).astype(np.float32), rng.normal(size=(len(d), 4)).astype(np.float32), np.arange(100, 130)
+    keys = layers.row_keys(node[own], 9)
+    for name in ("gat1", "gat2"):
+        fold = layers.Attend(w, name, 4, rate)
+        want = fold.finish(fold.parts(x, own, s, d, e, node, keys), x[own], keys)
+        got = fold.whole(x, own, s, d, e, node, keys)
+        assert got.dtype == np.float32 and np.allclose(got, want, atol=1e-5)
+
+
 def test_dropped_units():
     x, keys = np.ones((400, 128)), layers.row_keys(np.arange(400), 5)
     got = layers.dropped(x, keys, 1, 0.25)
